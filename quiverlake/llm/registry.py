@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quiverlake.llm import bpe
+from quiverlake.llm import bpe, licenses, merkle, quality
 from quiverlake.llm.common import table
 
 #: Tokenizer files; the folder is a parameter of the deployment.
@@ -20,5 +20,22 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.roundtrip_digests(bpe.encode_and_decode(table(spark, sf_dir, "documents"), WORD_BPE))
 
 
-QUERIES = {"op1_bpe": op1_bpe}
-ORACLES: dict[str, str] = {}
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compare_with_successor(table(spark, sf_dir, "documents"))
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_quality": op2_quality,
+    "op3_merkle": op3_merkle,
+    "op4_licenses": op4_licenses,
+}
+ORACLES: dict[str, str] = {"op4_licenses": licenses.oracle_sql()}

@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quiverlake.llm import bpe, licenses, merkle, quality
+from quiverlake.llm import bpe, licenses, merkle, quality, sharding, simhash, vectors
 from quiverlake.llm.common import table
 
 #: Tokenizer files; the folder is a parameter of the deployment.
@@ -32,10 +32,26 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.as_hex().alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
     "op3_merkle": op3_merkle,
     "op4_licenses": op4_licenses,
+    "op5_vectors": op5_vectors,
+    "op6_sharding": op6_sharding,
+    "op7_simhash": op7_simhash,
 }
 ORACLES: dict[str, str] = {"op4_licenses": licenses.oracle_sql()}

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiverlake.llm.common import map_rows, text_of
+from quiverlake.llm.ranges import IdRanges, range_parts
 
 #: A phrase ends after a space that follows one of these signs, or at 96 characters.
 _PHRASE = re.compile(r"[^\n]{1,95}?[dhtx.,;:!?] |[^\n]{1,96}")
@@ -109,14 +110,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_rows(docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")), rows, f"id {kind}, fingerprint string").withColumnRenamed("id", id_col)
 
 
-def _range_of(col: F.Column, bounds: list, low: int = 0) -> F.Column:
-    """Number of bounds at or below the value, as a balanced tree of comparisons."""
-    if not bounds:
-        return F.lit(low)
-    mid = len(bounds) // 2
-    return F.when(col < F.lit(bounds[mid]), _range_of(col, bounds[:mid], low)).otherwise(_range_of(col, bounds[mid + 1 :], low + mid + 1))
-
-
 def compare_with_successor(docs: DataFrame) -> DataFrame:
     """Fingerprint each document, an edited form of it, and the document after it by ascending id.
 
@@ -124,27 +117,19 @@ def compare_with_successor(docs: DataFrame) -> DataFrame:
     range of their id, and the row at a bound is sent to the range before it too.  Each range streams in
     order, holding two documents.
     """
-    spark = docs.sparkSession
     rows_in = docs.select("doc_id", text_of().alias("text"))
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    at = rows_in.agg(
-        F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 20 * parts).alias("cuts"),
-        F.min("doc_id").alias("least"),
-        F.count_if(F.col("doc_id").isNull()).alias("nulls"),
-    ).first()
-    bounds = sorted({b for b in at.cuts or [] if b > at.least or at.nulls})
-    where = F.when(F.col("doc_id").isNull(), 0).otherwise(_range_of(F.col("doc_id"), bounds))
-    first = F.col("doc_id").isNull() if at.nulls else F.col("doc_id") == F.lit(at.least)
+    parts = range_parts(docs)
+    ranges = IdRanges.of(rows_in, "doc_id", parts)
+    where = ranges.part("doc_id")
     target = lambda to, ahead: F.struct(to.cast("int").alias("part"), F.lit(ahead).alias("ahead"))
-    at_bound = F.col("doc_id").isin(bounds) if bounds else F.lit(False)
     sent = F.array_compact(F.array(
         target(where, 0),
-        F.when(at_bound, target(where - 1, 1)),
-        F.when(first, target(F.lit(len(bounds)), 1)),
+        F.when(ranges.at_bound("doc_id"), target(where - 1, 1)),
+        F.when(ranges.is_first("doc_id"), target(F.lit(len(ranges.bounds)), 1)),
     ))
     placed = (
         rows_in.select("doc_id", "text", F.explode(sent).alias("t")).select("t.part", "t.ahead", "doc_id", "text")
-        .repartition(max(1, parts // 4), "part")
+        .repartition(parts // 4, "part")
         .sortWithinPartitions("part", "ahead", F.col("doc_id").asc_nulls_first(), "text")
     )
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quiverlake.llm import bpe, licenses, merkle, quality, sharding, simhash, vectors
+from quiverlake.llm import bpe, licenses, merkle, packing, quality, sharding, simhash, token_files, vectors
 from quiverlake.llm.common import table
+from quiverlake.session import shared_dir
 
 #: Tokenizer files; the folder is a parameter of the deployment.
 TOKENIZERS = os.environ.get("QUIVERLAKE_TOKENIZERS", os.path.dirname(public_tokenizers.path("word_bpe_49k.json")))
@@ -45,6 +47,16 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex().alias("fingerprint"), "component_id")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.piece_digests(packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write_tokens(table(spark, sf_dir, "documents"), out, BYTE_BPE)
+    return token_files.token_digests(token_files.read_tokens(spark, out))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
@@ -53,5 +65,7 @@ QUERIES = {
     "op5_vectors": op5_vectors,
     "op6_sharding": op6_sharding,
     "op7_simhash": op7_simhash,
+    "op8_packing": op8_packing,
+    "op9_token_files": op9_token_files,
 }
 ORACLES: dict[str, str] = {"op4_licenses": licenses.oracle_sql()}

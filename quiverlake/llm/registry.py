@@ -8,7 +8,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quiverlake.llm import bpe, licenses, merkle, packing, quality, sharding, simhash, token_files, vectors
+from quiverlake.llm import bpe, licenses, merkle, packing, quality, sharding, simhash, substrings, token_files, vectors
 from quiverlake.llm.common import table
 from quiverlake.session import shared_dir
 
@@ -57,6 +57,17 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(token_files.read_tokens(spark, out))
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.removal_digests(substrings.remove_repeats(docs))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it imports the parameters above
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
@@ -67,5 +78,7 @@ QUERIES = {
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
     "op9_token_files": op9_token_files,
+    "op10_substrings": op10_substrings,
+    "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {"op4_licenses": licenses.oracle_sql()}

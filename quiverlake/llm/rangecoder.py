@@ -21,26 +21,62 @@ import zlib
 import numpy as np
 
 BLOCK = 4096
-_BITS = 15
+_BITS = 14
 _ONE = 1 << _BITS
 #: Slots of the order-2 and order-1 tables of a lane.
-_SLOTS = 4096
+_SLOTS = 2048
 _MOST = 7
-#: Adaption of the frequencies: shift by 4 (digits) and 5 (decisions).
-_RATE = 4
+#: Adaption of the frequencies: shifts for digits and decisions.
+_DIGIT_RATE, _CHOICE_RATE = 4, 5
+#: Count after a (miss, hit) of a prediction that had held 0 to 7 times.
+_COUNT = np.array([[1, 1, 1, 1, 2, 2, 3, 3], [1, 2, 3, 4, 5, 6, 7, 7]], np.int32).ravel()
 
 
-def _even(n: int) -> np.ndarray:
-    return (np.arange(n) * _ONE // n).astype(np.int32)
+def _upper(n: int, width: int) -> np.ndarray:
+    """Even upper bounds of n symbols, in rows of ``width``."""
+    return np.minimum((np.arange(1, width + 1) * _ONE) // n, _ONE).astype(np.int16)
 
 
-def _targets(n: int) -> np.ndarray:
-    """Cumulative frequencies towards which symbol s pulls; every symbol keeps some room."""
-    room = 24
-    return np.array([[k * room + (_ONE - n * room if k > s else 0) for k in range(n)] for s in range(n)], np.int32)
+def _targets(n: int, width: int, room: int = 8) -> np.ndarray:
+    """Upper bounds towards which symbol s pulls; every symbol keeps some room."""
+    rows = [[min(_ONE, (k + 1) * room + (_ONE - n * room if k >= s else 0)) if k < n - 1 else _ONE for k in range(width)] for s in range(n)]
+    return np.array(rows, np.int16)
 
 
-_T16, _T3 = _targets(16), _targets(3)
+_PULL16, _PULL3 = _targets(16, 16), _targets(3, 4)
+
+
+class _Table:
+    """Rows of upper bounds, one row for each lane and context."""
+
+    def __init__(self, rows: int, n: int, width: int, rate: int, pull: np.ndarray):
+        self.bounds = np.empty((rows, width), np.int16)
+        self.bounds[:] = _upper(n, width)
+        self.whole = self.bounds.view(f"V{2 * width}").ravel()
+        self.n, self.width, self.rate, self.pull = n, width, rate, pull
+
+    def rows(self, at: np.ndarray) -> np.ndarray:
+        return self.bounds.take(at, axis=0)
+
+    def span(self, row: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of the symbols."""
+        flat, at = row.ravel(), np.arange(0, row.size, self.width) + s
+        low = flat.take(at - 1) * (s > 0)
+        return low, flat.take(at) - low
+
+    def find(self, row: np.ndarray, goal: np.ndarray) -> np.ndarray:
+        """Symbols whose span holds the goals."""
+        below = row <= goal.astype(np.int16)[:, None]
+        if self.width == 16:
+            return np.bitwise_count(below.view("<u8")).sum(1, dtype=np.int64)
+        return below[:, 0].astype(np.int64) + below[:, 1]
+
+    def learn(self, at: np.ndarray, row: np.ndarray, s: np.ndarray) -> None:
+        step = self.pull.take(s, axis=0)
+        step -= row
+        step >>= self.rate
+        step += row
+        self.whole[at] = step.view(self.whole.dtype).ravel()
 
 
 class _Lanes:
@@ -48,70 +84,59 @@ class _Lanes:
 
     def __init__(self, lanes: int):
         self.n, self.at = lanes, np.arange(lanes)
-        self.next2 = np.zeros((lanes * _SLOTS,), np.int32)  # id and count: id * 8 + count
-        self.next1 = np.zeros((lanes * _SLOTS,), np.int32)
-        self.choice = np.empty((lanes * 128, 3), np.int32)
-        self.choice[:] = (0, _ONE // 4, _ONE // 2)
-        even = _even(16)
-        self.digits = []
-        for contexts in (1, 16, 256, 256):
-            t = np.empty((lanes * contexts, 16), np.int32)
-            t[:] = even
-            self.digits.append((t, contexts))
+        self.base = self.at * _SLOTS
+        self.next2 = np.zeros(lanes * _SLOTS, np.int32)  # id and count: id * 8 + count
+        self.next1 = np.zeros(lanes * _SLOTS, np.int32)
+        self.choice = _Table(lanes * 128, 3, 4, _CHOICE_RATE, _PULL3)
+        self.digits = [(_Table(lanes * c, 16, 16, _DIGIT_RATE, _PULL16), c) for c in (1, 16, 256, 256)]
         self.p1, self.p2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
     def predict(self, m: int):
-        """Predictions and the context of the decision for the first m lanes."""
-        p1, p2 = self.p1[:m], self.p2[:m]
-        s2 = self.at[:m] * _SLOTS + (((p1 * 40503 + p2 * 30011 + 7) >> 3) & (_SLOTS - 1))
-        s1 = self.at[:m] * _SLOTS + (((p1 * 40503) >> 2) & (_SLOTS - 1))
-        g2, g1 = self.next2[s2], self.next1[s1]
+        """Slots and states of both predictions, the ids, and the context of the decision."""
+        h1 = self.p1[:m] * 40503
+        s2 = self.base[:m] + ((h1 + self.p2[:m] * 30011 >> 3) & (_SLOTS - 1))
+        s1 = self.base[:m] + ((h1 >> 2) & (_SLOTS - 1))
+        g2, g1 = self.next2.take(s2), self.next1.take(s1)
         e2, e1 = g2 >> 3, g1 >> 3
         context = self.at[:m] * 128 + (((g2 & 7) << 4) | ((g1 & 7) << 1) | (e1 == e2))
-        return s2, s1, e2, e1, g2 & 7, g1 & 7, context
+        return s2, s1, g2, g1, e2, e1, context
 
-    def learn(self, m: int, ids: np.ndarray, s2, s1, e2, e1, c2, c1) -> None:
-        for table, slot, guess, count in ((self.next2, s2, e2, c2), (self.next1, s1, e1, c1)):
+    def learn(self, m: int, ids: np.ndarray, s2, s1, g2, g1, e2, e1) -> None:
+        now = (ids << 3).astype(np.int32)
+        for table, slot, state, guess in ((self.next2, s2, g2, e2), (self.next1, s1, g1, e1)):
             hit = guess == ids
-            keep = hit | (count > 1)
-            count = np.where(hit, np.minimum(count + 1, _MOST), np.where(keep, count >> 1, 1))
-            table[slot] = (np.where(keep, guess, ids) << 3) | count
+            count = state & 7
+            table[slot] = np.where(hit | (count > 1), state - count, now) + _COUNT.take(hit * 8 + count)
         self.p2[:m] = self.p1[:m]
         self.p1[:m] = ids
 
 
-def _bounds(table: np.ndarray, rows: np.ndarray, s: np.ndarray, n: int):
-    """Row, start and width of the symbols; ``s`` known."""
-    row = table[rows]
-    low = row[np.arange(len(s)), s]
-    high = np.where(s == n - 1, _ONE, row[np.arange(len(s)), np.minimum(s + 1, n - 1)])
-    return row, low, high - low
-
-
 class _Writer:
     def __init__(self, lanes: int, steps: int):
         self.low, self.span = np.zeros(lanes, np.int64), np.full(lanes, 1 << 32, np.int64)
         self.words, self.used = np.zeros((lanes, 64 + steps), np.int32), np.zeros(lanes, np.int64)
 
-    def put(self, lanes: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
+    def put(self, lanes, start: np.ndarray, width: np.ndarray) -> None:
+        """``lanes``: a slice or numbers."""
         low, span = self.low[lanes], self.span[lanes]
         r = span >> _BITS
-        low += r * start
+        low = low + r * start
         span = r * width
-        small = span < (1 << 16)
-        if small.any():
-            k = lanes[small]
-            if self.used[k].max() + 4 > self.words.shape[1]:
+        k = np.nonzero(span < (1 << 16))[0]
+        if len(k):
+            own = k if isinstance(lanes, slice) else lanes.take(k)
+            used, short = self.used.take(own), low.take(k)
+            if used.max() + 4 > self.words.shape[1]:
                 self.words = np.concatenate([self.words, np.zeros_like(self.words)], axis=1)
-            self.words[k, self.used[k]] = low[small] >> 16
-            self.used[k] += 1
-            low[small] = (low[small] & 0xFFFF) << 16
-            span[small] <<= 16
+            self.words[own, used] = short >> 16
+            self.used[own] = used + 1
+            low[k] = (short & 0xFFFF) << 16
+            span[k] <<= 16
         self.low[lanes], self.span[lanes] = low, span
 
     def finish(self) -> list[bytes]:
+        at = np.arange(len(self.low))
         for _ in range(2):
-            at = np.arange(len(self.low))
             self.words[at, self.used] = self.low >> 16
             self.used += 1
             self.low = (self.low & 0xFFFF) << 16
@@ -125,34 +150,36 @@ class _Writer:
 class _Reader:
     def __init__(self, blocks: list[bytes]):
         longest = max(map(len, blocks)) // 2 + 4
-        self.words = np.zeros((len(blocks), longest), np.int64)
+        self.words = np.zeros((len(blocks), longest), np.uint16)
         for k, b in enumerate(blocks):
             w = np.frombuffer(b, "<u2")
             self.words[k, : len(w)] = w
-        self.code = (self.words[:, 0] << 16) | self.words[:, 1]
+        self.code = (self.words[:, 0].astype(np.int64) << 16) | self.words[:, 1]
         self.at = np.full(len(blocks), 2)
         self.span = np.full(len(blocks), 1 << 32, np.int64)
 
-    def target(self, lanes: np.ndarray) -> np.ndarray:
+    def target(self, lanes) -> np.ndarray:
         return np.minimum(self.code[lanes] // (self.span[lanes] >> _BITS), _ONE - 1)
 
-    def took(self, lanes: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
+    def took(self, lanes, start: np.ndarray, width: np.ndarray) -> None:
         code, span = self.code[lanes], self.span[lanes]
         r = span >> _BITS
-        code -= r * start
+        code = code - r * start
         span = r * width
-        small = span < (1 << 16)
-        if small.any():
-            k = lanes[small]
-            code[small] = (code[small] << 16) | self.words[k, np.minimum(self.at[k], self.words.shape[1] - 1)]
-            span[small] <<= 16
-            self.at[k] += 1
+        k = np.nonzero(span < (1 << 16))[0]
+        if len(k):
+            own = k if isinstance(lanes, slice) else lanes.take(k)
+            at = self.at.take(own)
+            code[k] = (code.take(k) << 16) | self.words[own, np.minimum(at, self.words.shape[1] - 1)]
+            span[k] <<= 16
+            self.at[own] = at + 1
         self.code[lanes], self.span[lanes] = code, span
 
 
-def _digit_rows(model: _Lanes, lanes: np.ndarray, place: int, above: np.ndarray):
-    table, contexts = model.digits[place]
-    return table, lanes * contexts + (above & (contexts - 1))
+def _in_lanes(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks by falling size, and how many of them reach each step."""
+    order = np.argsort(-sizes, kind="stable")
+    return order, np.searchsorted(-sizes[order], -np.arange(int(sizes.max())), side="left")
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
@@ -160,33 +187,29 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     if not blocks:
         return []
     sizes = np.array([len(b) for b in blocks])
-    order = np.argsort(-sizes, kind="stable")
-    longest = int(sizes.max())
-    ids = np.zeros((longest, len(blocks)), np.int64)
+    order, active = _in_lanes(sizes)
+    ids = np.zeros((len(active), len(blocks)), np.int64)
     for lane, k in enumerate(order):
         ids[: sizes[k], lane] = blocks[k]
-    if longest and (ids.max() > 65535 or ids.min() < 0):
+    if ids.size and (ids.max() > 65535 or ids.min() < 0):
         raise ValueError("ids must lie in 0 to 65535")
-    active = np.searchsorted(-sizes[order], -np.arange(longest), side="left")
-    model, out = _Lanes(len(blocks)), _Writer(len(blocks), longest)
-    for t in range(longest):
-        m = int(active[t])
+    model, out = _Lanes(len(blocks)), _Writer(len(blocks), len(active))
+    for t, m in enumerate(active.tolist()):
         now = ids[t, :m]
-        s2, s1, e2, e1, c2, c1, context = model.predict(m)
+        s2, s1, g2, g1, e2, e1, context = model.predict(m)
         pick = np.where(e2 == now, 0, np.where(e1 == now, 1, 2))
-        row, low, width = _bounds(model.choice, context, pick, 3)
-        out.put(model.at[:m], low, width)
-        model.choice[context] = row + ((_T3[pick] - row) >> 5)
+        row = model.choice.rows(context)
+        out.put(slice(0, m), *model.choice.span(row, pick))
+        model.choice.learn(context, row, pick)
         lanes = np.nonzero(pick == 2)[0]
         if len(lanes):
-            rest = now[lanes]
-            for place, shift in enumerate((12, 8, 4, 0)):
-                table, rows = _digit_rows(model, lanes, place, rest >> (shift + 4))
-                digit = (rest >> shift) & 15
-                row, low, width = _bounds(table, rows, digit, 16)
-                out.put(lanes, low, width)
-                table[rows] = row + ((_T16[digit] - row) >> _RATE)
-        model.learn(m, now, s2, s1, e2, e1, c2, c1)
+            rest = now.take(lanes)
+            for (table, contexts), shift in zip(model.digits, (12, 8, 4, 0)):
+                at = lanes * contexts + ((rest >> (shift + 4)) & (contexts - 1))
+                row, digit = table.rows(at), (rest >> shift) & 15
+                out.put(lanes, *table.span(row, digit))
+                table.learn(at, row, digit)
+        model.learn(m, now, s2, s1, g2, g1, e2, e1)
     coded = out.finish()
     result: list[bytes] = [b""] * len(blocks)
     for lane, k in enumerate(order):
@@ -199,39 +222,30 @@ def decode_blocks(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     if not coded:
         return []
     lengths = np.array(sizes)
-    order = np.argsort(-lengths, kind="stable")
-    longest = int(lengths.max())
-    active = np.searchsorted(-lengths[order], -np.arange(longest), side="left")
+    order, active = _in_lanes(lengths)
     model, src = _Lanes(len(coded)), _Reader([coded[k] for k in order])
-    ids = np.zeros((longest, len(coded)), np.int64)
-    for t in range(longest):
-        m = int(active[t])
-        s2, s1, e2, e1, c2, c1, context = model.predict(m)
-        every = model.at[:m]
-        goal = src.target(every)
-        choice = model.choice[context]
-        pick = (choice[:, 1] <= goal).astype(np.int64) + (choice[:, 2] <= goal)
-        row, low, width = _bounds(model.choice, context, pick, 3)
-        src.took(every, low, width)
-        model.choice[context] = row + ((_T3[pick] - row) >> 5)
+    ids = np.zeros((len(active), len(coded)), np.int64)
+    for t, m in enumerate(active.tolist()):
+        s2, s1, g2, g1, e2, e1, context = model.predict(m)
+        row = model.choice.rows(context)
+        pick = model.choice.find(row, src.target(slice(0, m)))
+        src.took(slice(0, m), *model.choice.span(row, pick))
+        model.choice.learn(context, row, pick)
         now = np.where(pick == 0, e2, e1).astype(np.int64)
         lanes = np.nonzero(pick == 2)[0]
         if len(lanes):
             rest = np.zeros(len(lanes), np.int64)
-            for place in range(4):
-                table, rows = _digit_rows(model, lanes, place, rest)
-                row = table[rows]
-                digit = (row <= src.target(lanes)[:, None]).sum(1) - 1
-                at = np.arange(len(lanes))
-                low = row[at, digit]
-                width = np.where(digit == 15, _ONE, row[at, np.minimum(digit + 1, 15)]) - low
-                src.took(lanes, low, width)
-                table[rows] = row + ((_T16[digit] - row) >> _RATE)
+            for table, contexts in model.digits:
+                at = lanes * contexts + (rest & (contexts - 1))
+                row = table.rows(at)
+                digit = table.find(row, src.target(lanes))
+                src.took(lanes, *table.span(row, digit))
+                table.learn(at, row, digit)
                 rest = (rest << 4) | digit
             now[lanes] = rest
         ids[t, :m] = now
-        model.learn(m, now, s2, s1, e2, e1, c2, c1)
-    result: list[np.ndarray] = [np.zeros(0, np.int64)] * len(coded)
+        model.learn(m, now, s2, s1, g2, g1, e2, e1)
+    result: list[np.ndarray] = [np.zeros(0, "<u4")] * len(coded)
     for lane, k in enumerate(order):
         result[k] = ids[: lengths[k], lane].astype("<u4")
     return result

@@ -1 +1,3 @@
 """Multi-operator plans and the registered queries."""
+
+from quiverlake.plans import contexts, functions, knowledge, retrieval, sessions, statistics  # noqa: F401  they register their queries

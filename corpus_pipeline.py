@@ -29,8 +29,8 @@ def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of windows that occur elsewhere; ``n_chars`` follows the text."""
-    reduced = substrings.remove_repeats(docs)
-    length = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+    reduced = substrings.remove_repeats(docs, counts=("__words", "__removed"))
+    length = F.when(F.col("__removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return reduced.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import StructType, _parse_datatype_string  # the parser of DDL strings that works without a session
 
 #: Rows of one Arrow batch; a batch of texts then stays in the low megabytes.
 BATCH_ROWS = 256
@@ -38,6 +38,26 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[dict]], Iterator[dict]], sc
     return df.mapInArrow(run, kind)
 
 
+def add_columns(df: DataFrame, inputs: list[str], fields: StructType, compute: Callable[..., dict[str, list]], drop: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with the columns ``fields``, computed from the lists of the columns ``inputs`` of each batch.
+
+    Other columns pass as Arrow data, whatever their types; a field that exists is replaced in its place.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    made = {f.name: f for f in fields}
+    kept = [made.pop(f.name, f) for f in df.schema if f.name not in drop]
+    kind = StructType([*kept, *made.values()])
+    arrow, names = to_arrow_schema(kind), df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            new = compute(*(b.column(names.index(c)).to_pylist() for c in inputs))
+            columns = [pa.array(new[f.name], f.type) if f.name in new else b.column(names.index(f.name)) for f in arrow]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return df.mapInArrow(run, kind)
+
+
 def text_of(col: str = "text") -> F.Column:
     """The text, or the empty text for null."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

@@ -23,8 +23,9 @@ from operator import eq
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quiverlake.llm.common import map_rows, text_of
+from quiverlake.llm.common import add_columns, map_rows, text_of
 
 SAMPLE_ROWS = 20_000
 PAIRS = 60_000
@@ -114,22 +115,17 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     # ordered, so that the fit doesn't depend on the order in which tasks end
     found = map_rows(texts, rows, "x array<double>, y int, k " + docs.schema["doc_id"].dataType.simpleString()).orderBy("k", "y", "x").collect()
-    return fit_ranking(np.array([r.x for r in found]).reshape(len(found), -1), np.array([r.y for r in found]))
+    return fit_ranking(np.array([r.x for r in found]).reshape(len(found), len(NAMES)), np.array([r.y for r in found]))
 
 
-def score(docs: DataFrame, ranking: Ranking, out: str = "score") -> DataFrame:
+def score(docs: DataFrame, ranking: Ranking, out: str = "score", text_col: str = "text") -> DataFrame:
     """``docs`` with a column ``out``: the score of each whole text.  No shuffle."""
-    kept = [c for c in docs.columns if c != out]
 
-    def rows(batches):
-        for b in batches:
-            x = np.array([features(t or "") for t in b["__text"]]).reshape(-1, len(NAMES))
-            del b["__text"]
-            yield b | {"__score": ranking.score(x).tolist()}
+    def compute(texts: list) -> dict:
+        x = np.array([features(t or "") for t in texts]).reshape(-1, len(NAMES))
+        return {out: ranking.score(x).tolist()}
 
-    given = docs.select(*(F.col(f"`{c}`") for c in kept), text_of().alias("__text"))
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return map_rows(given, rows, f"{schema}, `__score` double").withColumnRenamed("__score", out)
+    return add_columns(docs, [text_col], StructType([StructField(out, DoubleType())]), compute)
 
 
 def held_out() -> F.Column:

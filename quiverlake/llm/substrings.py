@@ -23,8 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from quiverlake.llm.common import map_rows, text_of
+from quiverlake.llm.common import add_columns, map_rows, text_of
 from quiverlake.llm.fmindex import FMIndex
 from quiverlake.session import discard, materialize
 
@@ -195,29 +196,26 @@ def _keep(words: list[bytes], spans: list[dict]) -> list[bytes]:
     return kept + words[at:]
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] = ("n_words", "n_removed")) -> DataFrame:
     """``docs`` with ``text_col`` reduced to the kept words, joined by one space, and the columns
-    ``n_words`` and ``n_removed``.  A text that loses nothing stays as it is."""
-    kept_columns = [c for c in docs.columns if c not in ("n_words", "n_removed")]
+    ``counts``: words and removed words.  A text that loses nothing stays as it is."""
     text = text_of(text_col)
-    given = docs.select(*(F.col(f"`{c}`") for c in kept_columns), F.xxhash64(id_col, text).alias("__k"), F.crc32(text.cast("binary")).alias("__k2"))
+    given = docs.withColumns({"__k": F.xxhash64(id_col, text), "__k2": F.crc32(text.cast("binary"))})
     spans = repeated_intervals(docs, window, id_col, text_col).select(F.col("k").alias("__k"), F.col("k2").alias("__k2"), F.col("spans").alias("__spans"))
     joined = given.join(spans, ["__k", "__k2"], "left").drop("__k", "__k2")
 
-    def rows(batches):
-        for b in batches:
-            marks = b.pop("__spans")
-            counts, removed, texts = [], [], []
-            for t, s in zip(b[text_col], marks):
-                words = words_of(t or "")
-                kept = _keep(words, s) if s else words
-                counts.append(len(words))
-                removed.append(len(words) - len(kept))
-                texts.append(b" ".join(kept).decode("utf-8", "surrogatepass") if s else t)
-            yield b | {text_col: texts, "n_words": counts, "n_removed": removed}
-
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept_columns)
-    return map_rows(joined, rows, f"{schema}, n_words long, n_removed long")
+    def compute(texts: list, marks: list) -> dict:
+        out = {text_col: [], counts[0]: [], counts[1]: []}
+        for t, s in zip(texts, marks):
+            words = words_of(t or "")
+            kept = _keep(words, s) if s else words
+            out[text_col].append(b" ".join(kept).decode("utf-8", "surrogatepass") if s else t)
+            out[counts[0]].append(len(words))
+            out[counts[1]].append(len(words) - len(kept))
+        return out
+
+    fields = StructType([StructField(text_col, StringType()), *[StructField(c, LongType()) for c in counts]])
+    return add_columns(joined, [text_col, "__spans"], fields, compute, drop=("__spans",))
 
 
 def removal_digests(reduced: DataFrame) -> DataFrame:

@@ -1,0 +1,442 @@
+"""Corpus operators against brute force, on real rows and on rows made to break them."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from quiverlake.llm import bpe, byte_tokens, fmindex, licenses, merkle, packing, quality, rangecoder, registry, sharding, simhash, substrings, token_files, vectors
+from quiverlake.llm.components import connected_components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, k array<int>, score string, n_words string"
+
+
+def _odd_texts():
+    rng = random.Random(4)
+    words = ["alpha", "Beta", "gamma,", "délta", "漢字", "x" * 90, "<|endoftext|>", "don't", "12"]
+    prose = " ".join(rng.choice(words[:5]) + str(rng.randint(0, 60)) for _ in range(400))
+    passage = " ".join(f"shared{k}" for k in range(60))
+    return [
+        None, "", " \t\n ", "one", "one two three four", prose, prose, prose.replace("alpha", "omega", 2), "\n\n\n", "a\n\nb\n\n\nc", "😀é\x85\xa0\x1c",
+        "x" * 5000, "go " * 300, prose + " " + passage, passage + " tail", "Head. " + passage, "İSTANBUL Σas ΣΑΣ ﬁ½",
+        " ".join(rng.choice(words) for _ in range(9000)), "Released under the MIT License.\nLicensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3. Etc.",
+    ]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(k * 3 - 6, t, "en", "s", 1, "i", [k], "own", "w") for k, t in enumerate(_odd_texts())]
+    rows += [rows[5], rows[0], (None, "null id", None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+def _pairs(df):
+    return [(r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect()]
+
+
+def _components(n, links):
+    up = list(range(n))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return [root(x) for x in range(n)]
+
+
+# -- 1 -------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["odd", "docs"])
+def test_bpe_equals_library(request, name):
+    df = request.getfixturevalue(name)
+    t = Tokenizer.from_file(registry.WORD_BPE)
+    for r in bpe.encode_and_decode(df.select("doc_id", "text"), registry.WORD_BPE).join(df.select("doc_id", "text").distinct(), "doc_id").collect():
+        ids = t.encode(r.text or "", add_special_tokens=False).ids
+        assert r.ids == ids
+        assert r.decoded == t.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_streams_with_bounded_memory():
+    m = bpe.MergeList(registry.WORD_BPE)
+    rng = random.Random(1)
+    for alphabet in ("a", "ab", "thein", "aàb漢"):
+        raw = "".join(rng.choice(alphabet) for _ in range(4000)).encode()
+        symbols = [m.start[b] for b in raw]
+        assert list(m.stream(symbols)) == m.merge(symbols)
+    assert m.lookahead < 5000
+
+
+def test_decoder_state_machine():
+    path = registry.BYTE_BPE
+    t, d = Tokenizer.from_file(path), bpe.Decoder(path, spaced=False)
+    d.STEP = 1  # characters are split over steps
+    for text in ("héllo 漢字 😀 end", "", "tab\t\n"):
+        assert d.decode(t.encode(text).ids) == text
+
+
+# -- 2 -------------------------------------------------------------------------
+
+
+def test_quality_on_held_out_rows(spark, docs):
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = quality.score_held_out(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    assert len(rows) > 500
+    assert sum(r.predicted == r.quality for r in rows) / len(rows) > 0.99
+    good, bad = [r.score for r in rows if r.quality], [r.score for r in rows if not r.quality]
+    assert np.mean([g > b for g in good for b in bad]) > 0.999
+
+
+def test_quality_odd_rows(spark, odd, empty):
+    labels = spark.createDataFrame([(k * 3 - 6, k % 2, 0) for k in range(20)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    out = quality.score_held_out(odd, labels).collect()
+    assert len(out) == odd.count() and all(0 <= r.score <= 1 for r in out)
+    assert quality.score_held_out(empty, labels).count() == 0
+    none = quality.score_held_out(odd, labels.limit(0)).collect()
+    assert {round(r.score, 9) for r in none} == {quality.CUT}
+    kept = quality.score(odd, quality.learn(odd, labels), "score")
+    assert kept.columns == odd.columns
+
+
+# -- 3 -------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["odd", "docs"])
+def test_merkle_equals_brute_force(request, name):
+    df = request.getfixturevalue(name).select("doc_id", "text", "lang")
+    rows = sorted(_pairs(df), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want = Counter()
+    for k, (i, t) in enumerate(rows):
+        nxt = rows[(k + 1) % len(rows)][1]
+        q = len(t) // 4
+        e = t[: len(t) - q] + nxt[:q]
+        a, b, c = merkle.fingerprint(t), merkle.fingerprint(e), merkle.fingerprint(nxt)
+        want[i, len(t), hashlib.sha256(e.encode()).hexdigest(), a, b, round(merkle.likeness(a, b), 9), round(merkle.likeness(a, c), 9)] += 1
+    got = Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in merkle.compare_with_successor(df).collect())
+    assert got == want
+
+
+def test_merkle_locates_edits(empty):
+    a = merkle.fingerprint("one two.\nthree four. five\n\nsix")
+    b = merkle.fingerprint("one two.\nthree FOUR. five\n\nsix")
+    assert merkle.edits(a, a) == [] and merkle.likeness(a, a) == 1
+    assert {(s, p) for s, p, _ in merkle.edits(a, b)} == {(0, 1)}
+    assert 0 < merkle.likeness(a, b) < 1
+    assert merkle.fingerprint("a\nb") != merkle.fingerprint("a\n\nb")
+    assert merkle.compare_with_successor(empty).count() == 0
+
+
+# -- 4 -------------------------------------------------------------------------
+
+
+def test_license_rules(spark, odd, empty):
+    text = " ".join(licenses.SENTENCES[k] + "." for k in ("mit-grant", "mit-notice", "mit-warranty"))
+    assert [m[0] for m in licenses.matches(licenses.identifiers(text))] == ["mit-text"]
+    shuffled = " ".join(licenses.SENTENCES[k] + "." for k in ("mit-notice", "mit-grant", "mit-warranty"))
+    assert licenses.matches(licenses.identifiers(shuffled)) == []
+    found = Counter(r.licence for r in licenses.scan(odd).collect())
+    assert found == {"MIT": 1, "CC-BY-NC-4.0": 1, "GPL-3.0-only": 1}
+    assert licenses.scan(empty).count() == 0
+
+
+# -- 5 -------------------------------------------------------------------------
+
+
+def test_vectors_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(30, 16))
+    x = np.concatenate([base, base * 3, base + rng.normal(size=base.shape) * 0.1, base[:1].repeat(5, 0), rng.normal(size=(60, 16))]).astype(np.float32)
+    rows = [(k * 2, v.tolist(), "own") for k, v in enumerate(x)]
+    odd = [None, [], [0.0] * 16, [1.0, None] + [0.0] * 14, [float("nan")] + [1.0] * 15, [float("inf")] + [1.0] * 15, [1.0] * 8]
+    rows += [(1000 + k, v, None) for k, v in enumerate(odd)] + [(None, x[0].tolist(), "n")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, c string")
+    got = {(r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(df, row=40).collect()}
+    y = np.concatenate([x, x[:1]]).astype(np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    g = y @ y.T >= 0.95
+    ids = [k * 2 for k in range(len(x))] + [None]
+    comp = _components(len(y), zip(*np.nonzero(np.triu(g, 1))))
+    least = defaultdict(lambda: 10**9)
+    for k, c in enumerate(comp):
+        if ids[k] is not None:
+            least[c] = min(least[c], ids[k])
+    want = {(ids[k], int(g[k].sum() - 1), least[comp[k]], ids[k] == least[comp[k]]) for k in range(len(y))}
+    want |= {(1000 + k, 0, 1000 + k, True) for k in range(len(odd))}
+    assert got == want
+    assert vectors.near_vectors(df.limit(0)).count() == 0
+
+
+def test_quantisation_bound_is_rigorous():
+    rng = np.random.default_rng(5)
+    u = vectors.unit(rng.normal(size=(200, 64)))
+    q, s, e = vectors.quantise(u)
+    near = (q.astype(float) @ q.T.astype(float)) * s[:, None] * s[None, :]
+    assert (np.abs(near - u @ u.T) <= e[:, None] * (1 + e[None, :]) + e[None, :] + 1e-12).all()
+
+
+# -- 6 -------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["odd", "docs"])
+def test_shards(request, name):
+    df = request.getfixturevalue(name)
+    rows = sharding.shard_by_bytes(df).collect()
+    want = Counter((i, len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in _pairs(df))
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == want
+    slots, sizes, homes = defaultdict(list), Counter(), defaultdict(set)
+    for r in rows:
+        assert 0 <= r.shard < 16 and r.law == "bytes" and r.grown_shard is None
+        slots[r.shard].append(r.slot)
+        sizes[r.shard] += r.size
+        homes[r.text_crc32, r.size].add(r.shard)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    if name == "docs":
+        assert all(len(h) == 1 for h in homes.values())
+        assert max(sizes.values()) - min(sizes.values()) < 0.2 * sum(sizes.values()) / 16
+
+
+def test_shards_of_hot_and_empty_tables(spark, empty):
+    hot = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("copy " * 40)).otherwise(F.concat(F.lit("text "), "id")).alias("text"))
+    sizes = {r.shard: r["sum(size)"] for r in sharding.shard_by_bytes(hot).groupBy("shard").sum("size").collect()}
+    rest = sorted(sizes.values())[:-1]
+    assert len(sizes) == 16 and max(rest) < 1.1 * min(rest)
+    assert sharding.shard_by_bytes(empty).count() == 0
+    assert sharding.shard_by_bytes(hot, target_bytes=20_000).select("shard").distinct().count() > 4
+
+
+# -- 7 -------------------------------------------------------------------------
+
+
+def _simhash(text):
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)) if x]
+    shingles = [" ".join(w[k : k + 4]) for k in range(len(w) - 3)] if len(w) > 4 else ([" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+@pytest.mark.parametrize("name", ["odd", "docs"])
+def test_simhash_equals_brute_force(request, name):
+    df = request.getfixturevalue(name)
+    rows = _pairs(df)
+    f = [_simhash(t) for _, t in rows]
+    comp = _components(len(f), [(a, b) for a in range(len(f)) for b in range(a + 1, len(f)) if (f[a] ^ f[b]).bit_count() <= 4])
+    least = defaultdict(lambda: 10**9)
+    for k, c in enumerate(comp):
+        if rows[k][0] is not None:
+            least[c] = min(least[c], rows[k][0])
+    want = Counter((rows[k][0], f"{f[k]:016x}", least[comp[k]] if comp[k] in least else None) for k in range(len(rows)))
+    got = Counter((r.doc_id, r.h, r.component_id) for r in simhash.components(df).select("doc_id", simhash.as_hex().alias("h"), "component_id").collect())
+    assert got == want
+
+
+def test_gray_index_joins_like_all_pairs(spark):
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        n = int(rng.integers(2, 300))
+        c = np.repeat(rng.integers(-(2**63), 2**63 - 1, size=max(1, n // 6)), 6)
+        for _ in range(int(rng.integers(0, 5))):
+            c = c ^ (np.int64(1) << rng.integers(0, 63, size=len(c)))
+        c = np.unique(c)
+        near = np.bitwise_count(c.view(np.uint64)[:, None] ^ c.view(np.uint64)[None, :]) <= 4
+        at = {x: k for k, x in enumerate(c.tolist())}
+        assert _components(len(c), [(at[a], at[b]) for a, b in simhash.join_tiles(c, None)]) == _components(len(c), zip(*np.nonzero(np.triu(near, 1))))
+    # hot mask values are tiled; the groups stay the same
+    fps = spark.createDataFrame([(int(x),) for x in c] + [(k,) for k in range(200)], "fp long").distinct()
+    one = {(r.node, r.component) for r in connected_components(simhash.link_fingerprints(fps)).collect()}
+    assert one == {(r.node, r.component) for r in connected_components(simhash.link_fingerprints(fps, tile=16)).collect()}
+
+
+def test_simhash_keeps_one(odd, empty):
+    kept = simhash.keep_one(odd)
+    assert kept.columns == odd.columns
+    groups = simhash.components(odd)
+    assert kept.select("doc_id").distinct().count() == groups.select("component_id").distinct().count()
+    assert simhash.components(empty).count() == 0 and simhash.keep_one(empty).count() == 0
+
+
+# -- 8, 9 ----------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["odd", "docs"])
+def test_packing_covers_every_id_once(request, name):
+    df = request.getfixturevalue(name)
+    t = Tokenizer.from_file(registry.BYTE_BPE)
+    ids = {(i, x): t.encode(x, add_special_tokens=False).ids + [1] for i, x in _pairs(df)}
+    cover, spans = Counter(), defaultdict(list)
+    for r in packing.pack(df, registry.BYTE_BPE).collect():
+        part = np.frombuffer(r.tokens, "<u4").tolist()
+        spans[r.sequence_id].append((r.offset, len(part)))
+        fits = [k for k, v in ids.items() if k[0] == r.doc_id and v[r.start : r.start + len(part)] == part and len(v) == r.doc_tokens]
+        assert fits
+        cover[r.doc_id] += len(part)
+    want = Counter()
+    for i, x in _pairs(df):
+        want[i] += len(ids[i, x])
+    assert cover == want
+    for v in spans.values():
+        v.sort()
+        assert v[0][0] == 0 and all(a + b == c for (a, b), (c, _) in zip(v, v[1:])) and v[-1][0] + v[-1][1] <= packing.WINDOW
+
+
+def test_differencing_is_near_equal():
+    rng = random.Random(2)
+    sizes = [rng.randint(1, 512) for _ in range(900)]
+    loads = [sum(sizes[k] for k in w) for w in packing.deal(sizes, 2048)]
+    assert sorted(k for w in packing.deal(sizes, 2048) for k in w) == list(range(900))
+    assert max(loads) <= 2048 and max(loads) - min(loads) < 40
+    assert packing.deal([], 2048) == []
+
+
+@pytest.mark.parametrize("name", ["odd", "docs", "empty"])
+def test_token_files_round_trip(request, spark, tmp_path, name):
+    df = request.getfixturevalue(name)
+    t = Tokenizer.from_file(registry.BYTE_BPE)
+    out = f"{tmp_path}/tokens"
+    token_files.write_tokens(df, out, registry.BYTE_BPE)
+    got = sorted((r.start, r.doc_id, r.tokens) for r in token_files.read_tokens(spark, out).collect())
+    want, at = [], 0
+    for i, x in sorted(_pairs(df), key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        ids = np.array(t.encode(x, add_special_tokens=False).ids + [2], "<u4").tobytes()
+        want.append((at, i, bytearray(ids)))
+        at += len(ids) // 4
+    assert got == want
+
+
+def test_range_coder_blocks():
+    rng = np.random.default_rng(2)
+    blocks = [rng.integers(0, 65536, size=n) for n in (0, 1, 3, 700)] + [np.full(900, 65535), rng.integers(0, 3, size=1500), np.tile(rng.integers(0, 50257, size=30), 40)]
+    coded = rangecoder.encode_blocks(blocks)
+    assert all((a == b).all() for a, b in zip(blocks, rangecoder.decode_blocks(coded, [len(b) for b in blocks])))
+    assert rangecoder.encode_blocks([blocks[3]])[0] == coded[3]  # a block depends on itself alone
+    assert len(coded[-1]) < 400 and rangecoder.encode_blocks([]) == []
+    with pytest.raises(ValueError):
+        rangecoder.encode_blocks([np.array([70000])])
+
+
+def test_damaged_block_raises(spark, docs, tmp_path):
+    out, bad = f"{tmp_path}/t", f"{tmp_path}/bad"
+    token_files.write_tokens(docs.limit(5), out, registry.BYTE_BPE)
+    spark.read.parquet(out).withColumn("sums", F.transform("sums", lambda s: s + 1)).write.parquet(bad)
+    with pytest.raises(Exception, match="damaged"):
+        token_files.read_tokens(spark, bad).collect()
+
+
+def test_byte_tokenizer_equals_library():
+    rng = random.Random(5)
+    signs = "abc thein'sS  \n\t\x1c\x85\xa0漢かな한При1234½²!?-_#<|endoftext|>😀é"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 80))) for _ in range(400)] + ["a<|endoftext|>b", "x" * 9000, " " * 5000 + "a"]
+    e, t = byte_tokens.ByteTokenizer(registry.BYTE_BPE), Tokenizer.from_file(registry.BYTE_BPE)
+    assert all(list(e.encode(x)) == t.encode(x, add_special_tokens=False).ids for x in texts)
+
+
+# -- 10 ------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["odd", "docs"])
+def test_substrings_equal_brute_force(request, monkeypatch, name):
+    df = request.getfixturevalue(name)
+    if name == "odd":
+        monkeypatch.setattr(substrings, "HOT", 3)  # some minimisers are spread
+    rows = [(i, re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t in _pairs(df)]
+    seen = Counter(tuple(w[k : k + 35]) for _, w in rows for k in range(len(w) - 34))
+    want = Counter()
+    for i, w in rows:
+        gone = [False] * len(w)
+        for k in range(len(w) - 34):
+            if seen[tuple(w[k : k + 35])] > 1:
+                gone[k : k + 35] = [True] * 35
+        kept = " ".join(x for x, g in zip(w, gone) if not g)
+        want[i, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()] += 1
+    out = substrings.removal_digests(substrings.remove_repeats(df.drop("n_words")))
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out.collect()) == want
+
+
+def test_substrings_keep_columns(odd, empty):
+    out = substrings.remove_repeats(odd, counts=("__a", "__b"))
+    assert out.columns == [*odd.columns, "__a", "__b"] and out.count() == odd.count()
+    assert substrings.remove_repeats(empty).count() == 0
+
+
+def test_fm_index_counts_every_stretch():
+    rng = np.random.default_rng(8)
+    text = rng.integers(2, 6, size=300)
+    index = fmindex.FMIndex(text, np.ones(300, np.int64))
+    lengths = index.matching_lengths(np.arange(300), 12)
+    for end in range(300):
+        best = 0
+        for n in range(1, min(12, end + 1) + 1):
+            part = text[end - n + 1 : end + 1]
+            if sum((text[k : k + n] == part).all() for k in range(300 - n + 1)) >= 2:
+                best = n
+        assert lengths[end] == best
+
+
+# -- pipeline ------------------------------------------------------------------
+
+
+def test_pipeline_equals_its_stages_by_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    good = corpus_pipeline.keep_good(spark, docs, sf)
+    assert good.columns == docs.columns
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    judged = docs.join(labels, "doc_id").select("doc_id", "quality").collect()
+    kept_ids = {r.doc_id for r in good.select("doc_id").collect()}
+    assert sum((r.doc_id in kept_ids) == bool(r.quality) for r in judged) >= 0.95 * len(judged)
+    rows = sorted(_pairs(good))
+    f = [_simhash(t) for _, t in rows]
+    comp = _components(len(f), [(a, b) for a in range(len(f)) for b in range(a + 1, len(f)) if (f[a] ^ f[b]).bit_count() <= 4])
+    rows = [r for k, r in enumerate(rows) if comp[k] == k]
+    words = [(i, re.findall(r"[^\x20\x09-\x0D]+", t), t) for i, t in rows]
+    seen = Counter(tuple(w[k : k + 35]) for _, w, _ in words for k in range(len(w) - 34))
+    t = Tokenizer.from_file(registry.BYTE_BPE)
+    want = {}
+    for i, w, text in words:
+        gone = [False] * len(w)
+        for k in range(len(w) - 34):
+            if seen[tuple(w[k : k + 35])] > 1:
+                gone[k : k + 35] = [True] * 35
+        text = " ".join(x for x, g in zip(w, gone) if not g) if any(gone) else text
+        want[i] = len(t.encode(text, add_special_tokens=False).ids) + 1
+    got = corpus_pipeline.run(spark, sf).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("d")).collect()
+    assert {r.doc_id: r.n for r in got} == want and all(r.n == r.d for r in got)
+
+
+def test_pipeline_stages_take_odd_tables(spark, odd, empty, sf):
+    for df in (odd, empty):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            df = stage(spark, df, sf)
+            assert df.columns == odd.columns, name
+            df.count()
+
+
+def test_license_sql_agrees(spark, sf):
+    import duckdb
+
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    cols = ["doc_id", "licence", "rule", "first_sentence", "last_sentence"]
+    want = db.sql(f"SELECT {', '.join(cols)} FROM ({licenses.oracle_sql()})").fetchall()
+    assert sorted(tuple(r) for r in registry.op4_licenses(spark, sf).select(*cols).collect()) == sorted(want)

@@ -39,12 +39,12 @@ def by_type(log: DataFrame) -> DataFrame:
 def histogram(values: DataFrame, value: str, keys: list[str], bounds: tuple = BOUNDS) -> DataFrame:
     """Cumulative buckets ``(keys, le, count)``; ``+Inf`` holds all.  Every bound is a row."""
     spot = F.coalesce(*[F.when(F.col(value) <= b, k) for k, b in enumerate(bounds)], F.lit(len(bounds)))
-    counts = values.groupBy(*keys, spot.alias("k")).agg(F.count("*").alias("n"))
-    grid = counts.select(*keys).distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(len(bounds)))))
-    filled = grid.join(counts, [*keys, "k"], "left")
-    run = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy(*keys).orderBy("k"))
+    counts = values.groupBy(*keys, spot.alias("__bucket")).agg(F.count("*").alias("n"))
+    grid = counts.select(*keys).distinct().withColumn("__bucket", F.explode(F.sequence(F.lit(0), F.lit(len(bounds)))))
+    filled = grid.join(counts, [*keys, "__bucket"], "left")
+    run = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy(*keys).orderBy("__bucket"))
     labels = F.array(*[F.lit(str(b)) for b in bounds], F.lit("+Inf"))
-    return filled.select(*keys, F.element_at(labels, F.col("k") + 1).alias("le"), run.alias("count"))
+    return filled.select(*keys, F.element_at(labels, F.col("__bucket") + 1).alias("le"), run.alias("count"))
 
 
 def meter(points: DataFrame) -> DataFrame:

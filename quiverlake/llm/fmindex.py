@@ -69,18 +69,22 @@ class FMIndex:
         self.weight = np.concatenate([[0], np.cumsum(np.concatenate([weights, [0]])[order])])
         self.text = whole
 
-    def matching_lengths(self, ends: np.ndarray, most: int, least: int = 2) -> np.ndarray:
-        """For each place of the text: the length, up to ``most``, of the longest stretch that ends there
-        and occurs ``least`` times."""
+    def matching_lengths(self, ends: np.ndarray, most: np.ndarray, least: int = 2) -> np.ndarray:
+        """For each place of the text: the length, up to its ``most``, of the longest stretch that ends
+        there and occurs ``least`` times."""
         length = np.zeros(len(ends), np.int64)
         live = np.arange(len(ends))
         symbol = self.text[ends]
         low, high = self.before[symbol], self.before[symbol + 1]
-        for step in range(1, most + 1):
+        step = 0
+        while len(live):
             often = self.weight[high] - self.weight[low] >= least
             live, low, high = live[often], low[often], high[often]
+            step += 1
             length[live] = step
-            if step == most or not len(live):
+            more = most[live] > step
+            live, low, high = live[more], low[more], high[more]
+            if not len(live):
                 break
             symbol = self.text[ends[live] - step]
             both = self.bwt.rank(np.concatenate([symbol, symbol]), np.concatenate([low, high])) + np.tile(self.before[symbol], 2)

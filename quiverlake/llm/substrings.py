@@ -4,12 +4,12 @@ Equal windows of ``window`` words have the same minimiser: the word group of lea
 text falls into runs of windows with one minimiser; the run's words are a segment.
 
 1.  The minimisers of all texts are counted; a window can occur twice only if its minimiser does.
-2.  Segments with a repeated minimiser are cut from their texts and brought to the shard of the minimiser;
-    equal segments become one with a multiplicity.  A minimiser that is hot is spread: each of its windows
-    goes to the shard of its own words.
-3.  Each shard builds a compressed FM-index over its segments and streams them through backward search:
-    the matching length at each word is extended until fewer than two places hold it, and stretches as
-    long as a window are reported as word intervals of the segment.
+2.  Segments with a repeated minimiser are grouped by minimiser and hash of their words; one of each kind
+    is cut from its text, with the number of its places, and brought to the shard of the minimiser.  A
+    minimiser that is hot is spread: each of its windows goes to the shard of its own words.
+3.  Each shard builds a compressed FM-index over its segments, weighted by their places, and streams them
+    through backward search: the matching length at a word is extended until fewer than two places hold
+    it, and stretches as long as a window are reported as word intervals of the segment.
 4.  Intervals go back to the texts, whose other words are kept.
 
 Defined results: null and empty texts have no words; repeated rows remove each other's windows; a text
@@ -92,51 +92,69 @@ def _keyed(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     return docs.select(F.xxhash64(id_col, text).alias("k"), F.crc32(text.cast("binary")).alias("k2"), text.alias("text"))
 
 
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _run_hashes(h: np.ndarray, first: np.ndarray, last: np.ndarray, window: int) -> np.ndarray:
+    """Hash of the words of each run, wherever it stands: a polynomial in an odd base, by prefix sums."""
+    base = int(_ODD[62])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(np.uint64(base), len(h)), dtype=np.uint64)])
+    back = _powers(np.uint64(pow(base, -1, 1 << 64)), len(h))
+    part = (sums[last + window] - sums[first]) * back[first]
+    part ^= part >> np.uint64(32)
+    return (part * _ODD[61]).view(np.int64)
+
+
 def _run_table(keyed: DataFrame, window: int) -> DataFrame:
+    """Runs ``(k, k2, m, h, first, last)`` of every text: minimiser, hash of the words, windows."""
+
     def rows(batches):
         hashes = _WordHashes()
+        names = ("k", "k2", "m", "h", "first", "last")
         for b in batches:
-            out = {n: [] for n in ("k", "k2", "m", "first", "last")}
+            out: dict[str, list] = {n: [] for n in names}
             for k, k2, text in zip(b["k"], b["k2"], b["text"]):
                 words = words_of(text)
                 if len(words) < window:
                     continue
-                m, first, last = minimisers(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)), window)
-                out["k"] += [k] * len(m)
-                out["k2"] += [k2] * len(m)
-                out["m"] += m.tolist()
-                out["first"] += first.tolist()
-                out["last"] += last.tolist()
-            yield out
+                h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+                m, first, last = minimisers(h, window)
+                for n, v in zip(names, (np.full(len(m), k), np.full(len(m), k2), m, _run_hashes(h, first, last, window), first, last)):
+                    out[n].append(v)
+            yield {n: np.concatenate(v) if v else [] for n, v in out.items()}
 
-    return map_rows(keyed, rows, "k long, k2 long, m long, first int, last int")
+    return map_rows(keyed, rows, "k long, k2 long, m long, h long, first int, last int")
 
 
 def _segments(texts: DataFrame, window: int) -> DataFrame:
-    """Cut the listed runs from their texts; ``home`` decides the shard."""
+    """Cut one run of each kind from its text; ``home`` decides the shard, ``at`` is the place in the run."""
 
     def rows(batches):
+        names = ("m", "h", "at", "n", "home", "words")
         for b in batches:
-            out = {n: [] for n in ("k", "k2", "first", "home", "words")}
-            for k, k2, text, runs in zip(b["k"], b["k2"], b["text"], b["runs"]):
+            out = []
+            for text, runs in zip(b["text"], b["runs"]):
                 words = words_of(text)
                 for r in runs:
-                    spread = range(r["first"], r["last"] + 1) if r["hot"] else (r["first"],)
-                    for at in spread:
-                        end = (at if r["hot"] else r["last"]) + window
-                        part = b" ".join(words[at:end]).decode("utf-8", "surrogatepass")
-                        out["k"].append(k)
-                        out["k2"].append(k2)
-                        out["first"].append(at)
-                        out["home"].append(xxhash.xxh64_intdigest(part) >> 1 if r["hot"] else r["m"])
-                        out["words"].append(part)
-            yield out
+                    first, last = r["first"], r["last"]
+                    for at in range(first, last + 1) if r["hot"] else (first,):
+                        part = b" ".join(words[at : (at if r["hot"] else last) + window]).decode("utf-8", "surrogatepass")
+                        out.append((r["m"], r["h"], at - first, r["n"], xxhash.xxh64_intdigest(part) >> 1 if r["hot"] else r["m"], part))
+            yield {n: [o[k] for o in out] for k, n in enumerate(names)}
 
-    return map_rows(texts, rows, "k long, k2 long, first int, home long, words string")
+    return map_rows(texts, rows, "m long, h long, at int, n long, home long, words string")
 
 
 def repeated_stretches(segments: list[str], counts: np.ndarray, window: int = WINDOW) -> list[list[tuple[int, int]]]:
-    """Word intervals of each segment that lie in windows with two places or more, by an FM-index."""
+    """Word intervals of each segment that lie in windows with two places or more, by an FM-index.
+
+    Each segment is streamed from its end: the stretch that ends there is extended as far as two places
+    hold it.  If it is as long as a window it is reported, and the stream goes on at the last window that
+    begins before it; if not, at the word before the end.
+    """
     parts = [s.encode("utf-8", "surrogatepass").split() for s in segments]
     names: dict[bytes, int] = {}
     lengths = np.array([len(p) for p in parts])
@@ -147,18 +165,17 @@ def repeated_stretches(segments: list[str], counts: np.ndarray, window: int = WI
     inside[starts + lengths] = False
     text[inside] = flat
     index = FMIndex(text, np.repeat(counts, lengths + 1))
-    many = np.maximum(lengths - window + 1, 0)
-    owner = np.repeat(np.arange(len(parts)), many)
-    offset = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-    ends = starts[owner] + offset + window - 1
-    long = np.concatenate([index.matching_lengths(ends[k : k + 65536], window) >= window for k in range(0, len(ends), 65536)]) if len(ends) else np.zeros(0, bool)
     found: list[list[tuple[int, int]]] = [[] for _ in parts]
-    for o, a in zip(owner[long].tolist(), offset[long].tolist()):
-        spans = found[o]
-        if spans and a <= spans[-1][1]:
-            spans[-1] = (spans[-1][0], a + window)
-        else:
-            spans.append((a, a + window))
+    live = np.nonzero(lengths >= window)[0]
+    ends = starts[live] + lengths[live] - 1
+    while len(live):
+        reach = index.matching_lengths(ends, ends - starts[live] + 1)
+        long = reach >= window
+        for o, a, b in zip(live[long].tolist(), (ends - reach + 1 - starts[live])[long].tolist(), (ends + 1 - starts[live])[long].tolist()):
+            found[o].append((a, b))
+        ends = np.where(long, ends - reach + window - 1, ends - 1)
+        more = ends - window + 1 >= starts[live]
+        live, ends = live[more], ends[more]
     return found
 
 
@@ -167,25 +184,29 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, id_col: str = "doc
     keyed = _keyed(docs, text_col, id_col)
     runs = materialize(_run_table(keyed, window), "runs")
     often = runs.groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select("m", (F.col("n") > HOT).alias("hot"))
-    wanted = runs.join(often, "m").groupBy("k", "k2").agg(F.collect_list(F.struct("first", "last", "m", "hot")).alias("runs"))
-    # repeated rows of one document share a key; their runs are listed once for each row, so once suffices
-    wanted = wanted.withColumn("runs", F.array_distinct("runs"))
-    segments = materialize(_segments(keyed.join(wanted, ["k", "k2"]), window).withColumn("key", F.md5("words")), "segments")
+    repeated = materialize(runs.join(often, "m"), "repeated")
     discard(runs)
-    total = segments.agg(F.sum(F.length("words"))).first()[0] or 0
-    shards = max(1, -(-total // (6 * SHARD_WORDS)))
-    unique = segments.groupBy("home", "words").agg(F.count("*").alias("n")).select(F.pmod(F.xxhash64("home"), F.lit(shards)).alias("shard"), "words", "n")
+    kinds = repeated.groupBy("m", "h").agg(F.count("*").alias("n"), F.min(F.struct("k", "k2", "first", "last", "hot")).alias("r"))
+    wanted = materialize(kinds.groupBy("r.k", "r.k2").agg(F.collect_list(F.struct("r.first", "r.last", "r.hot", "m", "h", "n")).alias("runs")), "wanted")
+    words = wanted.select(F.explode("runs").alias("r")).agg(F.sum(F.when(F.col("r.hot"), (F.col("r.last") - F.col("r.first") + 1) * window).otherwise(F.col("r.last") - F.col("r.first") + window))).first()[0] or 0
+    shards = max(1, -(-words // SHARD_WORDS))
+    segments = _segments(keyed.join(wanted, ["k", "k2"]).select("text", "runs"), window)
 
     def search(table):
-        words = table["words"].to_pylist()
-        found = repeated_stretches(words, table["n"].to_numpy(), window)
-        hits = [(w, f) for w, f in zip(words, found) if f]
-        return pa.table({"words": [w for w, _ in hits], "spans": [[{"a": a, "b": b} for a, b in f] for _, f in hits]}, schema=pa.schema([("words", pa.string()), ("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))]))
-
-    hits = unique.groupBy("shard").applyInArrow(search, "words string, spans array<struct<a int, b int>>").select(F.md5("words").alias("key"), "spans")
-    placed = segments.select("k", "k2", "first", "key").join(hits, "key")
+        given = {n: table[n].to_pylist() for n in ("m", "h", "at", "words", "n")}
+        first: dict[tuple, int] = {}  # rows of one document that repeat cut the same segment again
+        for k, key in enumerate(zip(given["m"], given["h"], given["at"])):
+            first.setdefault(key, k)
+        pick = list(first.values())
+        found = repeated_stretches([given["words"][k] for k in pick], np.array([given["n"][k] for k in pick]), window)
+        hits = [(given["m"][k], given["h"][k], [{"a": a + given["at"][k], "b": b + given["at"][k]} for a, b in f]) for k, f in zip(pick, found) if f]
+        return pa.table({n: [x[k] for x in hits] for k, n in enumerate(("m", "h", "spans"))}, schema=pa.schema([("m", pa.int64()), ("h", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))]))
+
+    hits = materialize(segments.withColumn("shard", F.pmod(F.xxhash64("home"), F.lit(shards))).groupBy("shard").applyInArrow(search, "m long, h long, spans array<struct<a int, b int>>"), "hits")
+    placed = repeated.select("k", "k2", "first", "m", "h").join(hits, ["m", "h"])
     shifted = F.transform("spans", lambda s: F.struct((s.a + F.col("first")).alias("a"), (s.b + F.col("first")).alias("b")))
-    return placed.groupBy("k", "k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(shifted)))).alias("spans"))
+    spans = placed.groupBy("k", "k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(shifted)))).alias("spans"))
+    return materialize(spans, "spans")
 
 
 def _keep(words: list[bytes], spans: list[dict]) -> list[bytes]:

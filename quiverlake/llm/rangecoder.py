@@ -5,7 +5,7 @@ carries a checksum of its ids.  Three orders predict an id: the ids that last fo
 the last id (orders 2 and 1, each with a count of how often it held), and adaptive frequencies of the id's
 four hexadecimal digits (order 0).  Orders 2 and 1 are mixed in one decision - the first holds, the second
 holds, neither - whose adaptive frequencies depend on both counts and on whether the two agree; after
-"neither" the digits follow.  A range coder writes 16-bit words.
+"neither" the digits follow, two at a time.  A range coder writes 32-bit words.
 
 Many blocks are coded side by side, one array lane each, so that a step of the model is a few array
 operations.  Lanes never touch each other.
@@ -61,7 +61,7 @@ class _Table:
     def span(self, row: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of the symbols."""
         flat, at = row.ravel(), np.arange(0, row.size, self.width) + s
-        low = flat.take(at - 1) * (s > 0)
+        low = flat.take(at - 1) * (s > 0).astype(np.int64)
         return low, flat.take(at) - low
 
     def find(self, row: np.ndarray, goal: np.ndarray) -> np.ndarray:
@@ -111,67 +111,77 @@ class _Lanes:
         self.p1[:m] = ids
 
 
+_WORD, _MASK = np.uint64(32), np.uint64(0xFFFFFFFF)
+_FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
 class _Writer:
+    """Range coder with 64-bit state; words of 32 bits, whose carries are settled at the end."""
+
     def __init__(self, lanes: int, steps: int):
-        self.low, self.span = np.zeros(lanes, np.int64), np.full(lanes, 1 << 32, np.int64)
-        self.words, self.used = np.zeros((lanes, 64 + steps), np.int32), np.zeros(lanes, np.int64)
-
-    def put(self, lanes, start: np.ndarray, width: np.ndarray) -> None:
-        """``lanes``: a slice or numbers."""
-        low, span = self.low[lanes], self.span[lanes]
-        r = span >> _BITS
-        low = low + r * start
-        span = r * width
-        k = np.nonzero(span < (1 << 16))[0]
+        self.low, self.span = np.zeros(lanes, np.uint64), np.full(lanes, _FULL)
+        self.words, self.used = np.zeros((lanes, 64 + steps // 2), np.int64), np.zeros(lanes, np.int64)
+
+    def put(self, lanes, start: np.ndarray, width: np.ndarray, bits: int) -> None:
+        """``lanes``: a slice or numbers; start and width are in units of ``2 ** -bits``."""
+        old, span = self.low[lanes], self.span[lanes]
+        r = span >> np.uint64(bits)
+        low = old + r * start.view(np.uint64)
+        span = r * width.view(np.uint64)
+        over = np.nonzero(low < old)[0]
+        if len(over):
+            own = over if isinstance(lanes, slice) else lanes.take(over)
+            self.words[own, self.used.take(own) - 1] += 1  # low + span stays below 2**64 until the first word
+        k = np.nonzero(span <= _MASK)[0]
         if len(k):
             own = k if isinstance(lanes, slice) else lanes.take(k)
             used, short = self.used.take(own), low.take(k)
-            if used.max() + 4 > self.words.shape[1]:
+            if used.max() + 6 > self.words.shape[1]:
                 self.words = np.concatenate([self.words, np.zeros_like(self.words)], axis=1)
-            self.words[own, used] = short >> 16
+            self.words[own, used] = short >> _WORD
             self.used[own] = used + 1
-            low[k] = (short & 0xFFFF) << 16
-            span[k] <<= 16
+            low[k] = short << _WORD
+            span[k] <<= _WORD
         self.low[lanes], self.span[lanes] = low, span
 
     def finish(self) -> list[bytes]:
         at = np.arange(len(self.low))
         for _ in range(2):
-            self.words[at, self.used] = self.low >> 16
+            self.words[at, self.used] = self.low >> _WORD
             self.used += 1
-            self.low = (self.low & 0xFFFF) << 16
+            self.low <<= _WORD
         for k in range(int(self.used.max()) - 1, 0, -1):  # carries run to the front
-            carry = self.words[:, k] >> 16
-            self.words[:, k] &= 0xFFFF
-            self.words[:, k - 1] += carry
-        return [w[:n].astype("<u2").tobytes() for w, n in zip(self.words, self.used)]
+            self.words[:, k - 1] += self.words[:, k] >> 32
+            self.words[:, k] &= 0xFFFFFFFF
+        return [w[:n].astype("<u4").tobytes() for w, n in zip(self.words, self.used)]
 
 
 class _Reader:
     def __init__(self, blocks: list[bytes]):
-        longest = max(map(len, blocks)) // 2 + 4
-        self.words = np.zeros((len(blocks), longest), np.uint16)
+        longest = max(map(len, blocks)) // 4 + 4
+        self.words = np.zeros((len(blocks), longest), np.uint32)
         for k, b in enumerate(blocks):
-            w = np.frombuffer(b, "<u2")
+            w = np.frombuffer(b, "<u4")
             self.words[k, : len(w)] = w
-        self.code = (self.words[:, 0].astype(np.int64) << 16) | self.words[:, 1]
+        self.code = (self.words[:, 0].astype(np.uint64) << _WORD) | self.words[:, 1]
         self.at = np.full(len(blocks), 2)
-        self.span = np.full(len(blocks), 1 << 32, np.int64)
+        self.span = np.full(len(blocks), _FULL)
 
-    def target(self, lanes) -> np.ndarray:
-        return np.minimum(self.code[lanes] // (self.span[lanes] >> _BITS), _ONE - 1)
+    def target(self, lanes, bits: int) -> np.ndarray:
+        goal = self.code[lanes] // (self.span[lanes] >> np.uint64(bits))
+        return np.minimum(goal, np.uint64((1 << bits) - 1)).view(np.int64)
 
-    def took(self, lanes, start: np.ndarray, width: np.ndarray) -> None:
+    def took(self, lanes, start: np.ndarray, width: np.ndarray, bits: int) -> None:
         code, span = self.code[lanes], self.span[lanes]
-        r = span >> _BITS
-        code = code - r * start
-        span = r * width
-        k = np.nonzero(span < (1 << 16))[0]
+        r = span >> np.uint64(bits)
+        code = code - r * start.view(np.uint64)
+        span = r * width.view(np.uint64)
+        k = np.nonzero(span <= _MASK)[0]
         if len(k):
             own = k if isinstance(lanes, slice) else lanes.take(k)
             at = self.at.take(own)
-            code[k] = (code.take(k) << 16) | self.words[own, np.minimum(at, self.words.shape[1] - 1)]
-            span[k] <<= 16
+            code[k] = (code.take(k) << _WORD) | self.words[own, np.minimum(at, self.words.shape[1] - 1)]
+            span[k] <<= _WORD
             self.at[own] = at + 1
         self.code[lanes], self.span[lanes] = code, span
 
@@ -199,16 +209,20 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         s2, s1, g2, g1, e2, e1, context = model.predict(m)
         pick = np.where(e2 == now, 0, np.where(e1 == now, 1, 2))
         row = model.choice.rows(context)
-        out.put(slice(0, m), *model.choice.span(row, pick))
+        out.put(slice(0, m), *model.choice.span(row, pick), _BITS)
         model.choice.learn(context, row, pick)
         lanes = np.nonzero(pick == 2)[0]
         if len(lanes):
             rest = now.take(lanes)
-            for (table, contexts), shift in zip(model.digits, (12, 8, 4, 0)):
-                at = lanes * contexts + ((rest >> (shift + 4)) & (contexts - 1))
-                row, digit = table.rows(at), (rest >> shift) & 15
-                out.put(lanes, *table.span(row, digit))
-                table.learn(at, row, digit)
+            for pair, shifts in ((model.digits[:2], (12, 8)), (model.digits[2:], (4, 0))):
+                spans = []
+                for (table, contexts), shift in zip(pair, shifts):
+                    at = lanes * contexts + ((rest >> (shift + 4)) & (contexts - 1))
+                    row, digit = table.rows(at), (rest >> shift) & 15
+                    spans += table.span(row, digit)
+                    table.learn(at, row, digit)
+                low, width, low2, width2 = spans
+                out.put(lanes, (low << _BITS) + width * low2, width * width2, 2 * _BITS)
         model.learn(m, now, s2, s1, g2, g1, e2, e1)
     coded = out.finish()
     result: list[bytes] = [b""] * len(blocks)
@@ -228,20 +242,28 @@ def decode_blocks(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     for t, m in enumerate(active.tolist()):
         s2, s1, g2, g1, e2, e1, context = model.predict(m)
         row = model.choice.rows(context)
-        pick = model.choice.find(row, src.target(slice(0, m)))
-        src.took(slice(0, m), *model.choice.span(row, pick))
+        pick = model.choice.find(row, src.target(slice(0, m), _BITS))
+        src.took(slice(0, m), *model.choice.span(row, pick), _BITS)
         model.choice.learn(context, row, pick)
         now = np.where(pick == 0, e2, e1).astype(np.int64)
         lanes = np.nonzero(pick == 2)[0]
         if len(lanes):
             rest = np.zeros(len(lanes), np.int64)
-            for table, contexts in model.digits:
-                at = lanes * contexts + (rest & (contexts - 1))
-                row = table.rows(at)
-                digit = table.find(row, src.target(lanes))
-                src.took(lanes, *table.span(row, digit))
-                table.learn(at, row, digit)
+            for first, second in (model.digits[:2], model.digits[2:]):
+                goal = src.target(lanes, 2 * _BITS)
+                at = lanes * first[1] + (rest & (first[1] - 1))
+                row = first[0].rows(at)
+                digit = first[0].find(row, goal >> _BITS)
+                low, width = first[0].span(row, digit)
+                first[0].learn(at, row, digit)
+                rest = (rest << 4) | digit
+                at = lanes * second[1] + (rest & (second[1] - 1))
+                row = second[0].rows(at)
+                digit = second[0].find(row, (goal - (low << _BITS)) // width)
+                low2, width2 = second[0].span(row, digit)
+                second[0].learn(at, row, digit)
                 rest = (rest << 4) | digit
+                src.took(lanes, (low << _BITS) + width * low2, width * width2, 2 * _BITS)
             now[lanes] = rest
         ids[t, :m] = now
         model.learn(m, now, s2, s1, g2, g1, e2, e1)

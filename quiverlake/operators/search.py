@@ -13,6 +13,7 @@ import heapq
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,33 +34,51 @@ def over_fetch(limit: int) -> int:
     return max(3 * limit, 50)
 
 
+def _rows_of(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and values of the vectors of length ``dim`` without nulls and NaN."""
+    fit = np.nonzero(pc.fill_null(pc.equal(pc.list_value_length(column), dim), False).to_numpy(zero_copy_only=False))[0]
+    x = np.asarray(column.take(pa.array(fit)).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
+    whole = ~np.isnan(x).any(1)
+    return fit[whole], x[whole]
+
+
 def _nearest_of_block(queries: list, vectors: DataFrame, k: int, metric: str) -> DataFrame:
     qid = [q.query_id for q in queries]
     q = np.array([q.vector for q in queries], np.float64)
+    if metric == "cosine":
+        size = np.sqrt((q**2).sum(1, keepdims=True))
+        q = np.divide(q, size, out=np.zeros_like(q), where=size > 0)
+    q_norm = (q**2).sum(1)
 
     def run(batches):
         best: list = [[] for _ in qid]  # heaps of (-distance, -order, id)
+        bound = np.full(len(qid), np.inf)  # squared distance of the k-th nearest so far
         for b in batches:
             ids, order = b.column(0).to_pylist(), b.column(1).to_pylist()
-            keep = [n for n, v in enumerate(b.column(2).to_pylist()) if v is not None and len(v) == q.shape[1] and None not in v]
-            x = np.array([b.column(2)[n].as_py() for n in keep], np.float64).reshape(-1, q.shape[1])
+            keep, x = _rows_of(b.column(2), q.shape[1])
+            if metric == "cosine":  # unit vectors: the squared distance is twice the cosine distance
+                size = np.sqrt((x**2).sum(1, keepdims=True))
+                x = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
             for at in range(0, len(x), _ROWS):
                 part = x[at : at + _ROWS]
-                for n in range(len(qid)):
-                    if metric == "l2":
-                        d = np.sqrt(((part - q[n]) ** 2).sum(1))
-                    else:
-                        scale = np.sqrt((part**2).sum(1)) * np.sqrt((q[n] ** 2).sum())
-                        d = 1 - np.divide(part @ q[n], scale, out=np.zeros(len(part)), where=scale > 0)
-                    near = np.argpartition(d, k - 1)[:k] if len(d) > k else np.arange(len(d))
-                    bound = d[near].max() if len(near) else 0.0
-                    for i in np.nonzero(d <= bound)[0].tolist():  # ties at the bound stay
-                        row = keep[at + i]
-                        entry = (-float(d[i]), -order[row], ids[row])
-                        if len(best[n]) < k:
-                            heapq.heappush(best[n], entry)
-                        elif entry > best[n][0]:
-                            heapq.heapreplace(best[n], entry)
+                norm = (part**2).sum(1)
+                rough = norm[:, None] + q_norm[None, :] - 2 * (part @ q.T)
+                least = np.minimum(bound, np.partition(rough, k - 1, axis=0)[k - 1]) if len(part) > k else bound
+                row, n = np.nonzero(rough <= least + 1e-9 * (1 + q_norm + norm.max()))  # rounding and ties stay inside
+                if metric == "cosine":
+                    exact = 1 - (part[row] * q[n]).sum(1)
+                else:
+                    exact = np.sqrt(((part[row] - q[n]) ** 2).sum(1))
+                for r, m, d in zip(row.tolist(), n.tolist(), exact.tolist()):
+                    entry = (-d, -order[keep[at + r]], ids[keep[at + r]])
+                    if len(best[m]) < k:
+                        heapq.heappush(best[m], entry)
+                    elif entry > best[m][0]:
+                        heapq.heapreplace(best[m], entry)
+                for m in set(n.tolist()):
+                    if len(best[m]) == k:
+                        d = -best[m][0][0]
+                        bound[m] = 2 * d if metric == "cosine" else d * d
         rows = [(qid[n], e[2], -e[1], -e[0]) for n, h in enumerate(best) for e in h]
         cols = list(zip(*rows)) if rows else [[], [], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.float64()))], names=["query_id", "id", "ord", "distance"])

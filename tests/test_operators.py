@@ -104,6 +104,32 @@ def test_vectors(spark):
     assert e == [1.0] + [0.0] * 7 and V.fnv1a("a") == 0xE40C292C
 
 
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_knn_equals_brute_force(spark, metric):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(400, 6)), 1).astype(np.float32)
+    x[50:80] = x[50]  # ties
+    x[7] = 0
+    rows = [(f"v{k}", k, v.tolist()) for k, v in enumerate(x)] + [("n", 1000, None), ("s", 1001, [1.0]), ("h", 1002, [1.0, None, 0.0, 0.0, 0.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "id string, ord long, vector array<float>").repartition(3)
+    queries = spark.createDataFrame([(k, x[k].tolist()) for k in (0, 7, 50)], "query_id long, vector array<float>")
+    got = {(r.query_id, r["rank"]): (r.ord, round(r.distance, 9)) for r in R.knn(queries, vectors, 40, metric).collect()}
+    y = x.astype(np.float64)
+    for q in (0, 7, 50):
+        if metric == "l2":
+            d = np.sqrt(((y - y[q]) ** 2).sum(1))
+        else:
+            size = np.linalg.norm(y, axis=1) * np.linalg.norm(y[q])
+            d = 1 - np.divide(y @ y[q], size, out=np.zeros(len(y)), where=size > 0)
+        want = sorted((round(v, 9), k) for k, v in enumerate(d))[:40]
+        assert [got[q, n + 1][1] for n in range(40)] == [w[0] for w in want]
+        if metric == "l2":
+            assert [got[q, n + 1][0] for n in range(40)] == [w[1] for w in want]
+    assert R.knn(queries.limit(0), vectors, 5).count() == 0
+
+
 def test_walk_equals_plain_model():
     def model(rows, limit, starts):
         m = max(limit, 10)
@@ -308,3 +334,37 @@ def test_stream_windows_equal_batch(spark, sf, tmp_path):
 def test_materialize(spark):
     df = materialize(spark.range(5), "t")
     assert df.count() == 5 and df.dtypes == spark.range(1).dtypes
+
+
+def test_upsert_stream(spark, tmp_path):
+    schema = "id string, created_at timestamp, text string"
+    state = stream.Snapshots(spark, str(tmp_path / "rows"), schema)
+    src = str(tmp_path / "in")
+
+    def send(*rows):
+        spark.createDataFrame(list(rows), "id string, created_at string, text string, seq long").withColumn("created_at", F.to_timestamp("created_at")).coalesce(1).write.mode("append").parquet(src)
+        changes = spark.readStream.schema(schema + ", seq long").parquet(src)
+        stream.upsert_stream(changes, state, str(tmp_path / "cp")).awaitTermination(120)
+
+    send(("a", "2024-01-01", "old", 1), ("a", "2024-01-02", "new", 2), ("b", "2024-01-01", "x", 1))
+    send(("b", "2024-01-09", "y", 5))
+    assert {(r.id, str(r.created_at)[:10], r.text) for r in state.read().collect()} == {("a", "2024-01-01", "new"), ("b", "2024-01-01", "y")}
+
+
+def test_skill_files_and_sessions(spark, tmp_path):
+    rows = spark.createDataFrame([("s/SKILL.md", "fix", "mends things", {"use": "steps", "notes": "none"})], "path string, name string, description string, sections map<string,string>")
+    back = catalog.skills(catalog.skill_markdown(rows)).first()
+    assert (back.name, back.description, back.sections) == ("fix", "mends things", {"use": "steps", "notes": "none"})
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "session.json").write_text(json.dumps({"info": {"id": "s1", "title": "t"}, "messages": [{"role": "user", "content": "hi", "timestamp": ""}, {"role": "assistant", "content": "yo", "timestamp": ""}]}))
+    assert [(r.session_id, r.seq, r.content) for r in catalog.sessions(spark, f"{tmp_path}/*/session.json").orderBy("seq").collect()] == [("s1", 0, "hi"), ("s1", 1, "yo")]
+    (tmp_path / "rec.json").write_text(json.dumps({"queries": [{"id": "1", "query": "q", "retrieved_uris": ["u"], "latency_ms": 3}, {"id": "2", "query": "q", "retrieved_uris": ["w"]}, {"id": "3", "query": "e", "retrieved_uris": []}]}))
+    made = E.dataset_from_recordings(catalog.recordings(spark, f"{tmp_path}/rec.json"), 10).collect()
+    assert [(r.query, r.expected_docs) for r in made] == [("q", ["u"])]
+
+
+def test_locks(spark):
+    held = spark.createDataFrame([("h1", "a/b", "subtree", "2024-01-02"), ("h2", "a/c", "point", "2024-01-02"), ("h3", "z", "subtree", "2023-01-01")], "handle string, path string, kind string, expires_at string").withColumn("expires_at", F.to_timestamp("expires_at"))
+    wanted = spark.createDataFrame([("r1", "a/b/x", "point"), ("r2", "a", "subtree"), ("r3", "a/c", "point"), ("r4", "z", "point"), ("r5", "a/bb", "point"), ("r6", "a", "point")], "request string, path string, kind string")
+    got = {tuple(r) for r in G.lock_conflicts(held, wanted, F.lit("2024-01-01").cast("timestamp")).collect()}
+    assert got == {("r1", "h1"), ("r2", "h1"), ("r2", "h2"), ("r3", "h2")}

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{tempfile.gettempdir()}/checkpoints"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import the package from where the driver has it.
+
+    This helps where the folder exists on the workers; elsewhere hand the package over by ``--py-files``.
+    """
+    env = spark.sparkContext.environment
+    home = str(Path(__file__).resolve().parents[1])
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if home not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([home, *paths])
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it back.
 

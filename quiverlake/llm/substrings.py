@@ -203,10 +203,11 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, id_col: str = "doc
         return pa.table({n: [x[k] for x in hits] for k, n in enumerate(("m", "h", "spans"))}, schema=pa.schema([("m", pa.int64()), ("h", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))]))
 
     hits = materialize(segments.withColumn("shard", F.pmod(F.xxhash64("home"), F.lit(shards))).groupBy("shard").applyInArrow(search, "m long, h long, spans array<struct<a int, b int>>"), "hits")
-    placed = repeated.select("k", "k2", "first", "m", "h").join(hits, ["m", "h"])
+    # one row for each repeated run, with its stretches if there are any
+    placed = repeated.select("k", "k2", "first", "m", "h").join(hits, ["m", "h"], "left")
     shifted = F.transform("spans", lambda s: F.struct((s.a + F.col("first")).alias("a"), (s.b + F.col("first")).alias("b")))
     spans = placed.groupBy("k", "k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(shifted)))).alias("spans"))
-    return materialize(spans, "spans")
+    return materialize(spans.where(F.size("spans") > 0), "spans")
 
 
 def _keep(words: list[bytes], spans: list[dict]) -> list[bytes]:

@@ -206,7 +206,7 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, id_col: str = "doc
     # one row for each repeated run, with its stretches if there are any
     placed = repeated.select("k", "k2", "first", "m", "h").join(hits, ["m", "h"], "left")
     shifted = F.transform("spans", lambda s: F.struct((s.a + F.col("first")).alias("a"), (s.b + F.col("first")).alias("b")))
-    spans = placed.groupBy("k", "k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(shifted)))).alias("spans"))
+    spans = placed.groupBy("k", "k2").agg(F.array_sort(F.flatten(F.collect_list(shifted))).alias("spans"))
     return materialize(spans.where(F.size("spans") > 0), "spans")
 
 

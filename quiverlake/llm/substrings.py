@@ -184,8 +184,11 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, id_col: str = "doc
     keyed = _keyed(docs, text_col, id_col)
     runs = materialize(_run_table(keyed, window), "runs")
     often = runs.groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select("m", (F.col("n") > HOT).alias("hot"))
+    # written first, so that the join has exchanges of its own whose hot parts can be split
+    often = materialize(often, "often")
     repeated = materialize(runs.join(often, "m"), "repeated")
     discard(runs)
+    discard(often)
     kinds = repeated.groupBy("m", "h").agg(F.count("*").alias("n"), F.min(F.struct("k", "k2", "first", "last", "hot")).alias("r"))
     wanted = materialize(kinds.groupBy("r.k", "r.k2").agg(F.collect_list(F.struct("r.first", "r.last", "r.hot", "m", "h", "n")).alias("runs")), "wanted")
     words = wanted.select(F.explode("runs").alias("r")).agg(F.sum(F.when(F.col("r.hot"), (F.col("r.last") - F.col("r.first") + 1) * window).otherwise(F.col("r.last") - F.col("r.first") + window))).first()[0] or 0

@@ -20,12 +20,14 @@ import zlib
 
 import numpy as np
 
-BLOCK = 4096
+BLOCK = 1024
 _BITS = 14
 _ONE = 1 << _BITS
 #: Slots of the order-2 and order-1 tables of a lane.
-_SLOTS = 2048
+_SLOTS = 512
 _MOST = 7
+#: Contexts of the four digits: the digits above, as far as they fit.
+_CONTEXTS = (1, 16, 64, 64)
 #: Adaption of the frequencies: shifts for digits and decisions.
 _DIGIT_RATE, _CHOICE_RATE = 4, 5
 #: Count after a (miss, hit) of a prediction that had held 0 to 7 times.
@@ -88,7 +90,7 @@ class _Lanes:
         self.next2 = np.zeros(lanes * _SLOTS, np.int32)  # id and count: id * 8 + count
         self.next1 = np.zeros(lanes * _SLOTS, np.int32)
         self.choice = _Table(lanes * 128, 3, 4, _CHOICE_RATE, _PULL3)
-        self.digits = [(_Table(lanes * c, 16, 16, _DIGIT_RATE, _PULL16), c) for c in (1, 16, 256, 256)]
+        self.digits = [(_Table(lanes * c, 16, 16, _DIGIT_RATE, _PULL16), c) for c in _CONTEXTS]
         self.p1, self.p2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
     def predict(self, m: int):

@@ -22,12 +22,18 @@ from quiverlake.llm.ranges import IdRanges, range_parts
 
 END_ID = 2
 #: Token ids of a row (more where one document has more), and blocks that are coded side by side.
-ROW_IDS = 32 * rangecoder.BLOCK
-LANES = 2048
+ROW_IDS = 128 * rangecoder.BLOCK
+LANES = 12_288
 
 _COLUMNS = ["part", "start_in_part", "doc_ids", "lengths", "blocks", "sums", "ids"]
 
 
+def _side_by_side(n: int) -> list[slice]:
+    """Even groups of at most ``LANES`` of n blocks."""
+    groups = max(1, -(-n // LANES))
+    return [slice(g * n // groups, (g + 1) * n // groups) for g in range(groups)]
+
+
 def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = END_ID) -> None:
     """Tokenize every whole text once and write the container to ``out``."""
     given = docs.select("doc_id", text_of().alias("text"))
@@ -60,7 +66,7 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = END_ID) ->
             nonlocal ready, waiting
             cut = [[r[4][k : k + rangecoder.BLOCK] for k in range(0, len(r[4]), rangecoder.BLOCK)] for r in ready]
             flat = [b for c in cut for b in c]
-            coded = [x for k in range(0, len(flat), LANES) for x in rangecoder.encode_blocks(flat[k : k + LANES])]
+            coded = [x for g in _side_by_side(len(flat)) for x in rangecoder.encode_blocks(flat[g])]
             done = {n: [] for n in _COLUMNS}
             for r, c in zip(ready, cut):
                 own, coded = coded[: len(c)], coded[len(c) :]
@@ -105,7 +111,7 @@ def read_tokens(spark: SparkSession, out: str) -> DataFrame:
         for b in batches:
             blocks = [x for r in b["blocks"] for x in r]
             sizes = [min(rangecoder.BLOCK, n - k) for n in b["ids"] for k in range(0, n, rangecoder.BLOCK)]
-            ids = [x for k in range(0, len(blocks), LANES) for x in rangecoder.decode_blocks(blocks[k : k + LANES], sizes[k : k + LANES])]
+            ids = [x for g in _side_by_side(len(blocks)) for x in rangecoder.decode_blocks(blocks[g], sizes[g])]
             found: dict = {"doc_id": [], "start": [], "tokens": []}
             at = 0
             for doc_ids, lengths, sums, place in zip(b["doc_ids"], b["lengths"], b["sums"], b["start"]):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiverlake.llm import packing, quality, simhash, substrings
+from quiverlake.llm import near_copies, packing, quality, substrings
 from quiverlake.llm.common import table
 from quiverlake.llm.registry import BYTE_BPE
 from quiverlake.session import materialize
@@ -23,8 +23,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of the smallest id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies (Jaccard 0.8 of five-word shingles): the one of the smallest id."""
+    return near_copies.keep_one(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ STAGES = [
     ("packing", pack_windows),
 ]
 
-#: SQL can't express the trained ranking, SimHash or the tokenizer; tests compare with brute force.
+#: SQL can't express the trained ranking, groups of near copies or the tokenizer; tests compare with brute force.
 ORACLE_SQL = None
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quiverlake.llm import bpe, byte_tokens, fmindex, licenses, merkle, packing, quality, rangecoder, registry, sharding, simhash, substrings, token_files, vectors
+from quiverlake.llm import bpe, byte_tokens, fmindex, licenses, merkle, near_copies, packing, quality, rangecoder, registry, sharding, simhash, substrings, token_files, vectors
 from quiverlake.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, k array<int>, score string, n_words string"
@@ -277,6 +277,47 @@ def test_simhash_keeps_one(odd, empty):
     assert simhash.components(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
+def _near_copies(rows):
+    """Smallest id of each row's group: all pairs of five-word shingle sets with a Jaccard similarity of 0.8."""
+    sets = []
+    for _, t in rows:
+        w = t.encode().lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 5 else {tuple(w)} - {()})
+    like = lambda x, y: x == y or 5 * len(x & y) >= 4 * len(x | y)
+    return _components(len(rows), [(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if like(sets[a], sets[b])])
+
+
+def _edited(seed=9):
+    """Texts in chains: each is made of the one before by some changed words, so similarities are of all sizes."""
+    rng = random.Random(seed)
+    texts = []
+    for _ in range(12):
+        w = [f"w{rng.randint(0, 5000)}" for _ in range(rng.choice((6, 40, 150, 400)))]
+        for _ in range(6):
+            texts.append(" ".join(w))
+            for _ in range(rng.randint(0, max(1, len(w) // 45))):
+                w[rng.randrange(len(w))] = f"e{rng.randint(0, 5000)}"
+    return texts
+
+
+@pytest.mark.parametrize("name", ["odd", "docs", "edited", "hot"])
+def test_near_copies_equal_brute_force(request, spark, name):
+    if name == "edited":
+        df = spark.createDataFrame(list(enumerate(_edited())), "doc_id long, text string")
+    elif name == "hot":  # one text with other words changed each time
+        base, rng = [f"b{k}" for k in range(200)], random.Random(2)
+        texts = [" ".join(f"x{k}.{j}" if j in at else w for j, w in enumerate(base)) for k in range(120) for at in [set(rng.sample(range(200), rng.randint(1, 7)))]]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    else:
+        df = request.getfixturevalue(name)
+    rows = sorted(_pairs(df), key=lambda r: (r[0] is None, r[0] or 0))
+    comp = _near_copies(rows)
+    want = Counter(rows[c] for c in set(comp))  # a group's first row has its smallest id
+    kept = corpus_pipeline.keep_one_of_copies(spark, df, None)
+    assert kept.columns == df.columns
+    assert Counter(_pairs(kept)) == want
+
+
 # -- 8, 9 ----------------------------------------------------------------------
 
 

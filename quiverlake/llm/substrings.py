@@ -6,7 +6,8 @@ text falls into runs of windows with one minimiser; the run's words are a segmen
 1.  The minimisers of all texts are counted; a window can occur twice only if its minimiser does.
 2.  Segments with a repeated minimiser are grouped by minimiser and hash of their words; one of each kind
     is cut from its text, with the number of its places, and brought to the shard of the minimiser.  A
-    minimiser that is hot is spread: each of its windows goes to the shard of its own words.
+    minimiser that is hot goes to no shard: its windows are counted by two hashes of their words, with
+    counts combined on the map side, and those of two places or more are stretches.
 3.  Each shard builds a compressed FM-index over its segments, weighted by their places, and streams them
     through backward search: the matching length at a word is extended until fewer than two places hold
     it, and stretches as long as a window are reported as word intervals of the segment.
@@ -130,22 +131,37 @@ def _run_table(keyed: DataFrame, window: int) -> DataFrame:
 
 
 def _segments(texts: DataFrame, window: int) -> DataFrame:
-    """Cut one run of each kind from its text; ``home`` decides the shard, ``at`` is the place in the run."""
+    """Cut one run of each kind from its text; ``at`` is the place in the run.
+
+    Of a hot run each window is a row without words but with two hashes of them, ``w`` and ``w2``.
+    """
 
     def rows(batches):
-        names = ("m", "h", "at", "n", "home", "words")
+        names = ("m", "h", "at", "n", "w", "w2", "words")
         for b in batches:
             out = []
             for text, runs in zip(b["text"], b["runs"]):
                 words = words_of(text)
                 for r in runs:
                     first, last = r["first"], r["last"]
-                    for at in range(first, last + 1) if r["hot"] else (first,):
-                        part = b" ".join(words[at : (at if r["hot"] else last) + window]).decode("utf-8", "surrogatepass")
-                        out.append((r["m"], r["h"], at - first, r["n"], xxhash.xxh64_intdigest(part) >> 1 if r["hot"] else r["m"], part))
+                    if not r["hot"]:
+                        out.append((r["m"], r["h"], 0, r["n"], None, None, b" ".join(words[first : last + window]).decode("utf-8", "surrogatepass")))
+                        continue
+                    for at in range(first, last + 1):
+                        part = b" ".join(words[at : at + window])
+                        out.append((r["m"], r["h"], at - first, r["n"], xxhash.xxh64_intdigest(part) >> 1, xxhash.xxh64_intdigest(part, 1) >> 1, None))
             yield {n: [o[k] for o in out] for k, n in enumerate(names)}
 
-    return map_rows(texts, rows, "m long, h long, at int, n long, home long, words string")
+    return map_rows(texts, rows, "m long, h long, at int, n long, w long, w2 long, words string")
+
+
+def _hot_hits(hot: DataFrame, window: int) -> DataFrame:
+    """Rows ``(m, h, spans)`` for the windows of hot runs that have two places or more."""
+    # rows of one document that repeat cut the same window again
+    windows = materialize(hot.groupBy("m", "h", "at").agg(F.max("n").alias("n"), F.max("w").alias("w"), F.max("w2").alias("w2")), "windows")
+    twice = materialize(windows.groupBy("w", "w2").agg(F.sum("n").alias("places")).where("places > 1").select("w", "w2"), "twice")
+    span = F.struct(F.col("at").alias("a"), (F.col("at") + window).alias("b"))
+    return windows.join(twice, ["w", "w2"]).select("m", "h", F.array(span).alias("spans"))
 
 
 def repeated_stretches(segments: list[str], counts: np.ndarray, window: int = WINDOW) -> list[list[tuple[int, int]]]:
@@ -191,9 +207,11 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, id_col: str = "doc
     discard(often)
     kinds = repeated.groupBy("m", "h").agg(F.count("*").alias("n"), F.min(F.struct("k", "k2", "first", "last", "hot")).alias("r"))
     wanted = materialize(kinds.groupBy("r.k", "r.k2").agg(F.collect_list(F.struct("r.first", "r.last", "r.hot", "m", "h", "n")).alias("runs")), "wanted")
-    words = wanted.select(F.explode("runs").alias("r")).agg(F.sum(F.when(F.col("r.hot"), (F.col("r.last") - F.col("r.first") + 1) * window).otherwise(F.col("r.last") - F.col("r.first") + window))).first()[0] or 0
-    shards = max(1, -(-words // SHARD_WORDS))
+    words, any_hot = wanted.select(F.explode("runs").alias("r")).agg(F.sum(F.when(~F.col("r.hot"), F.col("r.last") - F.col("r.first") + window)), F.max("r.hot")).first()
+    shards = max(1, -(-(words or 0) // SHARD_WORDS))
     segments = _segments(keyed.join(wanted, ["k", "k2"]).select("text", "runs"), window)
+    if any_hot:
+        segments = materialize(segments, "segments")
 
     def search(table):
         given = {n: table[n].to_pylist() for n in ("m", "h", "at", "words", "n")}
@@ -205,7 +223,13 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, id_col: str = "doc
         hits = [(given["m"][k], given["h"][k], [{"a": a + given["at"][k], "b": b + given["at"][k]} for a, b in f]) for k, f in zip(pick, found) if f]
         return pa.table({n: [x[k] for x in hits] for k, n in enumerate(("m", "h", "spans"))}, schema=pa.schema([("m", pa.int64()), ("h", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))]))
 
-    hits = materialize(segments.withColumn("shard", F.pmod(F.xxhash64("home"), F.lit(shards))).groupBy("shard").applyInArrow(search, "m long, h long, spans array<struct<a int, b int>>"), "hits")
+    cold = segments.where("words IS NOT NULL")
+    hits = cold.select("m", "h", "at", "n", "words", F.pmod(F.xxhash64("m"), F.lit(shards)).alias("shard")).groupBy("shard").applyInArrow(search, "m long, h long, spans array<struct<a int, b int>>")
+    if any_hot:
+        hits = hits.union(_hot_hits(segments.where("words IS NULL"), window))
+    hits = materialize(hits, "hits")
+    if any_hot:
+        discard(segments)
     # one row for each repeated run, with its stretches if there are any
     placed = repeated.select("k", "k2", "first", "m", "h").join(hits, ["m", "h"], "left")
     shifted = F.transform("spans", lambda s: F.struct((s.a + F.col("first")).alias("a"), (s.b + F.col("first")).alias("b")))

@@ -415,6 +415,21 @@ def test_substrings_equal_brute_force(request, monkeypatch, name):
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out.collect()) == want
 
 
+def test_substrings_hot_windows_bring_no_words(spark, monkeypatch):
+    """A passage at whose edges each text has its own words: equal windows are counted, not gathered."""
+    monkeypatch.setattr(substrings, "HOT", 20)
+    seen = []
+    cut = substrings._segments
+    monkeypatch.setattr(substrings, "_segments", lambda *a: seen.append(cut(*a)) or seen[-1].cache())
+    passage = " ".join(f"p{k}" for k in range(60))
+    texts = [" ".join(f"a{i}.{k}" for k in range(40)) + f" {passage} " + " ".join(f"z{i}.{k}" for k in range(40)) for i in range(100)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = substrings.remove_repeats(df).collect()
+    assert [r.n_removed for r in out] == [60] * 100 and all("p1 " not in r.text for r in out)
+    gathered = Counter(tuple(r.words.split()[k : k + 35]) for r in seen[0].collect() if r.words is not None for k in range(len(r.words.split()) - 34))
+    assert max(gathered.values(), default=0) <= 20
+
+
 def test_substrings_keep_columns(odd, empty):
     out = substrings.remove_repeats(odd, counts=("__a", "__b"))
     assert out.columns == [*odd.columns, "__a", "__b"] and out.count() == odd.count()

@@ -7,8 +7,14 @@ begins with ``a``.  The heaviest chain of such merges, weighted by the length of
 lookahead.  :meth:`MergeList.lookahead` computes it; :meth:`MergeList.stream` keeps at most two
 lookaheads of symbols and emits a token as soon as it ends before the lookahead.
 
-Defined results: a null or empty text has no ids and decodes to the empty text; repeated rows give
-repeated results; strings of special tokens inside a text become their special ids, as the library does.
+Words are cut and put into normal form by Python's character tables.  A text that holds a code point which
+these tables don't know yet is cut by the normaliser and pre-tokenizer of the file itself instead, since the
+library may know it.
+
+Defined results: a null or empty text has no ids and decodes to the empty text; rows with equal ids or texts
+each give a result of their own; texts of any length are encoded whole, word by word; strings of special
+tokens inside a text become their special ids, as the library does; columns besides id and text are left
+out, so that their names can't clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +31,7 @@ from itertools import chain
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from quiverlake.llm.common import map_rows, text_of
 
@@ -162,6 +169,20 @@ class Encoder:
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
         self.marks = re.compile("(" + "|".join(map(re.escape, self.merges.special)) + ")")
+        self.file = Tokenizer.from_file(path)
+        self.letters = {c: b for b, c in enumerate(byte_alphabet())}
+        self.known: set[str] = set()
+
+    def _knows(self, text: str) -> bool:
+        """Python's tables have all signs of the text."""
+        fresh = set(text).difference(self.known)
+        odd = {c for c in fresh if unicodedata.category(c) == "Cn"}
+        self.known |= fresh - odd
+        return not odd
+
+    def _cut_by_file(self, text: str) -> list[str]:
+        pieces = self.file.pre_tokenizer.pre_tokenize_str(self.file.normalizer.normalize_str(text))
+        return [bytes(map(self.letters.__getitem__, p)).decode("utf-8") for p, _ in pieces]
 
     def _missed(self, word: str) -> tuple[int, ...]:
         ids = self.old.get(word) or self.merges.word(word)
@@ -174,6 +195,8 @@ class Encoder:
     def _piece(self, text: str) -> Iterator[tuple[int, ...]]:
         if _PLAIN.fullmatch(text):
             words = _SPLIT_PLAIN.findall(text.lower())
+        elif not self._knows(text):
+            words = self._cut_by_file(text)
         else:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
             words = _SPLIT.findall(text)

@@ -24,6 +24,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return down.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b")
 
 
+#: Parts into which the rows of a component are dealt where their names are joined.
+SALT = 16
+
+
+def with_smallest(rows: DataFrame, group: str, value: str, by: str) -> DataFrame:
+    """``rows`` with ``smallest``, the least non-null ``value`` of the row's ``group``.
+
+    A giant group is dealt out: its rows go to ``SALT`` parts by the hash of ``by``, and the group's one value
+    goes to each of them.
+    """
+    part = F.pmod(F.xxhash64(by), F.lit(SALT)).cast("int")
+    least = rows.groupBy(group).agg(F.min(value).alias("smallest")).withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("__part", part).join(least, [group, "__part"]).drop("__part")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges (a long, b long)`` to ``(node long, component long)``: the least node that links reach.
 

@@ -1,98 +1,152 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and phrases.
 
 Blank lines part sections, line ends part paragraphs, and a paragraph is cut into phrases at places that
-its own letters decide, so that an edit moves no cut far from it.  A phrase is hashed, a paragraph hashes
-its phrases, a section its paragraphs, the root its sections.  The fingerprint is the root followed by the
-branches, each phrase as eight hex digits and its length; equal roots mean equal texts, and walking down
-two fingerprints where branches differ locates the edits and their share of the text.
+its own bytes decide, so that an edit moves no cut far from it.  A phrase is hashed, a paragraph hashes the
+hashes of its phrases, a section those of its paragraphs, the root those of its sections.
+
+The fingerprint is the tree: the root (32 hex digits) and the bytes of all phrases; then, for each section,
+``:`` and its node, and for each paragraph ``.``, its node and its phrases.  A node is eight signs of base64
+(48 bits of its hash), a phrase too (41 bits of its hash and 7 of its length, which is below 128 bytes).
+Equal roots mean equal texts.  Two trees are walked down from the root, and only where nodes differ, which
+locates the edits and their share of the text.
 
 Defined results: null text counts as empty; an empty text has a tree with one empty paragraph, and two
 empty texts are alike (1.0); a document alone is its own successor; rows with equal ids follow each other
-in order of text; null ids come first.
+in order of text, so that repeated rows are each other's successors; null ids come first; ids are numbers or
+texts; other columns are left out, so that their names can't clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from base64 import b64decode, b64encode
 from collections import Counter
 
+import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiverlake.llm.common import map_rows, text_of
 from quiverlake.llm.ranges import IdRanges, range_parts
 
-#: A phrase ends after a space that follows one of these signs, or at 96 characters.
-_PHRASE = re.compile(r"[^\n]{1,95}?[dhtx.,;:!?] |[^\n]{1,96}")
+#: A phrase ends after a space that follows one of these signs, or at 96 bytes.
+_PHRASE = re.compile(rb"[^\n]{1,95}?[dhtx.,;:!?] |[^\n]{1,96}")
 _ROOT = 32
-_STEP = 10
+_NODE = 8
+_LENGTH_BITS = 7
+_LENGTH = np.uint64((1 << _LENGTH_BITS) - 1)
+
 
+def _signs(hashes: np.ndarray) -> str:
+    """48-bit numbers as eight signs each."""
+    return b64encode(hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()).decode()
 
-def _digest(data: bytes, size: int = 8) -> bytes:
-    return hashlib.blake2b(data, digest_size=size).digest()
+
+def _numbers(signs: str) -> np.ndarray:
+    wide = np.zeros((len(signs) // _NODE, 8), np.uint8)
+    wide[:, 2:] = np.frombuffer(b64decode(signs), np.uint8).reshape(-1, 6)
+    return wide.view(">u8").ravel()
 
 
 def fingerprint(text: str) -> str:
-    """Root and branches of the tree of a whole text."""
-    sections, parents = [], []
-    for section in text.split("\n\n"):
-        paragraphs, nodes = [], []
-        for paragraph in section.split("\n"):
-            phrases = [p.encode("utf-8", "surrogatepass") for p in _PHRASE.findall(paragraph)]
-            leaves = [_digest(p) for p in phrases]
-            nodes.append(_digest(b"p" + b"".join(leaves)))
-            paragraphs.append("".join([f"{d[:4].hex()}{min(len(p), 255):02x}" for d, p in zip(leaves, phrases)]))
-        parents.append(_digest(b"s" + b"".join(nodes)))
-        sections.append("-".join(paragraphs))
-    return _digest(b"r" + b"".join(parents), _ROOT // 2).hex() + ":" + "/".join(sections)
+    """The tree of a whole text."""
+    sections = [s.split(b"\n") for s in text.encode("utf-8", "surrogatepass").split(b"\n\n")]
+    paragraphs = [_PHRASE.findall(p) for s in sections for p in s]
+    phrases = [x for p in paragraphs for x in p]
+    lengths = np.fromiter(map(len, phrases), np.uint64, len(phrases))
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, phrases), np.uint64, len(phrases))
+    leaves = _signs((hashes >> np.uint64(23) << np.uint64(_LENGTH_BITS)) | lengths)
+    below, at = hashes.tobytes(), 0
+    nodes = []
+    for p in paragraphs:
+        nodes.append(xxhash.xxh3_64_intdigest(below[8 * at : 8 * (at + len(p))], 1))
+        at += len(p)
+    inner, firsts = np.array(nodes, np.uint64), np.cumsum([0, *map(len, sections)]).tolist()
+    tops = np.array([xxhash.xxh3_64_intdigest(inner[a:b].tobytes(), 2) for a, b in zip(firsts, firsts[1:])], np.uint64)
+    root = hashlib.blake2b(tops.tobytes(), digest_size=_ROOT // 2).hexdigest()
+    own, of_section = _signs(inner >> np.uint64(16)), _signs(tops >> np.uint64(16))
+    out, at, k = [root, str(int(lengths.sum()))], 0, 0
+    for n, s in enumerate(sections):
+        parts = [":" + of_section[_NODE * n : _NODE * (n + 1)]]
+        for _ in s:
+            end = at + len(paragraphs[k])
+            parts.append("." + own[_NODE * k : _NODE * (k + 1)] + leaves[_NODE * at : _NODE * end])
+            at, k = end, k + 1
+        out.append("".join(parts))
+    return out[0] + "".join(out[1:])
+
+
+def _split(tree: str) -> tuple[int, list[str]]:
+    """Bytes of all phrases, and the sections: node and paragraphs."""
+    size, *sections = tree[_ROOT:].split(":")
+    return int(size), sections
 
 
 def _left(a: list[str], b: list[str]) -> tuple[list[str], list[str]]:
-    """Branches of either side without an equal one on the other, counting repeats."""
-    x, y = Counter(a), Counter(b)
-    return list((x - y).elements()), list((y - x).elements())
+    """Branches of either side whose node the other lacks, counting repeats; only nodes are compared."""
+    x, y = Counter(t[:_NODE] for t in a), Counter(t[:_NODE] for t in b)
+    return _without(a, y), _without(b, x)
+
 
+def _without(branches: list[str], have: Counter) -> list[str]:
+    have, out = have.copy(), []
+    for t in branches:
+        if have[t[:_NODE]] > 0:
+            have[t[:_NODE]] -= 1
+        else:
+            out.append(t)
+    return out
 
-def _phrases(paragraph: str) -> list[str]:
-    return [paragraph[k : k + _STEP] for k in range(0, len(paragraph), _STEP)]
 
+def _below(sections: list[str]) -> list[str]:
+    return [p for s in sections for p in s[_NODE + 1 :].split(".")]
 
-def _weight(phrases: list[str]) -> int:
-    return sum(int(p[8:], 16) for p in phrases)
+
+def _phrases(paragraphs: list[str]) -> np.ndarray:
+    return _numbers("".join([p[_NODE:] for p in paragraphs]))
 
 
 def likeness(a: str, b: str) -> float:
-    """Share of the two texts, by bytes, that lies in equal branches."""
+    """Share of the two texts, by the bytes of phrases, that lies in equal branches."""
     if a[:_ROOT] == b[:_ROOT]:
         return 1.0
-    sa, sb = a[_ROOT + 1 :].split("/"), b[_ROOT + 1 :].split("/")
-    total = sum(_weight(_phrases(p)) for s in (sa, sb) for x in s for p in x.split("-"))
+    (na, sa), (nb, sb) = _split(a), _split(b)
+    if not na + nb:
+        return 0.0
     ra, rb = _left(sa, sb)
-    ra, rb = _left([p for s in ra for p in s.split("-")], [p for s in rb for p in s.split("-")])
-    ra, rb = _left([x for p in ra for x in _phrases(p)], [x for p in rb for x in _phrases(p)])
-    return 1 - (_weight(ra) + _weight(rb)) / total if total else 0.0
+    ra, rb = _left(_below(ra), _below(rb))
+    xa, xb = _phrases(ra), _phrases(rb)
+    (ua, ca), (ub, cb) = np.unique(xa, return_counts=True), np.unique(xb, return_counts=True)
+    both, ia, ib = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
+    shared = int((np.minimum(ca[ia], cb[ib]) * (both & _LENGTH).astype(np.int64)).sum())
+    left = int((xa & _LENGTH).sum()) + int((xb & _LENGTH).sum()) - 2 * shared
+    return 1 - left / (na + nb)
 
 
 def edits(a: str, b: str) -> list[tuple[int, int, int]]:
-    """Places (section, paragraph, phrase) of ``b`` whose branches have no equal in ``a``."""
+    """Places (section, paragraph, phrase) of ``b`` that ``a`` lacks; branches with equal nodes aren't entered.
+
+    A paragraph that differs in the order of its phrases alone has no such place.
+    """
     if a[:_ROOT] == b[:_ROOT]:
         return []
-    sa = a[_ROOT + 1 :].split("/")
-    have_s = Counter(sa)
-    have_p = Counter(p for s in sa for p in s.split("-"))
-    have_x = Counter(x for s in sa for p in s.split("-") for x in _phrases(p))
+    sa, sb = _split(a)[1], _split(b)[1]
+    left, _ = _left(sa, sb)
+    have_s, have_p = Counter(s[:_NODE] for s in sa), Counter(p[:_NODE] for p in _below(left))
+    have_x = Counter(_phrases(_without(_below(left), Counter(p[:_NODE] for p in _below(_without(sb, have_s))))).tolist())
     found = []
-    for i, s in enumerate(b[_ROOT + 1 :].split("/")):
-        if have_s[s]:
-            have_s[s] -= 1
+    for i, s in enumerate(sb):
+        if have_s[s[:_NODE]] > 0:
+            have_s[s[:_NODE]] -= 1
             continue
-        for j, p in enumerate(s.split("-")):
-            if have_p[p]:
-                have_p[p] -= 1
+        for j, p in enumerate(s[_NODE + 1 :].split(".")):
+            if have_p[p[:_NODE]] > 0:
+                have_p[p[:_NODE]] -= 1
                 continue
-            for k, x in enumerate(_phrases(p)):
-                if have_x[x]:
+            for k, x in enumerate(_numbers(p[_NODE:]).tolist()):
+                if have_x[x] > 0:
                     have_x[x] -= 1
                 else:
                     found.append((i, j, k))
@@ -124,7 +178,7 @@ def compare_with_successor(docs: DataFrame) -> DataFrame:
     target = lambda to, ahead: F.struct(to.cast("int").alias("part"), F.lit(ahead).alias("ahead"))
     sent = F.array_compact(F.array(
         target(where, 0),
-        F.when(ranges.at_bound("doc_id"), target(where - 1, 1)),
+        F.when(ranges.at_bound("doc_id", where), target(where - 1, 1)),
         F.when(ranges.is_first("doc_id"), target(F.lit(len(ranges.bounds)), 1)),
     ))
     placed = (

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiverlake.llm.common import map_rows, text_of
+from quiverlake.llm.common import keep_keys, map_rows, row_keys, text_of
 from quiverlake.llm.components import connected_components
 from quiverlake.llm.simhash import shingle_hashes
 from quiverlake.session import discard, materialize
@@ -34,11 +34,6 @@ WORDS = 5
 ROUNDS = 2
 
 
-def _keys(text_col: str, id_col: str) -> dict[str, F.Column]:
-    text = text_of(text_col)
-    return {"k": F.xxhash64(id_col, text), "k2": F.crc32(text.cast("binary"))}
-
-
 def low_hashes(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows ``(k, k2, id, s, n, low)``: hashes of the row, name of its set, size, the least hashes."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -49,7 +44,7 @@ def low_hashes(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text
             names = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
             yield {"k": b["k"], "k2": b["k2"], "id": b["id"], "s": names, "n": [len(x) for x in sets], "low": [x[: 2 * (len(x) // 5) + 1] for x in sets]}
 
-    given = docs.select(*[c.alias(n) for n, c in _keys(text_col, id_col).items()], F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    given = docs.select(*[c.alias(n) for n, c in row_keys(id_col, text_col).items()], F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     return map_rows(given, rows, f"k long, k2 long, id {kind}, s long, n int, low array<long>")
 
 
@@ -61,7 +56,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS, id_col: s
             sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in b["text"]]
             yield {"s": b["s"], "n": [len(x) for x in sets], "shingles": sets}
 
-    given = docs.select(*[c.alias(n) for n, c in _keys(text_col, id_col).items()], text_of(text_col).alias("text"))
+    given = docs.select(*[c.alias(n) for n, c in row_keys(id_col, text_col).items()], text_of(text_col).alias("text"))
     return map_rows(given.join(wanted, ["k", "k2"]).select("s", "text"), rows, "s long, n int, shingles array<long>").dropDuplicates(["s"])
 
 
@@ -140,16 +135,7 @@ def keep_one(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_c
     sets = materialize(whole_sets(docs, wanted, words, id_col, text_col), "sets")
     named = groups(places, sets)
     of_group = least.join(named, least.s == named.node, "left").groupBy(F.coalesce("component", "s").alias("c")).agg(F.min("r").alias("r"))
-    chosen = of_group.select("r.k", "r.k2")
-    rows = materialize(keys.groupBy("k", "k2").agg(F.count("*").alias("rows")).join(chosen, ["k", "k2"]), "chosen")
+    kept = keep_keys(docs, keys, of_group.select("r.k", "r.k2"), id_col, text_col)
     for t in (least, keys, places, sets):
         discard(t)
-    given = docs.withColumns({f"__{n}": c for n, c in _keys(text_col, id_col).items()})
-
-    def of(kept: DataFrame) -> DataFrame:
-        return given.join(kept.select(F.col("k").alias("__k"), F.col("k2").alias("__k2")), ["__k", "__k2"], "left_semi")
-
-    kept = of(rows.where("rows = 1"))
-    if not rows.where("rows > 1").isEmpty():
-        kept = kept.unionByName(of(rows.where("rows > 1")).dropDuplicates(["__k", "__k2"]))
-    return kept.select(*docs.columns)
+    return kept

@@ -24,8 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiverlake.llm.common import map_rows, text_of
-from quiverlake.llm.components import connected_components
+from quiverlake.llm.common import keep_keys, map_rows, row_keys, text_of
+from quiverlake.llm.components import connected_components, with_smallest
 from quiverlake.session import materialize
 
 WORDS = 4
@@ -102,20 +102,25 @@ class _Forest:
     """Union of positions; keeps the least position of each set as its root."""
 
     def __init__(self, n: int):
-        self.up = list(range(n))
+        self.up = np.arange(n)
 
-    def root(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
+    def roots(self) -> np.ndarray:
+        return self.up
 
     def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        for x, y in zip(a.tolist(), b.tolist()):
-            x, y = self.root(x), self.root(y)
-            if x != y:
-                self.up[max(x, y)] = min(x, y)
+        """Join the pairs, all at once: roots of pairs are hung below each other until no pair is apart."""
+        while True:
+            x, y = self.up[a], self.up[b]
+            apart = x != y
+            if not apart.any():
+                return
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            np.minimum.at(self.up, np.maximum(x, y), np.minimum(x, y))
+            while True:
+                above = self.up[self.up]
+                if (above == self.up).all():
+                    break
+                self.up = above
 
 
 def join_tiles(left: np.ndarray, right: np.ndarray | None, bits: int = BITS) -> list[tuple[int, int]]:
@@ -172,8 +177,9 @@ def join_tiles(left: np.ndarray, right: np.ndarray | None, bits: int = BITS) ->
         if fit.any():
             todo.append((below, xa[fit], xb[fit]))
     codes = np.concatenate([one, two]) if not own else one
-    signed = codes.view(np.int64).tolist()
-    return [(signed[x], signed[r]) for x in range(len(signed)) if (r := forest.root(x)) != x]
+    signed, roots = codes.view(np.int64), forest.roots()
+    below = np.nonzero(roots != np.arange(len(signed)))[0]
+    return list(zip(signed[below].tolist(), signed[roots[below]].tolist()))
 
 
 def link_fingerprints(fps: DataFrame, bits: int = BITS, tile: int = TILE) -> DataFrame:
@@ -230,8 +236,7 @@ def components(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFra
     groups = connected_components(link_fingerprints(fps, bits))
     named = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     in_group = named.join(groups, named.fp == groups.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    smallest = in_group.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_fp = in_group.join(smallest, "component").select("fp", "component_id")
+    of_fp = with_smallest(in_group, "component", "least", "fp").select("fp", F.col("smallest").alias("component_id"))
     return marked.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -240,6 +245,19 @@ def as_hex(fp: str = "fp") -> F.Column:
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
-    """Documents that are the representative of their group; all columns stay."""
-    kept = components(docs, words, bits).where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
+    """Exactly one row of each group, that of the smallest id (null last); all columns stay.
+
+    Where rows repeat, or share the smallest id, one of them is kept.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def rows(batches):
+        for b in batches:
+            yield {"k": b["k"], "k2": b["k2"], "id": b["id"], "fp": [fingerprint(t, words) for t in b["text"]]}
+
+    given = docs.select(*[c.alias(n) for n, c in row_keys().items()], F.col("doc_id").alias("id"), text_of().alias("text"))
+    marked = materialize(map_rows(given, rows, f"k long, k2 long, id {kind}, fp long"), "simhash")
+    groups = connected_components(link_fingerprints(marked.select("fp").distinct(), bits))
+    least = marked.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k", "k2")).alias("r"))
+    of_group = least.join(groups, least.fp == groups.node, "left").groupBy(F.coalesce("component", "fp").alias("c")).agg(F.min("r").alias("r"))
+    return keep_keys(docs, marked.select("k", "k2"), of_group.select("r.k", "r.k2"))

@@ -13,8 +13,10 @@ text falls into runs of windows with one minimiser; the run's words are a segmen
     it, and stretches as long as a window are reported as word intervals of the segment.
 4.  Intervals go back to the texts, whose other words are kept.
 
-Defined results: null and empty texts have no words; repeated rows remove each other's windows; a text
-without a repeated window keeps its exact text in :func:`remove_repeats`; the columns of the input stay.
+Defined results: null and empty texts have no words; repeated rows remove each other's windows, and so do
+rows with one id and different texts; texts of any length are cut by their windows; a text without a
+repeated window keeps its exact text in :func:`remove_repeats`; the columns of the input stay, but for one
+named like a count, which the count replaces; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from quiverlake.llm.common import add_columns, map_rows, text_of
+from quiverlake.llm.common import add_columns, map_rows, text_of, unused
 from quiverlake.llm.fmindex import FMIndex
 from quiverlake.session import discard, materialize
 
@@ -249,9 +251,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     """``docs`` with ``text_col`` reduced to the kept words, joined by one space, and the columns
     ``counts``: words and removed words.  A text that loses nothing stays as it is."""
     text = text_of(text_col)
-    given = docs.withColumns({"__k": F.xxhash64(id_col, text), "__k2": F.crc32(text.cast("binary"))})
-    spans = repeated_intervals(docs, window, id_col, text_col).select(F.col("k").alias("__k"), F.col("k2").alias("__k2"), F.col("spans").alias("__spans"))
-    joined = given.join(spans, ["__k", "__k2"], "left").drop("__k", "__k2")
+    k, k2, marked = unused(docs, "k", "k2", "spans")
+    given = docs.withColumns({k: F.xxhash64(id_col, text), k2: F.crc32(text.cast("binary"))})
+    spans = repeated_intervals(docs, window, id_col, text_col).toDF(k, k2, marked)
+    joined = given.join(spans, [k, k2], "left").drop(k, k2)
 
     def compute(texts: list, marks: list) -> dict:
         out = {text_col: [], counts[0]: [], counts[1]: []}
@@ -264,7 +267,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         return out
 
     fields = StructType([StructField(text_col, StringType()), *[StructField(c, LongType()) for c in counts]])
-    return add_columns(joined, [text_col, "__spans"], fields, compute, drop=("__spans",))
+    return add_columns(joined, [text_col, marked], fields, compute, drop=(marked,))
 
 
 def removal_digests(reduced: DataFrame) -> DataFrame:

@@ -6,31 +6,44 @@ vectors lies within ``ex * (1 + ey) + ey`` of the product of their int8 forms.
 multiplied (as float32, exact for such integers); only pairs that the bound leaves possibly above the
 threshold are computed again in double precision.
 
-Classes are dealt to G rows of tiles, and each pair of rows is one task.  A task returns, for each vector,
-the number of vectors it links to and at most one edge (a forest), never the pairs themselves.
+Classes are dealt to G rows of tiles, and each pair of rows is one task, so every class goes to G tasks; a row
+has at most ``ROW`` classes, fewer where there would be too few tasks.  Vectors travel as the bytes of their own
+components (four for a float), from which a task has both forms.  A task returns, for each vector, the number
+of vectors it links to and at most one edge (a forest), never the pairs themselves.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with
 nothing and are their own component, as are vectors of another length; equal vectors link with each other;
-rows with equal ids count as two vectors; a null id is reported as it is.
+rows with equal ids count as two vectors; a null id is reported as it is; columns besides id and vector are
+left out, so that their names can't clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiverlake.llm.components import connected_components
+from quiverlake.llm.components import connected_components, with_smallest
 from quiverlake.llm.simhash import _Forest
 from quiverlake.session import materialize
 
 THRESHOLD = 0.95
-#: Classes of one row of tiles, and of one product inside a task.
+#: Most and least classes of one row of tiles, and classes of one product inside a task.
 ROW = 6144
+LEAST_ROW = 512
 _BLOCK = 1024
 
 
+def tile_rows(n: int, tasks: int, row: int = ROW) -> int:
+    """Rows of tiles for ``n`` classes: as many as their size asks for, or as ``tasks`` pairs of rows need."""
+    wanted = math.ceil((math.sqrt(8 * tasks + 1) - 1) / 2)
+    return max(1, -(-n // row), min(wanted, n // LEAST_ROW))
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows scaled to length one in double precision; scaled by the largest part first, so none overflows."""
     x = x / np.abs(x).max(1, keepdims=True)
@@ -88,14 +101,19 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
         usable.groupBy("v").agg(F.count("*").alias("w"), F.min("id").alias("least"))
         .select("v", "w", "least", F.size("v").alias("dim"), F.monotonically_increasing_id().alias("c")), "classes")
     n = classes.count()
-    rows = max(1, -(-n // row))
+    rows = tile_rows(n, int(spark.conf.get("spark.sql.shuffle.partitions")), row)
+    kind = "<f4" if vectors.schema[vector_col].dataType.elementType.simpleString() == "float" else "<f8"
+
+    @F.pandas_udf("binary")
+    def packed(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: np.asarray(x, kind).tobytes())
+
     own = F.pmod(F.xxhash64("c"), F.lit(rows)).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
-    tiles = classes.select("c", "w", "v", "dim", own.alias("own")).withColumn("p", F.explode(pairs)).select("c", "w", "v", "own", "dim", "p.i", "p.j")
+    tiles = classes.select("c", "w", packed("v").alias("v"), "dim", own.alias("own")).withColumn("p", F.explode(pairs)).select("c", "w", "v", "own", "dim", "p.i", "p.j")
 
     def join(key, table):
-        v = table["v"].combine_chunks()
-        x = unit(np.asarray(v.flatten(), np.float64).reshape(table.num_rows, -1))
+        x = unit(np.frombuffer(b"".join(table["v"].to_pylist()), kind).astype(np.float64).reshape(table.num_rows, -1))
         c, w, home = (table[k].to_numpy() for k in ("c", "w", "own"))
         i, j = key[1].as_py(), key[2].as_py()
         left = home == i
@@ -109,7 +127,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
                 np.add.at(links, r, w[p])
                 forest.link(p, r)
         at = np.nonzero(links)[0]
-        return pa.table({"c": c[at], "links": links[at], "to": c[[forest.root(t) for t in at.tolist()]] if len(at) else c[at]}, schema=pa.schema([("c", pa.int64()), ("links", pa.int64()), ("to", pa.int64())]))
+        return pa.table({"c": c[at], "links": links[at], "to": c[forest.roots()[at]]}, schema=pa.schema([("c", pa.int64()), ("links", pa.int64()), ("to", pa.int64())]))
 
     found = materialize(tiles.groupBy("dim", "i", "j").applyInArrow(join, "c long, links long, to long"), "links")
     groups = connected_components(found.select(F.col("c").alias("a"), F.col("to").alias("b")))
@@ -118,8 +136,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
         classes.select("c", "w", "v", "least").join(counts, "c", "left").join(groups, F.col("c") == F.col("node"), "left")
         .select("v", "least", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "c").alias("component"))
     )
-    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_class = named.join(smallest, "component").select("v", "n_links", "component_id")
+    of_class = with_smallest(named, "component", "least", "v").select("v", "n_links", F.col("smallest").alias("component_id"))
     linked = usable.join(of_class, "v").select("id", "n_links", "component_id")
     alone = given.where(~_usable("v")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = linked.union(alone)

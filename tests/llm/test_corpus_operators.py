@@ -79,6 +79,27 @@ def test_bpe_equals_library(request, name):
         assert r.decoded == t.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_equals_library_for_every_code_point():
+    e, t = bpe.Encoder(registry.WORD_BPE), Tokenizer.from_file(registry.WORD_BPE)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(points), 200):
+        text = " ".join(f"{c} x{c}y{c}{c}7" for c in points[k : k + 200])
+        assert e.encode(text) == t.encode(text, add_special_tokens=False).ids, hex(ord(points[k]))
+
+
+def test_bpe_equals_library_for_odd_mixtures():
+    e, t, rng = bpe.Encoder(registry.WORD_BPE), Tokenizer.from_file(registry.WORD_BPE), random.Random(8)
+    odd = "\u0558\u1c89\ua7cb\U00010940\U0003e49baA1'sÉé\u0301\u0345ΣςİŉǅﬁßẞⅫ½ \n\x85\u3000漢<|endoftext|>"
+    for _ in range(4000):
+        text = "".join(rng.choice(odd) for _ in range(rng.randint(0, 25)))
+        assert e.encode(text) == t.encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_and_packing_of_empty_tables(empty):
+    assert bpe.roundtrip_digests(bpe.encode_and_decode(empty, registry.WORD_BPE)).count() == 0
+    assert packing.piece_digests(packing.pack(empty, registry.BYTE_BPE)).count() == 0
+
+
 def test_bpe_streams_with_bounded_memory():
     m = bpe.MergeList(registry.WORD_BPE)
     rng = random.Random(1)
@@ -145,6 +166,12 @@ def test_merkle_locates_edits(empty):
     assert merkle.edits(a, a) == [] and merkle.likeness(a, a) == 1
     assert {(s, p) for s, p, _ in merkle.edits(a, b)} == {(0, 1)}
     assert 0 < merkle.likeness(a, b) < 1
+    # only nodes are compared on the way down: what lies below an equal node isn't looked at
+    head, sections = merkle._split(a)
+    blind = a[: merkle._ROOT] + f"{head}:" + sections[0] + ":" + sections[1][: merkle._NODE] + ".damaged"
+    assert merkle.edits(blind.replace(a[0], "0" if a[0] != "0" else "1", 1), b) == merkle.edits(a, b)
+    long = "字" * 400 + " d " + "x" * 400
+    assert merkle.likeness(merkle.fingerprint(long), merkle.fingerprint(long + "!")) > 0.9
     assert merkle.fingerprint("a\nb") != merkle.fingerprint("a\n\nb")
     assert merkle.compare_with_successor(empty).count() == 0
 
@@ -152,11 +179,34 @@ def test_merkle_locates_edits(empty):
 # -- 4 -------------------------------------------------------------------------
 
 
+def _wrapped(text, mark=" * ", width=60):
+    lines, now = [], ""
+    for w in text.split(" "):
+        if len(now) + len(w) > width:
+            lines.append(now)
+            now = ""
+        now = f"{now} {w}".strip()
+    return "\n".join(mark + x for x in [*lines, now])
+
+
 def test_license_rules(spark, odd, empty):
-    text = " ".join(licenses.SENTENCES[k] + "." for k in ("mit-grant", "mit-notice", "mit-warranty"))
-    assert [m[0] for m in licenses.matches(licenses.identifiers(text))] == ["mit-text"]
-    shuffled = " ".join(licenses.SENTENCES[k] + "." for k in ("mit-notice", "mit-grant", "mit-warranty"))
-    assert licenses.matches(licenses.identifiers(shuffled)) == []
+    for rule, licence, text in licenses.NOTICES:
+        for form in (text, _wrapped(text), _wrapped(text, "# "), "// file\n/*\n" + _wrapped(text) + "\n */\ncode();", "Before.\n\n" + text.replace(". ", ".\n\n") + "\n\nAfter."):
+            assert [m[:2] for m in licenses.matches(licenses.identifiers(form))] == [(rule, licence)], (rule, form)
+    bsd = next(t for r, _, t in licenses.NOTICES if r == "bsd3-text")
+    numbered = bsd.replace("met: ", "met:\n\n1. ").replace("disclaimer. R", "disclaimer.\n2. R").replace("distribution. N", "distribution.\n\n3. N")
+    assert [m[1] for m in licenses.matches(licenses.identifiers(numbered))] == ["BSD-3-Clause"]
+    for rule, licence, names in licenses.NAMES:
+        for name in names:
+            assert [m[:2] for m in licenses.matches(licenses.identifiers(f"some words\nReleased under {name}.\nmore words"))] == [(rule, licence)]
+    for tag in ("MIT", "Apache-2.0", "GPL-2.0-or-later"):
+        assert [m[1] for m in licenses.matches(licenses.identifiers(f"#!/bin/sh\n# SPDX-License-Identifier: {tag}\necho"))] == [tag]
+    parts = next(t for r, _, t in licenses.NOTICES if r == "mit-text").split(". ")
+    assert licenses.matches(licenses.identifiers(". ".join([parts[1], parts[0]]))) == []
+    spelled = defaultdict(list)
+    for n, k in licenses.KNOWN.items():
+        spelled[k].append(n)
+    assert all(any(all(any(h in n for h in licenses.HINTS) for n in spelled[i]) for i in ids) for _, _, ids in licenses.RULES)
     found = Counter(r.licence for r in licenses.scan(odd).collect())
     assert found == {"MIT": 1, "CC-BY-NC-4.0": 1, "GPL-3.0-only": 1}
     assert licenses.scan(empty).count() == 0
@@ -187,6 +237,9 @@ def test_vectors_equal_brute_force(spark):
     want |= {(1000 + k, 0, 1000 + k, True) for k in range(len(odd))}
     assert got == want
     assert vectors.near_vectors(df.limit(0)).count() == 0
+    wide = df.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(wide).collect()} == got
+    assert [vectors.tile_rows(n, t) for n, t in ((0, 211), (400, 211), (10256, 211), (51282, 51), (10**6, 6))] == [1, 1, 20, 10, 163]
 
 
 def test_quantisation_bound_is_rigorous():
@@ -272,8 +325,15 @@ def test_gray_index_joins_like_all_pairs(spark):
 def test_simhash_keeps_one(odd, empty):
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns
-    groups = simhash.components(odd)
-    assert kept.select("doc_id").distinct().count() == groups.select("component_id").distinct().count()
+    rows = _pairs(odd)
+    f = [_simhash(t) for _, t in rows]
+    comp = _components(len(f), [(a, b) for a in range(len(f)) for b in range(a + 1, len(f)) if (f[a] ^ f[b]).bit_count() <= 4])
+    ids = defaultdict(list)
+    for k, c in enumerate(comp):
+        ids[c].append((rows[k][0] is None, rows[k][0] or 0))
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted(min(v) for v in ids.values())
+    twice = odd.where("doc_id = 9").union(odd.where("doc_id = 9"))
+    assert simhash.keep_one(twice).count() == 1
     assert simhash.components(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
@@ -430,6 +490,30 @@ def test_substrings_hot_windows_bring_no_words(spark, monkeypatch):
     assert max(gathered.values(), default=0) <= 20
 
 
+def test_settings_and_odd_columns(spark, odd, sf):
+    before = dict(spark.conf.getAll) if not callable(spark.conf.getAll) else dict(spark.conf.getAll())
+    clash = odd.withColumns({"k": F.lit("mine"), "k2": F.lit(2), "spans": F.lit("s"), "_k": F.lit(1.5), "fp": F.lit("f"), "s": F.lit("z"), "n": F.lit("n")})
+    out = substrings.remove_repeats(clash)
+    assert out.columns == [*clash.columns, "n_removed"]
+    assert all((r.k, r.k2, r.spans, r._k) == ("mine", 2, "s", 1.5) for r in out.collect())
+    for stage in (lambda d: simhash.keep_one(d), near_copies.keep_one, *(lambda d, f=f: f(spark, d, sf) for _, f in corpus_pipeline.STAGES[:-1])):
+        done = stage(clash)
+        assert done.columns == clash.columns and all(r.k == "mine" for r in done.collect())
+    assert (dict(spark.conf.getAll) if not callable(spark.conf.getAll) else dict(spark.conf.getAll())) == before
+
+
+def test_text_ids(spark, odd, tmp_path):
+    df = odd.withColumn("doc_id", F.concat(F.lit("d"), F.lpad((F.col("doc_id") + 6).cast("string"), 3, "0")))
+    t = Tokenizer.from_file(registry.BYTE_BPE)
+    rows = sorted(_pairs(df), key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    token_files.write_tokens(df, f"{tmp_path}/t", registry.BYTE_BPE)
+    got = sorted((r.start, r.doc_id, len(r.tokens) // 4) for r in token_files.read_tokens(spark, f"{tmp_path}/t").collect())
+    assert [(i, n) for _, i, n in got] == [(i, len(t.encode(x, add_special_tokens=False).ids) + 1) for i, x in rows]
+    near = Counter((r.doc_id, round(r.near_next, 9)) for r in merkle.compare_with_successor(df).collect())
+    want = Counter((i, round(merkle.likeness(merkle.fingerprint(x), merkle.fingerprint(rows[(k + 1) % len(rows)][1])), 9)) for k, (i, x) in enumerate(rows))
+    assert near == want
+
+
 def test_substrings_keep_columns(odd, empty):
     out = substrings.remove_repeats(odd, counts=("__a", "__b"))
     assert out.columns == [*odd.columns, "__a", "__b"] and out.count() == odd.count()
@@ -462,9 +546,7 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, sf):
     kept_ids = {r.doc_id for r in good.select("doc_id").collect()}
     assert sum((r.doc_id in kept_ids) == bool(r.quality) for r in judged) >= 0.95 * len(judged)
     rows = sorted(_pairs(good))
-    f = [_simhash(t) for _, t in rows]
-    comp = _components(len(f), [(a, b) for a in range(len(f)) for b in range(a + 1, len(f)) if (f[a] ^ f[b]).bit_count() <= 4])
-    rows = [r for k, r in enumerate(rows) if comp[k] == k]
+    rows = [rows[k] for k in sorted(set(_near_copies(rows)))]
     words = [(i, re.findall(r"[^\x20\x09-\x0D]+", t), t) for i, t in rows]
     seen = Counter(tuple(w[k : k + 35]) for _, w, _ in words for k in range(len(w) - 34))
     t = Tokenizer.from_file(registry.BYTE_BPE)
@@ -493,6 +575,6 @@ def test_license_sql_agrees(spark, sf):
 
     db = duckdb.connect()
     db.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
-    cols = ["doc_id", "licence", "rule", "first_sentence", "last_sentence"]
+    cols = ["doc_id", "licence", "rule", "first_word", "end_word"]
     want = db.sql(f"SELECT {', '.join(cols)} FROM ({licenses.oracle_sql()})").fetchall()
     assert sorted(tuple(r) for r in registry.op4_licenses(spark, sf).select(*cols).collect()) == sorted(want)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiverlake.llm import near_copies, packing, quality, substrings
-from quiverlake.llm.common import table
+from quiverlake.llm.common import table, unused
 from quiverlake.llm.registry import BYTE_BPE
 from quiverlake.session import materialize
 
@@ -19,7 +19,8 @@ from quiverlake.session import materialize
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality ranking accepts; labels of held-out rows aren't learned from."""
     ranking = quality.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~quality.held_out()))
-    return quality.score(docs, ranking, "__quality").where(F.col("__quality") >= quality.CUT).select(*docs.columns)
+    mark = unused(docs, "quality")[0]
+    return quality.score(docs, ranking, mark).where(F.col(mark) >= quality.CUT).select(*docs.columns)
 
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +30,9 @@ def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of windows that occur elsewhere; ``n_chars`` follows the text."""
-    reduced = substrings.remove_repeats(docs, counts=("__words", "__removed"))
-    length = F.when(F.col("__removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+    words, removed = unused(docs, "words", "removed")
+    reduced = substrings.remove_repeats(docs, counts=(words, removed))
+    length = F.when(F.col(removed) > 0, F.length("text")).otherwise(F.col("n_chars"))
     return reduced.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

@@ -111,6 +111,49 @@ def sanitize(text: Column, most: int = 80) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(text, r"[^A-Za-z0-9._-]+", "_"), "^_+|_+$", ""), 1, most)
 
 
+def sanitize_segment(text: Column) -> Column:
+    """One path segment: spaces and slashes become ``_``, other signs of any script stay; empty is ``unnamed``."""
+    flat = F.translate(F.btrim(text, F.lit(" \t\n\r\x0b\x0c")), " /\\\0", "____")
+    return F.when(flat == "", "unnamed").otherwise(flat)
+
+
+def sanitize_name(text: Column) -> Column:
+    """A tool's name: lower case; each sign but a-z, 0-9, ``-`` and ``_`` becomes ``_``."""
+    return F.regexp_replace(F.lower(text), "[^a-z0-9_-]", "_")
+
+
+def sanitize_file(text: Column, most: int = 100) -> Column:
+    """A file name: slashes and colons become ``_``, spaces ``-``; cut to ``most`` bytes."""
+    flat = F.translate(text, "/\\: ", "___-")
+    return F.when(F.octet_length(flat) > most, F.make_valid_utf8(F.substring(F.encode(flat, "UTF-8"), 1, most).cast("string"))).otherwise(flat)
+
+
+def sanitize_plain(text: Column) -> Column:
+    """Letters and digits of ASCII, ``-`` and ``_`` stay; each other sign becomes ``_``."""
+    return F.regexp_replace(text, "[^A-Za-z0-9_-]", "_")
+
+
+#: Categories that the user's and the agent's memories keep (fixed values).
+USER_CATEGORIES = ("preferences", "entities", "events")
+AGENT_CATEGORIES = ("cases", "patterns", "tools", "skills")
+
+
+def category_prefix(category: Column, user_space: Column, agent_space: Column, scheme: str = SCHEME) -> Column:
+    """Where memories of a category lie; empty for those that aren't searched."""
+    place = lambda who, space: F.concat(F.lit(f"{scheme}://{who}/"), space, F.lit("/memories/"), category, F.lit("/"))
+    return F.when(category.isin(*USER_CATEGORIES), place("user", user_space)).when(category.isin(*AGENT_CATEGORIES), place("agent", agent_space)).otherwise("")
+
+
+def root_uris(context_type: Column, role: Column, user_space: Column, agent_space: Column, scheme: str = SCHEME) -> Column:
+    """Array of the roots at which a search begins, by type; root users begin anywhere (an empty array)."""
+    at = lambda who, space, what: F.concat(F.lit(f"{scheme}://{who}/"), space, F.lit(f"/{what}"))
+    memories = [at("user", user_space, "memories"), at("agent", agent_space, "memories")]
+    resources, skills = F.lit(f"{scheme}://resources"), at("agent", agent_space, "skills")
+    none = F.array().cast("array<string>")
+    by_type = F.when(context_type == "memory", F.array(*memories)).when(context_type == "resource", F.array(resources)).when(context_type == "skill", F.array(skills))
+    return F.when(role == "root", none).otherwise(F.coalesce(by_type, F.array(*memories, resources, skills)))
+
+
 def accessible(uri: Column, role: Column, user_space: Column, agent_space: Column, scheme: str = SCHEME) -> Column:
     """Whether the caller may see the URI."""
     sc, own = scope(uri, scheme), space(uri, scheme)

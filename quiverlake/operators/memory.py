@@ -7,8 +7,10 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quiverlake.functions import scoring
 from quiverlake.functions import uri as U
@@ -58,18 +60,34 @@ def parse_blocks(patch: str) -> list[tuple[str, str]]:
 
 
 def fold_text(patches: DataFrame, key: str, seq: str, field: str) -> DataFrame:
-    """String patches in order: blocks are applied, other texts replace, empty ones keep."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        text = ""
-        for p in pdf.sort_values(seq)[field]:
-            if p:
-                blocks = parse_blocks(p)
-                text = apply_blocks(text, blocks) if blocks else p
-        return pd.DataFrame({key: [pdf[key].iloc[0]], field: [text]})
-
-    kind = patches.schema[key].dataType.simpleString()
-    return patches.select(key, seq, field).groupBy(key).applyInPandas(run, f"{key} {kind}, {field} string")
+    """String patches in order: blocks are applied, other texts replace, empty ones keep.
+
+    Patches stream by in order of key and ``seq``; a task holds the running text of one key, never its
+    patches.  Patches of one ``seq`` follow each other in order of their text; a null key is a key.
+    """
+
+    kind = patches.select(key, field).schema
+
+    def run(batches):
+        schema = to_arrow_schema(kind)
+        at, text, begun = None, "", False
+        for b in batches:
+            keys, texts = [], []
+            for k, p in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                if begun and k != at:
+                    keys.append(at)
+                    texts.append(text)
+                    text = ""
+                at, begun = k, True
+                if p:
+                    blocks = parse_blocks(p)
+                    text = apply_blocks(text, blocks) if blocks else p
+            yield pa.RecordBatch.from_arrays([pa.array(keys, schema.field(0).type), pa.array(texts, schema.field(1).type)], schema=schema)
+        if begun:
+            yield pa.RecordBatch.from_arrays([pa.array([at], schema.field(0).type), pa.array([text], schema.field(1).type)], schema=schema)
+
+    ordered = patches.select(key, seq, field).repartition(F.col(key)).sortWithinPartitions(key, seq, field)
+    return ordered.mapInArrow(run, kind)
 
 
 def decide(decisions: DataFrame, actions: DataFrame) -> DataFrame:

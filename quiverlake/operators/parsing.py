@@ -2,28 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiverlake.functions import text as X
 
 
+#: White space inside a line, for patterns (fixed value).
+_BLANK = r"[ \t\r\x0b\x0c]"
+
+
 def sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Sections ``(key, section, level, heading, content)``: a line that begins with one to three ``#`` and
     a space starts one; what stands before the first has level 0 and no heading.
 
-    Lines are grouped inside the row, without a shuffle; a text is one row whatever its length.
+    Each text is cut inside its row before the lines that are headings, so nothing is shuffled and rows with
+    equal keys stay apart.
     """
-    lines = F.split(F.col(text), "\n")
-    level = lambda s: F.when(F.startswith(s, F.lit("# ")), 1).when(F.startswith(s, F.lit("## ")), 2).when(F.startswith(s, F.lit("### ")), 3).otherwise(0)
-    marked = docs.select(key, F.posexplode(lines).alias("pos", "line")).withColumn("level", level(X.strip(F.col("line"))))
-    sid = F.sum((F.col("level") > 0).cast("int")).over(Window.partitionBy(key).orderBy("pos"))
-    grouped = marked.withColumn("section", sid).groupBy(key, "section").agg(
-        F.max("level").alias("level"), F.max(F.when(F.col("level") > 0, F.regexp_replace(X.strip(F.col("line")), r"^#+\s+", ""))).alias("heading"),
-        F.array_sort(F.collect_list(F.when(F.col("level") == 0, F.struct("pos", "line")))).alias("body"),
-    )
-    content = X.strip(F.array_join(F.col("body.line"), "\n"))
-    return grouped.select(key, F.col("section").cast("int").alias("section"), "level", F.coalesce("heading", F.lit("")).alias("heading"), content.alias("content")).where((F.col("level") > 0) | (F.col("content") != ""))
+    head = rf"{_BLANK}*#{{1,3}} [^\n]*[^ \t\r\x0b\x0c\n]"
+    parts = F.split(F.col(text), rf"\n(?={head})")
+    cut = docs.select(key, F.rlike(F.col(text), F.lit(f"^{head}")).cast("int").alias("begins"), F.posexplode(parts).alias("pos", "part"))
+    titled = (F.col("pos") > 0) | (F.col("begins") == 1)
+    line = X.strip(F.substring_index("part", "\n", 1))
+    level = F.when(titled, F.length(F.regexp_extract(line, "^#+", 0))).otherwise(0)
+    heading = F.when(titled, F.regexp_replace(line, r"^#+\s+", "")).otherwise("")
+    rest = F.when(titled, F.regexp_replace("part", r"^[^\n]*\n?", "")).otherwise(F.col("part"))
+    out = cut.select(key, (F.col("pos") + F.col("begins")).alias("section"), level.alias("level"), heading.alias("heading"), X.strip(rest).alias("content"))
+    return out.where((F.col("level") > 0) | (F.col("content") != ""))
 
 
 def front_matter(text: Column) -> tuple[Column, Column]:
@@ -39,40 +48,111 @@ def skill_sections(sections_table: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def chunks(docs: DataFrame, size: int, overlap: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Overlapping character chunks ``(key, chunk, start, content)``; stops once the end is reached."""
-    n = F.length(text)
-    count = F.when(n <= size, 1).otherwise(F.ceil((n - overlap) / (size - overlap))).cast("int")
-    starts = F.transform(F.sequence(F.lit(0), count - 1), lambda k: k * (size - overlap))
-    rows = docs.select(key, text, F.posexplode(starts).alias("chunk", "start"))
-    return rows.select(key, "chunk", "start", F.expr(f"substring({text}, start + 1, {size})").alias("content"))
-
-
-#: Patterns of names by language (fixed values): types, functions, imports.
-SKELETONS = {
-    "python": (r"(?m)^class\s+(\w+)", r"(?m)^\s*(?:async\s+)?def\s+(\w+)\s*\(", r"(?m)^(?:from|import)\s+([\w.]+)"),
-    "javascript": (r"(?m)^\s*(?:export\s+)?(?:default\s+)?class\s+(\w+)", r"(?m)^\s*(?:export\s+)?(?:async\s+)?function\s+(\w+)", r"(?m)^import\s+.*?from\s+['\"]([^'\"]+)"),
-    "java": (r"(?m)^\s*(?:public\s+|final\s+|abstract\s+)*(?:class|interface|enum)\s+(\w+)", r"(?m)^\s+(?:public|private|protected)\s+(?:static\s+)?[\w<>\[\]]+\s+(\w+)\s*\(", r"(?m)^import\s+(?:static\s+)?([\w.*]+);"),
-    "rust": (r"(?m)^\s*(?:pub\s+)?(?:struct|enum|trait)\s+(\w+)", r"(?m)^\s*(?:pub\s+)?(?:async\s+)?fn\s+(\w+)", r"(?m)^use\s+([^;]+);"),
-    "ruby": (r"(?m)^\s*(?:class|module)\s+([A-Z]\w*)", r"(?m)^\s*def\s+([\w.?!]+)", r"(?m)^require\s+['\"]([^'\"]+)"),
-    "csharp": (r"(?m)^\s*(?:public\s+|internal\s+|abstract\s+|sealed\s+|static\s+)*(?:class|interface|struct|record|enum)\s+(\w+)", r"(?m)^\s+(?:public|private|protected|internal)\s+(?:static\s+|async\s+|override\s+)*[\w<>\[\]?]+\s+(\w+)\s*\(", r"(?m)^using\s+([\w.]+);"),
-    "go": (r"(?m)^type\s+(\w+)\s+(?:struct|interface)", r"(?m)^func\s+(?:\([^)]*\)\s*)?(\w+)\s*\(", r"(?m)^\s*(?:import\s+)?\"([^\"]+)\"\s*$"),
-    "php": (r"(?m)^\s*(?:abstract\s+|final\s+)?(?:class|interface|trait)\s+(\w+)", r"(?m)^\s*(?:public\s+|private\s+|protected\s+|static\s+)*function\s+(\w+)", r"(?m)^use\s+([\w\\]+)"),
-    "cpp": (r"(?m)^\s*(?:class|struct)\s+(\w+)\s*[:{]", r"(?m)^[\w:<>&*\s]+?\b([\w~:]+)\s*\([^;{]*\)\s*(?:const\s*)?\{", r"(?m)^#include\s+[<\"]([^>\"]+)"),
+    """Overlapping chunks ``(key, chunk, start, content)`` of at most ``size`` characters.
+
+    A chunk ends behind the last blank line of its second half, if there is one, and is stripped; blank chunks
+    are left out.  The next chunk begins ``overlap`` characters before that end, the last one reaches the end
+    of the text.  Null texts have no chunks.  ``overlap`` is less than half of ``size``.
+    """
+    if not 0 <= 2 * overlap < size:
+        raise ValueError("overlap must be less than half of size")
+
+    @F.pandas_udf("array<struct<start:int,content:string>>")
+    def cut(texts: pd.Series) -> pd.Series:
+        def pieces(t: str) -> list[dict]:
+            out, at = [], 0
+            while at < len(t):
+                end = at + size
+                if end < len(t):
+                    blank = t.rfind("\n\n", at, end) - at
+                    end = at + blank + 2 if blank > size // 2 else end
+                if body := t[at:end].strip(_SPACES):
+                    out.append({"start": at, "content": body})
+                if end >= len(t):
+                    break
+                at = end - overlap
+            return out
+
+        return texts.map(lambda t: pieces(t or ""))
+
+    rows = docs.select(key, F.posexplode(cut(F.col(text))).alias("chunk", "c"))
+    return rows.select(key, "chunk", "c.start", "c.content")
+
+
+_SPACES = " \t\n\r\x0b\x0c"
+_ARGS = r"\(([^)]*)\)"
+
+
+@dataclass(frozen=True)
+class Grammar:
+    """Patterns of what the source files of a language declare; groups are numbered from 1.
+
+    ``types`` has the name and the base, ``functions`` receiver or modifier, name, parameters and result.
+    """
+
+    types: str
+    functions: str
+    imports: str
+    package: str = ""
+    word: str = "package"
+    interfaces: str = ""
+    constants: str = ""
+    methods: str = ""
+
+
+def _words(*names: str) -> str:
+    """Any of the modifiers, in any order and number."""
+    return rf"(?:(?:{'|'.join(names)})\s+)*"
+
+
+_CURLY = r"(?m)^[ \t]*"
+_JS_NAME = r"(?m)^(?:export\s+)?(?:default\s+)?"
+#: How each language spells its declarations.
+GRAMMARS = {
+    "python": Grammar(r"(?m)^class\s+(\w+)(?:\(([^)]*)\))?\s*:", rf"(?m)^(async\s+)?def\s+(\w+){_ARGS}(?:\s*->\s*([^:\n]+))?", r"(?m)^(?:import|from)\s+([\w.]+)", methods=r"(?m)^\s{4}(?:async\s+)?def\s+(\w+)\("),
+    "javascript": Grammar(rf"{_JS_NAME}class\s+(\w+)(?:\s+extends\s+(\w+))?", rf"{_JS_NAME}(async\s+)?(?:function\s+|(?:const|let|var)\s+(?=\w+\s*=\s*(?:async\s*)?\([^)]*\)\s*(?::\s*\w+\s*)?=>))(\w+)\s*(?:=\s*(?:async\s*)?)?{_ARGS}(?:\s*:\s*(\w+))?", r"(?m)^import\s[^\n]*?from\s+['\"]([^'\"]+)"),
+    "java": Grammar(rf"{_CURLY}{_words('public', 'protected', 'private', 'abstract', 'final', 'static')}(?:class|interface|enum|record)\s+(\w+)(?:\s+extends\s+(\w+))?", rf"(?m)^[ \t]+(public|protected|private|)\s*{_words('static', 'abstract', 'final', 'synchronized')}(?!return|new|else|throw)[\w<>\[\], ]+?\s+(\w+)\s*{_ARGS}()", r"(?m)^import\s+(?:static\s+)?([\w.*]+);", r"(?m)^package\s+([\w.]+);"),
+    "rust": Grammar(rf"{_CURLY}(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum)\s+(\w+)()", rf"{_CURLY}(pub\s+)?(?:async\s+)?fn\s+(\w+)\s*(?:<[^>]*>)?{_ARGS}(?:\s*->\s*([^\s{{;]+))?", r"(?m)^use\s+([\w:]+)", interfaces=rf"{_CURLY}(?:pub\s+)?trait\s+(\w+)"),
+    "ruby": Grammar(rf"{_CURLY}class\s+(\w+)(?:\s*<\s*(\w+))?", rf"{_CURLY}()def\s+([\w.?!]+)(?:{_ARGS})?()", r"(?m)^require(?:_relative)?\s+['\"]([^'\"]+)", rf"{_CURLY}module\s+(\w+)", "module"),
+    "csharp": Grammar(rf"{_CURLY}{_words('public', 'internal', 'private', 'protected', 'abstract', 'sealed', 'static', 'partial')}(?:class|struct|record|enum)\s+(\w+)(?:\s*:\s*([\w.<>]+))?", rf"(?m)^[ \t]+(public|protected|private|internal)\s+{_words('static', 'async', 'override', 'virtual')}[\w<>\[\]?]+\s+(\w+)\s*{_ARGS}()", r"(?m)^using\s+([\w.]+);", rf"{_CURLY}namespace\s+([\w.]+)", "namespace", rf"{_CURLY}(?:public\s+|internal\s+)?interface\s+(\w+)"),
+    "go": Grammar(r"(?m)^type\s+(\w+)\s+struct\b()", rf"(?m)^func\s+(?:\((?:\w+\s+)?\*?(\w+)\)\s+)?(\w+)\s*{_ARGS}[ \t]*(\([^)]*\)|[^\s{{]+)?", r"(?m)^\s*(?:import\s+)?\"([^\"]+)\"\s*$", r"(?m)^package\s+(\w+)", "package", r"(?m)^type\s+(\w+)\s+interface\b", r"(?m)^const\s+(\w+)"),
+    "php": Grammar(rf"{_CURLY}{_words('abstract', 'final')}(?:class|trait)\s+(\w+)(?:\s+extends\s+(\w+))?", rf"{_CURLY}(public|protected|private|)\s*{_words('static', 'abstract', 'final')}function\s+(\w+)\s*{_ARGS}(?:\s*:\s*([^\s{{;]+))?", r"(?m)^use\s+([\w\\]+)", r"(?m)^namespace\s+([\w\\]+);", "namespace", rf"{_CURLY}interface\s+(\w+)"),
+    "cpp": Grammar(rf"{_CURLY}(?:class|struct)\s+(\w+)\s*(?::\s*(?:public|protected|private)\s+(\w+)|(?=[{{;\n]))", rf"(?m)^{_words('static', 'inline', 'virtual', 'extern', 'explicit')}()(?!(?:return|else|new)\b)\w[\w:*&<> ]*?\s+[*&]*(?!(?:if|for|while|switch)\b)([\w:~]+)\s*{_ARGS}()", r"(?m)^#include\s+[<\"]([^>\"]+)", r"(?m)^namespace\s+(\w+)", "namespace", constants=rf"{_CURLY}enum\s+(?:class\s+)?(\w+)"),
 }
-SKELETONS |= {"typescript": SKELETONS["javascript"], "c": SKELETONS["cpp"]}
+GRAMMARS |= {"typescript": GRAMMARS["javascript"], "c": GRAMMARS["cpp"]}
 
 
 def skeletons(files: DataFrame) -> DataFrame:
-    """Names that source files ``(path, content)`` declare: arrays ``types``, ``functions`` and ``imports``."""
-    ext = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
-    language = X.language_of_extension(ext)
+    """What source files ``(path, content)`` declare, found by patterns of their language.
+
+    Columns: ``path``, ``language``, ``package``, ``types`` (name, base), ``methods`` (indented functions of
+    Python), ``functions`` (owner, name, params, returns), ``imports``, ``interfaces``, ``constants``,
+    ``lines`` and ``abstract``, one line for each declaration.  Files of other languages declare nothing.
+    """
+    rows = files.withColumn("language", X.language_of_extension(F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))))
 
-    def found(k: int) -> Column:
-        picks = [F.when(F.col("language") == name, F.regexp_extract_all("content", F.lit(p[k]), F.lit(1))) for name, p in SKELETONS.items()]
+    def found(pattern: Callable[[Grammar], str], group: int = 1) -> Column:
+        picks = [F.when(F.col("language") == name, F.regexp_extract_all("content", F.lit(pattern(g)), F.lit(group))) for name, g in GRAMMARS.items() if pattern(g)]
         return F.coalesce(*picks, F.array().cast("array<string>"))
 
-    rows = files.withColumn("language", language)
-    return rows.select("path", "language", found(0).alias("types"), found(1).alias("functions"), found(2).alias("imports"), F.size(F.split("content", "\n")).alias("lines"))
+    def zipped(pattern: Callable[[Grammar], str], names: list[str]) -> Column:
+        table = F.arrays_zip(*[found(pattern, k + 1).alias(n) for k, n in enumerate(names)])
+        return F.transform(table, lambda r: F.struct(*[F.regexp_replace(X.strip(F.coalesce(r[n], F.lit(""))), r"\s+", " ").alias(n) for n in names]))
+
+    package = F.coalesce(*[F.when(F.col("language") == name, F.when(F.regexp_like("content", F.lit(g.package)), F.concat(F.lit(f"{g.word} "), F.regexp_extract("content", g.package, 1)))) for name, g in GRAMMARS.items() if g.package], F.lit(""))
+    out = rows.select(
+        "path", "language", package.alias("package"), zipped(lambda g: g.types, ["name", "base"]).alias("types"), found(lambda g: g.methods).alias("methods"),
+        zipped(lambda g: g.functions, ["owner", "name", "params", "returns"]).alias("functions"), found(lambda g: g.imports).alias("imports"),
+        found(lambda g: g.interfaces).alias("interfaces"), found(lambda g: g.constants).alias("constants"), F.size(F.split("content", "\n")).alias("lines"),
+    )
+    members = F.when(F.size("methods") > 0, F.concat(F.lit(" ["), F.array_join("methods", ", "), F.lit("]"))).otherwise("")
+    last = F.size("types") - 1
+    kinds = F.transform("types", lambda t, i: F.concat(F.lit("class "), t["name"], F.when(t["base"] != "", F.concat(F.lit(" extends "), t["base"])).otherwise(""), F.when(i == last, members).otherwise("")))
+    owner = lambda f: F.when((F.col("language") == "go") & (f["owner"] != ""), F.concat(F.lit("("), f["owner"], F.lit(") "))).otherwise("")
+    makes = F.transform("functions", lambda f: F.concat(owner(f), F.lit("func "), f["name"], F.when(f["params"] != "", F.concat(F.lit("("), f["params"], F.lit(")"))).otherwise("")))
+    listed = F.array_join(F.filter(F.concat(F.array("package"), kinds, makes), lambda x: x != ""), "\n")
+    plain = F.format_string("%s (%s, %d lines)", F.substring_index("path", "/", -1), "language", "lines")
+    return out.withColumn("abstract", F.when(F.col("language") == "", "").when(listed == "", plain).otherwise(listed))
 
 
 def code_abstract(files: DataFrame) -> DataFrame:

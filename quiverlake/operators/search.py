@@ -1,9 +1,11 @@
 """Vector search over the context table and best-first retrieval along its tree.
 
-Nearest neighbours are exact: each partition of vectors is multiplied with the query block and keeps its own
-nearest, so only ``queries * k`` rows of each partition are shuffled.  One such pass a batch of queries also
-holds every row that the tree walk can reach, because each expansion looks at fewer neighbours than the
-first pass; the walk itself runs once for each query over those few rows.
+Nearest neighbours are exact.  A query set of at most one block goes to all tasks: each partition of vectors
+is multiplied with it and keeps its own nearest, so only ``queries * k`` rows of each partition are shuffled.
+Larger query sets never reach the driver: blocks of queries meet slices of vectors in tiles that Spark
+shuffles, and each tile keeps the nearest of its queries.  One such pass also holds every row that the tree
+walk can reach, because each expansion looks at fewer neighbours than the first pass; the walk itself runs
+once for each query over those few rows.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ from quiverlake.functions import scoring
 from quiverlake.functions import text as X
 from quiverlake.functions import uri as U
 
-#: Queries of one pass; more are run in several passes.
+#: Queries of a block, and vectors of a slice that a block meets in one tile.
 QUERY_BLOCK = 4096
+SLICE = 131_072
 _ROWS = 2048
 
 #: Stop after so many rounds with the same best rows.
@@ -42,68 +45,109 @@ def _rows_of(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return fit[whole], x[whole]
 
 
+class _Nearest:
+    """The ``k`` nearest so far of each of some queries: arrays of distance, order and name."""
+
+    def __init__(self, queries: np.ndarray, k: int, metric: str):
+        self.q, self.k, self.cosine = self._scaled(queries) if metric == "cosine" else queries, k, metric == "cosine"
+        self.norm = (self.q**2).sum(1)
+        self.bound = np.full(len(queries), np.inf)  # squared distance of the k-th nearest so far
+        self.held = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, object))
+
+    @staticmethod
+    def _scaled(x: np.ndarray) -> np.ndarray:
+        size = np.sqrt((x**2).sum(1, keepdims=True))
+        return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+    def add(self, ids: np.ndarray, order: np.ndarray, x: np.ndarray) -> None:
+        x = self._scaled(x) if self.cosine else x  # unit vectors: the squared distance is twice the cosine distance
+        for at in range(0, len(x), _ROWS):
+            part = x[at : at + _ROWS]
+            norm = (part**2).sum(1)
+            rough = norm[:, None] + self.norm[None, :] - 2 * (part @ self.q.T)
+            least = np.minimum(self.bound, np.partition(rough, self.k - 1, axis=0)[self.k - 1]) if len(part) > self.k else self.bound
+            row, n = np.nonzero(rough <= least + 1e-9 * (1 + self.norm + norm.max()))  # rounding and ties stay inside
+            if len(row):
+                d = 1 - (part[row] * self.q[n]).sum(1) if self.cosine else np.sqrt(((part[row] - self.q[n]) ** 2).sum(1))
+                self._merge(n, d, order[at + row], ids[at + row])
+
+    def _merge(self, *fresh: np.ndarray) -> None:
+        n, d, order, ids = (np.concatenate(x) for x in zip(self.held, fresh))
+        by = np.lexsort((order, d, n))
+        n, d, order, ids = n[by], d[by], order[by], ids[by]
+        first = np.searchsorted(n, np.arange(len(self.bound)))
+        keep = np.arange(len(n)) - first[n] < self.k
+        self.held = n, d, order, ids = n[keep], d[keep], order[keep], ids[keep]
+        last = np.searchsorted(n, np.arange(len(self.bound)), side="right") - 1
+        full = np.bincount(n, minlength=len(self.bound)) == self.k
+        kth = d[last[full]]
+        self.bound[full] = 2 * kth if self.cosine else kth * kth
+
+    def rows(self, qid: np.ndarray) -> pa.RecordBatch:
+        n, d, order, ids = self.held
+        return pa.RecordBatch.from_arrays([pa.array(qid[n], pa.int64()), pa.array(ids.tolist(), pa.string()), pa.array(order, pa.int64()), pa.array(d, pa.float64())], names=["query_id", "id", "ord", "distance"])
+
+
+_FOUND = "query_id long, id string, ord long, distance double"
+
+
+def _columns(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    keep, x = _rows_of(batch.column("vector"), dim)
+    return np.array(batch.column("id").to_pylist(), object)[keep], batch.column("ord").to_numpy(zero_copy_only=False)[keep], x
+
+
 def _nearest_of_block(queries: list, vectors: DataFrame, k: int, metric: str) -> DataFrame:
-    qid = [q.query_id for q in queries]
+    """One block of queries, at most ``QUERY_BLOCK``, against each partition of vectors; no shuffle."""
+    qid = np.array([q.query_id for q in queries], np.int64)
     q = np.array([q.vector for q in queries], np.float64)
-    if metric == "cosine":
-        size = np.sqrt((q**2).sum(1, keepdims=True))
-        q = np.divide(q, size, out=np.zeros_like(q), where=size > 0)
-    q_norm = (q**2).sum(1)
 
     def run(batches):
-        best: list = [[] for _ in qid]  # heaps of (-distance, -order, id)
-        bound = np.full(len(qid), np.inf)  # squared distance of the k-th nearest so far
+        best = _Nearest(q, k, metric)
         for b in batches:
-            ids, order = b.column(0).to_pylist(), b.column(1).to_pylist()
-            keep, x = _rows_of(b.column(2), q.shape[1])
-            if metric == "cosine":  # unit vectors: the squared distance is twice the cosine distance
-                size = np.sqrt((x**2).sum(1, keepdims=True))
-                x = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
-            for at in range(0, len(x), _ROWS):
-                part = x[at : at + _ROWS]
-                norm = (part**2).sum(1)
-                rough = norm[:, None] + q_norm[None, :] - 2 * (part @ q.T)
-                least = np.minimum(bound, np.partition(rough, k - 1, axis=0)[k - 1]) if len(part) > k else bound
-                row, n = np.nonzero(rough <= least + 1e-9 * (1 + q_norm + norm.max()))  # rounding and ties stay inside
-                if metric == "cosine":
-                    exact = 1 - (part[row] * q[n]).sum(1)
-                else:
-                    exact = np.sqrt(((part[row] - q[n]) ** 2).sum(1))
-                for r, m, d in zip(row.tolist(), n.tolist(), exact.tolist()):
-                    entry = (-d, -order[keep[at + r]], ids[keep[at + r]])
-                    if len(best[m]) < k:
-                        heapq.heappush(best[m], entry)
-                    elif entry > best[m][0]:
-                        heapq.heapreplace(best[m], entry)
-                for m in set(n.tolist()):
-                    if len(best[m]) == k:
-                        d = -best[m][0][0]
-                        bound[m] = 2 * d if metric == "cosine" else d * d
-        rows = [(qid[n], e[2], -e[1], -e[0]) for n, h in enumerate(best) for e in h]
-        cols = list(zip(*rows)) if rows else [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.float64()))], names=["query_id", "id", "ord", "distance"])
-
-    return vectors.select("id", "ord", "vector").mapInArrow(run, "query_id long, id string, ord long, distance double")
-
-
-def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+            best.add(*_columns(b, q.shape[1]))
+        yield best.rows(qid)
+
+    return vectors.select("id", "ord", "vector").mapInArrow(run, _FOUND)
+
+
+def _nearest_by_tiles(queries: DataFrame, vectors: DataFrame, k: int, metric: str, block: int, slice_rows: int) -> DataFrame:
+    """Blocks of queries meet slices of vectors; each tile is one group of bounded size."""
+    blocks, slices = -(-queries.count() // block), max(1, -(-vectors.count() // slice_rows))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select(F.lit(None).cast("string").alias("id"), F.col("query_id").alias("ord"), F.col("vector").cast("array<double>").alias("vector"), F.lit(True).alias("asks"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("b"), every(slices).alias("s"))
+    given = vectors.select("id", F.col("ord").cast("long").alias("ord"), F.col("vector").cast("array<double>").alias("vector"), F.lit(False).alias("asks"), every(blocks).alias("b"), F.pmod(F.xxhash64("ord", "id"), F.lit(slices)).cast("int").alias("s"))
+
+    def run(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").combine_chunks()
+        q, v = (t.combine_chunks() for t in (table.filter(asks), table.filter(pc.invert(asks))))
+        found = []
+        for dim in pc.unique(pc.list_value_length(q.column("vector"))).to_pylist():
+            at, x = _rows_of(q.column("vector").combine_chunks(), dim) if dim else ([], [])
+            if not len(at):
+                continue
+            best = _Nearest(x, k, metric)
+            for b in v.to_batches(max_chunksize=8 * _ROWS):
+                best.add(*_columns(b, dim))
+            found.append(best.rows(q.column("ord").to_numpy()[at]))
+        schema = pa.schema([("query_id", pa.int64()), ("id", pa.string()), ("ord", pa.int64()), ("distance", pa.float64())])
+        return pa.Table.from_batches(found, schema)
+
+    return asked.union(given).groupBy("b", "s").applyInArrow(run, _FOUND)
+
+
+def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", block: int = QUERY_BLOCK, slice_rows: int = SLICE) -> DataFrame:
     """The ``k`` nearest vectors of each query: ``(query_id, id, ord, distance, rank)``.
 
     ``queries (query_id long, vector)``, ``vectors (id string, ord long, vector)``; ties go to the lower
     ``ord``.  Vectors that are null, hold nulls or have another length are passed over.
     """
-    blocks, block = [], []
-    for q in queries.toLocalIterator():
-        block.append(q)
-        if len(block) == QUERY_BLOCK:
-            blocks.append(block)
-            block = []
-    if block or not blocks:
-        blocks.append(block)
-    found = None
-    for b in blocks:
-        part = _nearest_of_block(b, vectors, k, metric) if b else vectors.sparkSession.createDataFrame([], "query_id long, id string, ord long, distance double")
-        found = part if found is None else found.union(part)
+    few = queries.where(F.col("vector").isNotNull()).limit(block + 1).collect()  # one block and one row at most
+    if not few:
+        found = vectors.sparkSession.createDataFrame([], _FOUND)
+    elif len(few) <= block and len({len(q.vector) for q in few}) == 1 and all(None not in q.vector for q in few):
+        found = _nearest_of_block(few, vectors, k, metric)
+    else:
+        found = _nearest_by_tiles(queries, vectors, k, metric, block, slice_rows)
     w = Window.partitionBy("query_id").orderBy("distance", "ord")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -60,12 +60,17 @@ def store_stats(contexts: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def upsert(contexts: DataFrame, changes: DataFrame, order: str = "seq") -> DataFrame:
-    """Last writer wins by id; ``created_at`` keeps its first value."""
+    """Last writer wins by id; ``created_at`` keeps its first value.
+
+    Of changes with one id and one ``order`` the row of the greatest hash wins, so that the result doesn't
+    depend on how rows are dealt out.
+    """
     base = contexts.withColumn(order, F.lit(-1).cast("long"))
     both = base.unionByName(changes.withColumn(order, F.col(order).cast("long")))
     cols = [c for c in contexts.columns if c not in ("id", "created_at")]
-    last = F.max_by(F.struct(*cols), F.col(order)).alias("r")
-    merged = both.groupBy("id").agg(last, F.min_by("created_at", F.col(order)).alias("created_at"))
+    place = F.struct(F.col(order), F.xxhash64("created_at", *cols))
+    last = F.max_by(F.struct(*cols), place).alias("r")
+    merged = both.groupBy("id").agg(last, F.min_by("created_at", place).alias("created_at"))
     return merged.select("id", "created_at", "r.*").select(*contexts.columns)
 
 
@@ -149,21 +154,43 @@ def grep(files: DataFrame, needle: str, ignore_case: bool = False, limit: int =
 
 
 def glob_pattern(pattern: str) -> str:
-    """A path pattern as a regular expression; ``*`` and ``?`` do not cross ``/``."""
-    out, k = "", 0
-    while k < len(pattern):
-        c = pattern[k]
+    """A path pattern as a regular expression; ``*`` and ``?`` do not cross ``/``.
+
+    ``[a-z]`` is one sign of a class and ``[^a-z]`` one outside it, a backslash takes the next sign literally,
+    also in a class.  A class that is open, empty or backwards and a backslash at the end are errors.
+    """
+    literal = lambda c: c if c.isalnum() or c in "_/" else "\\" + c
+    bad = ValueError(f"bad pattern {pattern!r}")
+    out, signs = "", iter(pattern)
+
+    def taken(c: str | None) -> str:
+        c = next(signs, None) if c == "\\" else c
+        if c is None:
+            raise bad
+        return c
+
+    for c in signs:
         if c == "*":
             out += "[^/]*"
         elif c == "?":
             out += "[^/]"
-        elif c == "[" and "]" in pattern[k + 1 :]:
-            end = pattern.index("]", k + 1)
-            out += pattern[k : end + 1]
-            k = end
+        elif c != "[":
+            out += literal(taken(c))
         else:
-            out += c if c.isalnum() or c in "_/" else "\\" + c
-        k += 1
+            c, ranges, outside = next(signs, None), "", ""
+            if c == "^":
+                c, outside = next(signs, None), "^/"
+            while c != "]" or not ranges:
+                if c in ("]", "-", None):
+                    raise bad
+                low, c = taken(c), next(signs, None)
+                high = low
+                if c == "-":
+                    high, c = taken(next(signs, None)), next(signs, None)
+                if high < low:
+                    raise bad
+                ranges += f"{literal(low)}-{literal(high)}"
+            out += f"[{outside}{ranges}]"
     return f"^{out}$"
 
 

@@ -69,11 +69,16 @@ def rollup(nodes: DataFrame, summarise: Callable[[Column, Column], Column]) -> D
 
 
 def ancestors(tree: DataFrame, most: int = 32) -> DataFrame:
-    """``(node, ancestor, distance)`` of a tree ``(node, parent)``; the depth cap guards against cycles."""
+    """``(node, ancestor, distance)`` of a tree ``(node, parent)``; the depth cap guards against cycles.
+
+    Each step up is written, so that it is computed once; there are as many as the tree is deep.
+    """
+    tree = materialize(tree.select("node", "parent"), "tree")
     step = tree.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
     out, now = step, step
     for d in range(2, most + 1):
-        now = now.join(tree.select(F.col("node").alias("ancestor"), "parent"), "ancestor").select("node", F.col("parent").alias("ancestor"), F.lit(d).alias("distance"))
+        up = now.join(tree.select(F.col("node").alias("ancestor"), "parent"), "ancestor")
+        now = materialize(up.select("node", F.col("parent").alias("ancestor"), F.lit(d).alias("distance")), "ancestors")
         if now.isEmpty():
             break
         out = out.union(now)
@@ -81,9 +86,22 @@ def ancestors(tree: DataFrame, most: int = 32) -> DataFrame:
 
 
 def unique_names(rows: DataFrame, base: str, order: str) -> DataFrame:
-    """The first row keeps its name, later ones get ``_1``, ``_2`` and so on."""
-    n = F.row_number().over(Window.partitionBy(base).orderBy(order))
-    return rows.withColumn("name", F.when(n == 1, F.col(base)).otherwise(F.concat(base, F.lit("_"), n - 1)))
+    """The first row keeps its name, later ones get ``_1``, ``_2`` and so on.
+
+    Rows are dealt out by ranges of name and order and numbered within a range; the numbers before a range
+    come from the counts of the ranges, so that a name that a third of the rows share is no single task.
+    """
+    part = rows.repartitionByRange(F.col(base), F.col(order)).withColumn("__part", F.spark_partition_id())
+    held = materialize(part, "names")
+    # a row for each range and name in it: about as many as there are ranges and names
+    counts = held.groupBy(base, "__part").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(base).orderBy("__part")) - F.col("__n")
+    starts = counts.select(F.col(base).alias("__base"), F.col("__part").alias("__of"), before.alias("__before"))
+    ranked = held.withColumn("__rank", F.row_number().over(Window.partitionBy("__part", base).orderBy(order)))
+    n = F.col("__before") + F.col("__rank")
+    name = F.when(n == 1, F.col(base)).otherwise(F.concat(base, F.lit("_"), n - 1))
+    joined = ranked.join(starts, (F.col("__part") == F.col("__of")) & F.col(base).eqNullSafe(F.col("__base")))
+    return joined.withColumn("name", name).select(*rows.columns, "name")
 
 
 def classify(entries: DataFrame, rules: list[tuple[Column, str]], otherwise: str) -> DataFrame:
@@ -91,6 +109,26 @@ def classify(entries: DataFrame, rules: list[tuple[Column, str]], otherwise: str
     return entries.withColumn("status", F.coalesce(*[F.when(c, s) for c, s in rules], F.lit(otherwise)))
 
 
+#: Extensions that a folder sync takes, and directories that it leaves out (fixed values).
+SYNC_EXTENSIONS = (".md", ".txt", ".json", ".yaml", ".yml", ".html", ".xml", ".csv", ".rst", ".org", ".py", ".go", ".js", ".ts", ".sh")
+SYNC_SKIPPED = (".git", ".obsidian", "node_modules", ".trash")
+
+
+def synced(files: DataFrame, path: str = "path") -> DataFrame:
+    """The files of a listing that a folder sync takes: by extension, outside the left-out directories."""
+    above = F.slice(F.split(path, "/"), F.lit(1), F.size(F.split(path, "/")) - 1)
+    return files.where(U.extension(F.col(path)).isin(*SYNC_EXTENSIONS) & ~F.arrays_overlap(above, F.lit(list(SYNC_SKIPPED))))
+
+
+def sync_plan(known: DataFrame, files: DataFrame, target: str) -> DataFrame:
+    """What a folder sync writes and removes: ``(path, target, status)``, status added, changed or removed.
+
+    ``known (path, hash)`` is the snapshot of the last run, ``files (path, content)`` the whole folder now.
+    """
+    moved = diff(known, snapshot(synced(files))).where("status <> 'same'")
+    return moved.select("path", F.concat(F.lit(target.rstrip("/") + "/"), "path").alias("target"), "status")
+
+
 #: Names of directories that scans leave out (fixed values).
 IGNORED_DIRS = (
     "node_modules", ".git", ".svn", ".hg", "__pycache__", ".tox", ".pytest_cache", ".mypy_cache", ".ruff_cache",

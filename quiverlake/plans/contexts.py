@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quiverlake.functions import text as X
@@ -176,16 +177,22 @@ def tree_diff(spark, sf):
     return sync.tree_diff(old, new)
 
 
-@query("""SELECT r_name AS uri, CAST(count(*) AS BIGINT) AS leaves, string_agg(n_name, '; ' ORDER BY n_name) AS summary FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name
- UNION ALL SELECT 'world', (SELECT count(*) FROM nation), (SELECT string_agg(r_name, '; ' ORDER BY r_name) FROM region)""")
+def _tree(spark, sf):
+    """Files and directories of the documents as ``(node, parent, depth)``, the resources at the top."""
+    d = T.docs(spark, sf)
+    nodes = d.select("uri", F.col("content").alias("text")).unionByName(S.directories(d).withColumn("text", F.lit(None).cast("string")))
+    return nodes.select(F.col("uri").alias("node"), F.nullif(U.parent(F.col("uri")), F.lit("")).alias("parent"), (U.depth(F.col("uri")) - 1).alias("depth"), "text")
+
+
+_LEVELS = _D + """, b AS (SELECT parent_uri AS uri, regexp_replace(parent_uri, '/[^/]*$', '') AS up, count(*) AS n, string_agg(uri, '; ' ORDER BY uri) AS s FROM docs GROUP BY ALL),
+ a AS (SELECT up AS uri, CAST(sum(n) AS BIGINT) AS n, string_agg(uri, '; ' ORDER BY uri) AS s FROM b GROUP BY up) """
+
+
+@query(_LEVELS + """SELECT uri, n AS leaves, s AS summary FROM b UNION ALL SELECT uri, n, s FROM a UNION ALL SELECT 'ctx://resources', CAST(sum(n) AS BIGINT), string_agg(uri, '; ' ORDER BY uri) FROM a""")
 def rollup_tree(spark, sf):
-    """Nations below regions below the world, summarised bottom up."""
-    n, r = T.load(spark, sf, "nation"), T.load(spark, sf, "region")
-    leaves = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("node"), F.col("r_name").alias("parent"), F.lit(2).alias("depth"), F.col("n_name").alias("text"))
-    inner = r.select(F.col("r_name").alias("node"), F.lit("world").alias("parent"), F.lit(1).alias("depth"), F.lit(None).cast("string").alias("text"))
-    top = spark.range(1).select(F.lit("world").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("text"))
-    done = sync.rollup(leaves.union(inner).union(top), lambda names, texts: F.array_join(names, "; "))
-    return done.where("depth < 2").select(F.col("node").alias("uri"), "leaves", F.col("text").alias("summary"))
+    """Documents below sources below languages, summarised bottom up."""
+    done = sync.rollup(_tree(spark, sf), lambda names, texts: F.array_join(names, "; "))
+    return done.where("depth < 3").select(F.col("node").alias("uri"), "leaves", F.col("text").alias("summary"))
 
 
 @query("""SELECT 'ctx://s/' || CAST(s_suppkey AS VARCHAR) AS src, 'link_1' AS link_id, 'ctx://n/' || CAST(s_nationkey AS VARCHAR) AS dst, 'home' AS reason FROM supplier""")
@@ -196,12 +203,10 @@ def relation_edges(spark, sf):
     return S.relations(S.link(none, new))
 
 
-@query("""SELECT n_name AS node, CAST(u.a AS VARCHAR) AS ancestor, CAST(u.d AS INTEGER) AS distance FROM nation JOIN region ON n_regionkey = r_regionkey, LATERAL (VALUES (r_name, 1), ('world', 2)) u(a, d)
- UNION ALL SELECT r_name, 'world', 1 FROM region""")
+@query(_LEVELS + """, e AS (SELECT uri AS node, parent_uri AS ancestor, 1 AS distance FROM docs UNION ALL SELECT uri, regexp_replace(parent_uri, '/[^/]*$', ''), 2 FROM docs UNION ALL SELECT uri, 'ctx://resources', 3 FROM docs
+ UNION ALL SELECT uri, up, 1 FROM b UNION ALL SELECT uri, 'ctx://resources', 2 FROM b UNION ALL SELECT uri, 'ctx://resources', 1 FROM a) SELECT node, ancestor, CAST(distance AS INTEGER) AS distance FROM e""")
 def ancestors(spark, sf):
-    n, r = T.load(spark, sf, "nation"), T.load(spark, sf, "region")
-    tree = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("node"), F.col("r_name").alias("parent")).union(r.select("r_name", F.lit("world")))
-    return sync.ancestors(tree, most=8)
+    return sync.ancestors(_tree(spark, sf).where("parent is not null"), most=8)
 
 
 @query("""WITH c AS (SELECT doc_id, 'topic/' || lang AS base FROM documents) SELECT doc_id, CASE WHEN rn = 1 THEN base ELSE base || '_' || CAST(rn - 1 AS VARCHAR) END AS name
@@ -217,6 +222,63 @@ def scan_classification(spark, sf):
     return sync.classify(d, [(F.col("n_chars") > 20000, "too_large"), (F.col("lang") == "de", "excluded"), (F.col("n_chars") < 200, "skipped")], "processable").select("path", "status")
 
 
+_PATH = "source || CASE doc_id % 6 WHEN 0 THEN '/node_modules/' WHEN 1 THEN '/.trash/' ELSE '/' END || CASE WHEN doc_id % 7 = 0 THEN '.' ELSE '' END || CASE WHEN doc_id % 11 = 0 THEN 'old_' ELSE '' END || CAST(doc_id AS VARCHAR) || CASE doc_id % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.MD' WHEN 2 THEN '.bin' ELSE '' END"
+
+
+def _listing(spark, sf):
+    """Documents as files of a folder: some hidden, in tool folders, or without an extension."""
+    i = F.col("doc_id")
+    folder = F.when(i % 6 == 0, "/node_modules/").when(i % 6 == 1, "/.trash/").otherwise("/")
+    ext = F.when(i % 4 == 0, ".py").when(i % 4 == 1, ".MD").when(i % 4 == 2, ".bin").otherwise("")
+    name = F.concat(F.when(i % 7 == 0, ".").otherwise(""), F.when(i % 11 == 0, "old_").otherwise(""), i.cast("string"), ext)
+    return T.load(spark, sf, "documents").select("doc_id", F.concat("source", folder, name).alias("path"), F.col("text").alias("content"), F.octet_length("text").alias("length"))
+
+
+@query(f"""SELECT path, CASE WHEN contains(path, '/node_modules/') THEN 'ignored_dir' WHEN starts_with(name, '.') OR strlen(text) = 0 THEN 'skipped' WHEN starts_with(name, 'old_') THEN 'excluded'
+ WHEN regexp_matches(name, '[.](py|MD)$') THEN 'processable' ELSE 'unsupported' END AS status FROM (SELECT *, regexp_extract(path, '[^/]*$') AS name FROM (SELECT {_PATH} AS path, text FROM documents))""")
+def scan_files(spark, sf):
+    return sync.scan_files(_listing(spark, sf), [".py", ".md"], exclude="old_*").select("path", "status")
+
+
+@query(f"""WITH f AS (SELECT doc_id, {_PATH} AS path FROM documents), t AS (SELECT * FROM f WHERE NOT contains(path, '/node_modules/') AND NOT contains(path, '/.trash/') AND regexp_matches(path, '[.](py|MD)$'))
+ SELECT path, 'ctx://resources/in/' || path AS target, CASE WHEN doc_id % 5 = 1 THEN 'removed' WHEN doc_id % 5 = 2 THEN 'added' ELSE 'changed' END AS status FROM t WHERE doc_id % 5 IN (1, 2, 3)""")
+def folder_sync(spark, sf):
+    """A folder against its last snapshot: some files went, some came, some changed."""
+    f = _listing(spark, sf)
+    m = F.col("doc_id") % 5
+    known = sync.snapshot(sync.synced(f.where(m != 2).withColumn("content", F.when(m == 3, "old").otherwise(F.col("content")))))
+    return sync.sync_plan(known, f.where(m != 1), "ctx://resources/in/")
+
+
+@query(_D + "SELECT id, uri FROM docs WHERE id IN (SELECT 'doc_' || CAST(doc_id AS VARCHAR) FROM documents ORDER BY doc_id LIMIT 3) OR id = (SELECT 'doc_' || CAST(max(doc_id) AS VARCHAR) FROM documents)")
+def get_by_ids(spark, sf):
+    """The three least ids and the greatest, which a reader would hold, and one that doesn't exist."""
+    ids = T.load(spark, sf, "documents").select("doc_id")
+    asked = [r.doc_id for r in ids.orderBy("doc_id").limit(3).union(ids.orderBy(F.desc("doc_id")).limit(1)).collect()]
+    return S.get(T.doc_contexts(spark, sf), [f"doc_{i}" for i in asked] + ["gone"]).select("id", "uri")
+
+
+@query(f"WITH {T.VECTORS_SQL} SELECT id, uri, level FROM vecs WHERE uri = 'ctx://resources/topic_1' LIMIT 1")
+def get_by_uri(spark, sf):
+    return S.get_by_uri(T.vector_contexts(spark, sf), "ctx://resources/topic_1").select("id", "uri", "level")
+
+
+@query(_M + "SELECT id FROM memories WHERE account_id = 'acme'")
+def scope_filter(spark, sf):
+    """What a user of one tenant sees of a type."""
+    return S.query(T.memory_contexts(spark, sf), L.scope_filter("memory", "acme", "user")).select("id")
+
+
+@query("SELECT 'ctx://c/' || CAST(c_nationkey AS VARCHAR) AS src, 'link_' || CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS VARCHAR) AS link_id, CAST(c_custkey AS VARCHAR) AS dst FROM customer")
+def numbered_links(spark, sf):
+    """Every nation links its customers; each link gets the first free number, odd numbers are taken before."""
+    c = T.load(spark, sf, "customer").withColumn("n", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")))
+    src, uris = F.concat(F.lit("ctx://c/"), "c_nationkey").alias("src"), F.array(F.col("c_custkey").cast("string")).alias("uris")
+    old = c.where("n % 2 = 1").select(src, F.concat(F.lit("link_"), "n").alias("link_id"), uris, F.lit("").alias("reason"))
+    new = c.where("n % 2 = 0").select(src, uris, F.lit("").alias("reason"), F.col("c_custkey").alias("seq"))
+    return S.relations(S.link(old, new)).select("src", "link_id", "dst")
+
+
 @query("""SELECT doc_id, CASE WHEN strlen(text) < 1024 THEN CAST(strlen(text) AS VARCHAR) || ' B' ELSE printf('%.1f KB', strlen(text) / 1024.0) END AS size FROM documents""")
 def human_sizes(spark, sf):
     return T.load(spark, sf, "documents").select("doc_id", X.human_size(F.octet_length("text")).alias("size"))

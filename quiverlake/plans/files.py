@@ -110,9 +110,9 @@ def formatted_results(spark, sf):
 
 
 @query("""SELECT doc_id, CASE WHEN strlen(w) > 255 THEN 'cut' ELSE 'whole' END AS state, CASE WHEN strlen(w) > 255 THEN right(s, 8) = substr(sha256(w), 1, 8) ELSE s = w END AS ok FROM
- (SELECT doc_id, text[1:400] AS w, CASE WHEN strlen(text[1:400]) > 255 THEN '_' || substr(sha256(text[1:400]), 1, 8) ELSE text[1:400] END AS s FROM documents)""")
+ (SELECT doc_id, text AS w, CASE WHEN strlen(text) > 255 THEN '_' || substr(sha256(text), 1, 8) ELSE text END AS s FROM documents)""")
 def shortened_names(spark, sf):
-    w = F.substring("text", 1, 400)
+    w = F.col("text")
     s = U.shorten(w)
     cut = F.octet_length(w) > 255
     return T.load(spark, sf, "documents").select("doc_id", F.when(cut, "cut").otherwise("whole").alias("state"), F.when(cut, F.endswith(s, F.substring(F.sha2(w, 256), 1, 8))).otherwise(s == w).alias("ok"))

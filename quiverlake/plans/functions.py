@@ -26,6 +26,27 @@ def as_of():
     return F.lit(AS_OF).cast("timestamp_ntz")
 
 
+@query("""SELECT doc_id, regexp_replace(substr(lower(text), 1, 1000000000), '[^a-z0-9_-]', '_', 'g') AS tool, regexp_replace(text, '[^A-Za-z0-9_-]', '_', 'g') AS plain, CASE WHEN t = '' THEN 'unnamed' ELSE translate(t, ' /' || chr(92), '___') END AS segment,
+ length(text) AS chars FROM (SELECT doc_id, text, trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) AS t FROM documents)""".replace("substr(lower(text), 1, 1000000000)", "lower(text)"))
+def sanitized_names(spark, sf):
+    t = F.col("text")
+    return T.load(spark, sf, "documents").select("doc_id", U.sanitize_name(t).alias("tool"), U.sanitize_plain(t).alias("plain"), U.sanitize_segment(t).alias("segment"), F.length(t).cast("long").alias("chars"))
+
+
+@query("""SELECT user_id, event_type, CASE event_type WHEN 'view' THEN 'ctx://user/u' || CAST(user_id AS VARCHAR) || '/memories/events/' WHEN 'click' THEN 'ctx://user/u' || CAST(user_id AS VARCHAR) || '/memories/preferences/'
+ WHEN 'error' THEN 'ctx://agent/a/memories/cases/' WHEN 'purchase' THEN 'ctx://user/u' || CAST(user_id AS VARCHAR) || '/memories/entities/' ELSE '' END AS prefix,
+ CASE WHEN user_id % 5 = 0 THEN '' WHEN event_type = 'view' THEN 'ctx://user/u' || CAST(user_id AS VARCHAR) || '/memories ctx://agent/a/memories' WHEN event_type = 'click' THEN 'ctx://resources' WHEN event_type = 'error' THEN 'ctx://agent/a/skills'
+ ELSE 'ctx://user/u' || CAST(user_id AS VARCHAR) || '/memories ctx://agent/a/memories ctx://resources ctx://agent/a/skills' END AS roots FROM (SELECT DISTINCT user_id, event_type FROM events)""")
+def search_scopes(spark, sf):
+    """Category prefixes and search roots of each user; the type of an event tells what is asked for."""
+    rows = T.load(spark, sf, "events").select("user_id", "event_type").distinct()
+    user, agent, kind = F.concat(F.lit("u"), "user_id"), F.lit("a"), F.col("event_type")
+    category = F.coalesce(*[F.when(kind == k, v) for k, v in T.KINDS.items()], F.lit("profile"))
+    asked = F.when(kind == "view", "memory").when(kind == "click", "resource").when(kind == "error", "skill").otherwise("")
+    role = F.when(F.col("user_id") % 5 == 0, "root").otherwise("user")
+    return rows.select("user_id", "event_type", U.category_prefix(category, user, agent).alias("prefix"), F.array_join(U.root_uris(asked, role, user, agent), " ").alias("roots"))
+
+
 @query(_M + """SELECT id, 'user' AS scope, owner_space AS space, regexp_replace(uri, '/[^/]*$', '') AS parent, 4 AS depth, regexp_extract(uri, '[^/]*$') AS name,
  'memory' AS row_type, 'memory' AS query_type, category FROM memories""".replace("4 AS depth", "5 AS depth"))
 def uri_parts(spark, sf):
@@ -58,11 +79,11 @@ def url_sources(spark, sf):
     return T.load(spark, sf, "pages").select("page_id", U.source_kind(u).alias("kind"), U.url_file(u).alias("file"), U.extension(path).alias("ext"))
 
 
-@query("""SELECT doc_id, substr(text, 1, 80) || CASE WHEN length(text) > 80 THEN '...' ELSE '' END AS cut, regexp_replace(regexp_replace(substr(text, 1, 60), '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g') AS safe,
+@query("""SELECT doc_id, substr(text, 1, 80) || CASE WHEN length(text) > 80 THEN '...' ELSE '' END AS cut, substr(regexp_replace(regexp_replace(text, '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 80) AS safe,
  sha256(text) AS hash, CAST(ceil(strlen(text) / 4.0) AS BIGINT) AS tokens FROM documents""")
 def text_scalars(spark, sf):
     t = F.col("text")
-    return T.load(spark, sf, "documents").select("doc_id", X.truncate(t, 80).alias("cut"), U.sanitize(F.substring(t, 1, 60)).alias("safe"), F.sha2(t, 256).alias("hash"), X.estimate_tokens(t).alias("tokens"))
+    return T.load(spark, sf, "documents").select("doc_id", X.truncate(t, 80).alias("cut"), U.sanitize(t).alias("safe"), F.sha2(t, 256).alias("hash"), X.estimate_tokens(t).alias("tokens"))
 
 
 @query("""SELECT doc_id, coalesce(CASE WHEN starts_with(line, '# ') THEN trim(substr(line, 3), ' \t') WHEN length(line) > 200 THEN substr(line, 1, 200) || '...' ELSE line END, '') AS abstract
@@ -112,12 +133,12 @@ def code_line_counts(spark, sf):
 _FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(w, ''), lambda c: unicode(c)::BIGINT)), lambda h, x: (xor(h, x) * 16777619) & 4294967295)"
 
 
-@query(f"""WITH w AS (SELECT conv_id, turn, unnest(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r]+'), lambda x: x <> '')) AS w FROM conversations WHERE turn = 0),
+@query(f"""WITH w AS (SELECT conv_id, turn, unnest(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r]+'), lambda x: x <> '')) AS w FROM conversations),
  c AS (SELECT conv_id, turn, {_FNV} % 64 AS slot, count(*) AS n FROM w GROUP BY ALL), s AS (SELECT conv_id, turn, sqrt(sum(n * n)) AS size FROM c GROUP BY ALL)
- SELECT c.conv_id, CAST(slot AS INTEGER) AS slot, round(n / size, 9) AS value FROM c JOIN s USING (conv_id, turn)""")
+ SELECT c.conv_id, c.turn, CAST(slot AS INTEGER) AS slot, round(n / size, 9) AS value FROM c JOIN s USING (conv_id, turn)""")
 def hash_embeddings(spark, sf):
-    c = T.load(spark, sf, "conversations").where("turn = 0").select("conv_id", F.posexplode(V.hash_embedding(F.col("text"))).alias("slot", "value"))
-    return c.where("value <> 0").select("conv_id", "slot", F.round("value", 9).alias("value"))
+    c = T.load(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(V.hash_embedding(F.col("text"))).alias("slot", "value"))
+    return c.where("value <> 0").select("conv_id", "turn", "slot", F.round("value", 9).alias("value"))
 
 
 @query("""SELECT vec_id, round(v[1] / n, 9) AS first, round(v[16] / n, 9) AS last FROM (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding[1:16]::DOUBLE[], lambda x: x * x))) AS n FROM embeddings)""")

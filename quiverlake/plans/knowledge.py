@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from quiverlake.operators import evaluation as E
 from quiverlake.operators import indexing as I
 from quiverlake.operators import memory as M
 from quiverlake.operators import parsing as P
+from quiverlake.operators import sessions as S
 from quiverlake.operators.search import knn
 from quiverlake.plans.functions import AS_OF, as_of, tokens_sql
 from quiverlake.plans.registry import query
@@ -19,6 +22,13 @@ _M = f"WITH {T.MEMORIES_SQL} "
 _TRIM = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
 
 
+def _end(start: str) -> str:
+    """SQL of a chunk's end: behind the last blank line of its second half, or 1000 characters on."""
+    part = f"substr(t, {start} + 1, 1000)"
+    last = f"(1000 - strpos(reverse({part}), chr(10) || chr(10)) - 1)"
+    return f"CASE WHEN {start} + 1000 >= length(t) THEN length(t) WHEN contains({part}, chr(10) || chr(10)) AND {last} > 500 THEN {start} + {last} + 2 ELSE {start} + 1000 END"
+
+
 def _marked(spark, sf):
     """Documents whose every fifth line is made a heading."""
     d = T.load(spark, sf, "documents")
@@ -36,10 +46,14 @@ def markdown_sections(spark, sf):
     return P.sections(_marked(spark, sf))
 
 
-@query("""SELECT doc_id, CAST(k AS INTEGER) AS chunk, CAST(k * 800 AS INTEGER) AS start, substr(text, k * 800 + 1, 1000) AS content
- FROM (SELECT doc_id, text, unnest(range(CASE WHEN length(text) <= 1000 THEN 1 ELSE CAST(ceil((length(text) - 200) / 800.0) AS BIGINT) END)) AS k FROM documents)""")
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS t FROM documents),
+ c AS (SELECT doc_id, t, 0::BIGINT AS k, 0::BIGINT AS a, {_end("0")} AS b FROM d WHERE length(t) > 0 UNION ALL
+ SELECT doc_id, t, k + 1, b - 200, {_end("b - 200")} FROM c WHERE b < length(t))
+ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS chunk, CAST(a AS INTEGER) AS start, trim(substr(t, a + 1, b - a), {_TRIM}) AS content FROM c WHERE trim(substr(t, a + 1, b - a), {_TRIM}) <> ''""")
 def text_chunks(spark, sf):
-    return P.chunks(T.load(spark, sf, "documents"), 1000, 200)
+    """Line ends are doubled, so that texts have paragraphs to end chunks at."""
+    d = T.load(spark, sf, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return P.chunks(d, 1000, 200)
 
 
 @query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '<li>')) AS INTEGER) AS items, CAST(strlen(html) AS INTEGER) AS bytes FROM pages")
@@ -68,28 +82,42 @@ _SAMPLES = """WITH q AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM emb
  FROM q, embeddings e), s AS (SELECT vec_id, count(*) FILTER (label_n) AS x FROM (SELECT vec_id, true AS label_n FROM q) GROUP BY 1), z AS (SELECT q.vec_id, (SELECT count(*) FROM embeddings e WHERE e.label = q.label) AS expected FROM q), """
 
 
-def _samples(spark, sf):
-    """Queries by vector: the ten nearest are retrieved, vectors of the same label are expected."""
+def _measured(spark, sf):
+    """Queries by vector: the ten nearest are retrieved, vectors of the same label are relevant."""
     e = T.load(spark, sf, "embeddings")
-    q = e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), "label")
+    q = e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.col("label").alias("asked"))
     v = e.select(F.col("vec_id").cast("string").alias("id"), F.col("vec_id").alias("ord"), F.col("embedding").alias("vector"))
-    near = knn(q, v, 10).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x.id).alias("retrieved_docs"))
-    expected = e.groupBy("label").agg(F.collect_list(F.col("vec_id").cast("string")).alias("expected_docs"))
-    return near.join(q.select("query_id", "label"), "query_id").join(expected, "label")
+    near = knn(q, v, 10).join(q.select("query_id", "asked"), "query_id").join(e.select(F.col("vec_id").alias("ord"), "label"), "ord")
+    per_label = e.groupBy(F.col("label").alias("asked")).agg(F.count("*").alias("n"))
+    return E.ranked_metrics(near.select("query_id", "rank", (F.col("label") == F.col("asked")).alias("hit")), q.select("query_id", "asked").join(per_label, "asked").select("query_id", "n"), 5)
 
 
 @query(_SAMPLES + """m AS (SELECT n.vec_id, count(*) FILTER (hit AND r <= 5) AS h5, min(r) FILTER (hit AND r <= 10) AS first, sum(CASE WHEN hit AND r <= 5 THEN 1 / log2(r + 1) ELSE 0 END) AS dcg FROM n GROUP BY 1)
  SELECT vec_id AS query_id, h5 / 5.0 AS precision, round(h5 / expected, 9) AS recall, round(coalesce(1.0 / first, 0), 9) AS mrr, round(dcg / list_sum(list_transform(range(1, least(5, expected)::INT + 1), lambda i: 1 / log2(i + 1))), 9) AS ndcg,
  CASE WHEN first IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS hit_rate FROM m JOIN z USING (vec_id)""")
 def retrieval_metrics(spark, sf):
-    s = E.retrieval_metrics(_samples(spark, sf), 5)
+    s = _measured(spark, sf)
     return s.select("query_id", "precision", *[F.round(c, 9).alias(c) for c in ("recall", "mrr", "ndcg")], "hit_rate")
 
 
 @query(_SAMPLES + """m AS (SELECT n.vec_id, count(*) FILTER (hit AND r <= 5) AS h5, min(r) FILTER (hit AND r <= 10) AS first FROM n GROUP BY 1)
  SELECT count(*) AS samples, 'mrr' AS metric, round(avg(coalesce(1.0 / first, 0)), 9) AS value FROM m UNION ALL SELECT count(*), 'precision', round(avg(h5 / 5.0), 9) FROM m""")
 def evaluation_report(spark, sf):
-    return E.report(E.retrieval_metrics(_samples(spark, sf), 5), ["precision", "mrr"]).withColumn("value", F.round("value", 9))
+    return E.report(_measured(spark, sf), ["precision", "mrr"]).withColumn("value", F.round("value", 9))
+
+
+@query("""WITH q AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0), n AS (SELECT q.vec_id, e.vec_id AS doc, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.v, e.embedding::DOUBLE[]), e.vec_id) AS r FROM q, embeddings e),
+ m AS (SELECT vec_id, count(*) FILTER (hit AND r <= 5) AS h5, min(r) FILTER (hit) AS first, sum(CASE WHEN hit AND r <= 5 THEN 1 / log2(r + 1) ELSE 0 END) AS dcg FROM (SELECT *, doc >= vec_id AND doc < vec_id + 4 AS hit FROM n WHERE r <= 10) GROUP BY 1)
+ SELECT vec_id AS query_id, h5 / 5.0 AS precision, h5 / 4.0 AS recall, round(coalesce(1.0 / first, 0), 9) AS mrr, round(dcg / (1 + 1 / log2(3) + 0.5 + 1 / log2(5)), 9) AS ndcg, CASE WHEN first IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS hit_rate FROM m""")
+def sample_metrics(spark, sf):
+    """Samples with arrays: the query's own id and the three after it are relevant."""
+    e = T.load(spark, sf, "embeddings")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    v = e.select(F.col("vec_id").cast("string").alias("id"), F.col("vec_id").alias("ord"), F.col("embedding").alias("vector"))
+    near = knn(q, v, 10).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x.id).alias("retrieved_docs"))
+    expected = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: (F.col("query_id") + k).cast("string"))
+    s = E.retrieval_metrics(near.withColumn("expected_docs", expected), 5)
+    return s.select("query_id", "precision", "recall", *[F.round(c, 9).alias(c) for c in ("mrr", "ndcg")], "hit_rate")
 
 
 def _turns(spark, sf):
@@ -132,16 +160,16 @@ def merge_fields(spark, sf):
     return M.fold_fields(e, "user_id", "event_id", {"last_kind": "patch", "first_kind": "immutable", "total": "sum"}).withColumn("total", F.round("total", 4))
 
 
-@query("SELECT user_id, string_agg(event_type, chr(10) ORDER BY event_id) AS text FROM events WHERE user_id % 10 = 1 GROUP BY user_id")
+@query("SELECT user_id, string_agg(event_type, chr(10) ORDER BY event_id) AS text FROM events GROUP BY user_id")
 def merge_blocks(spark, sf):
     """Each event appends its type by a block with an empty search."""
-    e = T.load(spark, sf, "events").where("user_id % 10 = 1")
+    e = T.load(spark, sf, "events")
     patch = F.concat(F.lit("<<<<<<< SEARCH\n\n=======\n"), F.col("event_type"), F.lit("\n>>>>>>> REPLACE"))
     return M.fold_text(e.select("user_id", "event_id", patch.alias("text")), "user_id", "event_id", "text")
 
 
-@query("""WITH a AS (SELECT conv_id, turn, 'm' || CAST(turn % 3 AS VARCHAR) AS uri, CASE WHEN role = 'assistant' THEN 'merge' ELSE 'delete' END AS action, row_number() OVER (PARTITION BY conv_id, turn % 3 ORDER BY turn) AS n FROM conversations WHERE turn < 6),
- u AS (SELECT conv_id, uri, min(turn) AS pos, CASE WHEN count(*) = 1 OR min(action) = max(action) THEN min(action) ELSE '' END AS action FROM a WHERE n <= 2 GROUP BY ALL),
+@query("""WITH a AS (SELECT conv_id, turn, 'm' || CAST(turn % 3 AS VARCHAR) AS uri, CASE WHEN role = 'assistant' THEN 'merge' ELSE 'delete' END AS action, turn AS n FROM conversations),
+ u AS (SELECT conv_id, uri, list_reduce(list_prepend('', list(action ORDER BY n)), lambda s, x: CASE WHEN s = '' THEN x WHEN s = x THEN s ELSE '' END) AS action FROM a GROUP BY conv_id, uri),
  c AS (SELECT DISTINCT conv_id AS candidate, CASE conv_id % 4 WHEN 0 THEN 'skip' WHEN 1 THEN 'create' WHEN 2 THEN 'none' ELSE 'create' END AS d FROM conversations),
  j AS (SELECT candidate, d, count(*) FILTER (action = 'merge') AS merges, count(*) FILTER (action = 'delete') AS deletes FROM c LEFT JOIN u ON u.conv_id = candidate GROUP BY ALL)
  SELECT candidate, CASE WHEN d = 'create' AND merges > 0 THEN 'none' ELSE d END AS decision, CASE WHEN d = 'skip' THEN 0 ELSE merges END AS merges, CASE WHEN d = 'skip' THEN 0 ELSE deletes END AS deletes FROM j""")
@@ -149,7 +177,7 @@ def dedup_decisions(spark, sf):
     c = T.load(spark, sf, "conversations")
     word = F.element_at(F.array(*map(F.lit, ("skip", "create", "none", "odd word"))), (F.col("candidate") % 4 + 1).cast("int"))
     decisions = c.select(F.col("conv_id").alias("candidate")).distinct().withColumn("decision", word)
-    actions = c.where("turn < 6").select(F.col("conv_id").alias("candidate"), F.col("turn").alias("pos"), F.concat(F.lit("m"), F.col("turn") % 3).alias("uri"), F.when(F.col("role") == "assistant", "Merge ").otherwise("delete").alias("action"))
+    actions = c.select(F.col("conv_id").alias("candidate"), F.col("turn").alias("pos"), F.concat(F.lit("m"), F.col("turn") % 3).alias("uri"), F.when(F.col("role") == "assistant", "Merge ").otherwise("delete").alias("action"))
     out = M.decide(decisions, actions)
     n = lambda a: F.size(F.filter("actions", lambda x: x.action == a)).cast("long")
     return out.select("candidate", "decision", n("merge").alias("merges"), n("delete").alias("deletes"))
@@ -196,12 +224,39 @@ def memory_files(spark, sf):
     return f.select("user_id", "event_type", "file", fields["n"].alias("n"), body.alias("body"))
 
 
-@query("""SELECT conv_id AS session_id, CAST(0 AS INTEGER) AS pos, CASE WHEN conv_id % 2 = 0 THEN 'events' ELSE 'patterns' END AS category, 'a' || CAST(conv_id AS VARCHAR) AS abstract FROM (SELECT DISTINCT conv_id FROM conversations)""")
+_TALK = "SELECT conv_id AS session_id, string_agg('[' || role || ']: ' || text, chr(10) ORDER BY turn) AS t FROM conversations WHERE text <> '' GROUP BY 1"
+
+
+@query(f"""SELECT session_id, CAST(0 AS INTEGER) AS pos, CASE WHEN length(t) % 2 = 0 THEN 'events' ELSE 'patterns' END AS category, t AS abstract FROM ({_TALK})""")
 def candidate_parse(spark, sf):
-    """A stand-in for a model answers with fenced JSON; unknown categories become patterns."""
-    s = T.messages(spark, sf).groupBy("session_id").agg(F.first("session_id").cast("string").alias("text"))
-    answer = lambda t: f'Sure:\n```json\n{{"memories": [{{"category": "{"events" if int(t) % 2 == 0 else "odd {"}", "abstract": "a{t}", "content": "x"}}]}}\n```'
-    return M.extract_memories(s, answer).select("session_id", "pos", "category", "abstract")
+    """A stand-in for a model answers with the talk as fenced JSON; unknown categories become patterns."""
+
+    def answer(t: str) -> str:
+        memory = {"category": "events" if len(t) % 2 == 0 else "odd {", "abstract": t, "content": "x"}
+        return f"Sure:\n```json\n{json.dumps({'memories': [memory]})}\n```"
+
+    return M.extract_memories(S.transcripts(T.messages(spark, sf)), answer).select("session_id", "pos", "category", "abstract")
+
+
+@query(f"""SELECT session_id, CAST(0 AS INTEGER) AS pos, t AS query, CASE WHEN length(t) % 3 = 0 THEN 'memory' ELSE 'resource' END AS context_type, CAST(greatest(1, least(5, length(t) % 8)) AS INTEGER) AS priority FROM ({_TALK})""")
+def query_plans(spark, sf):
+    """A stand-in for a model plans one typed query a talk; odd types become resource, priorities 1 to 5."""
+    t = S.transcripts(T.messages(spark, sf))
+    plan = F.struct(F.col("text").alias("query"), F.when(F.length("text") % 3 == 0, "memory").otherwise("thing").alias("context_type"), (F.length("text") % 8).alias("priority"))
+    answers = t.select("session_id", F.concat(F.lit("Plan: "), F.to_json(F.struct(F.array(plan).alias("queries")))).alias("answer"))
+    return M.parse_query_plan(answers)
+
+
+@query("""WITH q AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0), n AS (SELECT q.vec_id AS query_id, q.label AS asked, e.vec_id, e.label, list_distance(q.v, e.embedding::DOUBLE[]) AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.v, e.embedding::DOUBLE[]), e.vec_id) AS r FROM q, embeddings e)
+ SELECT query_id, 'v' || CAST(vec_id AS VARCHAR) AS id, round(1 - d, 9) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS INTEGER) AS place FROM n WHERE r <= 50 AND label = asked AND asked % 2 = 0 AND vec_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) <= 10""")
+def similar_memories(spark, sf):
+    """Vectors as memories: their label tells the category, even ids belong to the asking user; odd labels ask nothing."""
+    e = T.load(spark, sf, "embeddings")
+    prefix = F.when(F.col("label") % 2 == 0, F.concat(F.lit("ctx://user/u/memories/c"), "label", F.lit("/"))).otherwise("")
+    asks = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), prefix.alias("prefix"), F.lit("u").alias("owner_space"))
+    vectors = e.select(F.concat(F.lit("v"), "vec_id").alias("id"), F.col("vec_id").alias("ord"), F.col("embedding").alias("vector"))
+    rows = e.select(F.concat(F.lit("v"), "vec_id").alias("id"), F.concat(F.lit("ctx://user/u/memories/c"), "label", F.lit("/"), "vec_id").alias("uri"), F.when(F.col("vec_id") % 2 == 0, "u").otherwise("w").alias("owner_space"))
+    return M.similar_memories(asks, vectors, rows).withColumn("score", F.round("score", 9))
 
 
 @query(f"""SELECT 'doc_' || CAST(doc_id AS VARCHAR) AS source, 2 AS level, CAST(length(substr(text, 1, 2000)) AS INTEGER) AS embedded, substr(text, 1, 500) AS abstract FROM documents WHERE trim(text, {_TRIM}) <> ''""")

@@ -70,12 +70,12 @@ def task_list(spark, sf):
     return S.tasks(e, status="done", kind="error").select("task_id", "kind")
 
 
-@query("""SELECT 'r' || CAST(c.c_custkey AS VARCHAR) AS request, 'h' || CAST(s.s_suppkey AS VARCHAR) AS handle FROM customer c JOIN supplier s ON c.c_nationkey = s.s_nationkey WHERE s.s_suppkey % 5 = 0 AND c.c_custkey % 10 = 0""")
+@query("""SELECT 'r' || CAST(c.c_custkey AS VARCHAR) AS request, 'h' || CAST(s.s_suppkey AS VARCHAR) AS handle FROM customer c JOIN supplier s ON c.c_nationkey = s.s_nationkey""")
 def lock_conflicts(spark, sf):
-    """Suppliers hold their nation's subtree; customers ask for a point below it."""
+    """Which subtree scopes cover which paths: suppliers span their nation, customers lie below it."""
     at = F.lit("2024-01-01").cast("timestamp_ntz")
-    held = T.load(spark, sf, "supplier").where("s_suppkey % 5 = 0").select(F.concat(F.lit("h"), "s_suppkey").alias("handle"), F.concat(F.lit("n/"), "s_nationkey").alias("path"), F.lit("subtree").alias("kind"), F.lit("2024-02-01").cast("timestamp_ntz").alias("expires_at"))
-    wanted = T.load(spark, sf, "customer").where("c_custkey % 10 = 0").select(F.concat(F.lit("r"), "c_custkey").alias("request"), F.concat(F.lit("n/"), "c_nationkey", F.lit("/c"), "c_custkey").alias("path"), F.lit("point").alias("kind"))
+    held = T.load(spark, sf, "supplier").select(F.concat(F.lit("h"), "s_suppkey").alias("handle"), F.concat(F.lit("n/"), "s_nationkey").alias("path"), F.lit("subtree").alias("kind"), F.lit("2024-02-01").cast("timestamp_ntz").alias("expires_at"))
+    wanted = T.load(spark, sf, "customer").select(F.concat(F.lit("r"), "c_custkey").alias("request"), F.concat(F.lit("n/"), "c_nationkey", F.lit("/c"), "c_custkey").alias("path"), F.lit("point").alias("kind"))
     return S.lock_conflicts(held, wanted, at)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import yaml
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, FloatType, LongType, StringType, StructField, StructType
 
@@ -46,13 +46,19 @@ def skill_markdown(skill_rows: DataFrame) -> DataFrame:
     return skill_rows.select("path", F.concat(F.lit("---\nname: "), "name", F.lit("\ndescription: "), "description", F.lit("\n---\n\n"), body, F.lit("\n")).alias("content"))
 
 
+def render_column(template: str, values: dict[str, Column]) -> Column:
+    """The same with columns: the template's text and the values in turn, so that values are never looked into."""
+    parts = re.split(r"\{\{-?\s*\.(\w+)\s*-?\}\}", template)
+    return F.concat(*[F.lit(p) if k % 2 == 0 else F.coalesce(values[p].cast("string"), F.lit("")) if p in values else F.lit("") for k, p in enumerate(parts)])
+
+
 SAMPLE = "id string, query string, expected_docs array<string>, ground_truth string, retrieved_docs array<string>, retrieved_texts array<string>, retrieved_scores array<double>, generated_answer string"
 RECORDED = "id string, query string, timestamp string, retrieved_uris array<string>, retrieved_texts array<string>, scores array<double>, latency_ms long, session_id string"
 
 
-def dataset(spark: SparkSession, path: str) -> DataFrame:
-    """Samples of evaluation files, each an object with ``samples``."""
-    return spark.read.schema(f"name string, samples array<struct<{SAMPLE}>>").option("multiLine", "true").json(path).select(F.inline("samples"))
+def dataset(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
+    """Samples of evaluation files, each an object with ``samples``; or, not ``whole_files``, such an object a line."""
+    return spark.read.schema(f"name string, samples array<struct<{SAMPLE}>>").option("multiLine", str(whole_files).lower()).json(path).select(F.inline("samples"))
 
 
 def recordings(spark: SparkSession, path: str) -> DataFrame:
@@ -60,10 +66,13 @@ def recordings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"queries array<struct<{RECORDED}>>").option("multiLine", "true").json(path).select(F.posexplode("queries").alias("seq", "q")).select("seq", "q.*")
 
 
-def sessions(spark: SparkSession, path: str) -> DataFrame:
-    """Messages of session files ``(session_id, seq, role, content)``; unreadable files are left out."""
+def sessions(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
+    """Messages of session files ``(session_id, seq, role, content)``; unreadable files are left out.
+
+    A session is a file of its own, or, not ``whole_files``, a line.
+    """
     schema = "info struct<id:string,title:string>, messages array<struct<role:string,content:string,timestamp:string>>"
-    rows = spark.read.schema(schema).option("multiLine", "true").option("mode", "DROPMALFORMED").json(path)
+    rows = spark.read.schema(schema).option("multiLine", str(whole_files).lower()).option("mode", "DROPMALFORMED").json(path)
     return rows.select(F.col("info.id").alias("session_id"), F.posexplode("messages").alias("seq", "m")).select("session_id", "seq", "m.role", "m.content")
 
 

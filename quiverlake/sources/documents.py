@@ -262,8 +262,16 @@ def scan(spark, path: str, pattern: str = "*") -> DataFrame:
 # -- packs ------------------------------------------------------------------------------------------
 
 
-def pack(files: DataFrame, parts: int = 1) -> DataFrame:
-    """Tar.gz packs ``(pack, content binary)`` of files ``(path, content binary)``, one for each hash part."""
+#: Bytes of files that one pack holds, more or less.
+PACK_BYTES = 64 << 20
+
+
+def pack(files: DataFrame, parts: int | None = None) -> DataFrame:
+    """Tar.gz packs ``(pack, content binary)`` of files ``(path, content binary)``, one for each hash part.
+
+    Without ``parts`` their number follows from the bytes of all files, so that a pack fits in a task.
+    """
+    parts = parts or 1 + (files.agg(F.sum(F.octet_length("content"))).first()[0] or 0) // PACK_BYTES
 
     def build(pdf_: pd.DataFrame) -> pd.DataFrame:
         buffer = io.BytesIO()

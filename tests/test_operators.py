@@ -3,6 +3,7 @@
 import io
 import json
 import random
+import re
 import zipfile
 
 import pytest
@@ -127,6 +128,13 @@ def test_knn_equals_brute_force(spark, metric):
         assert [got[q, n + 1][1] for n in range(40)] == [w[0] for w in want]
         if metric == "l2":
             assert [got[q, n + 1][0] for n in range(40)] == [w[1] for w in want]
+    tiled = R.knn(queries, vectors, 40, metric, block=2, slice_rows=90).collect()
+    assert {(r.query_id, r["rank"]): (r.ord, round(r.distance, 9)) for r in tiled} == got
+    odd = queries.union(spark.createDataFrame([(900, None), (901, [1.0]), (902, [None] * 6)], "query_id long, vector array<float>"))
+    mixed = R.knn(odd, vectors, 40, metric).collect()
+    assert {(r.query_id, r["rank"]): (r.ord, round(r.distance, 9)) for r in mixed if r.query_id < 900} == got
+    if metric == "l2":
+        assert [(r.ord, r.distance) for r in mixed if r.query_id >= 900] == [(1001, 0.0)]
     assert R.knn(queries.limit(0), vectors, 5).count() == 0
 
 
@@ -221,13 +229,20 @@ def test_sections_and_skeletons(spark):
     d = spark.createDataFrame([(1, "intro\n# One\nbody\n#### deep\n## Two\n\n### Three\nend")], "doc_id int, text string")
     got = [(r.level, r.heading, r.content) for r in P.sections(d).orderBy("section").collect()]
     assert got == [(0, "", "intro"), (1, "One", "body\n#### deep"), (2, "Two", ""), (3, "Three", "end")]
-    src = [("a.py", "import os\nclass A:\n    def f(self): pass\nasync def g(): pass\n"), ("b.go", "type T struct {\n}\nfunc (t T) M() {}\nfunc N() {}\n"), ("c.rs", "pub struct S;\nfn h() {}\n"), ("d.js", "export class Q {}\nfunction w() {}\n"), ("e.rb", "class R\n  def m\n  end\nend\n"), ("f.java", "public class J {\n  public int k() {}\n}\n"), ("g.cs", "public class K {\n  public void L() {}\n}\n"), ("h.php", "class O {\n  public function p() {}\n}\n"), ("i.cpp", "#include <x>\nclass Z {\n};\nint main() {\n}\n")]
-    got = {r.path: (r.types, r.functions) for r in P.skeletons(spark.createDataFrame(src, "path string, content string")).collect()}
-    assert got == {"a.py": (["A"], ["f", "g"]), "b.go": (["T"], ["M", "N"]), "c.rs": (["S"], ["h"]), "d.js": (["Q"], ["w"]), "e.rb": (["R"], ["m"]), "f.java": (["J"], ["k"]), "g.cs": (["K"], ["L"]), "h.php": (["O"], ["p"]), "i.cpp": (["Z"], ["main"])}
+    src = [("a.py", "import os\nclass A:\n    def f(self): pass\nasync def g(): pass\n"), ("b.go", "package b\nconst C = 1\ntype T struct {\n}\nfunc (t *T) M() {}\nfunc N(a int, b string) error {}\n"), ("c.rs", "pub struct S;\npub trait Tr {}\nfn h() {}\n"), ("d.js", "export class Q extends Base {}\nfunction w() {}\nexport const arrow = async (x, y) => 1\n"), ("e.rb", "class R\n  def m\n  end\nend\n"), ("f.java", "package p.q;\npublic class J extends I {\n  public int k(int z) {}\n}\n"), ("g.cs", "public class K {\n  public void L() {}\n}\n"), ("h.php", "class O {\n  public function p() {}\n}\n"), ("i.cpp", "#include <x>\nclass Z {\n};\nint main() {\n}\n")]
+    sk = {r.path: r for r in P.skeletons(spark.createDataFrame(src, "path string, content string")).collect()}
+    got = {p: ([t.name for t in r.types], [f.name for f in r.functions]) for p, r in sk.items()}
+    assert got == {"a.py": (["A"], ["g"]), "b.go": (["T"], ["M", "N"]), "c.rs": (["S"], ["h"]), "d.js": (["Q"], ["w", "arrow"]), "e.rb": (["R"], ["m"]), "f.java": (["J"], ["k"]), "g.cs": (["K"], ["L"]), "h.php": (["O"], ["p"]), "i.cpp": (["Z"], ["main"])}
+    assert sk["a.py"].methods == ["f"] and sk["a.py"].imports == ["os"] and sk["a.py"].abstract == "class A [f]\nfunc g"
+    assert sk["b.go"].abstract == "package b\nclass T\n(T) func M\nfunc N(a int, b string)" and sk["b.go"].functions[1].returns == "error"
+    assert sk["d.js"].types[0].base == "Base" and sk["d.js"].functions[1].params == "x, y" and sk["f.java"].abstract == "package p.q\nclass J extends I\nfunc k(int z)"
+    assert sk["c.rs"].interfaces == ["Tr"] and sk["b.go"].constants == ["C"]
     head, rest = P.front_matter(F.col("t"))
     assert one(spark, head, t="---\na: 1\n---\nbody") == "a: 1" and one(spark, rest, t="---\na: 1\n---\nbody") == "body"
-    parts = P.chunks(spark.createDataFrame([(1, "x" * 2500)], "doc_id int, text string"), 1000, 200).collect()
-    assert [(r.start, len(r.content)) for r in parts] == [(0, 1000), (800, 1000), (1600, 900)]
+    parts = P.chunks(spark.createDataFrame([(1, "x" * 2500), (2, "a" * 700 + "\n\n" + "b" * 600), (3, None), (4, "  ")], "doc_id int, text string"), 1000, 200).collect()
+    assert [(r.doc_id, r.start, len(r.content)) for r in parts] == [(1, 0, 1000), (1, 800, 1000), (1, 1600, 900), (2, 0, 700), (2, 502, 800)]
+    twice = spark.createDataFrame([(1, "# A\nx"), (1, "# B\ny\n##  \n # C")], "doc_id int, text string")
+    assert sorted((r.section, r.heading, r.content) for r in P.sections(twice).collect()) == [(1, "A", "x"), (1, "B", "y\n##"), (2, "C", "")]
 
 
 def _zip(files):
@@ -368,3 +383,51 @@ def test_locks(spark):
     wanted = spark.createDataFrame([("r1", "a/b/x", "point"), ("r2", "a", "subtree"), ("r3", "a/c", "point"), ("r4", "z", "point"), ("r5", "a/bb", "point"), ("r6", "a", "point")], "request string, path string, kind string")
     got = {tuple(r) for r in G.lock_conflicts(held, wanted, F.lit("2024-01-01").cast("timestamp")).collect()}
     assert got == {("r1", "h1"), ("r2", "h1"), ("r2", "h2"), ("r3", "h2")}
+
+
+def test_upsert_ties_and_glob_classes(spark):
+    base = spark.createDataFrame([], "id string, created_at string, v int")
+    rows = [("a", "c", k, 1) for k in range(20)]
+    out = {store.upsert(base, spark.createDataFrame(rows[k:] + rows[:k], "id string, created_at string, v int, seq long").repartition(3)).first().v for k in range(3)}
+    assert len(out) == 1
+    fits = lambda p, t: re.fullmatch(store.glob_pattern(p), t) is not None
+    assert fits("a[^b-d]e", "axe") and not fits("a[^b-d]e", "ace") and not fits("a[^b]e", "a/e") and fits(r"\*[\]x]", "*]") and fits("[a-c]?*.md", "bz.md")
+    for bad in ("[", "a[]", "[z-a]", "x\\", "[a"):
+        with pytest.raises(ValueError):
+            store.glob_pattern(bad)
+
+
+def test_fold_text_streams_hot_keys(spark):
+    rows = [(None, 1, "n")] + [(1, k, f"<<<<<<< SEARCH\n\n=======\nl{k}\n>>>>>>> REPLACE") for k in range(3000)] + [(2, 1, "x"), (2, 2, ""), (2, 3, None)]
+    out = {r.k: r.t for r in M.fold_text(spark.createDataFrame(rows, "k long, s int, t string").repartition(5), "k", "s", "t").collect()}
+    assert out == {None: "n", 1: "\n".join(f"l{k}" for k in range(3000)), 2: "x"}
+
+
+def test_names_and_scopes(spark):
+    rows = spark.createDataFrame([(k, "b" if k % 3 else None) for k in range(200)], "i int, base string").repartition(7)
+    got = {r.i: r.name for r in sync.unique_names(rows, "base", "i").collect()}
+    want, n = {}, 0
+    for k in range(200):
+        want[k] = None if k % 3 == 0 else "b" if n == 0 else f"b_{n}"
+        n += k % 3 > 0
+    assert got == want
+    u = lambda c, **v: one(spark, c, **v)
+    assert u(U.sanitize_segment(F.col("t")), t=" a/b c\\漢 ") == "a_b_c_漢" and u(U.sanitize_segment(F.col("t")), t="  ") == "unnamed"
+    assert u(U.sanitize_name(F.col("t")), t="My Tool/2") == "my_tool_2" and u(U.sanitize_file(F.col("t")), t="a b:c/d" + "x" * 99) == "a-b_c_d" + "x" * 93
+    a = F.lit("a")
+    assert u(U.category_prefix(F.col("t"), F.lit("u"), a), t="cases") == "ctx://agent/a/memories/cases/" and u(U.category_prefix(F.col("t"), F.lit("u"), a), t="profile") == ""
+    assert u(U.root_uris(F.col("t"), F.lit("user"), F.lit("u"), a), t="skill") == ["ctx://agent/a/skills"] and u(U.root_uris(F.col("t"), F.lit("root"), F.lit("u"), a), t="skill") == []
+
+
+def test_ranked_metrics_equal_array_metrics(spark):
+    rng = random.Random(3)
+    samples = []
+    for q in range(40):
+        docs = [f"d{k}" for k in rng.sample(range(30), 10)]
+        samples.append((q, [f"d{k}" for k in rng.sample(range(30), rng.randint(0, 8))], docs[: rng.randint(0, 10)]))
+    s = spark.createDataFrame(samples, "query_id long, expected_docs array<string>, retrieved_docs array<string>")
+    names = ["precision", "recall", "mrr", "ndcg", "hit_rate"]
+    want = {r.query_id: [round(r[n], 9) for n in names] for r in E.retrieval_metrics(s, 5).collect()}
+    ranked = s.select("query_id", "expected_docs", F.posexplode("retrieved_docs").alias("p", "d")).select("query_id", (F.col("p") + 1).alias("rank"), F.array_contains("expected_docs", F.col("d")).alias("hit"))
+    got = {r.query_id: [round(r[n], 9) for n in names] for r in E.ranked_metrics(ranked, s.select("query_id", F.size("expected_docs").alias("n")), 5).collect()}
+    assert got == want

@@ -17,19 +17,32 @@ from quiverlake.session import materialize
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality ranking accepts; labels of held-out rows aren't learned from."""
+    """Documents that the quality ranking accepts; labels of held-out rows aren't learned from.
+
+    Null texts are judged as empty ones; repeated rows stay or go together; all columns stay, whatever their
+    names; an empty table stays empty.
+    """
     ranking = quality.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~quality.held_out()))
     mark = unused(docs, "quality")[0]
     return quality.score(docs, ranking, mark).where(F.col(mark) >= quality.CUT).select(*docs.columns)
 
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (Jaccard 0.8 of five-word shingles): the one of the smallest id."""
+    """One document of each group of near copies (Jaccard 0.8 of five-word shingles): the one of the smallest id.
+
+    SimHash proposes and exact sets decide, see :mod:`quiverlake.llm.near_copies`.  Texts without words are copies
+    of each other; of repeated rows, and of rows that share the smallest id, exactly one stays; rows without an
+    id stay only where no other of their group has one; all columns stay; an empty table stays empty.
+    """
     return near_copies.keep_one(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words of windows that occur elsewhere; ``n_chars`` follows the text."""
+    """Documents without the words of windows that occur elsewhere; ``n_chars`` follows the text.
+
+    Null and empty texts stay as they are; repeated rows lose each other's windows; a text that loses all its
+    words stays as an empty one; all columns stay; an empty table stays empty.
+    """
     words, removed = unused(docs, "words", "removed")
     reduced = substrings.remove_repeats(docs, counts=(words, removed))
     length = F.when(F.col(removed) > 0, F.length("text")).otherwise(F.col("n_chars"))
@@ -37,7 +50,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in training sequences."""
+    """Pieces of documents in training sequences; null and empty texts are one piece, the end id."""
     return packing.piece_digests(packing.pack(docs, BYTE_BPE))
 
 

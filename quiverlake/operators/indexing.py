@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from quiverlake.functions import text as X
 from quiverlake.functions import uri as U
 from quiverlake.functions import vector as V
+from quiverlake.operators.files import LEVEL_FILES
+from quiverlake.operators.filters import PathScope
 from quiverlake.operators.store import stable_id
 
 #: Characters of a text that are embedded, and of its abstract.
@@ -37,3 +39,28 @@ def directory_rows(directories: DataFrame) -> DataFrame:
 def embed(rows: DataFrame, hook: Callable[[Column], Column] = V.hash_embedding) -> DataFrame:
     """Add ``vector`` by an embedding hook, a pandas UDF over whole batches."""
     return rows.withColumn("vector", hook(F.col("vectorize_text")))
+
+
+def index_tree(files: DataFrame, base: str, user_space: str = "", agent_space: str = "", recursive: bool = True, hook: Callable[[Column], Column] = V.hash_embedding) -> tuple[DataFrame, DataFrame]:
+    """Index a directory from the listing ``files (source, uri, content)`` of a tree.
+
+    Returns the context rows with their vectors, and the files that were passed over ``(uri, reason)``.  The
+    level files of a directory give its rows of level 0 and 1, every other file that isn't hidden or blank one
+    of level 2.  Not ``recursive``: the directory itself and the files in it.
+    """
+    u, above = F.col("uri"), U.parent(F.col("uri"))
+    inside = files.where(PathScope("uri", base, -1 if recursive else 1).column() & (u != base.rstrip("/")))
+    name = U.name(u)
+    text = lambda level: F.max(F.when(name == LEVEL_FILES[level], F.col("content")))
+    level_files = inside.where(name.isin(*LEVEL_FILES.values()))
+    directories = level_files.groupBy(above.alias("uri")).agg(F.min("source").alias("source"), F.coalesce(text("l0"), F.lit("")).alias("abstract"), F.coalesce(text("l1"), F.lit("")).alias("overview"))
+    rows = file_rows(inside).unionByName(directory_rows(directories))
+    kind = U.row_type(u)
+    placed = rows.withColumns({
+        "context_type": F.when(kind != "", kind).otherwise("resource"), "category": U.category(u),
+        "owner_space": U.owner_space(u, F.lit(user_space), F.lit(agent_space)),
+    })
+    other = inside.where(~name.isin(*LEVEL_FILES.values()))
+    hidden = F.startswith(name, F.lit("."))
+    passed = other.select("uri", F.when(hidden, "hidden").when(X.strip(F.coalesce("content", F.lit(""))) == "", "blank").alias("reason")).where("reason is not null")
+    return embed(placed, hook), passed

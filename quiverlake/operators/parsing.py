@@ -166,6 +166,7 @@ def block_list_markdown(blocks: DataFrame) -> DataFrame:
     """Block lists ``(doc_id, pos, kind, level, text)`` to markdown.
 
     Ordered items are numbered from 1 and start anew after any other block; headings below six are left out.
+    A todo is done where its level is 1, an image has its token as text; a blank line parts blocks.
     """
     w = Window.partitionBy("doc_id").orderBy("pos")
     island = F.sum((F.col("kind") != "ordered").cast("int")).over(w)
@@ -178,8 +179,10 @@ def block_list_markdown(blocks: DataFrame) -> DataFrame:
         .when(F.col("kind") == "ordered", F.concat(n.cast("string"), F.lit(". "), F.col("text")))
         .when(F.col("kind") == "code", F.concat(F.lit("```\n"), F.col("text"), F.lit("\n```")))
         .when(F.col("kind") == "quote", F.concat(F.lit("> "), F.col("text")))
+        .when(F.col("kind") == "todo", F.concat(F.when(F.col("level") == 1, "- [x] ").otherwise("- [ ] "), F.col("text")))
+        .when(F.col("kind") == "image", F.concat(F.lit("!["), F.when(F.col("text") == "", "image").otherwise(F.col("text")), F.lit("](image/"), F.col("text"), F.lit(")")))
         .when(F.col("kind") == "divider", F.lit("---"))
         .otherwise(F.col("text"))
     )
     rows = marked.withColumn("line", line).where("line is not null")
-    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x.line), "\n").alias("markdown"))
+    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x.line), "\n\n").alias("markdown"))

@@ -120,10 +120,11 @@ def list_children(contexts: DataFrame, uri: str) -> DataFrame:
 
 
 def directories(contexts: DataFrame) -> DataFrame:
-    """Every ancestor directory of the rows, once."""
+    """Every ancestor directory of the rows, once; parents are made distinct before their own are listed."""
     p = U.parts(F.col("uri"))
-    paths = F.transform(F.sequence(F.lit(1), F.greatest(F.size(p) - 1, F.lit(1))), lambda n: F.concat(F.lit(f"{U.SCHEME}://"), F.array_join(F.slice(p, F.lit(1), n), "/")))
-    return contexts.where(F.size(p) > 1).select(F.explode(paths).alias("uri")).distinct()
+    parents = contexts.where(F.size(p) > 1).select(F.slice(p, F.lit(1), F.size(p) - 1).alias("p")).distinct()
+    paths = F.transform(F.sequence(F.lit(1), F.size("p")), lambda n: F.concat(F.lit(f"{U.SCHEME}://"), F.array_join(F.slice("p", F.lit(1), n), "/")))
+    return parents.select(F.explode(paths).alias("uri")).distinct()
 
 
 def tree(contexts: DataFrame, base: str, level_limit: int, node_limit: int = 0) -> DataFrame:

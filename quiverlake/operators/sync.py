@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiverlake.functions import uri as U
-from quiverlake.operators.store import glob_pattern
+from quiverlake.operators.store import directories, glob_pattern
 from quiverlake.session import materialize
 
 
@@ -24,30 +24,27 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return b.join(a, "path", "full_outer").select("path", status.alias("status"), F.coalesce("new", "old").alias("hash"))
 
 
-def _directories(files: DataFrame) -> DataFrame:
-    p = U.parts(F.col("uri"))
-    paths = F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda n: F.concat(F.lit(f"{U.SCHEME}://"), F.array_join(F.slice(p, F.lit(1), n), "/")))
-    return files.where(F.size(p) > 1).select(F.explode(paths).alias("uri")).distinct()
-
-
 def tree_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """``(kind, status, uri)`` from two listings ``(uri, content)``.
 
     Size and bytes decide whether a file changed.  A new or deleted directory is reported once; neither its
     files nor its subdirectories are.  Where a file and a directory share a name, the new kind wins.
     """
-    d_old, d_new = _directories(old), _directories(new)
+    d_old, d_new = directories(old), directories(new)
     gone = d_old.join(d_new, "uri", "left_anti").withColumn("status", F.lit("deleted"))
     made = d_new.join(d_old, "uri", "left_anti").withColumn("status", F.lit("added"))
     dirs = gone.union(made)
     parent = lambda df: df.withColumn("up", U.parent(F.col("uri")))
     outside = lambda df: parent(df).join(dirs.select(F.col("uri").alias("up"), "status"), ["up", "status"], "left_anti")
     top = outside(dirs).select(F.lit("directory").alias("kind"), "status", "uri")
+    # what lies in a directory that came or went isn't hashed
+    old = parent(old).join(gone.select(F.col("uri").alias("up")), "up", "left_anti")
+    new = parent(new).join(made.select(F.col("uri").alias("up")), "up", "left_anti")
     a = old.select("uri", F.octet_length("content").alias("size"), F.sha2("content", 256).alias("hash"))
     b = new.select("uri", F.octet_length("content").alias("size2"), F.sha2("content", 256).alias("hash2"))
     status = F.when(F.col("size").isNull(), "added").when(F.col("size2").isNull(), "deleted").when((F.col("size") != F.col("size2")) | (F.col("hash") != F.col("hash2")), "updated")
     files = a.join(b, "uri", "full_outer").withColumn("status", status).where("status is not null").select("uri", "status")
-    return top.union(outside(files).select(F.lit("file").alias("kind"), "status", "uri"))
+    return top.union(files.select(F.lit("file").alias("kind"), "status", "uri"))
 
 
 def rollup(nodes: DataFrame, summarise: Callable[[Column, Column], Column]) -> DataFrame:

@@ -180,7 +180,7 @@ def tree_diff(spark, sf):
 def _tree(spark, sf):
     """Files and directories of the documents as ``(node, parent, depth)``, the resources at the top."""
     d = T.docs(spark, sf)
-    nodes = d.select("uri", F.col("content").alias("text")).unionByName(S.directories(d).withColumn("text", F.lit(None).cast("string")))
+    nodes = d.select("uri", X.abstract(F.col("content")).alias("text")).unionByName(S.directories(d).withColumn("text", F.lit(None).cast("string")))
     return nodes.select(F.col("uri").alias("node"), F.nullif(U.parent(F.col("uri")), F.lit("")).alias("parent"), (U.depth(F.col("uri")) - 1).alias("depth"), "text")
 
 

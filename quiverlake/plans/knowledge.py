@@ -72,7 +72,7 @@ def block_markdown(spark, sf):
     """Lines as ordered or bullet blocks; the shape of the markdown shows which became which."""
     d = T.load(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     blocks = d.select("doc_id", "pos", F.when(F.length("text") % 2 == 0, "ordered").otherwise("bullet").alias("kind"), F.lit(1).alias("level"), F.lit("x").alias("text"))
-    md = P.block_list_markdown(blocks).withColumn("l", F.split("markdown", "\n"))
+    md = P.block_list_markdown(blocks).withColumn("l", F.split("markdown", "\n\n"))
     return md.select("doc_id", F.array_join(F.transform("l", lambda x: F.when(F.startswith(x, F.lit("- ")), "0").otherwise("1")), "").alias("shape"), F.size("l").alias("blocks"))
 
 
@@ -263,3 +263,31 @@ def similar_memories(spark, sf):
 def index_files(spark, sf):
     rows = I.file_rows(T.docs(spark, sf).select(F.col("id").alias("source"), "uri", "content"))
     return rows.select("source", "level", F.length("vectorize_text").alias("embedded"), "abstract")
+
+
+_LISTED = f"""WITH d AS (SELECT doc_id, text, 'ctx://resources/' || lang || '/' || source AS dir FROM documents), p AS (SELECT dir, count(*) AS n FROM d GROUP BY 1),
+ f AS (SELECT dir || '/' || CASE WHEN doc_id % 9 = 0 THEN '.' ELSE '' END || CAST(doc_id AS VARCHAR) AS uri, CASE WHEN doc_id % 7 = 0 THEN ' ' ELSE text END AS content, doc_id % 9 = 0 AS hidden FROM d), g AS (SELECT *, trim(content, {_TRIM}) = '' AS blank FROM f) """
+
+
+def _listing(spark, sf):
+    """Documents as files, some hidden, some blank, and the level files of each directory."""
+    d = T.docs(spark, sf)
+    i = F.col("doc_id")
+    name = F.concat("parent_uri", F.lit("/"), F.when(i % 9 == 0, ".").otherwise(""), i.cast("string"))
+    files = d.select(F.lit("scan").alias("source"), name.alias("uri"), F.when(i % 7 == 0, " ").otherwise(F.col("content")).alias("content"))
+    counts = d.groupBy("parent_uri").agg(F.count("*").cast("string").alias("n"))
+    level = lambda name, text: counts.select(F.lit("scan").alias("source"), F.concat("parent_uri", F.lit("/" + name)).alias("uri"), F.concat("n", F.lit(text)).alias("content"))
+    return files.unionByName(level(".abstract.md", " files")).unionByName(level(".overview.md", " files in all"))
+
+
+@query(_LISTED + """SELECT uri, 2 AS level, 'resource' AS context_type, substr(content, 1, 500) AS abstract, CAST(length(substr(content, 1, 2000)) AS INTEGER) AS embedded, 64 AS dim FROM g WHERE NOT hidden AND NOT blank
+ UNION ALL SELECT dir, 0, 'resource', CAST(n AS VARCHAR) || ' files', CAST(length(CAST(n AS VARCHAR) || ' files') AS INTEGER), 64 FROM p
+ UNION ALL SELECT dir, 1, 'resource', CAST(n AS VARCHAR) || ' files', CAST(length(CAST(n AS VARCHAR) || ' files in all') AS INTEGER), 64 FROM p""")
+def index_tree(spark, sf):
+    rows = I.index_tree(_listing(spark, sf), "ctx://resources")[0]
+    return rows.select("uri", "level", "context_type", "abstract", F.length("vectorize_text").alias("embedded"), F.size("vector").alias("dim"))
+
+
+@query(_LISTED + """SELECT uri, CASE WHEN hidden THEN 'hidden' ELSE 'blank' END AS reason FROM g WHERE hidden OR blank""")
+def index_passed_over(spark, sf):
+    return I.index_tree(_listing(spark, sf), "ctx://resources")[1]

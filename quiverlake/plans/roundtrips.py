@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import uuid
 import zipfile
 
 import pandas as pd
@@ -12,16 +11,12 @@ from pyspark.sql.types import BinaryType
 
 from quiverlake.operators import parsing as P
 from quiverlake.plans.registry import query
-from quiverlake.session import shared_dir
+from quiverlake.session import work_folder
 from quiverlake.sources import catalog as C
 from quiverlake.sources import documents as D
 from quiverlake.sources import tables as T
 
 
-def _folder(spark) -> str:
-    return f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
-
-
 @query("SELECT 'd/' || CAST(doc_id AS VARCHAR) || '.md' AS path, sha256(text) AS hash FROM documents")
 def packed_files(spark, sf):
     """Documents into packs and out of them again."""
@@ -32,7 +27,7 @@ def packed_files(spark, sf):
 @query("SELECT conv_id AS session_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS seq, role, text AS content FROM conversations")
 def session_files(spark, sf):
     """Talks as session files, one JSON object each."""
-    out = _folder(spark)
+    out = work_folder(spark, "files")
     m = T.messages(spark, sf).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("seq", "role", "content"))).alias("m"))
     info = F.struct(F.col("session_id").cast("string").alias("id"), F.lit("").alias("title")).alias("info")
     m.select(info, F.transform("m", lambda x: F.struct(x.role.alias("role"), x.content.alias("content"), F.lit("").alias("timestamp"))).alias("messages")).write.json(out)
@@ -58,7 +53,7 @@ def front_matters(spark, sf):
 @query("SELECT item_id AS id, text AS query, text AS ground_truth, CAST(length(text) % 3 AS INTEGER) AS retrieved FROM benchmark")
 def dataset_files(spark, sf):
     """Benchmark items as an evaluation file, one sample each."""
-    out = _folder(spark)
+    out = work_folder(spark, "files")
     docs = F.transform(F.sequence(F.lit(1), F.lit(2)), lambda k: F.concat(F.lit("d"), k))
     sample = F.struct(F.col("item_id").cast("string").alias("id"), F.col("text").alias("query"), F.array().cast("array<string>").alias("expected_docs"), F.col("text").alias("ground_truth"), F.slice(docs, F.lit(1), (F.length("text") % 3).cast("int")).alias("retrieved_docs"))
     T.load(spark, sf, "benchmark").select(F.lit("b").alias("name"), F.array(sample).alias("samples")).write.json(out)

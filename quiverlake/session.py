@@ -38,13 +38,26 @@ def ship_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([home, *paths])
 
 
+#: Folders that this process has written and not deleted yet.
+_WRITTEN: set[str] = set()
+
+
+def work_folder(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared one, which :func:`clear` deletes."""
+    path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.add(path)
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it back.
 
-    The written table survives lost executors, and its real size steers later joins.
+    The written table survives lost executors, and its real size steers later joins.  Tables that nothing
+    reads any more are deleted by :func:`discard`; a result still reads the last ones, so whoever has written
+    the result calls :func:`clear`.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
+    path = work_folder(spark, label)
     before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")  # nothing reads the shuffles of this write again
     try:
@@ -56,8 +69,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete the files behind a table of :func:`materialize` that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(df.sparkSession, folder)
+        _WRITTEN.difference_update([w for w in _WRITTEN if folder.endswith(w.split(":", 1)[-1].rstrip("/"))])
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete every working table that this process has written; results that read them must be written by then."""
+    folders = sorted(_WRITTEN)
+    for folder in folders:
+        _delete(spark, folder)
+    _WRITTEN.clear()
+    return len(folders)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

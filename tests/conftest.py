@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from quiverlake.session import ship_package  # noqa: E402
+from quiverlake.session import clear, ship_package  # noqa: E402
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -25,6 +25,7 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     ship_package(s)
     yield s
+    clear(s)
     s.stop()
 
 

@@ -5,6 +5,7 @@ import json
 import random
 import re
 import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import Row
@@ -263,7 +264,7 @@ def test_file_parsers(spark):
         ("p.pptx", _zip({"ppt/slides/slide1.xml": f'<s {ns}><p:sp><p:ph type="title"/><a:p><a:t>Ti</a:t></a:p></p:sp><p:sp><a:p><a:t>body</a:t></a:p></p:sp></s>'})),
         ("z.zip", _zip({"a.txt": "1", "b.txt": "2", "c.py": "3"})),
         ("o.doc", bytearray(bytes.fromhex("d0cf11e0a1b11ae1") + bytes(504) + "Hello there".encode("utf-16-le"))),
-        ("f.pdf", bytearray(b"%PDF-1.4\nstream\n(Hi) Tj\nendstream")), ("bad.pdf", bytearray(b"nope")), ("m.png", bytearray(b"123")), ("n.unknown", bytearray(b"")),
+        ("f.pdf", bytearray(b"%PDF-1.4\n1 0 obj\n<< /Length 9 >>\nstream\nBT (Hi) Tj 0 -14 Td [(th) -300 (ere \\(x\\))] TJ ET\nendstream\n2 0 obj << /Filter /FlateDecode /P << /A 1 >> >>\nstream\n" + zlib.compress(b"BT <486F> Tj (\\101) ' ET") + b"\nendstream")), ("bad.pdf", bytearray(b"nope")), ("m.png", bytearray(b"123")), ("n.unknown", bytearray(b"")),
     ]
     got = {r.path: r for r in documents.parse(spark.createDataFrame(files, "path string, content binary")).collect()}
     assert "n.unknown" not in got and got["bad.pdf"].error.startswith("ValueError")
@@ -271,7 +272,7 @@ def test_file_parsers(spark):
     assert "## Head" in md and "**b**" in md and "- i" in md and "c  d" in md and "no" not in md
     assert got["d.docx"].markdown == "one & two\nthree" and "| h\\|1 |\n| --- |\n| 5 |" in got["s.xlsx"].markdown and got["s.xlsx"].title == "First"
     assert got["b.epub"].part == "c1.xhtml" and got["p.pptx"].title == "Ti" and "- .txt: 2\n- .py: 1" in got["z.zip"].markdown
-    assert got["o.doc"].markdown == "Hello there" and "Hi" in got["f.pdf"].markdown and "3 bytes" in got["m.png"].markdown
+    assert got["o.doc"].markdown == "Hello there" and got["f.pdf"].markdown == "## Page 1\n\nHi\nth ere (x)\n\n---\n\n## Page 2\n\nHoA" and "3 bytes" in got["m.png"].markdown
 
 
 def test_packs(spark):

@@ -10,7 +10,9 @@ Groups are formed while a partition streams by, about ``GROUP`` windows each, so
 task holds one group.  A sequence's id is the number of its partition and of the window in it.
 
 Defined results: a null or empty text is the end id alone; documents of any length are cut; repeated rows
-are packed as often as they occur; an empty table gives no pieces.
+and rows with equal ids are packed as often as they occur; pieces of equal length are dealt in order of
+arrival; columns besides id and text are left out, so that their names can't clash; an empty table gives no
+pieces.
 """
 
 from __future__ import annotations

@@ -9,8 +9,9 @@ placed so that the threshold falls on ``CUT``.
 Labels are read from at most ``SAMPLE_ROWS`` rows, chosen by a hash of the id; ``PAIRS`` preference pairs
 are drawn from them.  Features look at whole texts; labels, language, source and id are no features.
 
-Defined results: a null text counts as empty; empty texts are scored like any other; repeated rows get
-equal scores; with no usable labels (none, or one class only) all weights are zero and each score is CUT.
+Defined results: a null text counts as empty; empty and very long texts are scored like any other, whole;
+repeated rows and equal texts get equal scores; the columns of the input stay, but for one named like the
+score, which the score replaces; an empty table stays empty; with no usable labels (none, or one class only) all weights are zero and each score is CUT.
 """
 
 from __future__ import annotations

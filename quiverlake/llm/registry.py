@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quiverlake.llm import bpe, licenses, merkle, packing, quality, sharding, simhash, substrings, token_files, vectors
 from quiverlake.llm.common import table
-from quiverlake.session import shared_dir
+from quiverlake.session import work_folder
 
 #: Tokenizer files; the folder is a parameter of the deployment.
 TOKENIZERS = os.environ.get("QUIVERLAKE_TOKENIZERS", os.path.dirname(public_tokenizers.path("word_bpe_49k.json")))
@@ -52,7 +51,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    out = work_folder(spark, "tokens")
     token_files.write_tokens(table(spark, sf_dir, "documents"), out, BYTE_BPE)
     return token_files.token_digests(token_files.read_tokens(spark, out))
 

@@ -9,8 +9,10 @@ bucket around the point is refined until it is negligible.  Only histograms reac
 
 ``shard_count`` follows from target bytes, or is given.  DataFrame functions only.
 
-Defined results: a null text has size 1 and is a unit of its own kind (all null texts together, apart from
-empty ones); repeated rows share a shard and get slots of their own; a table without rows gives none.
+Defined results: null and empty texts have size 1 and are one unit; repeated rows share a shard and get
+slots of their own; units of equal size or place are parted by the hash of their text; slots follow the id,
+then checksum and size (nulls first), within a bucket; texts of any length are one unit each; columns besides
+id and text are left out, so that their names can't clash; a table without rows gives none.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ _BUCKET_BITS = 9
 _BITS = 54
 #: Slots are numbered by bucket of the id hash, so that no shard is numbered by one task.
 _SLOT_BUCKETS = 64
+#: Rows that a bucket holds at most, more or less, where the table asks for more buckets.
+_BUCKET_ROWS = 100_000
 
 DIMS = ("by_size", "by_id", "by_text")
 
@@ -147,7 +151,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, target_bytes: int | No
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
-        F.xxhash64("text", F.col("text").isNull(), F.octet_length("text")).alias("h"),
+        F.xxhash64(F.coalesce("text", F.lit("")), F.coalesce(F.octet_length("text"), F.lit(0))).alias("h"),
         F.xxhash64(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("h2"),
     ).withColumn("unit", F.xxhash64("h", "h2", "text_crc32", "size"))
     rows = materialize(read.select("doc_id", "size", "text_crc32", "h", "unit"), "sizes")
@@ -171,7 +175,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, target_bytes: int | No
 
 def number_slots(homes: DataFrame) -> DataFrame:
     """Gapless slots from 0 in each shard: rank in a bucket plus the sizes of the buckets before it."""
-    held = materialize(homes.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(_SLOT_BUCKETS)).cast("int")), "homes")
+    buckets = max(_SLOT_BUCKETS, homes.count() // _BUCKET_ROWS)
+    held = materialize(homes.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(buckets)).cast("int")), "homes")
     sizes = {(r.shard, r.bucket): r.n for r in held.groupBy("shard", "bucket").agg(F.count("*").alias("n")).collect()}  # shards * buckets rows
     starts, run = [], {}
     for (s, b), n in sorted(sizes.items()):

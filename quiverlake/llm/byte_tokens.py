@@ -27,6 +27,7 @@ class ByteTokenizer:
         back = {c: b for b, c in enumerate(byte_alphabet())}
         ranks = {bytes(back[c] for c in s): i for s, i in spec["model"]["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.greatest_id = max(*ranks.values(), *self.special.values(), 0)
         self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.library = Tokenizer.from_file(path)

@@ -1,17 +1,20 @@
 """Token ids in a compact binary form: adaptive context mixing and a range coder over reset blocks.
 
 Ids are coded in blocks of ``BLOCK``; each block starts from an empty model, so it can be read alone, and
-carries a checksum of its ids.  Three orders predict an id: the ids that last followed the last two ids and
-the last id (orders 2 and 1, each with a count of how often it held), and adaptive frequencies of the id's
-four hexadecimal digits (order 0).  Orders 2 and 1 are mixed in one decision - the first holds, the second
-holds, neither - whose adaptive frequencies depend on both counts and on whether the two agree; after
-"neither" the digits follow, two at a time.  A range coder writes 32-bit words.
+carries a checksum of its ids.  Three orders predict an id: the id that last followed the last two ids
+(order 2) and the last id (order 1), each with a count of how well it held, and the ids that the block has
+lately held, by a hash of the id (order 0).  One decision says which order holds - 2, 1, 0 or none - and its
+probabilities are the mean of two adaptive models: one in the context of the counts of orders 2 and 1 and
+whether they agree, one in the context of the last two decisions.  Where order 0 holds the place of the id
+among the recent ones follows, where none does the id itself; both in the same step of the range coder, which
+has 48 bits of state and writes words of 16 bits.
 
 Many blocks are coded side by side, one array lane each, so that a step of the model is a few array
-operations.  Lanes never touch each other.
+operations.  Lanes never touch each other.  The decoder's state is kept in doubles: all its numbers are whole
+and below 2**48, and so its quotients are exact.
 
-Defined results: no ids give no blocks; ids lie in 0 to 65535 (larger ones raise); a block whose checksum
-does not match raises on reading.
+Defined results: no ids give no blocks; ids lie below ``2 ** bits``, 20 bits at most (larger ones raise); a
+damaged block decodes to other ids of the same number, which its checksum shows.
 """
 
 from __future__ import annotations
@@ -21,257 +24,238 @@ import zlib
 import numpy as np
 
 BLOCK = 1024
-_BITS = 14
+#: Bits of an id, if no vocabulary asks for more, and at most.
+ID_BITS, MOST_BITS = 16, 20
+#: Bits of a decision's probabilities, least share of a decision, and shift of their adaption.
+_BITS, _ROOM, _RATE = 14, 16, 5
 _ONE = 1 << _BITS
-#: Slots of the order-2 and order-1 tables of a lane.
-_SLOTS = 512
-_MOST = 7
-#: Contexts of the four digits: the digits above, as far as they fit.
-_CONTEXTS = (1, 16, 64, 64)
-#: Adaption of the frequencies: shifts for digits and decisions.
-_DIGIT_RATE, _CHOICE_RATE = 4, 5
-#: Count after a (miss, hit) of a prediction that had held 0 to 7 times.
-_COUNT = np.array([[1, 1, 1, 1, 2, 2, 3, 3], [1, 2, 3, 4, 5, 6, 7, 7]], np.int32).ravel()
+#: Slots of the tables of each order.
+_SLOT_BITS = 9
+_SLOTS = 1 << _SLOT_BITS
+_STATE, _WORD, _LEAST = 48, 16, 1 << 32
+#: Words that a step can write at most, and steps between looks at the room for them.
+_STEP_WORDS, _LOOK = 2, 16
 
+_MISS = 99
+#: Change of a count (0 to 7) by a miss and by a hit; a miss of a low count replaces the prediction.
+_CHANGE = np.array([_MISS, _MISS, -2, -2, -2, -2, -2, -2, 1, 1, 1, 1, 1, 1, 1, 0], np.int32)
 
-def _upper(n: int, width: int) -> np.ndarray:
-    """Even upper bounds of n symbols, in rows of ``width``."""
-    return np.minimum((np.arange(1, width + 1) * _ONE) // n, _ONE).astype(np.int16)
 
+def _row(cuts: list[int]) -> int:
+    """Four upper bounds as one 64-bit number."""
+    return int(np.array(cuts, np.int16).view(np.int64)[0])
 
-def _targets(n: int, width: int, room: int = 8) -> np.ndarray:
-    """Upper bounds towards which symbol s pulls; every symbol keeps some room."""
-    rows = [[min(_ONE, (k + 1) * room + (_ONE - n * room if k >= s else 0)) if k < n - 1 else _ONE for k in range(width)] for s in range(n)]
-    return np.array(rows, np.int16)
 
+#: Even bounds, and the bounds towards which each decision pulls.
+_EVEN = _row([_ONE // 4 * (k + 1) for k in range(4)])
+_PULL = np.array([_row([(k + 1) * _ROOM + (_ONE - 4 * _ROOM if k >= s else 0) for k in range(4)]) for s in range(4)])
+_FOUR = np.int64(0x0001000100010001)
+_U16, _MASK16 = np.uint64(16), np.uint64(0xFFFF)
 
-_PULL16, _PULL3 = _targets(16, 16), _targets(3, 4)
 
-
-class _Table:
-    """Rows of upper bounds, one row for each lane and context."""
-
-    def __init__(self, rows: int, n: int, width: int, rate: int, pull: np.ndarray):
-        self.bounds = np.empty((rows, width), np.int16)
-        self.bounds[:] = _upper(n, width)
-        self.whole = self.bounds.view(f"V{2 * width}").ravel()
-        self.n, self.width, self.rate, self.pull = n, width, rate, pull
-
-    def rows(self, at: np.ndarray) -> np.ndarray:
-        return self.bounds.take(at, axis=0)
-
-    def span(self, row: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width of the symbols."""
-        flat, at = row.ravel(), np.arange(0, row.size, self.width) + s
-        low = flat.take(at - 1) * (s > 0).astype(np.int64)
-        return low, flat.take(at) - low
-
-    def find(self, row: np.ndarray, goal: np.ndarray) -> np.ndarray:
-        """Symbols whose span holds the goals."""
-        below = row <= goal.astype(np.int16)[:, None]
-        if self.width == 16:
-            return np.bitwise_count(below.view("<u8")).sum(1, dtype=np.int64)
-        return below[:, 0].astype(np.int64) + below[:, 1]
-
-    def learn(self, at: np.ndarray, row: np.ndarray, s: np.ndarray) -> None:
-        step = self.pull.take(s, axis=0)
-        step -= row
-        step >>= self.rate
-        step += row
-        self.whole[at] = step.view(self.whole.dtype).ravel()
+def _hash(ids: np.ndarray) -> np.ndarray:
+    h = ids * np.int64(40503)
+    h >>= 3
+    h &= _SLOTS - 1
+    return h
 
 
 class _Lanes:
     """The model of a set of lanes."""
 
     def __init__(self, lanes: int):
-        self.n, self.at = lanes, np.arange(lanes)
-        self.base = self.at * _SLOTS
-        self.next2 = np.zeros(lanes * _SLOTS, np.int32)  # id and count: id * 8 + count
-        self.next1 = np.zeros(lanes * _SLOTS, np.int32)
-        self.choice = _Table(lanes * 128, 3, 4, _CHOICE_RATE, _PULL3)
-        self.digits = [(_Table(lanes * c, 16, 16, _DIGIT_RATE, _PULL16), c) for c in _CONTEXTS]
-        self.p1, self.p2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-
-    def predict(self, m: int):
-        """Slots and states of both predictions, the ids, and the context of the decision."""
-        h1 = self.p1[:m] * 40503
-        s2 = self.base[:m] + ((h1 + self.p2[:m] * 30011 >> 3) & (_SLOTS - 1))
-        s1 = self.base[:m] + ((h1 >> 2) & (_SLOTS - 1))
-        g2, g1 = self.next2.take(s2), self.next1.take(s1)
-        e2, e1 = g2 >> 3, g1 >> 3
-        context = self.at[:m] * 128 + (((g2 & 7) << 4) | ((g1 & 7) << 1) | (e1 == e2))
-        return s2, s1, g2, g1, e2, e1, context
-
-    def learn(self, m: int, ids: np.ndarray, s2, s1, g2, g1, e2, e1) -> None:
-        now = (ids << 3).astype(np.int32)
-        for table, slot, state, guess in ((self.next2, s2, g2, e2), (self.next1, s1, g1, e1)):
-            hit = guess == ids
-            count = state & 7
-            table[slot] = np.where(hit | (count > 1), state - count, now) + _COUNT.take(hit * 8 + count)
-        self.p2[:m] = self.p1[:m]
-        self.p1[:m] = ids
-
-
-_WORD, _MASK = np.uint64(32), np.uint64(0xFFFFFFFF)
-_FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
-
-
-class _Writer:
-    """Range coder with 64-bit state; words of 32 bits, whose carries are settled at the end."""
-
-    def __init__(self, lanes: int, steps: int):
-        self.low, self.span = np.zeros(lanes, np.uint64), np.full(lanes, _FULL)
-        self.words, self.used = np.zeros((lanes, 64 + steps // 2), np.int64), np.zeros(lanes, np.int64)
-
-    def put(self, lanes, start: np.ndarray, width: np.ndarray, bits: int) -> None:
-        """``lanes``: a slice or numbers; start and width are in units of ``2 ** -bits``."""
-        old, span = self.low[lanes], self.span[lanes]
-        r = span >> np.uint64(bits)
-        low = old + r * start.view(np.uint64)
-        span = r * width.view(np.uint64)
-        over = np.nonzero(low < old)[0]
-        if len(over):
-            own = over if isinstance(lanes, slice) else lanes.take(over)
-            self.words[own, self.used.take(own) - 1] += 1  # low + span stays below 2**64 until the first word
-        k = np.nonzero(span <= _MASK)[0]
-        if len(k):
-            own = k if isinstance(lanes, slice) else lanes.take(k)
-            used, short = self.used.take(own), low.take(k)
-            if used.max() + 6 > self.words.shape[1]:
-                self.words = np.concatenate([self.words, np.zeros_like(self.words)], axis=1)
-            self.words[own, used] = short >> _WORD
-            self.used[own] = used + 1
-            low[k] = short << _WORD
-            span[k] <<= _WORD
-        self.low[lanes], self.span[lanes] = low, span
-
-    def finish(self) -> list[bytes]:
-        at = np.arange(len(self.low))
-        for _ in range(2):
-            self.words[at, self.used] = self.low >> _WORD
-            self.used += 1
-            self.low <<= _WORD
-        for k in range(int(self.used.max()) - 1, 0, -1):  # carries run to the front
-            self.words[:, k - 1] += self.words[:, k] >> 32
-            self.words[:, k] &= 0xFFFFFFFF
-        return [w[:n].astype("<u4").tobytes() for w, n in zip(self.words, self.used)]
-
-
-class _Reader:
-    def __init__(self, blocks: list[bytes]):
-        longest = max(map(len, blocks)) // 4 + 4
-        self.words = np.zeros((len(blocks), longest), np.uint32)
-        for k, b in enumerate(blocks):
-            w = np.frombuffer(b, "<u4")
-            self.words[k, : len(w)] = w
-        self.code = (self.words[:, 0].astype(np.uint64) << _WORD) | self.words[:, 1]
-        self.at = np.full(len(blocks), 2)
-        self.span = np.full(len(blocks), _FULL)
-
-    def target(self, lanes, bits: int) -> np.ndarray:
-        goal = self.code[lanes] // (self.span[lanes] >> np.uint64(bits))
-        return np.minimum(goal, np.uint64((1 << bits) - 1)).view(np.int64)
-
-    def took(self, lanes, start: np.ndarray, width: np.ndarray, bits: int) -> None:
-        code, span = self.code[lanes], self.span[lanes]
-        r = span >> np.uint64(bits)
-        code = code - r * start.view(np.uint64)
-        span = r * width.view(np.uint64)
-        k = np.nonzero(span <= _MASK)[0]
-        if len(k):
-            own = k if isinstance(lanes, slice) else lanes.take(k)
-            at = self.at.take(own)
-            code[k] = (code.take(k) << _WORD) | self.words[own, np.minimum(at, self.words.shape[1] - 1)]
-            span[k] <<= _WORD
-            self.at[own] = at + 1
-        self.code[lanes], self.span[lanes] = code, span
-
-
-def _in_lanes(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.arange(lanes)
+        self.slots, self.by_counts, self.by_last = at * _SLOTS, at * 128, at * 16
+        self.two, self.one = np.zeros(lanes * _SLOTS, np.int32), np.zeros(lanes * _SLOTS, np.int32)  # id * 8 + count
+        self.zero = np.full(lanes * _SLOTS, -1, np.int32)
+        self.counts, self.last = np.full(lanes * 128, _EVEN), np.full(lanes * 16, _EVEN)
+        self.hash1, self.hash2, self.picks = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+
+    def predict(self, m: int) -> tuple:
+        """Bounds of the decision, predicted ids, and what :meth:`learn` needs, of the first ``m`` lanes."""
+        slots, h = self.slots[:m], self.hash1[:m]
+        at2, at1 = slots + (h ^ self.hash2[:m]), slots + h
+        g2, g1 = self.two.take(at2, mode="wrap"), self.one.take(at1, mode="wrap")
+        n2, n1, e2, e1 = g2 & 7, g1 & 7, g2 >> 3, g1 >> 3
+        context = n2 << 3
+        context += n1
+        context <<= 1
+        context += e2 == e1
+        at_c, at_l = self.by_counts[:m] + context, self.by_last[:m] + self.picks[:m]
+        by_counts, by_last = self.counts.take(at_c, mode="wrap"), self.last.take(at_l, mode="wrap")
+        bounds = by_counts.view(np.int16) >> 1
+        bounds += by_last.view(np.int16) >> 1
+        return bounds, e2, e1, ((self.two, at2, g2, e2, n2), (self.one, at1, g1, e1, n1), (self.counts, at_c, by_counts), (self.last, at_l, by_last))
+
+    def learn(self, m: int, ids: np.ndarray, h: np.ndarray, pick: np.ndarray, seen: tuple) -> None:
+        pull = _PULL.take(pick, mode="wrap").view(np.int16)
+        for table, at, row in seen[2:]:
+            step = pull - row.view(np.int16)
+            step >>= _RATE
+            step += row.view(np.int16)
+            table[at] = step.view(np.int64)
+        fresh = ids << 3
+        fresh += 1
+        for table, at, held, guess, count in seen[:2]:
+            count += (guess == ids).view(np.int8) << 3
+            change = _CHANGE.take(count, mode="wrap")
+            held += change
+            np.copyto(held, fresh, where=change == _MISS)
+            table[at] = held
+        self.zero[self.slots[:m] + h] = ids
+        np.multiply(self.hash1[:m], 5, out=self.hash2[:m])
+        self.hash2[:m] &= _SLOTS - 1
+        self.hash1[:m] = h
+        picks = self.picks[:m]
+        picks <<= 2
+        picks &= 15
+        picks |= pick
+
+
+def _share(bounds: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and width of the decisions."""
+    rows, shift = bounds.view(np.uint64), (pick << 4).view(np.uint64)
+    low, width = rows << _U16, rows >> shift
+    low >>= shift
+    low &= _MASK16
+    width &= _MASK16
+    width -= low
+    return low, width
+
+
+def _in_lanes(sizes: np.ndarray) -> tuple[np.ndarray, list[int]]:
     """Blocks by falling size, and how many of them reach each step."""
     order = np.argsort(-sizes, kind="stable")
-    return order, np.searchsorted(-sizes[order], -np.arange(int(sizes.max())), side="left")
+    return order, np.searchsorted(-sizes[order], -np.arange(int(sizes.max())), side="left").tolist()
 
 
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
+def encode_blocks(blocks: list[np.ndarray], bits: int = ID_BITS) -> list[bytes]:
     """Code each block of ids; the result of a block depends on its own ids alone."""
     if not blocks:
         return []
+    if not 1 <= bits <= MOST_BITS:
+        raise ValueError(f"ids have 1 to {MOST_BITS} bits")
     sizes = np.array([len(b) for b in blocks])
     order, active = _in_lanes(sizes)
-    ids = np.zeros((len(active), len(blocks)), np.int64)
+    n = len(blocks)
+    ids = np.zeros((len(active), n), np.int32)
     for lane, k in enumerate(order):
+        if len(blocks[k]) and (int(blocks[k].max()) >> bits or int(blocks[k].min()) < 0):
+            raise ValueError(f"ids must lie below {1 << bits}")
         ids[: sizes[k], lane] = blocks[k]
-    if ids.size and (ids.max() > 65535 or ids.min() < 0):
-        raise ValueError("ids must lie in 0 to 65535")
-    model, out = _Lanes(len(blocks)), _Writer(len(blocks), len(active))
-    for t, m in enumerate(active.tolist()):
+    model, payload_bits = _Lanes(n), np.array([0, 0, _SLOT_BITS, bits], np.uint64)
+    low, span = np.zeros(n, np.uint64), np.full(n, 1 << _STATE, np.uint64)
+    lanes = np.arange(n)
+    words, at = np.zeros((8 + len(active) + _STEP_WORDS * _LOOK) * n, np.int32), lanes.copy()  # word w of a lane: w * n + lane
+    mask = np.uint64((1 << _STATE) - 1)
+    for t, m in enumerate(active):
         now = ids[t, :m]
-        s2, s1, g2, g1, e2, e1, context = model.predict(m)
-        pick = np.where(e2 == now, 0, np.where(e1 == now, 1, 2))
-        row = model.choice.rows(context)
-        out.put(slice(0, m), *model.choice.span(row, pick), _BITS)
-        model.choice.learn(context, row, pick)
-        lanes = np.nonzero(pick == 2)[0]
-        if len(lanes):
-            rest = now.take(lanes)
-            for pair, shifts in ((model.digits[:2], (12, 8)), (model.digits[2:], (4, 0))):
-                spans = []
-                for (table, contexts), shift in zip(pair, shifts):
-                    at = lanes * contexts + ((rest >> (shift + 4)) & (contexts - 1))
-                    row, digit = table.rows(at), (rest >> shift) & 15
-                    spans += table.span(row, digit)
-                    table.learn(at, row, digit)
-                low, width, low2, width2 = spans
-                out.put(lanes, (low << _BITS) + width * low2, width * width2, 2 * _BITS)
-        model.learn(m, now, s2, s1, g2, g1, e2, e1)
-    coded = out.finish()
-    result: list[bytes] = [b""] * len(blocks)
+        bounds, e2, e1, seen = model.predict(m)
+        h = _hash(now)
+        kind = (model.zero.take(model.slots[:m] + h, mode="wrap") != now).view(np.int8)
+        kind += 1
+        kind *= e1 != now
+        kind += 1
+        kind *= e2 != now
+        pick = kind.astype(np.int64)
+        payload = h * (kind == 2)
+        np.copyto(payload, now, where=kind == 3)
+        start, width = _share(bounds, pick)
+        r = span[:m] >> np.uint64(_BITS)
+        start *= r
+        start += low[:m]
+        r *= width
+        r >>= payload_bits.take(pick, mode="wrap")
+        start += r * payload.view(np.uint64)
+        k = np.nonzero(start >> np.uint64(_STATE))[0]
+        if len(k):  # low + span stays below 2**48 until the first word
+            words[at.take(k) - n] += 1
+            start &= mask
+        if t % _LOOK == 0 and int(at.max()) + _STEP_WORDS * _LOOK * n >= len(words):
+            words = np.concatenate([words, np.zeros_like(words)])
+        while len(k := np.nonzero(r < np.uint64(_LEAST))[0]):
+            place, short = at.take(k), start.take(k)
+            words[place] = short >> np.uint64(_STATE - _WORD)
+            at[k] = place + n
+            short <<= _U16
+            short &= mask
+            start[k] = short
+            r[k] = r.take(k) << _U16
+        low[:m], span[:m] = start, r
+        model.learn(m, now, h, pick, seen)
+    if int(at.max()) + 3 * n >= len(words):
+        words = np.concatenate([words, np.zeros(4 * n, np.int32)])
+    for _ in range(3):
+        words[at] = low >> np.uint64(_STATE - _WORD)
+        at += n
+        low <<= _U16
+        low &= mask
+    table, used = words.reshape(-1, n), at // n
+    for k in range(int(used.max()) - 1, 0, -1):  # carries run to the front
+        table[k - 1] += table[k] >> _WORD
+        table[k] &= 0xFFFF
+    whole = np.ascontiguousarray(table[: int(used.max())].T.astype("<u2"))
+    result: list[bytes] = [b""] * n
     for lane, k in enumerate(order):
-        result[k] = coded[lane]
+        result[k] = whole[lane, : used[lane]].tobytes()
     return result
 
 
-def decode_blocks(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
+def decode_blocks(coded: list[bytes], sizes: list[int], bits: int = ID_BITS) -> list[np.ndarray]:
     """Ids of each block."""
     if not coded:
         return []
     lengths = np.array(sizes)
     order, active = _in_lanes(lengths)
-    model, src = _Lanes(len(coded)), _Reader([coded[k] for k in order])
-    ids = np.zeros((len(active), len(coded)), np.int64)
-    for t, m in enumerate(active.tolist()):
-        s2, s1, g2, g1, e2, e1, context = model.predict(m)
-        row = model.choice.rows(context)
-        pick = model.choice.find(row, src.target(slice(0, m), _BITS))
-        src.took(slice(0, m), *model.choice.span(row, pick), _BITS)
-        model.choice.learn(context, row, pick)
-        now = np.where(pick == 0, e2, e1).astype(np.int64)
-        lanes = np.nonzero(pick == 2)[0]
-        if len(lanes):
-            rest = np.zeros(len(lanes), np.int64)
-            for first, second in (model.digits[:2], model.digits[2:]):
-                goal = src.target(lanes, 2 * _BITS)
-                at = lanes * first[1] + (rest & (first[1] - 1))
-                row = first[0].rows(at)
-                digit = first[0].find(row, goal >> _BITS)
-                low, width = first[0].span(row, digit)
-                first[0].learn(at, row, digit)
-                rest = (rest << 4) | digit
-                at = lanes * second[1] + (rest & (second[1] - 1))
-                row = second[0].rows(at)
-                digit = second[0].find(row, (goal - (low << _BITS)) // width)
-                low2, width2 = second[0].span(row, digit)
-                second[0].learn(at, row, digit)
-                rest = (rest << 4) | digit
-                src.took(lanes, (low << _BITS) + width * low2, width * width2, 2 * _BITS)
-            now[lanes] = rest
-        ids[t, :m] = now
-        model.learn(m, now, s2, s1, g2, g1, e2, e1)
-    result: list[np.ndarray] = [np.zeros(0, "<u4")] * len(coded)
+    n = len(coded)
+    table = np.zeros((n, max(map(len, coded)) // 2 + 4), np.uint16)
+    for lane, k in enumerate(order):
+        w = np.frombuffer(coded[k], "<u2")
+        table[lane, : len(w)] = w
+    words = np.ascontiguousarray(table.T).ravel()
+    code = (table[:, 0] * 65536.0 + table[:, 1]) * 65536.0 + table[:, 2]
+    at, span = np.arange(n) + 3 * n, np.full(n, float(1 << _STATE))
+    model, shrink = _Lanes(n), np.array([1.0, 1.0, 2.0**-_SLOT_BITS, 2.0**-bits])
+    ids = np.zeros((len(active), n), np.int32)
+    with np.errstate(all="ignore"):  # a damaged block may do anything
+        for t, m in enumerate(active):
+            bounds, e2, e1, seen = model.predict(m)
+            c, r = code[:m], span[:m]
+            r *= 2.0**-_BITS
+            np.floor(r, out=r)
+            goal = (c / r).astype(np.int64)
+            goal *= _FOUR
+            pick = np.bitwise_count((bounds <= goal.view(np.int16)).view(np.uint32)).astype(np.int64)
+            start, width = _share(bounds, pick)
+            c -= r * start
+            r *= width
+            r *= shrink.take(pick, mode="wrap")
+            np.floor(r, out=r)
+            now = e1.copy()
+            np.copyto(now, e2, where=pick == 0)
+            k = np.nonzero(pick > 1)[0]
+            if len(k):
+                rest, unit = c.take(k), r.take(k)
+                payload = np.floor(rest / unit)
+                c[k] = rest - payload * unit
+                payload = payload.astype(np.int64)
+                recent = model.zero.take(model.slots.take(k) + (payload & (_SLOTS - 1)), mode="wrap")
+                np.copyto(payload, recent, where=pick.take(k) == 2)
+                now[k] = payload
+            for _ in range(_STEP_WORDS):
+                k = np.nonzero(r < _LEAST)[0]
+                if not len(k):
+                    break
+                place = at.take(k)
+                c[k] = c.take(k) * 65536.0 + words.take(place, mode="wrap")
+                at[k] = place + n
+                r[k] = r.take(k) * 65536.0
+            ids[t, :m] = now
+            model.learn(m, now, _hash(now), pick, seen)
+    whole = np.ascontiguousarray(ids.T.astype("<u4"))
+    result: list[np.ndarray] = [np.zeros(0, "<u4")] * n
     for lane, k in enumerate(order):
-        result[k] = ids[: lengths[k], lane].astype("<u4")
+        result[k] = whole[lane, : lengths[k]]
     return result
 
 

@@ -1,12 +1,14 @@
 """Token-id files: whole documents in ascending id order, coded by :mod:`quiverlake.llm.rangecoder`.
 
 The container is a Parquet table.  A row holds some whole documents: their ids and lengths, the coded
-blocks of their concatenated token ids, a checksum for each block, and its place: the id range it belongs
+blocks of their concatenated token ids, the bits of an id, a checksum for each block, and its place: the id range it belongs
 to and the number of token ids before it in that range.  Ranges ascend with the document id, so the place
 of every document in the whole follows from the sums of the ranges.
 
 Defined results: a null or empty text is the end id alone; null document ids come first; rows with equal
-ids follow each other in order of text; a damaged block raises; an empty table reads back empty.
+ids follow each other in order of text; ids of documents are numbers or texts; texts of any length are one
+row; other columns are left out, so that their names can't clash; a damaged block raises; an empty table
+reads back empty.
 """
 
 from __future__ import annotations
@@ -23,9 +25,9 @@ from quiverlake.llm.ranges import IdRanges, range_parts
 END_ID = 2
 #: Token ids of a row (more where one document has more), and blocks that are coded side by side.
 ROW_IDS = 128 * rangecoder.BLOCK
-LANES = 12_288
+LANES = 8192
 
-_COLUMNS = ["part", "start_in_part", "doc_ids", "lengths", "blocks", "sums", "ids"]
+_COLUMNS = ["part", "start_in_part", "doc_ids", "lengths", "blocks", "sums", "ids", "bits"]
 
 
 def _side_by_side(n: int) -> list[slice]:
@@ -48,6 +50,7 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = END_ID) ->
 
     def rows(batches):
         encoder = byte_tokenizer(path)
+        bits = max(rangecoder.ID_BITS, (encoder.greatest_id | end_id).bit_length())
         ready: list[tuple] = []  # rows that wait for company: (part, start, doc ids, lengths, ids)
         waiting, part, run = 0, None, 0
         held: list[tuple] = []
@@ -66,11 +69,11 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = END_ID) ->
             nonlocal ready, waiting
             cut = [[r[4][k : k + rangecoder.BLOCK] for k in range(0, len(r[4]), rangecoder.BLOCK)] for r in ready]
             flat = [b for c in cut for b in c]
-            coded = [x for g in _side_by_side(len(flat)) for x in rangecoder.encode_blocks(flat[g])]
+            coded = [x for g in _side_by_side(len(flat)) for x in rangecoder.encode_blocks(flat[g], bits)]
             done = {n: [] for n in _COLUMNS}
             for r, c in zip(ready, cut):
                 own, coded = coded[: len(c)], coded[len(c) :]
-                for n, v in zip(_COLUMNS, (*r[:4], own, [rangecoder.checksum(b) for b in c], len(r[4]))):
+                for n, v in zip(_COLUMNS, (*r[:4], own, [rangecoder.checksum(b) for b in c], len(r[4]), bits)):
                     done[n].append(v)
             ready, waiting = [], 0
             return done
@@ -91,7 +94,7 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = END_ID) ->
         close()
         yield code()
 
-    coded = map_rows(placed, rows, f"part int, start_in_part long, doc_ids array<{kind}>, lengths array<long>, blocks array<binary>, sums array<long>, ids long")
+    coded = map_rows(placed, rows, f"part int, start_in_part long, doc_ids array<{kind}>, lengths array<long>, blocks array<binary>, sums array<long>, ids long, bits int")
     coded.write.option("compression", "none").parquet(out)
 
 
@@ -111,7 +114,8 @@ def read_tokens(spark: SparkSession, out: str) -> DataFrame:
         for b in batches:
             blocks = [x for r in b["blocks"] for x in r]
             sizes = [min(rangecoder.BLOCK, n - k) for n in b["ids"] for k in range(0, n, rangecoder.BLOCK)]
-            ids = [x for g in _side_by_side(len(blocks)) for x in rangecoder.decode_blocks(blocks[g], sizes[g])]
+            bits = max(b["bits"], default=rangecoder.ID_BITS)  # one for a container
+            ids = [x for g in _side_by_side(len(blocks)) for x in rangecoder.decode_blocks(blocks[g], sizes[g], bits)]
             found: dict = {"doc_id": [], "start": [], "tokens": []}
             at = 0
             for doc_ids, lengths, sums, place in zip(b["doc_ids"], b["lengths"], b["sums"], b["start"]):
@@ -127,7 +131,7 @@ def read_tokens(spark: SparkSession, out: str) -> DataFrame:
                     k += n
             yield found
 
-    return map_rows(stored.select("doc_ids", "lengths", "blocks", "sums", "ids", start.alias("start")), rows, f"doc_id {kind}, start long, tokens binary")
+    return map_rows(stored.select("doc_ids", "lengths", "blocks", "sums", "ids", "bits", start.alias("start")), rows, f"doc_id {kind}, start long, tokens binary")
 
 
 def token_digests(tokens: DataFrame) -> DataFrame:

@@ -50,9 +50,8 @@ def shingle_hashes(text: str, words: int = WORDS) -> np.ndarray:
     return np.fromiter((h(whole[a : b - 1], 42) for a, b in zip(starts, starts[words:])), np.uint64, len(parts) - words + 1)
 
 
-def fingerprint(text: str, words: int = WORDS) -> int:
-    """Majority bits of the shingle hashes, as a signed 64-bit number."""
-    h = shingle_hashes(text, words)
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as a signed 64-bit number; zero without hashes."""
     if not len(h):
         return 0
     ones = np.zeros(64, np.int64)
@@ -61,6 +60,11 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     return int(np.packbits(2 * ones > len(h)).view(">i8")[0])
 
 
+def fingerprint(text: str, words: int = WORDS) -> int:
+    """Majority bits of the shingle hashes, as a signed 64-bit number."""
+    return majority(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows ``(id, fp long)``; one pass, no shuffle."""
     kind = docs.schema[id_col].dataType.simpleString()

@@ -13,7 +13,7 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     while True:
         key = rank * (n + 2)
         key[: n - step] += rank[step:] + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_key = key[order]
         fresh = np.empty(n, np.int64)
         fresh[order] = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
@@ -23,6 +23,10 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
             return order
 
 
+#: Masks of the bits below each place of a word.
+_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
+
 class WaveletMatrix:
     """Rank of any symbol before any place, over bit planes of 64-bit words with running counts."""
 
@@ -36,7 +40,7 @@ class WaveletMatrix:
             padded[: len(s)] = bit
             words = np.packbits(padded, bitorder="little").view("<u8")
             self.words.append(words)
-            self.counts.append(np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)]).astype(np.int32))
+            self.counts.append(np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)]))
             self.zeros.append(int(len(s) - bit.sum()))
             s = np.concatenate([s[bit == 0], s[bit == 1]])
         self.begin = self._down(np.zeros(alphabet, np.int64), np.arange(alphabet))
@@ -44,13 +48,17 @@ class WaveletMatrix:
     def _down(self, place: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         for level, b in enumerate(range(self.planes - 1, -1, -1)):
             word = place >> 6
-            below = (np.uint64(1) << (place & 63).astype(np.uint64)) - np.uint64(1)
-            ones = self.counts[level][word] + np.bitwise_count(self.words[level][word] & below)
-            place = np.where((symbol >> b) & 1, self.zeros[level] + ones, place - ones)
+            held = self.words[level].take(word, mode="wrap")
+            held &= _BELOW.take(place & 63, mode="wrap")
+            ones = self.counts[level].take(word, mode="wrap")
+            ones += np.bitwise_count(held)
+            place = place - ones
+            ones += self.zeros[level]
+            np.copyto(place, ones, where=(symbol >> b) & 1 == 1)
         return place
 
     def rank(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
-        return self._down(place, symbol) - self.begin[symbol]
+        return self._down(place, symbol) - self.begin.take(symbol)
 
 
 class FMIndex:

@@ -21,6 +21,9 @@ named like a count, which the count replaces; an empty table stays empty.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from itertools import chain, count
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -174,11 +177,11 @@ def repeated_stretches(segments: list[str], counts: np.ndarray, window: int = WI
     begins before it; if not, at the word before the end.
     """
     parts = [s.encode("utf-8", "surrogatepass").split() for s in segments]
-    names: dict[bytes, int] = {}
+    names: defaultdict[bytes, int] = defaultdict(count(2).__next__)
     lengths = np.array([len(p) for p in parts])
     text = np.ones(int(lengths.sum()) + len(parts), np.int64)  # 1 parts segments
     starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-    flat = np.fromiter((names.setdefault(w, len(names) + 2) for p in parts for w in p), np.int64, int(lengths.sum()))
+    flat = np.fromiter(map(names.__getitem__, chain.from_iterable(parts)), np.int64, int(lengths.sum()))
     inside = np.ones(len(text), bool)
     inside[starts + lengths] = False
     text[inside] = flat

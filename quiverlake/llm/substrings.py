@@ -161,12 +161,13 @@ def _segments(texts: DataFrame, window: int) -> DataFrame:
 
 
 def _hot_hits(hot: DataFrame, window: int) -> DataFrame:
-    """Rows ``(m, h, spans)`` for the windows of hot runs that have two places or more."""
+    """Rows ``(m, h, spans)``, one for each hot run with windows that have two places or more; a run has no
+    more windows than a window has word groups."""
     # rows of one document that repeat cut the same window again
     windows = materialize(hot.groupBy("m", "h", "at").agg(F.max("n").alias("n"), F.max("w").alias("w"), F.max("w2").alias("w2")), "windows")
     twice = materialize(windows.groupBy("w", "w2").agg(F.sum("n").alias("places")).where("places > 1").select("w", "w2"), "twice")
     span = F.struct(F.col("at").alias("a"), (F.col("at") + window).alias("b"))
-    return windows.join(twice, ["w", "w2"]).select("m", "h", F.array(span).alias("spans"))
+    return windows.join(twice, ["w", "w2"]).groupBy("m", "h").agg(F.sort_array(F.collect_list(span)).alias("spans"))
 
 
 def repeated_stretches(segments: list[str], counts: np.ndarray, window: int = WINDOW) -> list[list[tuple[int, int]]]:

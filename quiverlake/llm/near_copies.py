@@ -40,7 +40,7 @@ from quiverlake.session import discard, materialize
 
 WORDS = 5
 #: Shingles of a row of sets, more or less; they decide what a task holds and don't change results.
-ROW_SHINGLES = 400_000
+ROW_SHINGLES = 150_000
 #: Shingles that more sets of a task share are counted by matrix products, and columns of a product.
 _FEW, _COLUMNS = 12, 2048
 

@@ -54,8 +54,15 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
-def minimisers(h: np.ndarray, window: int = WINDOW, group: int = GROUP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(minimiser hash, first window, last window) of the runs of windows over word hashes ``h``."""
+def minimisers(h: np.ndarray, lengths: np.ndarray, window: int = WINDOW, group: int = GROUP) -> tuple[np.ndarray, ...]:
+    """(text, minimiser hash, first window, last window) of the runs of windows with one minimiser.
+
+    ``h`` holds the word hashes of several texts one after the other; no window reaches over an end.  Windows
+    are looked at a piece at a time, and a run ends with its piece.
+    """
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    text_of_word = np.repeat(np.arange(len(lengths)), lengths)
     parts = []
     for at in range(0, max(1, len(h)), _PIECE):
         piece = h[at : at + _PIECE + window - 1]
@@ -77,11 +84,17 @@ def minimisers(h: np.ndarray, window: int = WINDOW, group: int = GROUP) -> tuple
         if width < span:
             key = np.minimum(key[: len(key) - (span - width)], key[span - width :])
         place = (key & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)
-        first = np.concatenate([[0], np.nonzero(place[1:] != place[:-1])[0] + 1])
+        text = text_of_word[at : at + len(place)]
+        inside = np.nonzero(np.arange(at + window, at + window + len(place)) <= ends[text])[0]
+        if not len(inside):
+            continue
+        place, text = place[inside], text[inside]
+        first = np.concatenate([[0], np.nonzero((place[1:] != place[:-1]) | (text[1:] != text[:-1]))[0] + 1])
         last = np.concatenate([first[1:], [len(place)]]) - 1
-        parts.append((g[place[first]].view(np.int64), first + at, last + at))
+        begin = starts[text[first]] - at
+        parts.append((text[first], g[place[first]].view(np.int64), inside[first] - begin, inside[last] - begin))
     if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 4
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
@@ -105,7 +118,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 def _run_hashes(h: np.ndarray, first: np.ndarray, last: np.ndarray, window: int) -> np.ndarray:
-    """Hash of the words of each run, wherever it stands: a polynomial in an odd base, by prefix sums."""
+    """Hash of the words of each run, wherever it stands in ``h``: a polynomial in an odd base, by prefix sums."""
     base = int(_ODD[62])
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(np.uint64(base), len(h)), dtype=np.uint64)])
     back = _powers(np.uint64(pow(base, -1, 1 << 64)), len(h))
@@ -119,18 +132,13 @@ def _run_table(keyed: DataFrame, window: int) -> DataFrame:
 
     def rows(batches):
         hashes = _WordHashes()
-        names = ("k", "k2", "m", "h", "first", "last")
         for b in batches:
-            out: dict[str, list] = {n: [] for n in names}
-            for k, k2, text in zip(b["k"], b["k2"], b["text"]):
-                words = words_of(text)
-                if len(words) < window:
-                    continue
-                h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-                m, first, last = minimisers(h, window)
-                for n, v in zip(names, (np.full(len(m), k), np.full(len(m), k2), m, _run_hashes(h, first, last, window), first, last)):
-                    out[n].append(v)
-            yield {n: np.concatenate(v) if v else [] for n, v in out.items()}
+            texts = [words_of(t) for t in b["text"]]
+            lengths = np.array([len(w) for w in texts], np.int64)
+            h = np.fromiter(map(hashes.__getitem__, chain.from_iterable(texts)), np.uint64, int(lengths.sum()))
+            text, m, first, last = minimisers(h, lengths, window)
+            begin = (np.cumsum(lengths) - lengths)[text]
+            yield {"k": np.array(b["k"], np.int64)[text], "k2": np.array(b["k2"], np.int64)[text], "m": m, "h": _run_hashes(h, first + begin, last + begin, window), "first": first, "last": last}
 
     return map_rows(keyed, rows, "k long, k2 long, m long, h long, first int, last int")
 

@@ -23,14 +23,14 @@ import zlib
 
 import numpy as np
 
-BLOCK = 1024
+BLOCK = 512
 #: Bits of an id, if no vocabulary asks for more, and at most.
 ID_BITS, MOST_BITS = 16, 20
 #: Bits of a decision's probabilities, least share of a decision, and shift of their adaption.
 _BITS, _ROOM, _RATE = 14, 16, 5
 _ONE = 1 << _BITS
 #: Slots of the tables of each order.
-_SLOT_BITS = 9
+_SLOT_BITS = 7
 _SLOTS = 1 << _SLOT_BITS
 _STATE, _WORD, _LEAST = 48, 16, 1 << 32
 #: Words that a step can write at most, and steps between looks at the room for them.
@@ -65,10 +65,10 @@ class _Lanes:
 
     def __init__(self, lanes: int):
         at = np.arange(lanes)
-        self.slots, self.by_counts, self.by_last = at * _SLOTS, at * 128, at * 16
+        self.slots, self.by_counts, self.by_last = at * _SLOTS, at * 32, at * 16
         self.two, self.one = np.zeros(lanes * _SLOTS, np.int32), np.zeros(lanes * _SLOTS, np.int32)  # id * 8 + count
         self.zero = np.full(lanes * _SLOTS, -1, np.int32)
-        self.counts, self.last = np.full(lanes * 128, _EVEN), np.full(lanes * 16, _EVEN)
+        self.counts, self.last = np.full(lanes * 32, _EVEN), np.full(lanes * 16, _EVEN)
         self.hash1, self.hash2, self.picks = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
     def predict(self, m: int) -> tuple:
@@ -77,9 +77,9 @@ class _Lanes:
         at2, at1 = slots + (h ^ self.hash2[:m]), slots + h
         g2, g1 = self.two.take(at2, mode="wrap"), self.one.take(at1, mode="wrap")
         n2, n1, e2, e1 = g2 & 7, g1 & 7, g2 >> 3, g1 >> 3
-        context = n2 << 3
-        context += n1
-        context <<= 1
+        context = n2 & 6
+        context <<= 2
+        context |= n1 & 6
         context += e2 == e1
         at_c, at_l = self.by_counts[:m] + context, self.by_last[:m] + self.picks[:m]
         by_counts, by_last = self.counts.take(at_c, mode="wrap"), self.last.take(at_l, mode="wrap")

@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quiverlake.llm import bpe, licenses, merkle, packing, quality, sharding, simhash, substrings, token_files, vectors
+from quiverlake.llm import bpe, clusters, licenses, merkle, packing, periods, pieces, quality, sharding, simhash, substrings, token_files, vectors
 from quiverlake.llm.common import table
 from quiverlake.session import work_folder
 
@@ -15,6 +15,7 @@ from quiverlake.session import work_folder
 TOKENIZERS = os.environ.get("QUIVERLAKE_TOKENIZERS", os.path.dirname(public_tokenizers.path("word_bpe_49k.json")))
 WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
 BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
+PIECE_BPE = f"{TOKENIZERS}/piece_bpe_32k.model"
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +62,18 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_digests(substrings.remove_repeats(docs))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.roundtrip_digests(pieces.encode_and_decode(table(spark, sf_dir, "documents"), PIECE_BPE, packed=True))
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.with_inertia(*clusters.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.run_digests(periods.collapse_runs(table(spark, sf_dir, "documents"), repeat_some=True))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it imports the parameters above
 
@@ -78,6 +91,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_token_files": op9_token_files,
     "op10_substrings": op10_substrings,
+    "op11_sentencepiece": op11_sentencepiece,
+    "op12_clusters": op12_clusters,
+    "op13_runs": op13_runs,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {"op4_licenses": licenses.oracle_sql()}
+ORACLES: dict[str, str] = {"op4_licenses": licenses.oracle_sql(), "op12_clusters": clusters.oracle_sql(), "op13_runs": periods.oracle_sql()}

@@ -1,3 +1,3 @@
 """Multi-operator plans and the registered queries."""
 
-from quiverlake.plans import contexts, files, functions, knowledge, retrieval, roundtrips, sessions, statistics  # noqa: F401  they register their queries
+from quiverlake.plans import contexts, edits, files, functions, knowledge, retrieval, roundtrips, sessions, statistics  # noqa: F401  they register their queries

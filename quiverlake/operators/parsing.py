@@ -1,15 +1,13 @@
-"""Text parsing as DataFrame programs: markdown sections, front matter, chunks, source skeletons."""
+"""Text parsing as DataFrame programs: markdown sections, front matter, chunks, block lists."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiverlake.functions import text as X
+from quiverlake.operators.skeletons import skeletons  # noqa: F401  part of parsing
 
 
 #: White space inside a line, for patterns (fixed value).
@@ -80,80 +78,6 @@ def chunks(docs: DataFrame, size: int, overlap: int, key: str = "doc_id", text:
 
 
 _SPACES = " \t\n\r\x0b\x0c"
-_ARGS = r"\(([^)]*)\)"
-
-
-@dataclass(frozen=True)
-class Grammar:
-    """Patterns of what the source files of a language declare; groups are numbered from 1.
-
-    ``types`` has the name and the base, ``functions`` receiver or modifier, name, parameters and result.
-    """
-
-    types: str
-    functions: str
-    imports: str
-    package: str = ""
-    word: str = "package"
-    interfaces: str = ""
-    constants: str = ""
-    methods: str = ""
-
-
-def _words(*names: str) -> str:
-    """Any of the modifiers, in any order and number."""
-    return rf"(?:(?:{'|'.join(names)})\s+)*"
-
-
-_CURLY = r"(?m)^[ \t]*"
-_JS_NAME = r"(?m)^(?:export\s+)?(?:default\s+)?"
-#: How each language spells its declarations.
-GRAMMARS = {
-    "python": Grammar(r"(?m)^class\s+(\w+)(?:\(([^)]*)\))?\s*:", rf"(?m)^(async\s+)?def\s+(\w+){_ARGS}(?:\s*->\s*([^:\n]+))?", r"(?m)^(?:import|from)\s+([\w.]+)", methods=r"(?m)^\s{4}(?:async\s+)?def\s+(\w+)\("),
-    "javascript": Grammar(rf"{_JS_NAME}class\s+(\w+)(?:\s+extends\s+(\w+))?", rf"{_JS_NAME}(async\s+)?(?:function\s+|(?:const|let|var)\s+(?=\w+\s*=\s*(?:async\s*)?\([^)]*\)\s*(?::\s*\w+\s*)?=>))(\w+)\s*(?:=\s*(?:async\s*)?)?{_ARGS}(?:\s*:\s*(\w+))?", r"(?m)^import\s[^\n]*?from\s+['\"]([^'\"]+)"),
-    "java": Grammar(rf"{_CURLY}{_words('public', 'protected', 'private', 'abstract', 'final', 'static')}(?:class|interface|enum|record)\s+(\w+)(?:\s+extends\s+(\w+))?", rf"(?m)^[ \t]+(public|protected|private|)\s*{_words('static', 'abstract', 'final', 'synchronized')}(?!return|new|else|throw)[\w<>\[\], ]+?\s+(\w+)\s*{_ARGS}()", r"(?m)^import\s+(?:static\s+)?([\w.*]+);", r"(?m)^package\s+([\w.]+);"),
-    "rust": Grammar(rf"{_CURLY}(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum)\s+(\w+)()", rf"{_CURLY}(pub\s+)?(?:async\s+)?fn\s+(\w+)\s*(?:<[^>]*>)?{_ARGS}(?:\s*->\s*([^\s{{;]+))?", r"(?m)^use\s+([\w:]+)", interfaces=rf"{_CURLY}(?:pub\s+)?trait\s+(\w+)"),
-    "ruby": Grammar(rf"{_CURLY}class\s+(\w+)(?:\s*<\s*(\w+))?", rf"{_CURLY}()def\s+([\w.?!]+)(?:{_ARGS})?()", r"(?m)^require(?:_relative)?\s+['\"]([^'\"]+)", rf"{_CURLY}module\s+(\w+)", "module"),
-    "csharp": Grammar(rf"{_CURLY}{_words('public', 'internal', 'private', 'protected', 'abstract', 'sealed', 'static', 'partial')}(?:class|struct|record|enum)\s+(\w+)(?:\s*:\s*([\w.<>]+))?", rf"(?m)^[ \t]+(public|protected|private|internal)\s+{_words('static', 'async', 'override', 'virtual')}[\w<>\[\]?]+\s+(\w+)\s*{_ARGS}()", r"(?m)^using\s+([\w.]+);", rf"{_CURLY}namespace\s+([\w.]+)", "namespace", rf"{_CURLY}(?:public\s+|internal\s+)?interface\s+(\w+)"),
-    "go": Grammar(r"(?m)^type\s+(\w+)\s+struct\b()", rf"(?m)^func\s+(?:\((?:\w+\s+)?\*?(\w+)\)\s+)?(\w+)\s*{_ARGS}[ \t]*(\([^)]*\)|[^\s{{]+)?", r"(?m)^\s*(?:import\s+)?\"([^\"]+)\"\s*$", r"(?m)^package\s+(\w+)", "package", r"(?m)^type\s+(\w+)\s+interface\b", r"(?m)^const\s+(\w+)"),
-    "php": Grammar(rf"{_CURLY}{_words('abstract', 'final')}(?:class|trait)\s+(\w+)(?:\s+extends\s+(\w+))?", rf"{_CURLY}(public|protected|private|)\s*{_words('static', 'abstract', 'final')}function\s+(\w+)\s*{_ARGS}(?:\s*:\s*([^\s{{;]+))?", r"(?m)^use\s+([\w\\]+)", r"(?m)^namespace\s+([\w\\]+);", "namespace", rf"{_CURLY}interface\s+(\w+)"),
-    "cpp": Grammar(rf"{_CURLY}(?:class|struct)\s+(\w+)\s*(?::\s*(?:public|protected|private)\s+(\w+)|(?=[{{;\n]))", rf"(?m)^{_words('static', 'inline', 'virtual', 'extern', 'explicit')}()(?!(?:return|else|new)\b)\w[\w:*&<> ]*?\s+[*&]*(?!(?:if|for|while|switch)\b)([\w:~]+)\s*{_ARGS}()", r"(?m)^#include\s+[<\"]([^>\"]+)", r"(?m)^namespace\s+(\w+)", "namespace", constants=rf"{_CURLY}enum\s+(?:class\s+)?(\w+)"),
-}
-GRAMMARS |= {"typescript": GRAMMARS["javascript"], "c": GRAMMARS["cpp"]}
-
-
-def skeletons(files: DataFrame) -> DataFrame:
-    """What source files ``(path, content)`` declare, found by patterns of their language.
-
-    Columns: ``path``, ``language``, ``package``, ``types`` (name, base), ``methods`` (indented functions of
-    Python), ``functions`` (owner, name, params, returns), ``imports``, ``interfaces``, ``constants``,
-    ``lines`` and ``abstract``, one line for each declaration.  Files of other languages declare nothing.
-    """
-    rows = files.withColumn("language", X.language_of_extension(F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))))
-
-    def found(pattern: Callable[[Grammar], str], group: int = 1) -> Column:
-        picks = [F.when(F.col("language") == name, F.regexp_extract_all("content", F.lit(pattern(g)), F.lit(group))) for name, g in GRAMMARS.items() if pattern(g)]
-        return F.coalesce(*picks, F.array().cast("array<string>"))
-
-    def zipped(pattern: Callable[[Grammar], str], names: list[str]) -> Column:
-        table = F.arrays_zip(*[found(pattern, k + 1).alias(n) for k, n in enumerate(names)])
-        return F.transform(table, lambda r: F.struct(*[F.regexp_replace(X.strip(F.coalesce(r[n], F.lit(""))), r"\s+", " ").alias(n) for n in names]))
-
-    package = F.coalesce(*[F.when(F.col("language") == name, F.when(F.regexp_like("content", F.lit(g.package)), F.concat(F.lit(f"{g.word} "), F.regexp_extract("content", g.package, 1)))) for name, g in GRAMMARS.items() if g.package], F.lit(""))
-    out = rows.select(
-        "path", "language", package.alias("package"), zipped(lambda g: g.types, ["name", "base"]).alias("types"), found(lambda g: g.methods).alias("methods"),
-        zipped(lambda g: g.functions, ["owner", "name", "params", "returns"]).alias("functions"), found(lambda g: g.imports).alias("imports"),
-        found(lambda g: g.interfaces).alias("interfaces"), found(lambda g: g.constants).alias("constants"), F.size(F.split("content", "\n")).alias("lines"),
-    )
-    members = F.when(F.size("methods") > 0, F.concat(F.lit(" ["), F.array_join("methods", ", "), F.lit("]"))).otherwise("")
-    last = F.size("types") - 1
-    kinds = F.transform("types", lambda t, i: F.concat(F.lit("class "), t["name"], F.when(t["base"] != "", F.concat(F.lit(" extends "), t["base"])).otherwise(""), F.when(i == last, members).otherwise("")))
-    owner = lambda f: F.when((F.col("language") == "go") & (f["owner"] != ""), F.concat(F.lit("("), f["owner"], F.lit(") "))).otherwise("")
-    makes = F.transform("functions", lambda f: F.concat(owner(f), F.lit("func "), f["name"], F.when(f["params"] != "", F.concat(F.lit("("), f["params"], F.lit(")"))).otherwise("")))
-    listed = F.array_join(F.filter(F.concat(F.array("package"), kinds, makes), lambda x: x != ""), "\n")
-    plain = F.format_string("%s (%s, %d lines)", F.substring_index("path", "/", -1), "language", "lines")
-    return out.withColumn("abstract", F.when(F.col("language") == "", "").when(listed == "", plain).otherwise(listed))
-
 
 def code_abstract(files: DataFrame) -> DataFrame:
     """One line for a source file: ``name (ext, n lines, f funcs, t types)``."""

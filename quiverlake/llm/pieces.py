@@ -43,7 +43,7 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Words of more symbols are merged by neighbourhoods.
 LONG = 48
 #: Entries and ids of the cache of a worker; longer words are forgotten at once.
-CACHE_WORDS, CACHE_IDS = 400_000, 4_000_000
+CACHE_WORDS, CACHE_IDS = 120_000, 1_500_000
 #: Signs of texts that are looked at together.
 STEP = 1 << 22
 

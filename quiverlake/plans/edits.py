@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quiverlake.operators import edits as X
+from quiverlake.operators import replay as R
 from quiverlake.plans.registry import query
 from quiverlake.sources import tables as T
 
@@ -66,3 +67,56 @@ def apply_operations(spark, sf):
     c = T.load(spark, sf, "customer")
     files = c.select(F.format_string("user/%d.md", "c_custkey").alias("uri"), F.col("c_name").alias("content"))
     return X.apply_operations(files, _asked(spark, sf), _PROFILE)
+
+
+# -- logs of file operations ------------------------------------------------------------------------
+
+#: Operations made from events; e is the event, u its user, k its number, t its kind.
+_LOG_SQL = """l AS (SELECT event_id AS seq, CASE WHEN t = 'purchase' AND k % 10 = 0 THEN 'mv' WHEN t = 'purchase' AND k % 10 = 3 THEN 'mkdir' WHEN t = 'error' AND k % 10 = 1 THEN 'rm' WHEN t IN ('click', 'view') THEN 'write' ELSE 'append' END AS op,
+ CASE WHEN t = 'purchase' AND k % 10 = 3 THEN 'd' || u % 6 || '/new' || e % 5 WHEN (t = 'purchase' AND k % 10 = 0 OR t = 'error' AND k % 10 = 1) AND e % 11 = 0 THEN 'd' || u % 6
+  WHEN (t = 'purchase' AND k % 10 = 0 OR t = 'error' AND k % 10 = 1) AND e % 2 = 0 THEN 'd' || u % 6 || '/s' || e % 5 ELSE 'd' || u % 6 || '/s' || e % 5 || '/f' || u % 4 || '.md' END AS path,
+ CASE WHEN t = 'purchase' AND k % 10 = 0 THEN CASE WHEN e % 11 = 0 THEN 'd' || k % 7 WHEN e % 2 = 0 THEN 'd' || (u + 1) % 6 || '/s' || e % 3 ELSE 'd' || k % 3 || '/deep/x/f' || e % 4 || '.md' END ELSE '' END AS target,
+ 'e' || e || ';' AS content FROM (SELECT event_id, event_id AS e, user_id AS u, event_type AS t, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events))"""
+
+
+def _log(spark, sf):
+    e = T.load(spark, sf, "events").select(F.col("event_id").alias("e"), F.col("user_id").alias("u"), F.col("event_type").alias("t"), _k().alias("k"))
+    return e.selectExpr(
+        "e AS seq",
+        "CASE WHEN t = 'purchase' AND k % 10 = 0 THEN 'mv' WHEN t = 'purchase' AND k % 10 = 3 THEN 'mkdir' WHEN t = 'error' AND k % 10 = 1 THEN 'rm' WHEN t IN ('click', 'view') THEN 'write' ELSE 'append' END AS op",
+        """concat('d', u % 6, CASE WHEN t = 'purchase' AND k % 10 = 3 THEN concat('/new', e % 5) WHEN (t = 'purchase' AND k % 10 = 0 OR t = 'error' AND k % 10 = 1) AND e % 11 = 0 THEN ''
+         WHEN (t = 'purchase' AND k % 10 = 0 OR t = 'error' AND k % 10 = 1) AND e % 2 = 0 THEN concat('/s', e % 5) ELSE concat('/s', e % 5, '/f', u % 4, '.md') END) AS path""",
+        "CASE WHEN t = 'purchase' AND k % 10 = 0 THEN CASE WHEN e % 11 = 0 THEN concat('d', k % 7) WHEN e % 2 = 0 THEN concat('d', (u + 1) % 6, '/s', e % 3) ELSE concat('d', k % 3, '/deep/x/f', e % 4, '.md') END ELSE '' END AS target",
+        "concat('e', e, ';') AS content",
+    )
+
+
+_REPLAY_SQL = f"""WITH RECURSIVE {_LOG_SQL},
+ r AS MATERIALIZED (SELECT seq, 0 AS gone, path, target FROM l WHERE op = 'mv' AND path <> target UNION ALL SELECT seq, 1, target, NULL FROM l WHERE op = 'mv' AND path <> target UNION ALL SELECT seq, 1, path, NULL FROM l WHERE op = 'rm'),
+ w AS (SELECT path, seq AS t, op, content FROM l WHERE op IN ('write', 'append')),
+ n AS (SELECT path AS p, seq AS t, false AS own FROM l WHERE op IN ('write', 'append') UNION ALL SELECT path, seq, true FROM l WHERE op = 'mkdir' UNION ALL SELECT target, seq, false FROM l WHERE op = 'mv'),
+ f AS (SELECT DISTINCT array_to_string(string_split(p, '/')[1:i], '/') AS path, t FROM (SELECT p, t, unnest(range(1, len(string_split(p, '/')) + CASE WHEN own THEN 1 ELSE 0 END)) AS i FROM n)),
+ s AS (SELECT path, t FROM w UNION SELECT path, t FROM f),
+ z AS (SELECT path AS p0, t AS t0, path, t, 0 AS gone FROM s
+  UNION ALL SELECT p0, t0, CASE WHEN x.gone = 0 THEN x.target || substr(z.path, length(x.path) + 1) ELSE z.path END, x.seq, x.gone FROM z JOIN r x ON x.seq > z.t AND (z.path = x.path OR starts_with(z.path, x.path || '/')) WHERE z.gone = 0
+  QUALIFY row_number() OVER (PARTITION BY p0, t0 ORDER BY x.seq, x.gone) = 1),
+ e AS MATERIALIZED (SELECT p0, t0, path FROM (SELECT *, row_number() OVER (PARTITION BY p0, t0 ORDER BY t DESC) AS k FROM z) WHERE k = 1 AND gone = 0),
+ c AS (SELECT e.path, w.t, w.op, w.content, max(CASE WHEN op = 'write' THEN w.t END) OVER (PARTITION BY e.path) AS last FROM w JOIN e ON w.path = e.p0 AND w.t = e.t0),
+ tree AS (SELECT path, 'file' AS kind, string_agg(content, '' ORDER BY t) AS content FROM c WHERE t >= coalesce(last, t) GROUP BY path UNION ALL SELECT DISTINCT e.path, 'directory', NULL FROM f JOIN e ON f.path = e.p0 AND f.t = e.t0)"""
+
+
+@query(f"{_REPLAY_SQL} SELECT * FROM tree")
+def replayed_tree(spark, sf):
+    """Files and directories that a log of writes, appends, removals and moves of subtrees leaves."""
+    return R.replay(_log(spark, sf))
+
+
+@query(f"""{_REPLAY_SQL}, b AS (SELECT 'd' || user_id % 6 || '/s' || event_id % 5 || '/f' || user_id % 4 || '.md' AS path, min('e' || event_id || ';') AS content FROM events WHERE event_type = 'view' GROUP BY 1),
+ a AS (SELECT path, content FROM tree WHERE kind = 'file')
+ SELECT 'ctx://log/' || coalesce(a.path, b.path) AS uri, CASE WHEN a.path IS NULL THEN 'removed' WHEN b.path IS NULL THEN 'added' ELSE 'changed' END AS status, substr(a.content, 1, 500) AS abstract FROM a FULL JOIN b ON a.path = b.path WHERE a.content IS DISTINCT FROM b.content""")
+def replayed_contexts(spark, sf):
+    """Context rows to write and to drop where the replayed tree differs from an older listing."""
+    e = T.load(spark, sf, "events").where("event_type = 'view'")
+    before = e.groupBy(F.expr("concat('d', user_id % 6, '/s', event_id % 5, '/f', user_id % 4, '.md')").alias("path")).agg(F.min(F.concat(F.lit("e"), "event_id", F.lit(";"))).alias("content"))
+    rows, gone = R.changed_contexts(before, R.replay(_log(spark, sf)).where("kind = 'file'").select("path", "content"), "ctx://log")
+    return rows.select("uri", F.col("source").alias("status"), "abstract").union(gone.select("uri", F.lit("removed").alias("status"), F.lit(None).cast("string").alias("abstract")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quiverlake.functions import templates as TP
 from quiverlake.operators import sessions as S
 from quiverlake.plans.registry import query
 from quiverlake.sources import tables as T
@@ -54,3 +55,33 @@ def message_parts(spark, sf):
     parts = F.array(F.struct(F.lit("text").alias("type"), F.col("content").alias("text"), F.lit(None).cast("string").alias("tool_id")), F.struct(F.lit("tool").alias("type"), F.lit(None).cast("string").alias("text"), F.lit("t1").alias("tool_id")))
     back = S.from_jsonl(S.to_jsonl(m.withColumn("parts", parts)))
     return back.select("session_id", "seq", "role", S.first_text().alias("first_text"), F.size(S.parts_of("tool")).alias("tools"))
+
+
+_PROMPTS = """
+metadata: {id: chat.turn, category: chat}
+variables:
+  - {name: text, required: true}
+  - {name: role, max_length: 4}
+  - {name: tongue, default: auto}
+  - {name: most, default: 3}
+template: |
+  {{- /* a turn of a talk */ -}}
+  {{if .role}}As {{.role}}{{if eq .role "syst"}} (fixed){{else if and .long (not .first)}} at length{{else}} briefly{{end}}: {{end}}{{.text}}
+  {{- if or .first (eq .turn 3 5)}}
+  [{{.words}} of {{.most}}{{if .none}}never{{end}}]{{end}} {{.tongue}} {{.gone}}
+"""
+
+
+@query("""WITH m AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN NULL ELSE text END AS text, CASE WHEN turn % 4 = 3 THEN '' ELSE substr(role, 1, 4) END AS role, length(text) > 120 AS long, turn = 0 AS first, string_split(text, ' ')[1:2] AS words FROM conversations)
+ SELECT conv_id, turn, CASE WHEN text IS NOT NULL THEN CASE WHEN role <> '' THEN 'As ' || role || CASE WHEN role = 'syst' THEN ' (fixed)' WHEN long AND NOT first THEN ' at length' ELSE ' briefly' END || ': ' ELSE '' END || text
+ || CASE WHEN first OR turn IN (3, 5) THEN chr(10) || '[[' || array_to_string(words, ' ') || '] of 3]' ELSE '' END || ' auto <no value>' || chr(10) END AS prompt,
+ CASE WHEN text IS NULL THEN 'required variable ''text'' not provided' END AS problem FROM m""")
+def prompt_templates(spark, sf):
+    """A template with nested conditions, defaults, cut and missing values for every turn of a talk."""
+    m = T.load(spark, sf, "conversations").select(
+        "conv_id", "turn", F.when(F.col("turn") % 5 != 4, F.col("text")).alias("text"), F.when(F.col("turn") % 4 == 3, "").otherwise(F.col("role")).alias("role"),
+        (F.length("text") > 120).alias("long"), (F.col("turn") == 0).alias("first"), F.slice(F.split("text", " "), 1, 2).alias("words"))
+    prompts = TP.Prompts()
+    prompts.add(_PROMPTS, "chat", "turn.yaml")
+    text, problem = prompts.render("chat.turn", TP.values_of(m))
+    return m.select("conv_id", "turn", text.alias("prompt"), problem.alias("problem"))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as files
 
-from quiverlake.llm.common import BATCH_ROWS, _slices, text_of
+from quiverlake.llm.common import _slices, text_of
 
 #: The sign that stands for a space (fixed value).
 SPACE = "▁"
@@ -45,7 +45,9 @@ LONG = 48
 #: Entries and ids of the cache of a worker; longer words are forgotten at once.
 CACHE_WORDS, CACHE_IDS = 120_000, 1_500_000
 #: Signs of texts that are looked at together.
-STEP = 1 << 22
+STEP = 1 << 20
+#: Texts that are looked at together.
+_ROWS = 64
 
 _NONE = np.int32((1 << 31) - 1)
 #: Entries of the cache that aren't words.
@@ -366,7 +368,7 @@ def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, dec = _encoder(path), _decoder(path)
         for batch in batches:
-            for b in _slices([batch], BATCH_ROWS):
+            for b in _slices([batch], _ROWS):
                 at = 0
                 for texts in _groups(b.column(1).to_pylist()):
                     flat, sizes = enc.encode(texts)

@@ -7,9 +7,9 @@ begins with ``a``.  The heaviest chain of such merges, weighted by the length of
 lookahead.  :meth:`MergeList.lookahead` computes it; :meth:`MergeList.stream` keeps at most two
 lookaheads of symbols and emits a token as soon as it ends before the lookahead.
 
-Words are cut and put into normal form by Python's character tables.  A text that holds a code point which
-these tables don't know yet is cut by the normaliser and pre-tokenizer of the file itself instead, since the
-library may know it.
+Words are cut by Python's character tables.  A text that these tables may put into another normal form than the
+library's is cut by the normaliser and pre-tokenizer of the file itself instead: one that isn't in normal form
+already, or holds a combining mark or a code point which one of the two doesn't know yet.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; rows with equal ids or texts
 each give a result of their own; texts of any length are encoded whole, word by word; strings of special
@@ -42,6 +42,8 @@ _SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACE
 _LATIN = r"a-zß-öø-ſ"
 _PLAIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-įı-ſ]*")
 _SPLIT_PLAIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^\t-\r {_LATIN}0-9]+")
+#: Categories of signs that tables of different age may order or join in different ways.
+_UNSURE = {"Cn", "Mn", "Mc", "Me"}
 #: Words longer than this are not kept in the word cache.
 _LONG_WORD = 48
 #: Entries of a cache generation; two generations are kept.
@@ -174,11 +176,11 @@ class Encoder:
         self.known: set[str] = set()
 
     def _knows(self, text: str) -> bool:
-        """Python's tables have all signs of the text."""
+        """Python's tables have all signs of the text, and its normal form is the text itself in any tables."""
         fresh = set(text).difference(self.known)
-        odd = {c for c in fresh if unicodedata.category(c) == "Cn"}
+        odd = {c for c in fresh if unicodedata.category(c) in _UNSURE}
         self.known |= fresh - odd
-        return not odd
+        return not odd and unicodedata.is_normalized("NFC", text)
 
     def _cut_by_file(self, text: str) -> list[str]:
         pieces = self.file.pre_tokenizer.pre_tokenize_str(self.file.normalizer.normalize_str(text))
@@ -198,8 +200,7 @@ class Encoder:
         elif not self._knows(text):
             words = self._cut_by_file(text)
         else:
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-            words = _SPLIT.findall(text)
+            words = _SPLIT.findall(text.replace("Σ", "σ").lower())
         for w in words:
             yield self.young.get(w) or self._missed(w)
 

@@ -2,7 +2,7 @@
 
 A text is cut into sentences behind ``.``, ``!``, ``?``, ``:`` and ``;`` before white space, and at lines
 without a word, so that a single line end inside a sentence is a space and wrapped or commented notices are found;
-one-line notices are found too, since each line is also cut by itself.  A sentence is normalised (lower case,
+one-line notices and headings are found too, since each line is also cut by itself, and at dashes.  A sentence is normalised (lower case,
 runs of other signs than a-z and 0-9 become one space, the number of a list item goes) and looked up among
 the known sentences.  The identifiers found in a document, in order, are matched against the rules: a rule
 matches where its identifiers stand next to each other in that sequence.  Rules are ordered: a match gives
@@ -81,8 +81,8 @@ NAMES = [
 #: What stands before the name (fixed values).
 LEADS = ["Released under", "Licensed under", "Distributed under", "Available under", "Published under", "This work is licensed under", "This project is licensed under", "This software is licensed under", "This file is licensed under", "This document is licensed under"]
 
-#: Behind the sign that ends a sentence, and lines without a word; the same with every line end.
-_CUT, _CUT_LINES = r"[.!?:;]+[ \t\r\n]+|\n[^a-z0-9\n]*\n", r"[.!?:;]+[ \t\r\n]+|\n"
+#: Behind the sign that ends a sentence, and lines without a word; the same with every line end and dash.
+_CUT, _CUT_LINES = r"[.!?:;]+[ \t\r\n]+|\n[^a-z0-9\n]*\n", r"[.!?:;]+[ \t\r\n]+|\n|[ \t]+-+[ \t\r\n]+"
 _CUTS = (re.compile(_CUT), re.compile(_CUT_LINES))
 _ITEM, _WORD, _OTHER = re.compile("^(?:[0-9]{1,2}|[a-z]|ii|iii|iv) "), re.compile("[a-z0-9]+"), re.compile("[^a-z0-9]+")
 
@@ -106,22 +106,33 @@ def _known() -> tuple[dict[str, str], list[tuple[str, str, tuple[str, ...]]]]:
     for rule, licence, names in NAMES:
         known |= {n: rule for lead in LEADS for name in names if (n := normalise(f"{lead} {name}")) not in known}
         rules.append((rule, licence, (rule,)))
+    for rule, licence, names in NAMES:  # the name alone on a line is a heading
+        own = rule.replace("-line", "-heading")
+        known |= {n: own for name in names if (n := normalise(name.removeprefix("the "))) not in known and ("license" in n or "unlicense" in n)}
+        if own in known.values():
+            rules.append((own, licence, (own,)))
     known[normalise("SPDX-License-Identifier")] = "spdx"
-    for licence in dict.fromkeys(r[1] for r in [*NOTICES, *NAMES]):
+    tags = list(dict.fromkeys(r[1] for r in [*NOTICES, *NAMES]))
+    for licence in [*tags, *(f"{a} {word} {b}" for word in ("OR", "AND") for a in tags for b in tags if a != b)]:
         known.setdefault(normalise(licence), f"spdx.{licence}")
         rules.append((f"spdx-{licence.lower()}", licence, ("spdx", known[normalise(licence)])))
     return known, rules
 
 
 KNOWN, RULES = _known()
-#: Every rule has a sentence that holds one of these; most texts are passed over by this test alone.
-HINTS = ("licen", "permission is", "permission to use", "redistribution", "free and unencumbered", "to the extent possible under law", "under cc", "under apache", "under mpl", "under the gnu")
+_BY_FIRST: dict[str, list[int]] = {}
+for _r, _rule in enumerate(RULES):
+    _BY_FIRST.setdefault(_rule[2][0], []).append(_r)
+#: Every rule has a sentence with such a word, whatever stands between its words; most texts are passed over by
+#: this test alone.
+HINTS = "licen|permission|redistribution|unencumbered|extent|apache|gnu|mpl|(?:^|[^a-z0-9])cc(?:0|[^a-z0-9]+(?:by|0))"
+_HINT = re.compile(HINTS)
 
 
 def identifiers(text: str) -> list[tuple[int, int, str]]:
-    """(first word, words, identifier) of the known sentences, in order."""
+    """(first word, words, identifier) of the known sentences, in order; what lies in a longer one is left out."""
     text = _lower(text)
-    if not any(h in text for h in HINTS):
+    if not _HINT.search(text):
         return []
     found = set()
     for cut in _CUTS:
@@ -131,13 +142,18 @@ def identifiers(text: str) -> list[tuple[int, int, str]]:
             if name := KNOWN.get(normalise(s)):
                 found.add((at, n, name))
             at += n
-    return sorted(found, key=lambda f: (f[0], -f[1], f[2]))
+    kept, end = [], 0
+    for f in sorted(found, key=lambda f: (f[0], -f[1], f[2])):
+        if f[0] + f[1] > end:
+            kept.append(f)
+            end = f[0] + f[1]
+    return kept
 
 
 def matches(found: list[tuple[int, int, str]]) -> list[tuple[str, str, int, int]]:
     """(rule, licence, first word, word after the last) of every place where a rule matches."""
     names = tuple(n for _, _, n in found)
-    places = [(r, k, ids) for r, (_, _, ids) in enumerate(RULES) for k in range(len(names) - len(ids) + 1) if names[k : k + len(ids)] == ids]
+    places = [(r, k, RULES[r][2]) for k, n in enumerate(names) for r in _BY_FIRST.get(n, ()) if names[k : k + len(RULES[r][2])] == RULES[r][2]]
     earliest: dict[int, int] = {}
     for r, k, ids in places:
         for at in range(k, k + len(ids)):
@@ -170,12 +186,13 @@ def oracle_sql() -> str:
     return f"""
 WITH known(s, id) AS (VALUES {known}), rules(o, rule, licence, pos, id, n) AS (VALUES {rules}),
 docs AS (SELECT row_number() OVER () AS d, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
-near AS (SELECT * FROM docs WHERE regexp_matches(t, {_quoted("|".join(HINTS))})),
+near AS (SELECT * FROM docs WHERE regexp_matches(t, {_quoted(HINTS)})),
 cut AS (SELECT d, doc_id, 0 AS way, regexp_split_to_array(t, {_quoted(_CUT)}) AS parts FROM near UNION ALL SELECT d, doc_id, 1, regexp_split_to_array(t, {_quoted(_CUT_LINES)}) FROM near),
 sentences AS (SELECT d, doc_id, way, unnest(parts) AS s, unnest(range(len(parts))) AS k FROM cut),
 counted AS (SELECT *, len(regexp_extract_all(s, '[a-z0-9]+')) AS words FROM sentences),
 placed AS (SELECT *, sum(words) OVER (PARTITION BY d, way ORDER BY k) - words AS place FROM counted),
-hits AS (SELECT DISTINCT d, doc_id, place, words, id FROM placed JOIN known ON known.s = regexp_replace(trim(regexp_replace(placed.s, '[^a-z0-9]+', ' ', 'g')), '^(?:[0-9]{{1,2}}|[a-z]|ii|iii|iv) ', '')),
+every AS (SELECT DISTINCT d, doc_id, place, words, id FROM placed JOIN known ON known.s = regexp_replace(trim(regexp_replace(placed.s, '[^a-z0-9]+', ' ', 'g')), '^(?:[0-9]{{1,2}}|[a-z]|ii|iii|iv) ', '')),
+hits AS (SELECT * FROM every QUALIFY place + words > coalesce(max(place + words) OVER (PARTITION BY d ORDER BY place, words DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY place, words DESC, id) AS r FROM hits),
 joined AS (SELECT ranked.*, o, rule, licence, n, r - pos AS start FROM ranked JOIN rules USING (id)),
 found AS (SELECT d, doc_id, o, rule, licence, start, n, min(place) AS first_word, max(place + words) AS end_word FROM joined GROUP BY ALL HAVING count(*) = n),

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -96,6 +97,22 @@ def test_bpe_equals_library_for_odd_mixtures():
         assert e.encode(text) == t.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_equals_library_for_marks_in_any_order():
+    """Marks that tables of different age know, in pairs and triples behind letters of all kinds."""
+    rng = random.Random(17)
+    t, enc = Tokenizer.from_file(registry.WORD_BPE), bpe.Encoder(registry.WORD_BPE)
+    signs = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    marks = [c for c in signs if unicodedata.category(c)[0] == "M" or unicodedata.combining(c)]
+    late = [chr(c) for c in (0x7FD, 0x8D3, 0x89D, 0x345, 0x301, 0x323, 0x1AC1, 0x1DFA, 0x10EFD, 0x11F41, 0x1E4EC, 0x10D69)]
+    bases = [*"aeiouAEIOU ΑΣσς가각漢", *(chr(c) for c in (*range(0xC0, 0x250), *range(0x1100, 0x1200), *range(0xF900, 0xFA40)))]
+    texts = ["a\u07fd\u0301", "\u08d3\u0301", "a\u0345\u07fd"]
+    texts += ["".join(rng.choice(rng.choice([marks, late, bases])) for _ in range(rng.randrange(1, 7))) for _ in range(500_000)]
+    for k in range(0, len(texts), 20_000):
+        part = texts[k : k + 20_000]
+        for text, want in zip(part, t.encode_batch(part, add_special_tokens=False)):
+            assert enc.encode(text) == want.ids, ascii(text)
+
+
 def test_bpe_and_packing_of_empty_tables(empty):
     assert bpe.roundtrip_digests(bpe.encode_and_decode(empty, registry.WORD_BPE)).count() == 0
     assert packing.piece_digests(packing.pack(empty, registry.BYTE_BPE)).count() == 0
@@ -225,12 +242,38 @@ def test_license_rules(spark, odd, empty):
     spelled = defaultdict(list)
     for n, k in licenses.KNOWN.items():
         spelled[k].append(n)
-    assert all(any(all(any(h in n for h in licenses.HINTS) for n in spelled[i]) for i in ids) for _, _, ids in licenses.RULES)
+    assert all(any(all(re.search(licenses.HINTS, n) for n in spelled[i]) for i in ids) for _, _, ids in licenses.RULES)
     found = Counter(r.licence for r in licenses.scan(odd).collect())
     assert found == {"MIT": 1, "CC-BY-NC-4.0": 1, "GPL-3.0-only": 1}
     assert licenses.scan(empty).count() == 0
 
 
+def _found(text):
+    return [m[:2] for m in licenses.matches(licenses.identifiers(text))]
+
+
+def test_license_sentences_may_be_broken_anywhere():
+    """A line end, or two spaces, or a comment mark in place of any space."""
+    for rule, licence, text in licenses.NOTICES:
+        for k in [i for i, c in enumerate(text) if c == " "]:
+            for gap in ("\n", "  ", "\n # "):
+                assert _found(f"{text[:k]}{gap}{text[k + 1 :]}") == [(rule, licence)], (rule, k)
+    for rule, licence, names in licenses.NAMES:
+        for text in (f"Distributed under {n}." for n in names):
+            for k in [i for i, c in enumerate(text) if c == " "]:
+                for gap in ("\n", "  ", "\r\n"):
+                    assert (rule, licence) in _found(f"Words before.\n\n{text[:k]}{gap}{text[k + 1 :]}\n\nWords after."), (rule, k)
+
+
+def test_license_headings_expressions_and_trailing_clauses():
+    assert _found("Project\n\nMIT License\n\nCopyright (c) 2020") == [("mit-heading", "MIT")]
+    assert _found("code (c)\n(MIT License)\n") == [("mit-heading", "MIT")]
+    assert _found("This project is licensed under the MIT license - see the LICENSE file") == [("mit-line", "MIT")]
+    assert _found("// SPDX-License-Identifier: MIT OR Apache-2.0\n") == [("spdx-mit or apache-2.0", "MIT OR Apache-2.0")]
+    assert _found("# SPDX-License-Identifier: (GPL-2.0-only AND BSD-3-Clause)\n") == [("spdx-gpl-2.0-only and bsd-3-clause", "GPL-2.0-only AND BSD-3-Clause")]
+    assert _found("The license of this text is a matter of taste.") == []
+
+
 # -- 5 -------------------------------------------------------------------------
 
 

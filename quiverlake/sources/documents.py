@@ -12,7 +12,6 @@ import io
 import re
 import tarfile
 import zipfile
-import zlib
 from collections import Counter
 from collections.abc import Callable
 from html.parser import HTMLParser
@@ -23,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiverlake.functions import uri as U
+from quiverlake.sources.pdf import page_texts
 
 #: Elements whose text isn't content (fixed values).
 DROPPED = {"script", "style", "nav", "footer", "header", "aside", "noscript"}
@@ -201,51 +201,12 @@ def old_word(data: bytes) -> list[tuple[str, str, str]]:
     return [("document", "", re.sub(r"\n{3,}", "\n\n\n", "\n".join(r.replace("\r", "\n").strip() for r in runs)))]
 
 
-#: Signs that a backslash stands for in a string of a PDF (fixed values).
-_PDF_SIGNS = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
-_PDF_STRING = rb"\(((?:[^()\\]|\\.)*)\)|<([0-9A-Fa-f\s]*)>"
-_PDF_SHOW = re.compile(rb"(\[(?:[^\]\\()]|\\.|\((?:[^()\\]|\\.)*\))*\])\s*TJ|(?:" + _PDF_STRING + rb")\s*(?:Tj|'|\")|(T\*|T[dDm]\b|ET\b)", re.S)
-
-
-def _pdf_string(plain: bytes, hexes: bytes) -> bytes:
-    if hexes:
-        digits = re.sub(rb"\s", b"", hexes)
-        return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
-    octal = lambda m: bytes([int(m[1], 8) & 255]) if m[1] else _PDF_SIGNS.get(m[2], b"" if m[2] in (b"\n", b"\r") else m[2])
-    return re.sub(rb"\\(?:([0-7]{1,3})|(.))", octal, plain, flags=re.S)
-
-
-def _pdf_text(stream: bytes) -> str:
-    """Strings that a content stream shows, a line for each move of the text position."""
-    lines: list[bytes] = [b""]
-    for m in _PDF_SHOW.finditer(stream):
-        if m[4]:
-            lines.append(b"")
-        elif m[1] is not None:
-            # a wide step back between the strings of an array is a space
-            for part in re.finditer(_PDF_STRING + rb"|(-?[0-9.]+)", m[1], re.S):
-                lines[-1] += (b" " if float(part[3] or 0) < -200 else b"") if part[3] else _pdf_string(part[1] or b"", part[2] or b"")
-        else:
-            lines[-1] += _pdf_string(m[2] or b"", m[3] or b"")
-    decoded = [x.decode("utf-16" if x.startswith((b"\xfe\xff", b"\xff\xfe")) else "latin-1", "replace").strip() for x in lines]
-    return "\n".join(x for x in decoded if x)
-
-
 def pdf(data: bytes) -> list[tuple[str, str, str]]:
-    """Text of content streams, plain or deflated, one page each; no fonts are read, so codes count as Latin-1."""
-    if not data.startswith(b"%PDF-"):
-        raise ValueError("not a PDF file")
-    streams = []
-    for m in re.finditer(rb"<<((?:[^<>]|<<[^<>]*>>|<[^<>]*>)*)>>\s*stream\r?\n(.*?)\r?\n?endstream", data, re.S):
-        if b"/FlateDecode" in m[1]:
-            try:
-                streams.append(zlib.decompressobj().decompress(m[2]))
-            except zlib.error:
-                continue
-        elif b"/Filter" not in m[1]:
-            streams.append(m[2])
-    texts = [t for s in streams if b"BT" in s and (t := _pdf_text(s))]
-    return [("document", "", "\n\n---\n\n".join(f"## Page {k}\n\n{t}" for k, t in enumerate(texts, 1)))]
+    """Text of the pages, each under a heading with its number."""
+    pages = page_texts(data)
+    if not pages:
+        raise ValueError("no page shows text")
+    return [("document", "", "\n\n---\n\n".join(f"## Page {k}\n\n{t}" for k, t in pages))]
 
 
 def plain_text(data: bytes) -> list[tuple[str, str, str]]:
@@ -261,7 +222,7 @@ def media(data: bytes) -> list[tuple[str, str, str]]:
     return [("document", "", f"[media file, {len(data)} bytes]")]
 
 
-#: Extension to parser; later entries replace earlier ones.
+#: Extension to parser; later entries replace earlier ones (extensions are fixed values).
 PARSERS: dict[str, Callable[[bytes], list[tuple[str, str, str]]]] = {
     **dict.fromkeys((".md", ".markdown", ".txt", ".text", ".rst", ".log", ".csv", ".tsv", ".json", ".yaml", ".yml", ".toml", ".ini", ".cfg", ".conf", ".xml", ".env"), plain_text),
     **dict.fromkeys((".py", ".js", ".jsx", ".ts", ".tsx", ".java", ".rs", ".rb", ".php", ".go", ".c", ".cpp", ".cc", ".h", ".hpp", ".cs", ".kt", ".swift", ".sh", ".sql"), plain_text),

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from quiverlake.functions import scoring
 from quiverlake.functions import text as X
 from quiverlake.functions import uri as U
+from quiverlake.session import materialize
 
 #: Queries of a block, and vectors of a slice that a block meets in one tile.
 QUERY_BLOCK = 4096
@@ -243,7 +244,8 @@ def retrieve(
         return pd.DataFrame({"query_id": [pdf["query_id"].iloc[0]] * len(found), "uri": [u for u, _ in found], "semantic": [s for _, s in found]})
 
     walked = rows.select("query_id", "uri", "parent_uri", "level", "distance", "ord", "rank", "in_scope").groupBy("query_id").applyInPandas(run, "query_id long, uri string, semantic double")
-    facts = contexts.groupBy("uri").agg(F.min_by(F.struct("context_type", "level", "active_count", "updated_at"), F.coalesce("level", F.lit(2))).alias("c"))
+    walked = materialize(walked, "walked")  # few rows: only their contexts are looked up
+    facts = contexts.join(walked.select("uri").distinct(), "uri", "left_semi").groupBy("uri").agg(F.min_by(F.struct("context_type", "level", "active_count", "updated_at"), F.coalesce("level", F.lit(2))).alias("c"))
     hot = scoring.hotness(F.coalesce("c.active_count", F.lit(0)), F.col("c.updated_at"), as_of)
     scored = walked.join(facts, "uri").withColumn("hotness", hot).withColumn("score", scoring.blend(F.col("semantic"), F.col("hotness"), hot_weight))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "uri"))

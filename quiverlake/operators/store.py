@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quiverlake.functions import uri as U
 from quiverlake.operators.filters import FIELDS, PathScope
+from quiverlake.operators.ranks import number
 
 
 def get(contexts: DataFrame, ids: list[str]) -> DataFrame:
@@ -209,12 +210,16 @@ def relations(edges: DataFrame, uri: str | None = None) -> DataFrame:
 
 
 def link(edges: DataFrame, new: DataFrame) -> DataFrame:
-    """Add links ``(src, uris, reason, seq)``; each gets the first free ``link_n`` of its source."""
-    taken = edges.select("src", F.regexp_extract("link_id", r"^link_(\d+)$", 1).alias("n")).where("n <> ''").groupBy("src").agg(F.collect_set(F.col("n").cast("int")).alias("taken"))
-    numbered = new.withColumn("k", F.row_number().over(Window.partitionBy("src").orderBy("seq"))).join(taken, "src", "left")
-    used = F.coalesce("taken", F.array().cast("array<int>"))
-    free = F.array_except(F.sequence(F.lit(1), F.size(used) + F.col("k")), used)
-    return edges.unionByName(numbered.select("src", F.concat(F.lit("link_"), F.element_at(F.array_sort(free), F.col("k"))).alias("link_id"), "uris", "reason"))
+    """Add links ``(src, uris, reason, seq)``; each gets the first free ``link_n`` of its source.
+
+    The j-th taken number n has n - j free ones before it, so sorted by that, between the new links by their
+    rank, a new link stands at the place that is its number.  Places are counted by ranges, whatever a source holds.
+    """
+    held = edges.select("src", F.regexp_extract("link_id", r"^link_(\d+)$", 1).alias("n")).where("n <> ''").select("src", F.col("n").cast("long").alias("n")).where("n > 0").distinct()
+    taken = number(held, ["src"], ["n"], "j").select("src", (F.col("n") - F.col("j")).alias("key"), F.lit(1).alias("kind"), F.col("n").alias("tie"), F.lit(None).cast(new.schema["uris"].dataType).alias("uris"), F.lit(None).cast("string").alias("reason"))
+    asked = number(new, ["src"], ["seq"], "k").select("src", F.col("k").alias("key"), F.lit(0).alias("kind"), F.col("k").alias("tie"), "uris", "reason")
+    placed = number(taken.unionByName(asked), ["src"], ["key", "kind", "tie"], "place").where("kind = 0")
+    return edges.unionByName(placed.select("src", F.concat(F.lit("link_"), "place").alias("link_id"), "uris", "reason"))
 
 
 def unlink(edges: DataFrame, src: str, target: str) -> DataFrame:

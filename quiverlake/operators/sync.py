@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiverlake.functions import uri as U
+from quiverlake.operators.ranks import number
 from quiverlake.operators.store import directories, glob_pattern
 from quiverlake.session import materialize
 
@@ -47,17 +48,22 @@ def tree_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return top.union(files.select(F.lit("file").alias("kind"), "status", "uri"))
 
 
-def rollup(nodes: DataFrame, summarise: Callable[[Column, Column], Column]) -> DataFrame:
+#: Children that are summarised at once.
+FAN = 4096
+
+
+def rollup(nodes: DataFrame, summarise: Callable[[Column, Column], Column], fan: int = FAN) -> DataFrame:
     """Fill in ``text`` bottom up: ``(node, parent, depth, text)``, leaves have a text.
 
     One pass for each depth; a directory is summarised once all its children are.  ``summarise`` gets the
-    sorted names and the texts of the children.
+    sorted names and the texts of the children.  No row holds more than ``fan`` children: those of a larger
+    directory are summarised by ``fan`` in their order, and the summaries again, named by their first child.
     """
     deepest = nodes.agg(F.max("depth")).first()[0]
     done = nodes.where(F.col("depth") == deepest).withColumn("leaves", F.lit(1).cast("long"))
     level = done
     for depth in range((deepest or 0) - 1, -1, -1):
-        kids = level.groupBy("parent").agg(F.array_sort(F.collect_list(F.struct("node", "text"))).alias("kids"), F.sum("leaves").alias("leaves"))
+        kids = _fanned(level.select("parent", "node", "text", "leaves"), summarise, fan)
         here = nodes.where(F.col("depth") == depth).join(kids.withColumnRenamed("parent", "of"), F.col("node") == F.col("of"), "left")
         text = F.when(F.col("kids").isNotNull(), summarise(F.col("kids.node"), F.col("kids.text"))).otherwise(F.col("text"))
         level = materialize(here.select("node", "parent", "depth", text.alias("text"), F.coalesce("leaves", F.lit(1)).cast("long").alias("leaves")), "rollup")
@@ -65,6 +71,19 @@ def rollup(nodes: DataFrame, summarise: Callable[[Column, Column], Column]) -> D
     return done
 
 
+def _fanned(kids: DataFrame, summarise: Callable[[Column, Column], Column], fan: int) -> DataFrame:
+    """Children of each parent as one sorted array of at most ``fan``."""
+    gathered = [F.array_sort(F.collect_list(F.struct("node", "text"))).alias("kids"), F.sum("leaves").alias("leaves")]
+    while True:
+        many = kids.groupBy("parent").count().where(F.col("count") > fan).select("parent")
+        if many.isEmpty():
+            return kids.groupBy("parent").agg(*gathered)
+        large = number(kids.join(many, "parent", "left_semi"), ["parent"], ["node"], "rank")
+        parts = large.groupBy("parent", F.floor((F.col("rank") - 1) / fan).alias("part")).agg(*gathered)
+        less = parts.select("parent", F.col("kids")[0]["node"].alias("node"), summarise(F.col("kids.node"), F.col("kids.text")).alias("text"), "leaves")
+        kids = materialize(kids.join(many, "parent", "left_anti").unionByName(less), "fanned")
+
+
 def ancestors(tree: DataFrame, most: int = 32) -> DataFrame:
     """``(node, ancestor, distance)`` of a tree ``(node, parent)``; the depth cap guards against cycles.
 
@@ -83,22 +102,10 @@ def ancestors(tree: DataFrame, most: int = 32) -> DataFrame:
 
 
 def unique_names(rows: DataFrame, base: str, order: str) -> DataFrame:
-    """The first row keeps its name, later ones get ``_1``, ``_2`` and so on.
-
-    Rows are dealt out by ranges of name and order and numbered within a range; the numbers before a range
-    come from the counts of the ranges, so that a name that a third of the rows share is no single task.
-    """
-    part = rows.repartitionByRange(F.col(base), F.col(order)).withColumn("__part", F.spark_partition_id())
-    held = materialize(part, "names")
-    # a row for each range and name in it: about as many as there are ranges and names
-    counts = held.groupBy(base, "__part").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy(base).orderBy("__part")) - F.col("__n")
-    starts = counts.select(F.col(base).alias("__base"), F.col("__part").alias("__of"), before.alias("__before"))
-    ranked = held.withColumn("__rank", F.row_number().over(Window.partitionBy("__part", base).orderBy(order)))
-    n = F.col("__before") + F.col("__rank")
+    """The first row keeps its name, later ones get ``_1``, ``_2`` and so on."""
+    n = F.col("__number")
     name = F.when(n == 1, F.col(base)).otherwise(F.concat(base, F.lit("_"), n - 1))
-    joined = ranked.join(starts, (F.col("__part") == F.col("__of")) & F.col(base).eqNullSafe(F.col("__base")))
-    return joined.withColumn("name", name).select(*rows.columns, "name")
+    return number(rows, [base], [order], "__number").select(*rows.columns, name.alias("name"))
 
 
 def classify(entries: DataFrame, rules: list[tuple[Column, str]], otherwise: str) -> DataFrame:

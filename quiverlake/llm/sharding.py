@@ -177,11 +177,8 @@ def number_slots(homes: DataFrame) -> DataFrame:
     """Gapless slots from 0 in each shard: rank in a bucket plus the sizes of the buckets before it."""
     buckets = max(_SLOT_BUCKETS, homes.count() // _BUCKET_ROWS)
     held = materialize(homes.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(buckets)).cast("int")), "homes")
-    sizes = {(r.shard, r.bucket): r.n for r in held.groupBy("shard", "bucket").agg(F.count("*").alias("n")).collect()}  # shards * buckets rows
-    starts, run = [], {}
-    for (s, b), n in sorted(sizes.items()):
-        starts.append((s, b, run.get(s, 0)))
-        run[s] = run.get(s, 0) + n
-    offsets = held.sparkSession.createDataFrame(starts, "shard int, bucket int, start long")
+    counts = held.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("shard", "bucket", F.coalesce(before, F.lit(0)).alias("start"))
     rank = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size"))
-    return held.join(F.broadcast(offsets), ["shard", "bucket"]).withColumn("slot", (F.col("start") + rank - 1).cast("long")).drop("bucket", "start")
+    return held.join(starts, ["shard", "bucket"]).withColumn("slot", (F.col("start") + rank - 1).cast("long")).drop("bucket", "start")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quiverlake.operators import edits as X
 from quiverlake.operators import replay as R
+from quiverlake.operators import rounds as O
 from quiverlake.plans.registry import query
 from quiverlake.sources import tables as T
 
@@ -120,3 +121,44 @@ def replayed_contexts(spark, sf):
     before = e.groupBy(F.expr("concat('d', user_id % 6, '/s', event_id % 5, '/f', user_id % 4, '.md')").alias("path")).agg(F.min(F.concat(F.lit("e"), "event_id", F.lit(";"))).alias("content"))
     rows, gone = R.changed_contexts(before, R.replay(_log(spark, sf)).where("kind = 'file'").select("path", "content"), "ctx://log")
     return rows.select("uri", F.col("source").alias("status"), "abstract").union(gone.select("uri", F.lit("removed").alias("status"), F.lit(None).cast("string").alias("abstract")))
+
+
+# -- rounds of a model and a table --------------------------------------------------------------------
+
+
+def _stand_in(messages, r):
+    """A model that is none: what it asks for and says follows from lengths."""
+    talk, last = F.get(messages, F.lit(0)).content, F.try_element_at(messages, F.lit(-1)).content
+    n, turns = F.length(talk), F.size(messages)
+    body = F.regexp_replace(last, r"^\[tool_result:\w+\] ", "")
+    read = lambda k: F.struct(F.lit("read").alias("name"), F.format_string("ctx://user/%d.md", k).alias("uri"))
+    none = F.array().cast("array<struct<name: string, uri: string>>")
+    say = lambda calls, content: F.struct(calls.alias("calls"), content.alias("content"))
+    write = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("ctx://notes/"), F.md5(talk)).alias("uri"), F.concat(n, F.lit(" "), body).alias("content"))).alias("write_ops")))
+    drop = F.to_json(F.struct(F.array(F.format_string("ctx://user/%d.md", n % 1700)).alias("delete_uris")))
+    if r == 0:
+        first = F.array(F.struct(F.lit("ls").alias("name"), F.format_string("ctx://part/%d", n % 9).alias("uri")), read(n % 1700))
+        return F.when(n % 5 == 0, say(none, F.lit("no answer yet"))).otherwise(say(first, F.lit("let me look")))
+    if r == 1:
+        return F.when(turns == 1, say(none, drop)).when(F.startswith(body, F.lit("error")), say(none, write)).otherwise(say(F.array(read(F.length(body) * 7 % 1700)), F.lit("")))
+    return F.when(n % 3 == 0, say(none, F.lit("garbage"))).otherwise(say(none, write))
+
+
+@query("""WITH s AS (SELECT conv_id AS batch, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS talk FROM conversations GROUP BY 1),
+ f AS (SELECT 'ctx://user/' || c_custkey || '.md' AS uri, c_name || repeat('x', CAST(c_custkey % 50 AS INTEGER)) AS content FROM customer),
+ a AS (SELECT batch, talk, length(talk) AS n, content AS one FROM s LEFT JOIN f ON f.uri = 'ctx://user/' || (length(talk) % 1700) || '.md'),
+ b AS (SELECT batch, talk, n, one, f.content AS two FROM a LEFT JOIN f ON f.uri = 'ctx://user/' || (length(one) * 7 % 1700) || '.md'),
+ o AS (SELECT batch, 'delete' AS phase, 'ctx://user/' || (n % 1700) || '.md' AS uri, NULL AS content FROM b WHERE n % 5 = 0
+  UNION ALL SELECT batch, 'write', 'ctx://notes/' || md5(talk), n || ' ' || CASE WHEN one IS NULL THEN 'error: no such file' ELSE coalesce(two, 'error: no such file') END FROM b WHERE n % 5 <> 0 AND (one IS NULL OR n % 3 <> 0)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY uri ORDER BY batch) AS k FROM o)
+ SELECT r.uri, batch, phase, 0::BIGINT AS seq, CASE WHEN phase = 'write' THEN 'written' WHEN f.uri IS NULL OR k > 1 THEN 'failed' ELSE 'deleted' END AS outcome, CASE WHEN phase = 'delete' AND (f.uri IS NULL OR k > 1) THEN 'no such file' END AS message, NULL AS content FROM r LEFT JOIN f ON f.uri = r.uri
+ UNION ALL SELECT uri, NULL, 'file', NULL, 'kept', NULL, content FROM f WHERE uri NOT IN (SELECT uri FROM o)
+ UNION ALL SELECT uri, NULL, 'file', NULL, 'kept', NULL, max_by(content, batch) FROM o WHERE phase = 'write' GROUP BY uri""")
+def model_rounds(spark, sf):
+    """Talks that a stand-in model turns into edits, after files it asks for in up to three rounds."""
+    c = T.load(spark, sf, "customer")
+    files = c.select(F.format_string("ctx://user/%d.md", "c_custkey").alias("uri"), F.concat("c_name", F.expr("repeat('x', CAST(c_custkey % 50 AS INT))")).alias("content"))
+    turns = T.load(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    talk = F.array_join(F.transform("t", lambda x: F.concat(x.role, F.lit(": "), x.text)), "\n")
+    sessions = turns.select(F.col("conv_id").alias("session"), F.array(F.struct(F.lit("user").alias("role"), talk.alias("content"))).alias("messages"))
+    return X.apply_operations(files, O.extract(sessions, files, _stand_in), {})

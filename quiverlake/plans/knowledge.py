@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quiverlake.operators import embedding as B
 from quiverlake.operators import evaluation as E
 from quiverlake.operators import indexing as I
 from quiverlake.operators import memory as M
@@ -291,3 +293,33 @@ def index_tree(spark, sf):
 @query(_LISTED + """SELECT uri, CASE WHEN hidden THEN 'hidden' ELSE 'blank' END AS reason FROM g WHERE hidden OR blank""")
 def index_passed_over(spark, sf):
     return I.index_tree(_listing(spark, sf), "ctx://resources")[1]
+
+
+def _flaky(texts):
+    """A service that refuses some texts, is never there for others, and for some only at the third try."""
+    for t in texts:
+        sign = hashlib.md5(t.encode()).hexdigest()[0]
+        if sign == "0":
+            raise ValueError("400 bad input")
+        if sign == "a":
+            raise ConnectionError("503 not now")
+        if sign == "b" and _TRIED.setdefault(t, 0) < 2:
+            _TRIED[t] += 1
+            raise TimeoutError("timeout")
+    return [[float(len(t)), float(t.count(" "))] for t in texts]
+
+
+_TRIED: dict[str, int] = {}
+
+
+@query("""SELECT doc_id, CASE WHEN md5(text)[1] NOT IN ('0', 'a') THEN CAST(length(text) AS DOUBLE) END AS signs, CASE WHEN md5(text)[1] NOT IN ('0', 'a') THEN CAST(length(text) - length(replace(text, ' ', '')) AS DOUBLE) END AS spaces,
+ CASE md5(text)[1] WHEN '0' THEN 'ValueError: 400 bad input' WHEN 'a' THEN 'ConnectionError: 503 not now' END AS error, CASE md5(text)[1] WHEN '0' THEN 'permanent' WHEN 'a' THEN 'transient' END AS error_class FROM documents""")
+def embedding_outcomes(spark, sf):
+    """Documents embedded by a service that fails; rows that it won't take are dead letters."""
+    rows = T.load(spark, sf, "documents").select("doc_id", "text")
+    done, dead = B.embedded_and_dead(rows, _flaky, "text", B.Limits(batch=8, tries=3, base=0.001))
+    number = lambda k: F.col("vector")[k].cast("double")
+    none = F.lit(None)
+    return done.select("doc_id", number(0).alias("signs"), number(1).alias("spaces"), none.cast("string").alias("error"), none.cast("string").alias("error_class")).union(
+        dead.select("doc_id", none.cast("double"), none.cast("double"), "error", "error_class")
+    )

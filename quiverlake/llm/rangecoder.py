@@ -1,17 +1,17 @@
 """Token ids in a compact binary form: adaptive context mixing and a range coder over reset blocks.
 
-Ids are coded in blocks of ``BLOCK``; each block starts from an empty model, so it can be read alone, and
-carries a checksum of its ids.  Three orders predict an id: the id that last followed the last two ids
-(order 2) and the last id (order 1), each with a count of how well it held, and the ids that the block has
-lately held, by a hash of the id (order 0).  One decision says which order holds - 2, 1, 0 or none - and its
-probabilities are the mean of two adaptive models: one in the context of the counts of orders 2 and 1 and
-whether they agree, one in the context of the last two decisions.  Where order 0 holds the place of the id
-among the recent ones follows, where none does the id itself; both in the same step of the range coder, which
-has 48 bits of state and writes words of 16 bits.
-
-Many blocks are coded side by side, one array lane each, so that a step of the model is a few array
-operations.  Lanes never touch each other.  The decoder's state is kept in doubles: all its numbers are whole
-and below 2**48, and so its quotients are exact.
+Ids are coded in blocks of ``BLOCK``; each block starts from the same model, so it can be read alone, and carries
+a checksum of its ids.  Three orders predict an id: the ids that last followed the last two ids and the last id
+(orders 2 and 1, each with a count of how often it held), and adaptive frequencies of the id's hexadecimal digits
+(order 0).  Which order holds - 2, 1 or neither - is one decision.  Three adaptive models foretell it, by the counts
+of both predictions and whether they agree, by the last three decisions, and by the last id; their probabilities
+are added up by weights, and after each id a weight grows with the probability that its model gave to what came.
+After "neither" the digits follow, two in a step: each by its frequencies behind the digits above it, mixed, for
+the first two, in the same way with its frequencies behind the last id.  Frequencies start from those of a vocabulary
+in order of frequency, move fast at first and slower with use.  A range coder writes 32-bit words.
+
+Many blocks are coded side by side, one array lane each, so that a step of the model is a few array operations.
+Lanes never touch each other.
 
 Defined results: no ids give no blocks; ids lie below ``2 ** bits``, 20 bits at most (larger ones raise); a
 damaged block decodes to other ids of the same number, which its checksum shows.
@@ -23,110 +23,315 @@ import zlib
 
 import numpy as np
 
-BLOCK = 512
+BLOCK = 2048
 #: Bits of an id, if no vocabulary asks for more, and at most.
 ID_BITS, MOST_BITS = 16, 20
-#: Bits of a decision's probabilities, least share of a decision, and shift of their adaption.
-_BITS, _ROOM, _RATE = 14, 16, 5
+_BITS = 14
 _ONE = 1 << _BITS
-#: Slots of the tables of each order.
-_SLOT_BITS = 7
-_SLOTS = 1 << _SLOT_BITS
-_STATE, _WORD, _LEAST = 48, 16, 1 << 32
-#: Words that a step can write at most, and steps between looks at the room for them.
-_STEP_WORDS, _LOOK = 2, 16
+#: Slots of the order-2 and order-1 tables of a lane.
+_SLOTS = 1024
+#: Least width of a symbol, in units of 2 ** -14.
+_ROOM = 10
+#: Rows of the digit tables of a lane: contexts of the digits above, and of the last id with them.
+_OWN, _AFTER = (1, 16, 256, 1024, 1024), (64, 256)
+_CHOICES = (128, 32, 256)
+#: How far a row moves towards what it sees, by how often it has been used.
+_SHIFT = np.array([1, 2, 2, 3, 3, 3, *[4] * 18, 5], np.int16)
+_OFTEN = len(_SHIFT) - 1
+#: Weights of a mix of two rows are eighths, so that rows are mixed in 16-bit integers.
+_EIGHTHS = 3
+#: Share of a weight that goes back to even.
+_FORGET = np.float32(0.02)
+#: Count after a (miss, hit) of a prediction that had held 0 to 7 times.
+_COUNT = np.array([[1, 1, 1, 1, 2, 2, 3, 3], [1, 2, 3, 4, 5, 6, 7, 7]], np.int32).ravel()
+
+
+def _targets(n: int, width: int) -> np.ndarray:
+    """Upper bounds towards which symbol s pulls; every symbol keeps some room."""
+    rows = [[min(_ONE, (k + 1) * _ROOM + (_ONE - n * _ROOM if k >= s else 0)) if k < n - 1 else _ONE for k in range(width)] for s in range(n)]
+    return np.array(rows, np.int16)
+
+
+_PULL16, _PULL3 = _targets(16, 16), _targets(3, 4)
+
+
+def _bounds(shares: np.ndarray, width: int) -> np.ndarray:
+    """Upper bounds of symbols with the given shares, with room for each."""
+    n = shares.shape[-1]
+    p = shares / shares.sum(-1, keepdims=True) * (_ONE - n * _ROOM)
+    out = np.full((*shares.shape[:-1], width), _ONE, np.int16)
+    out[..., :n] = np.rint(np.cumsum(p, -1)) + np.arange(1, n + 1) * _ROOM
+    out[..., n - 1 :] = _ONE
+    return out
+
+
+def _priors(digits: int) -> list[np.ndarray]:
+    """Rows that a block begins with: low ids are more frequent, as vocabularies are in order of frequency."""
+    out = []
+    for d in range(digits):
+        step = 16 ** (digits - 1 - d)
+        above = np.arange(_OWN[d])[:, None] * 16 * step  # the first ids that share a context
+        low = above + np.arange(16)[None] * step
+        shares = np.log((low + step + 300.0) / (low + 300.0))
+        out.append(_bounds(shares, 16))
+    return out
+
+
+class _Table:
+    """Rows of upper bounds, one for each lane and context, and how often each was used."""
+
+    def __init__(self, lanes: int, start: np.ndarray, pull: np.ndarray):
+        self.contexts, self.width = start.shape
+        self.bounds = np.tile(start, (lanes, 1))
+        self.whole = self.bounds.view(f"V{2 * self.width}").ravel()
+        self.used = np.zeros(len(self.bounds), np.int8)
+        self.pull = pull
+        self.shifts = np.repeat(_SHIFT[:, None], self.width, 1)
 
-_MISS = 99
-#: Change of a count (0 to 7) by a miss and by a hit; a miss of a low count replaces the prediction.
-_CHANGE = np.array([_MISS, _MISS, -2, -2, -2, -2, -2, -2, 1, 1, 1, 1, 1, 1, 1, 0], np.int32)
+    def rows(self, at: np.ndarray) -> np.ndarray:
+        return self.bounds.take(at, axis=0, mode="wrap")
+
+    def learn(self, at: np.ndarray, row: np.ndarray, s: np.ndarray) -> None:
+        used = self.used.take(at, mode="wrap")
+        step = self.pull.take(s, axis=0, mode="wrap")
+        step -= row
+        step >>= self.shifts.take(used, axis=0, mode="wrap")
+        step += row
+        self.whole[at] = step.view(self.whole.dtype).ravel()
+        used += used < _OFTEN
+        self.used[at] = used
+
+
+def _span(row: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and width of the symbols."""
+    flat, at = row.ravel(), np.arange(0, row.size, row.shape[1]) + s
+    low = flat.take(at - 1, mode="wrap") * (s > 0).astype(np.int64)
+    return low, flat.take(at, mode="wrap") - low
+
+
+def _part(first: np.ndarray, second: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and width of the outcomes that two bounds part."""
+    low = np.where(pick == 0, 0, np.where(pick == 1, first, second))
+    return low, np.where(pick == 0, first, np.where(pick == 1, second, _ONE)) - low
+
+
+def _find(row: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """Symbols whose span holds the goals."""
+    return np.bitwise_count((row <= goal.astype(np.int16)[:, None]).view("<u8")).sum(1, dtype=np.int64)
+
+
+class _Choice:
+    """The decision between the orders: three tables, whose bounds are added up by learned weights."""
+
+    def __init__(self, lanes: int):
+        even = _bounds(np.array([[0.2, 0.1, 0.7]]), 4)
+        self.tables = [_Table(lanes, np.tile(even, (c, 1)), _PULL3) for c in _CHOICES]
+        self.weights = [np.full(lanes, 1 / len(_CHOICES), np.float32) for _ in _CHOICES]
 
+    def look(self, m: int, at: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """The bounds behind the first and the second outcome."""
+        rows = [t.rows(a) for t, a in zip(self.tables, at)]
+        cuts = []
+        for k in range(2):
+            mixed = rows[0][:, k] * self.weights[0][:m]
+            for r, w in zip(rows[1:], self.weights[1:]):
+                mixed += r[:, k] * w[:m]
+            cuts.append(mixed.astype(np.int64))
+        return cuts[0], np.maximum(cuts[1], cuts[0] + 1), (m, at, rows)
 
-def _row(cuts: list[int]) -> int:
-    """Four upper bounds as one 64-bit number."""
-    return int(np.array(cuts, np.int16).view(np.int64)[0])
+    def learn(self, seen: tuple, pick: np.ndarray) -> None:
+        m, at, rows = seen
+        new = [w[:m] * _span(r, pick)[1].astype(np.float32) for w, r in zip(self.weights, rows)]
+        all_ = new[0] + new[1] + new[2]
+        for w, x in zip(self.weights, new):
+            x /= all_
+            x += _FORGET * (np.float32(1 / 3) - x)
+            w[:m] = x
+        for t, a, r in zip(self.tables, at, rows):
+            t.learn(a, r, pick)
 
 
-#: Even bounds, and the bounds towards which each decision pulls.
-_EVEN = _row([_ONE // 4 * (k + 1) for k in range(4)])
-_PULL = np.array([_row([(k + 1) * _ROOM + (_ONE - 4 * _ROOM if k >= s else 0) for k in range(4)]) for s in range(4)])
-_FOUR = np.int64(0x0001000100010001)
-_U16, _MASK16 = np.uint64(16), np.uint64(0xFFFF)
+class _Digit:
+    """One digit: a row by the digits above it, and, for the first ones, a row by the last id too, mixed by a
+    learned weight."""
 
+    def __init__(self, lanes: int, own: _Table, after: _Table | None):
+        self.own, self.after = own, after
+        self.weight = np.full(lanes, 0.5, np.float32)  # of the first row
 
-def _hash(ids: np.ndarray) -> np.ndarray:
-    h = ids * np.int64(40503)
-    h >>= 3
-    h &= _SLOTS - 1
-    return h
+    def rows(self, lanes: np.ndarray, at_own: np.ndarray, at_after: np.ndarray | None) -> tuple:
+        own = self.own.rows(at_own)
+        if self.after is None:
+            return lanes, at_own, own, None, None, None
+        eighths = self.weight.take(lanes)
+        eighths *= 8
+        return lanes, at_own, own, at_after, self.after.rows(at_after), np.clip(np.rint(eighths), 1, 7).astype(np.int16)
+
+    @staticmethod
+    def mixed(seen: tuple) -> np.ndarray:
+        """All bounds."""
+        _, _, own, _, after, w = seen
+        if after is None:
+            return own
+        out = own - after
+        out >>= _EIGHTHS
+        out *= _WIDE.take(w, axis=0, mode="wrap")
+        out += after
+        out[:, -1] = _ONE
+        return out
+
+    def code(self, seen: tuple, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of the symbols in the mix; the tables and the weight learn them."""
+        lanes, at_own, own, at_after, after, w = seen
+        low, width = _span(own, s)
+        if after is not None:
+            low2, width2 = _span(after, s)
+            up, up2 = low + width, low2 + width2
+            p, q = self.weight.take(lanes), width.astype(np.float32)
+            p *= q
+            q = (1 - self.weight.take(lanes)) * width2.astype(np.float32)
+            q += p
+            p /= q
+            p += _FORGET * (np.float32(0.5) - p)
+            self.weight[lanes] = p
+            low = low2 + (low - low2 >> _EIGHTHS) * w
+            up = up2 + (up - up2 >> _EIGHTHS) * w
+            width = np.where(s == 15, _ONE, up) - low
+            self.after.learn(at_after, after, s)
+        self.own.learn(at_own, own, s)
+        return low, width
+
+
+_WIDE = np.repeat(np.arange(9, dtype=np.int16)[:, None], 16, 1)
 
 
 class _Lanes:
     """The model of a set of lanes."""
 
-    def __init__(self, lanes: int):
-        at = np.arange(lanes)
-        self.slots, self.by_counts, self.by_last = at * _SLOTS, at * 32, at * 16
-        self.two, self.one = np.zeros(lanes * _SLOTS, np.int32), np.zeros(lanes * _SLOTS, np.int32)  # id * 8 + count
-        self.zero = np.full(lanes * _SLOTS, -1, np.int32)
-        self.counts, self.last = np.full(lanes * 32, _EVEN), np.full(lanes * 16, _EVEN)
-        self.hash1, self.hash2, self.picks = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-
-    def predict(self, m: int) -> tuple:
-        """Bounds of the decision, predicted ids, and what :meth:`learn` needs, of the first ``m`` lanes."""
-        slots, h = self.slots[:m], self.hash1[:m]
-        at2, at1 = slots + (h ^ self.hash2[:m]), slots + h
-        g2, g1 = self.two.take(at2, mode="wrap"), self.one.take(at1, mode="wrap")
-        n2, n1, e2, e1 = g2 & 7, g1 & 7, g2 >> 3, g1 >> 3
-        context = n2 & 6
-        context <<= 2
-        context |= n1 & 6
-        context += e2 == e1
-        at_c, at_l = self.by_counts[:m] + context, self.by_last[:m] + self.picks[:m]
-        by_counts, by_last = self.counts.take(at_c, mode="wrap"), self.last.take(at_l, mode="wrap")
-        bounds = by_counts.view(np.int16) >> 1
-        bounds += by_last.view(np.int16) >> 1
-        return bounds, e2, e1, ((self.two, at2, g2, e2, n2), (self.one, at1, g1, e1, n1), (self.counts, at_c, by_counts), (self.last, at_l, by_last))
-
-    def learn(self, m: int, ids: np.ndarray, h: np.ndarray, pick: np.ndarray, seen: tuple) -> None:
-        pull = _PULL.take(pick, mode="wrap").view(np.int16)
-        for table, at, row in seen[2:]:
-            step = pull - row.view(np.int16)
-            step >>= _RATE
-            step += row.view(np.int16)
-            table[at] = step.view(np.int64)
-        fresh = ids << 3
-        fresh += 1
-        for table, at, held, guess, count in seen[:2]:
-            count += (guess == ids).view(np.int8) << 3
-            change = _CHANGE.take(count, mode="wrap")
-            held += change
-            np.copyto(held, fresh, where=change == _MISS)
-            table[at] = held
-        self.zero[self.slots[:m] + h] = ids
-        np.multiply(self.hash1[:m], 5, out=self.hash2[:m])
-        self.hash2[:m] &= _SLOTS - 1
-        self.hash1[:m] = h
-        picks = self.picks[:m]
-        picks <<= 2
-        picks &= 15
-        picks |= pick
-
-
-def _share(bounds: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and width of the decisions."""
-    rows, shift = bounds.view(np.uint64), (pick << 4).view(np.uint64)
-    low, width = rows << _U16, rows >> shift
-    low >>= shift
-    low &= _MASK16
-    width &= _MASK16
-    width -= low
-    return low, width
-
-
-def _in_lanes(sizes: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    def __init__(self, lanes: int, bits: int):
+        self.n, self.at = lanes, np.arange(lanes)
+        self.digits = -(-bits // 4)
+        self.base = self.at * _SLOTS
+        self.next2 = np.zeros(lanes * _SLOTS, np.int32)  # id and count: id * 8 + count
+        self.next1 = np.zeros(lanes * _SLOTS, np.int32)
+        self.choice = _Choice(lanes)
+        priors = _priors(self.digits)
+        after = [_Table(lanes, np.tile(priors[d][: 16 if d else 1], (c // (16 if d else 1), 1)), _PULL16) for d, c in enumerate(_AFTER)]
+        self.places = [_Digit(lanes, _Table(lanes, priors[d], _PULL16), after[d] if d < len(after) else None) for d in range(self.digits)]
+        self.p1, self.p2, self.last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+
+    def predict(self, m: int):
+        """Slots and states of both predictions with their ids, and the bounds of the decision."""
+        h1 = self.p1[:m] * 40503
+        s2 = self.base[:m] + ((h1 + self.p2[:m] * 30011 >> 3) & (_SLOTS - 1))
+        s1 = self.base[:m] + ((h1 >> 2) & (_SLOTS - 1))
+        g2, g1 = self.next2.take(s2), self.next1.take(s1)
+        e2, e1 = g2 >> 3, g1 >> 3
+        at = self.at[:m]
+        contexts = [at * 128 + (((g2 & 7) << 4) | ((g1 & 7) << 1) | (e1 == e2)), at * 32 + self.last[:m], at * 256 + ((h1 >> 5) & 255)]
+        return (s2, s1, g2, g1, e2, e1), self.choice.look(m, contexts)
+
+    def digit(self, d: int, lanes: np.ndarray, rest: np.ndarray) -> tuple:
+        """Rows of digit ``d``, the digits above it being ``rest``."""
+        own = self.places[d].own.contexts
+        at = lanes * own + ((rest if d < 3 else rest * 2654435761 >> 7) & (own - 1))
+        if d >= len(_AFTER):
+            return self.places[d].rows(lanes, at, None)
+        h = self.p1.take(lanes) * 40503 >> 4
+        return self.places[d].rows(lanes, at, lanes * _AFTER[d] + ((h << 4 | rest if d else h) & (_AFTER[d] - 1)))
+
+    def learn(self, m: int, ids: np.ndarray, pick: np.ndarray, orders: tuple, seen: tuple) -> None:
+        s2, s1, g2, g1, e2, e1 = orders
+        now = (ids << 3).astype(np.int32)
+        for table, slot, state, guess in ((self.next2, s2, g2, e2), (self.next1, s1, g1, e1)):
+            hit = guess == ids
+            count = state & 7
+            table[slot] = np.where(hit | (count > 1), state - count, now) + _COUNT.take(hit * 8 + count)
+        self.choice.learn(seen, pick)
+        self.last[:m] = (self.last[:m] * 3 + pick) % 27
+        self.p2[:m] = self.p1[:m]
+        self.p1[:m] = ids
+
+
+_WORD, _MASK = np.uint64(32), np.uint64(0xFFFFFFFF)
+_FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+class _Writer:
+    """Range coder with 64-bit state; words of 32 bits, whose carries are settled at the end."""
+
+    def __init__(self, lanes: int, steps: int):
+        self.low, self.span = np.zeros(lanes, np.uint64), np.full(lanes, _FULL)
+        self.words, self.used = np.zeros((lanes, 64 + steps // 2), np.int64), np.zeros(lanes, np.int64)
+
+    def put(self, lanes, start: np.ndarray, width: np.ndarray, bits: int) -> None:
+        """``lanes``: a slice or numbers; start and width are in units of ``2 ** -bits``."""
+        old, span = self.low[lanes], self.span[lanes]
+        r = span >> np.uint64(bits)
+        low = old + r * start.view(np.uint64)
+        span = r * width.view(np.uint64)
+        over = np.nonzero(low < old)[0]
+        if len(over):
+            own = over if isinstance(lanes, slice) else lanes.take(over)
+            self.words[own, self.used.take(own) - 1] += 1  # low + span stays below 2**64 until the first word
+        k = np.nonzero(span <= _MASK)[0]
+        if len(k):
+            own = k if isinstance(lanes, slice) else lanes.take(k)
+            used, short = self.used.take(own), low.take(k)
+            if used.max() + 6 > self.words.shape[1]:
+                self.words = np.concatenate([self.words, np.zeros_like(self.words)], axis=1)
+            self.words[own, used] = short >> _WORD
+            self.used[own] = used + 1
+            low[k] = short << _WORD
+            span[k] <<= _WORD
+        self.low[lanes], self.span[lanes] = low, span
+
+    def finish(self) -> list[bytes]:
+        at = np.arange(len(self.low))
+        for _ in range(2):
+            self.words[at, self.used] = self.low >> _WORD
+            self.used += 1
+            self.low <<= _WORD
+        for k in range(int(self.used.max()) - 1, 0, -1):  # carries run to the front
+            self.words[:, k - 1] += self.words[:, k] >> 32
+            self.words[:, k] &= 0xFFFFFFFF
+        return [w[:n].astype("<u4").tobytes() for w, n in zip(self.words, self.used)]
+
+
+class _Reader:
+    def __init__(self, blocks: list[bytes]):
+        longest = max(map(len, blocks)) // 4 + 4
+        self.words = np.zeros((len(blocks), longest), np.uint32)
+        for k, b in enumerate(blocks):
+            w = np.frombuffer(b, "<u4")
+            self.words[k, : len(w)] = w
+        self.code = (self.words[:, 0].astype(np.uint64) << _WORD) | self.words[:, 1]
+        self.at = np.full(len(blocks), 2)
+        self.span = np.full(len(blocks), _FULL)
+
+    def target(self, lanes, bits: int) -> np.ndarray:
+        goal = self.code[lanes] // (self.span[lanes] >> np.uint64(bits))
+        return np.minimum(goal, np.uint64((1 << bits) - 1)).view(np.int64)
+
+    def took(self, lanes, start: np.ndarray, width: np.ndarray, bits: int) -> None:
+        code, span = self.code[lanes], self.span[lanes]
+        r = span >> np.uint64(bits)
+        code = code - r * start.view(np.uint64)
+        span = r * width.view(np.uint64)
+        k = np.nonzero(span <= _MASK)[0]
+        if len(k):
+            own = k if isinstance(lanes, slice) else lanes.take(k)
+            at = self.at.take(own)
+            code[k] = (code.take(k) << _WORD) | self.words[own, np.minimum(at, self.words.shape[1] - 1)]
+            span[k] <<= _WORD
+            self.at[own] = at + 1
+        self.code[lanes], self.span[lanes] = code, span
+
+
+def _in_lanes(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Blocks by falling size, and how many of them reach each step."""
     order = np.argsort(-sizes, kind="stable")
-    return order, np.searchsorted(-sizes[order], -np.arange(int(sizes.max())), side="left").tolist()
+    return order, np.searchsorted(-sizes[order], -np.arange(int(sizes.max())), side="left")
 
 
 def encode_blocks(blocks: list[np.ndarray], bits: int = ID_BITS) -> list[bytes]:
@@ -137,67 +342,35 @@ def encode_blocks(blocks: list[np.ndarray], bits: int = ID_BITS) -> list[bytes]:
         raise ValueError(f"ids have 1 to {MOST_BITS} bits")
     sizes = np.array([len(b) for b in blocks])
     order, active = _in_lanes(sizes)
-    n = len(blocks)
-    ids = np.zeros((len(active), n), np.int32)
+    ids = np.zeros((len(active), len(blocks)), np.int32)
     for lane, k in enumerate(order):
         if len(blocks[k]) and (int(blocks[k].max()) >> bits or int(blocks[k].min()) < 0):
             raise ValueError(f"ids must lie below {1 << bits}")
         ids[: sizes[k], lane] = blocks[k]
-    model, payload_bits = _Lanes(n), np.array([0, 0, _SLOT_BITS, bits], np.uint64)
-    low, span = np.zeros(n, np.uint64), np.full(n, 1 << _STATE, np.uint64)
-    lanes = np.arange(n)
-    words, at = np.zeros((8 + len(active) + _STEP_WORDS * _LOOK) * n, np.int32), lanes.copy()  # word w of a lane: w * n + lane
-    mask = np.uint64((1 << _STATE) - 1)
-    for t, m in enumerate(active):
-        now = ids[t, :m]
-        bounds, e2, e1, seen = model.predict(m)
-        h = _hash(now)
-        kind = (model.zero.take(model.slots[:m] + h, mode="wrap") != now).view(np.int8)
-        kind += 1
-        kind *= e1 != now
-        kind += 1
-        kind *= e2 != now
-        pick = kind.astype(np.int64)
-        payload = h * (kind == 2)
-        np.copyto(payload, now, where=kind == 3)
-        start, width = _share(bounds, pick)
-        r = span[:m] >> np.uint64(_BITS)
-        start *= r
-        start += low[:m]
-        r *= width
-        r >>= payload_bits.take(pick, mode="wrap")
-        start += r * payload.view(np.uint64)
-        k = np.nonzero(start >> np.uint64(_STATE))[0]
-        if len(k):  # low + span stays below 2**48 until the first word
-            words[at.take(k) - n] += 1
-            start &= mask
-        if t % _LOOK == 0 and int(at.max()) + _STEP_WORDS * _LOOK * n >= len(words):
-            words = np.concatenate([words, np.zeros_like(words)])
-        while len(k := np.nonzero(r < np.uint64(_LEAST))[0]):
-            place, short = at.take(k), start.take(k)
-            words[place] = short >> np.uint64(_STATE - _WORD)
-            at[k] = place + n
-            short <<= _U16
-            short &= mask
-            start[k] = short
-            r[k] = r.take(k) << _U16
-        low[:m], span[:m] = start, r
-        model.learn(m, now, h, pick, seen)
-    if int(at.max()) + 3 * n >= len(words):
-        words = np.concatenate([words, np.zeros(4 * n, np.int32)])
-    for _ in range(3):
-        words[at] = low >> np.uint64(_STATE - _WORD)
-        at += n
-        low <<= _U16
-        low &= mask
-    table, used = words.reshape(-1, n), at // n
-    for k in range(int(used.max()) - 1, 0, -1):  # carries run to the front
-        table[k - 1] += table[k] >> _WORD
-        table[k] &= 0xFFFF
-    whole = np.ascontiguousarray(table[: int(used.max())].T.astype("<u2"))
-    result: list[bytes] = [b""] * n
+    model, out = _Lanes(len(blocks), bits), _Writer(len(blocks), len(active))
+    for t, m in enumerate(active.tolist()):
+        now = ids[t, :m].astype(np.int64)
+        orders, (first, second, seen) = model.predict(m)
+        pick = np.where(orders[4] == now, 0, np.where(orders[5] == now, 1, 2))
+        out.put(slice(0, m), *_part(first, second, pick), _BITS)
+        lanes = np.nonzero(pick == 2)[0]
+        if len(lanes):
+            whole, held = now.take(lanes), None
+            for d in range(model.digits):
+                shift = 4 * (model.digits - 1 - d)
+                span = model.places[d].code(model.digit(d, lanes, whole >> (shift + 4)), (whole >> shift) & 15)
+                if held is None and d + 1 < model.digits:
+                    held = span
+                elif held is None:
+                    out.put(lanes, *span, _BITS)
+                else:  # two digits in a step
+                    out.put(lanes, (held[0] << _BITS) + held[1] * span[0], held[1] * span[1], 2 * _BITS)
+                    held = None
+        model.learn(m, now, pick, orders, seen)
+    coded = out.finish()
+    result: list[bytes] = [b""] * len(blocks)
     for lane, k in enumerate(order):
-        result[k] = whole[lane, : used[lane]].tobytes()
+        result[k] = coded[lane]
     return result
 
 
@@ -207,55 +380,39 @@ def decode_blocks(coded: list[bytes], sizes: list[int], bits: int = ID_BITS) ->
         return []
     lengths = np.array(sizes)
     order, active = _in_lanes(lengths)
-    n = len(coded)
-    table = np.zeros((n, max(map(len, coded)) // 2 + 4), np.uint16)
-    for lane, k in enumerate(order):
-        w = np.frombuffer(coded[k], "<u2")
-        table[lane, : len(w)] = w
-    words = np.ascontiguousarray(table.T).ravel()
-    code = (table[:, 0] * 65536.0 + table[:, 1]) * 65536.0 + table[:, 2]
-    at, span = np.arange(n) + 3 * n, np.full(n, float(1 << _STATE))
-    model, shrink = _Lanes(n), np.array([1.0, 1.0, 2.0**-_SLOT_BITS, 2.0**-bits])
-    ids = np.zeros((len(active), n), np.int32)
-    with np.errstate(all="ignore"):  # a damaged block may do anything
-        for t, m in enumerate(active):
-            bounds, e2, e1, seen = model.predict(m)
-            c, r = code[:m], span[:m]
-            r *= 2.0**-_BITS
-            np.floor(r, out=r)
-            goal = (c / r).astype(np.int64)
-            goal *= _FOUR
-            pick = np.bitwise_count((bounds <= goal.view(np.int16)).view(np.uint32)).astype(np.int64)
-            start, width = _share(bounds, pick)
-            c -= r * start
-            r *= width
-            r *= shrink.take(pick, mode="wrap")
-            np.floor(r, out=r)
-            now = e1.copy()
-            np.copyto(now, e2, where=pick == 0)
-            k = np.nonzero(pick > 1)[0]
-            if len(k):
-                rest, unit = c.take(k), r.take(k)
-                payload = np.floor(rest / unit)
-                c[k] = rest - payload * unit
-                payload = payload.astype(np.int64)
-                recent = model.zero.take(model.slots.take(k) + (payload & (_SLOTS - 1)), mode="wrap")
-                np.copyto(payload, recent, where=pick.take(k) == 2)
-                now[k] = payload
-            for _ in range(_STEP_WORDS):
-                k = np.nonzero(r < _LEAST)[0]
-                if not len(k):
-                    break
-                place = at.take(k)
-                c[k] = c.take(k) * 65536.0 + words.take(place, mode="wrap")
-                at[k] = place + n
-                r[k] = r.take(k) * 65536.0
-            ids[t, :m] = now
-            model.learn(m, now, _hash(now), pick, seen)
-    whole = np.ascontiguousarray(ids.T.astype("<u4"))
-    result: list[np.ndarray] = [np.zeros(0, "<u4")] * n
+    model, src = _Lanes(len(coded), bits), _Reader([coded[k] for k in order])
+    ids = np.zeros((len(active), len(coded)), np.int32)
+    for t, m in enumerate(active.tolist()):
+        orders, (first, second, seen) = model.predict(m)
+        goal = src.target(slice(0, m), _BITS)
+        pick = (goal >= first).astype(np.int64) + (goal >= second)
+        src.took(slice(0, m), *_part(first, second, pick), _BITS)
+        now = np.where(pick == 0, orders[4], orders[5]).astype(np.int64)
+        lanes = np.nonzero(pick == 2)[0]
+        if len(lanes):
+            rest, held = np.zeros(len(lanes), np.int64), None
+            for d in range(model.digits):
+                seen_d = model.digit(d, lanes, rest)
+                row = model.places[d].mixed(seen_d)
+                if held is None and d + 1 < model.digits:
+                    goal = src.target(lanes, 2 * _BITS)
+                    digit = _find(row, goal >> _BITS)
+                    held = model.places[d].code(seen_d, digit)
+                elif held is None:
+                    digit = _find(row, src.target(lanes, _BITS))
+                    src.took(lanes, *model.places[d].code(seen_d, digit), _BITS)
+                else:
+                    digit = _find(row, (goal - (held[0] << _BITS)) // held[1])
+                    low, width = model.places[d].code(seen_d, digit)
+                    src.took(lanes, (held[0] << _BITS) + held[1] * low, held[1] * width, 2 * _BITS)
+                    held = None
+                rest = (rest << 4) | digit
+            now[lanes] = rest
+        ids[t, :m] = now
+        model.learn(m, now, pick, orders, seen)
+    result: list[np.ndarray] = [np.zeros(0, "<u4")] * len(coded)
     for lane, k in enumerate(order):
-        result[k] = whole[lane, : lengths[k]]
+        result[k] = ids[: lengths[k], lane].astype("<u4")
     return result
 
 

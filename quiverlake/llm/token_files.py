@@ -24,8 +24,8 @@ from quiverlake.llm.ranges import IdRanges, range_parts
 
 END_ID = 2
 #: Token ids of a row (more where one document has more), and blocks that are coded side by side.
-ROW_IDS = 256 * rangecoder.BLOCK
-LANES = 8192
+ROW_IDS = 64 * rangecoder.BLOCK
+LANES = 1024
 
 _COLUMNS = ["part", "start_in_part", "doc_ids", "lengths", "blocks", "sums", "ids", "bits"]
 

@@ -109,21 +109,18 @@ def formatted_results(spark, sf):
     return N.format_results(_results(spark, sf))
 
 
-@query("""SELECT doc_id, CASE WHEN strlen(w) > 255 THEN 'cut' ELSE 'whole' END AS state, CASE WHEN strlen(w) > 255 THEN right(s, 8) = substr(sha256(w), 1, 8) ELSE s = w END AS ok FROM
- (SELECT doc_id, text AS w, CASE WHEN strlen(text) > 255 THEN '_' || substr(sha256(text), 1, 8) ELSE text END AS s FROM documents)""")
+@query("""SELECT doc_id, CASE WHEN strlen(text) <= 255 THEN text ELSE p || CASE WHEN strlen(p) < 246 THEN chr(65533) ELSE '' END || '_' || substr(sha256(text), 1, 8) END AS name
+ FROM (SELECT doc_id, text, substr(text, 1, list_max(list_filter(range(0, 247), lambda i: strlen(substr(text, 1, i)) <= 246))) AS p FROM documents)""")
 def shortened_names(spark, sf):
-    w = F.col("text")
-    s = U.shorten(w)
-    cut = F.octet_length(w) > 255
-    return T.load(spark, sf, "documents").select("doc_id", F.when(cut, "cut").otherwise("whole").alias("state"), F.when(cut, F.endswith(s, F.substring(F.sha2(w, 256), 1, 8))).otherwise(s == w).alias("ok"))
+    """Path components of up to 255 bytes; longer ones keep a head and a hash."""
+    return T.load(spark, sf, "documents").select("doc_id", U.shorten(F.col("text")).alias("name"))
 
 
-@query("SELECT doc_id, CAST(length(text) AS INTEGER) AS chars, strlen(text) <= 200 AS whole FROM documents")
+@query("""SELECT doc_id, CASE WHEN strlen(text) <= 200 THEN text ELSE p || CASE WHEN strlen(p) < 200 THEN chr(65533) ELSE '' END || '...' END AS cut
+ FROM (SELECT doc_id, text, substr(text, 1, list_max(list_filter(range(0, 201), lambda i: strlen(substr(text, 1, i)) <= 200))) AS p FROM documents)""")
 def byte_truncation(spark, sf):
-    """Cut to 200 bytes: no result is longer than that but for its suffix and a replaced character."""
-    t = X.truncate_bytes(F.col("text"), 200)
-    fits = F.octet_length(t) <= 206
-    return T.load(spark, sf, "documents").where(fits).select("doc_id", F.length("text").alias("chars"), (t == F.col("text")).alias("whole"))
+    """Cut to 200 bytes: what is left of a character that is cut in two becomes one replacement character."""
+    return T.load(spark, sf, "documents").select("doc_id", X.truncate_bytes(F.col("text"), 200).alias("cut"))
 
 
 @query("""WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), c AS (SELECT user_id AS candidate, event_type FROM e WHERE n = 1)

@@ -26,8 +26,8 @@ def as_of():
     return F.lit(AS_OF).cast("timestamp_ntz")
 
 
-@query("""SELECT doc_id, regexp_replace(substr(lower(text), 1, 1000000000), '[^a-z0-9_-]', '_', 'g') AS tool, regexp_replace(text, '[^A-Za-z0-9_-]', '_', 'g') AS plain, CASE WHEN t = '' THEN 'unnamed' ELSE translate(t, ' /' || chr(92), '___') END AS segment,
- length(text) AS chars FROM (SELECT doc_id, text, trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) AS t FROM documents)""".replace("substr(lower(text), 1, 1000000000)", "lower(text)"))
+@query("""SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9_-]', '_', 'g') AS tool, regexp_replace(text, '[^A-Za-z0-9_-]', '_', 'g') AS plain, CASE WHEN t = '' THEN 'unnamed' ELSE translate(t, ' /' || chr(92), '___') END AS segment,
+ length(text) AS chars FROM (SELECT doc_id, text, trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) AS t FROM documents)""")
 def sanitized_names(spark, sf):
     t = F.col("text")
     return T.load(spark, sf, "documents").select("doc_id", U.sanitize_name(t).alias("tool"), U.sanitize_plain(t).alias("plain"), U.sanitize_segment(t).alias("segment"), F.length(t).cast("long").alias("chars"))
@@ -47,8 +47,8 @@ def search_scopes(spark, sf):
     return rows.select("user_id", "event_type", U.category_prefix(category, user, agent).alias("prefix"), F.array_join(U.root_uris(asked, role, user, agent), " ").alias("roots"))
 
 
-@query(_M + """SELECT id, 'user' AS scope, owner_space AS space, regexp_replace(uri, '/[^/]*$', '') AS parent, 4 AS depth, regexp_extract(uri, '[^/]*$') AS name,
- 'memory' AS row_type, 'memory' AS query_type, category FROM memories""".replace("4 AS depth", "5 AS depth"))
+@query(_M + """SELECT id, 'user' AS scope, owner_space AS space, regexp_replace(uri, '/[^/]*$', '') AS parent, 5 AS depth, regexp_extract(uri, '[^/]*$') AS name,
+ 'memory' AS row_type, 'memory' AS query_type, category FROM memories""")
 def uri_parts(spark, sf):
     u = F.col("uri")
     return T.memory_contexts(spark, sf).select("id", U.scope(u).alias("scope"), U.space(u).alias("space"), U.parent(u).alias("parent"), U.depth(u).alias("depth"), U.name(u).alias("name"), U.row_type(u).alias("row_type"), U.query_type(u).alias("query_type"), U.category(u).alias("category"))
@@ -92,10 +92,9 @@ def abstracts(spark, sf):
     return T.load(spark, sf, "documents").select("doc_id", X.abstract(F.col("text")).alias("abstract"))
 
 
-@query(f"SELECT doc_id, CAST(len(t) AS INTEGER) AS n, coalesce(t[1], '') AS first, coalesce(t[-1], '') AS last FROM (SELECT doc_id, {tokens_sql('text')} AS t FROM documents)")
+@query(f"SELECT doc_id, array_to_string({tokens_sql('text')}, ' ') AS tokens FROM documents")
 def evaluation_tokens(spark, sf):
-    d = T.load(spark, sf, "documents").select("doc_id", X.tokens(F.col("text")).alias("t"))
-    return d.select("doc_id", F.size("t").alias("n"), F.coalesce(F.try_element_at("t", F.lit(1)), F.lit("")).alias("first"), F.coalesce(F.try_element_at("t", F.lit(-1)), F.lit("")).alias("last"))
+    return T.load(spark, sf, "documents").select("doc_id", F.array_join(X.tokens(F.col("text")), " ").alias("tokens"))
 
 
 @query("""SELECT conv_id, CASE WHEN m >= 2 AND m >= 0.1 * total THEN CASE WHEN ko = m THEN 'ko' WHEN ru = m THEN 'ru' ELSE 'ar' END WHEN kana > 0 THEN 'ja' WHEN han > 0 THEN 'zh-CN' ELSE 'en' END AS language
@@ -141,10 +140,11 @@ def hash_embeddings(spark, sf):
     return c.where("value <> 0").select("conv_id", "turn", "slot", F.round("value", 9).alias("value"))
 
 
-@query("""SELECT vec_id, round(v[1] / n, 9) AS first, round(v[16] / n, 9) AS last FROM (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding[1:16]::DOUBLE[], lambda x: x * x))) AS n FROM embeddings)""")
+@query("""SELECT vec_id, CAST(k - 1 AS INTEGER) AS place, round(v[k] / n, 9) AS value FROM (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding[1:16]::DOUBLE[], lambda x: x * x))) AS n, unnest(range(1, 17)) AS k FROM embeddings)""")
 def matryoshka(spark, sf):
-    e = T.load(spark, sf, "embeddings").select("vec_id", V.truncate(F.col("embedding"), 16).alias("v"))
-    return e.select("vec_id", F.round(F.element_at("v", 1), 9).alias("first"), F.round(F.element_at("v", 16), 9).alias("last"))
+    """Every component of the vectors cut to 16 and scaled anew."""
+    e = T.load(spark, sf, "embeddings").select("vec_id", F.posexplode(V.truncate(F.col("embedding"), 16)).alias("place", "value"))
+    return e.select("vec_id", "place", F.round("value", 9).alias("value"))
 
 
 @query("SELECT a.vec_id, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS l2, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")

@@ -68,14 +68,21 @@ def html_markdown(spark, sf):
     return D.html_to_markdown(T.load(spark, sf, "pages").select("page_id", "html"), "page_id")
 
 
-@query("""SELECT doc_id, list_aggregate(list_transform(range(len(k)), lambda i: CASE k[i + 1] WHEN 'o' THEN '1' ELSE '0' END), 'string_agg', '') AS shape, CAST(len(k) AS INTEGER) AS blocks
- FROM (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: CASE WHEN length(x) % 2 = 0 THEN 'o' ELSE 'b' END) AS k FROM documents)""")
+_KINDS = ("heading", "bullet", "ordered", "ordered", "code", "quote", "todo", "image", "divider", "text", "heading")
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(range(len(x))) AS pos, unnest(x) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+ k AS (SELECT doc_id, pos, t, [{', '.join(f"'{k}'" for k in _KINDS)}][(pos + length(t)) % {len(_KINDS)} + 1] AS kind, 1 + (pos * 3 + length(t)) % 8 AS level FROM l),
+ i AS (SELECT *, sum(CASE WHEN kind <> 'ordered' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM k),
+ n AS (SELECT *, sum(CASE WHEN kind = 'ordered' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, island ORDER BY pos) AS n FROM i),
+ m AS (SELECT doc_id, pos, CASE kind WHEN 'heading' THEN CASE WHEN level <= 6 THEN repeat('#', level::INT) || ' ' || t END WHEN 'bullet' THEN '- ' || t WHEN 'ordered' THEN n || '. ' || t WHEN 'code' THEN '```' || chr(10) || t || chr(10) || '```'
+  WHEN 'quote' THEN '> ' || t WHEN 'todo' THEN CASE WHEN level = 1 THEN '- [x] ' ELSE '- [ ] ' END || t WHEN 'image' THEN '![' || CASE WHEN t = '' THEN 'image' ELSE t END || '](image/' || t || ')' WHEN 'divider' THEN '---' ELSE t END AS line FROM n)
+ SELECT doc_id, string_agg(line, chr(10) || chr(10) ORDER BY pos) AS markdown FROM m WHERE line IS NOT NULL GROUP BY doc_id""")
 def block_markdown(spark, sf):
-    """Lines as ordered or bullet blocks; the shape of the markdown shows which became which."""
+    """Lines as blocks of every kind: headings of all levels, lists, code, quotes, tasks, images and dividers."""
     d = T.load(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
-    blocks = d.select("doc_id", "pos", F.when(F.length("text") % 2 == 0, "ordered").otherwise("bullet").alias("kind"), F.lit(1).alias("level"), F.lit("x").alias("text"))
-    md = P.block_list_markdown(blocks).withColumn("l", F.split("markdown", "\n\n"))
-    return md.select("doc_id", F.array_join(F.transform("l", lambda x: F.when(F.startswith(x, F.lit("- ")), "0").otherwise("1")), "").alias("shape"), F.size("l").alias("blocks"))
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), ((F.col("pos") + F.length("text")) % len(_KINDS) + 1).cast("int"))
+    return P.block_list_markdown(d.select("doc_id", "pos", kind.alias("kind"), (1 + (F.col("pos") * 3 + F.length("text")) % 8).alias("level"), "text"))
 
 
 # -- evaluation -------------------------------------------------------------------------------------
@@ -261,10 +268,10 @@ def similar_memories(spark, sf):
     return M.similar_memories(asks, vectors, rows).withColumn("score", F.round("score", 9))
 
 
-@query(f"""SELECT 'doc_' || CAST(doc_id AS VARCHAR) AS source, 2 AS level, CAST(length(substr(text, 1, 2000)) AS INTEGER) AS embedded, substr(text, 1, 500) AS abstract FROM documents WHERE trim(text, {_TRIM}) <> ''""")
+@query(f"""SELECT 'doc_' || CAST(doc_id AS VARCHAR) AS source, 2 AS level, substr(text, 1, 2000) AS embedded, substr(text, 1, 500) AS abstract FROM documents WHERE trim(text, {_TRIM}) <> ''""")
 def index_files(spark, sf):
     rows = I.file_rows(T.docs(spark, sf).select(F.col("id").alias("source"), "uri", "content"))
-    return rows.select("source", "level", F.length("vectorize_text").alias("embedded"), "abstract")
+    return rows.select("source", "level", F.col("vectorize_text").alias("embedded"), "abstract")
 
 
 _LISTED = f"""WITH d AS (SELECT doc_id, text, 'ctx://resources/' || lang || '/' || source AS dir FROM documents), p AS (SELECT dir, count(*) AS n FROM d GROUP BY 1),
@@ -282,12 +289,12 @@ def _listing(spark, sf):
     return files.unionByName(level(".abstract.md", " files")).unionByName(level(".overview.md", " files in all"))
 
 
-@query(_LISTED + """SELECT uri, 2 AS level, 'resource' AS context_type, substr(content, 1, 500) AS abstract, CAST(length(substr(content, 1, 2000)) AS INTEGER) AS embedded, 64 AS dim FROM g WHERE NOT hidden AND NOT blank
- UNION ALL SELECT dir, 0, 'resource', CAST(n AS VARCHAR) || ' files', CAST(length(CAST(n AS VARCHAR) || ' files') AS INTEGER), 64 FROM p
- UNION ALL SELECT dir, 1, 'resource', CAST(n AS VARCHAR) || ' files', CAST(length(CAST(n AS VARCHAR) || ' files in all') AS INTEGER), 64 FROM p""")
+@query(_LISTED + """SELECT uri, 2 AS level, 'resource' AS context_type, substr(content, 1, 500) AS abstract, substr(content, 1, 2000) AS embedded, 64 AS dim FROM g WHERE NOT hidden AND NOT blank
+ UNION ALL SELECT dir, 0, 'resource', CAST(n AS VARCHAR) || ' files', CAST(n AS VARCHAR) || ' files', 64 FROM p
+ UNION ALL SELECT dir, 1, 'resource', CAST(n AS VARCHAR) || ' files', CAST(n AS VARCHAR) || ' files in all', 64 FROM p""")
 def index_tree(spark, sf):
     rows = I.index_tree(_listing(spark, sf), "ctx://resources")[0]
-    return rows.select("uri", "level", "context_type", "abstract", F.length("vectorize_text").alias("embedded"), F.size("vector").alias("dim"))
+    return rows.select("uri", "level", "context_type", "abstract", F.col("vectorize_text").alias("embedded"), F.size("vector").alias("dim"))
 
 
 @query(_LISTED + """SELECT uri, CASE WHEN hidden THEN 'hidden' ELSE 'blank' END AS reason FROM g WHERE hidden OR blank""")

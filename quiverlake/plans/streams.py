@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quiverlake.plans.registry import query
 from quiverlake.session import work_folder
 from quiverlake.sources import tables as T
+from quiverlake.sources.paged import PagedSource
 from quiverlake.streaming import folders as S
 
 _ROUNDS = 3
@@ -41,3 +42,36 @@ def folder_stream(spark, sf):
         run()
     out = spark.read.schema("path string, status string, hash string, version long").parquet(f"{root}/out")
     return out.select(F.floor(F.col("version") / 10).alias("round"), "path", "status", "hash")
+
+
+_PAGE = 40
+
+
+def _stage_pages(spark, rows, folder: str) -> None:
+    """Rows ``(n, path, content, version)``, numbered from 0, as pages."""
+    total = rows.count()
+    entry = F.struct("path", "content", "version")
+    pages = rows.groupBy((F.floor(F.col("n") / _PAGE) + 1).cast("int").alias("page")).agg(F.array_sort(F.collect_list(F.struct("n", entry.alias("e")))).alias("l"))
+    body = F.to_json(F.struct(F.transform("l", lambda x: x.e).alias("list"), F.struct("page", F.lit(total).alias("totalRows")).alias("pager")))
+    pages.select("page", body.alias("value")).repartition("page").write.mode("append").partitionBy("page").text(folder)
+
+
+@query(f"""SELECT way, CAST(page_id // {_PAGE} + 1 AS INTEGER) AS page, url AS path, sha256(html) AS hash, page_id AS version FROM pages, (VALUES ('batch'), ('stream')) w(way)""")
+def paged_source(spark, sf):
+    """Web pages from a paged listing, read at once and by a stream that is stopped and goes on; each row once."""
+    root = work_folder(spark, "paged")
+    rows = T.load(spark, sf, "pages").select(F.col("page_id").alias("n"), F.col("url").alias("path"), F.col("html").alias("content"), F.col("page_id").alias("version"))
+    spark.dataSource.register(PagedSource)
+
+    def run() -> None:
+        stream = spark.readStream.format("paged").option("pageSize", _PAGE).load(f"{root}/pages")
+        stream.writeStream.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{root}/out/batch={n}")).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    _stage_pages(spark, rows, f"{root}/all")
+    both = [spark.read.format("paged").option("pageSize", _PAGE).load(f"{root}/all").select(F.lit("batch").alias("way"), "*")]
+    for part in ("n < 80", "n >= 80"):  # the second run finds the pages that came after the first
+        _stage_pages(spark, rows.where(part), f"{root}/pages")
+        run()
+    out = spark.read.schema("page int, path string, content string, version long").parquet(f"{root}/out")
+    both.append(out.select(F.lit("stream").alias("way"), "page", "path", "content", "version"))
+    return both[0].unionByName(both[1]).select("way", "page", "path", F.sha2("content", 256).alias("hash"), "version")

@@ -236,3 +236,41 @@ def extract_memories(sessions: DataFrame, complete: Callable[[str], str]) -> Dat
 
     kind = sessions.schema["session_id"].dataType.simpleString()
     return parse_candidates(sessions.select("session_id", "text").mapInPandas(run, f"session_id {kind}, answer string"))
+
+
+def merge_profiles(profiles: DataFrame, candidates: DataFrame, merge: Callable[[str, str, str], str | None]) -> DataFrame:
+    """Profiles ``(uri, content, merged)`` after ``candidates (uri, seq, abstract, content)``, each in order.
+
+    A candidate of a blank or missing profile becomes it; otherwise ``merge(profile, abstract, content)`` gives the
+    new text, and null leaves it.  The rows of a profile stream by behind its text, which is all that a task
+    holds; a profile is changed by one task, since each answer reads the one before.  Of several rows of one
+    profile the greatest text counts; null contents are empty; profiles without candidates stay as they are.
+    """
+    kind = "uri string, content string, merged long"
+    given = profiles.select("uri", F.lit(None).cast("long").alias("seq"), F.lit("").alias("abstract"), F.coalesce("content", F.lit("")).alias("content"), F.lit(0).alias("kind"))
+    asked = candidates.select("uri", F.col("seq").cast("long").alias("seq"), F.coalesce("abstract", F.lit("")).alias("abstract"), F.coalesce("content", F.lit("")).alias("content"), F.lit(1).alias("kind"))
+    ordered = given.union(asked).repartition(F.col("uri")).sortWithinPartitions("uri", "kind", "seq", "abstract", "content")
+
+    def run(batches):
+        at, text, merged, begun = None, "", 0, False
+        for b in batches:
+            done = []
+            for uri, abstract, content, is_new in zip(*(b.column(k).to_pylist() for k in (0, 2, 3, 4))):
+                if not begun or uri != at:
+                    if begun:
+                        done.append((at, text, merged))
+                    at, text, merged, begun = uri, "", 0, True
+                if not is_new or not text.strip():
+                    text = content
+                elif (answer := merge(text, abstract, content)) is not None:
+                    text, merged = answer, merged + 1
+            yield _profile_rows(done)
+        if begun:
+            yield _profile_rows([(at, text, merged)])
+
+    return ordered.mapInArrow(run, kind)
+
+
+def _profile_rows(rows: list[tuple[str, str, int]]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))], names=["uri", "content", "merged"])

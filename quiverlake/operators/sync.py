@@ -108,6 +108,41 @@ def unique_names(rows: DataFrame, base: str, order: str) -> DataFrame:
     return number(rows, [base], [order], "__number").select(*rows.columns, name.alias("name"))
 
 
+#: Places of a scope, and sites whose addresses name an organisation and a repository (fixed values).
+SCOPES = ("resources", "user", "agent")
+CODE_HOSTS = ("https://github.com/", "https://gitlab.com/", "https://bitbucket.org/")
+#: Suffixes that are tried; one more name is taken whatever lies there (fixed value).
+MOST_SUFFIXES = 100
+
+
+def repository(url: Column) -> Column:
+    """``organisation/repository`` of the address of a code host, else null."""
+    hosts = "|".join(h.replace(".", "\\.") for h in CODE_HOSTS)
+    rest = F.regexp_replace(F.regexp_replace(url, f"^(?:{hosts})", ""), r"\.git$", "")
+    parts = F.split(rest, "/")
+    return F.when(F.regexp_like(url, F.lit(f"^(?:{hosts})")) & (F.size(parts) > 1), F.concat(parts[0], F.lit("/"), F.try_element_at(parts, F.lit(2))))
+
+
+def import_targets(imports: DataFrame, existing: DataFrame) -> DataFrame:
+    """Where imported trees go: ``(seq, uri)`` for ``imports (seq, scope, name, url)``, none on another.
+
+    A tree lies below its scope, under its repository or its name as one segment.  The first of a name that
+    ``existing (uri)`` lacks, then ``_1`` to ``_100`` are taken in order of ``seq``; later ones all go to ``_101``.
+    Free numbers are counted by ranges, as for links.
+    """
+    scope = F.when(F.col("scope").isin(*SCOPES), F.col("scope")).otherwise("resources")
+    place = F.concat(F.lit(f"{U.SCHEME}://"), scope, F.lit("/"), F.coalesce(repository(F.col("url")), U.sanitize_segment(F.coalesce("name", F.lit("")))))
+    asked = materialize(imports.select("seq", place.alias("base")), "imports")
+    suffix = F.regexp_extract("uri", r"_([1-9]\d{0,2})$", 1)
+    spots = existing.select(F.explode(F.array(F.struct(F.col("uri").alias("base"), F.lit(1).alias("m")), F.struct(F.regexp_replace("uri", r"_[1-9]\d{0,2}$", "").alias("base"), (F.try_to_number(suffix, F.lit("999")) + 1).cast("int").alias("m")))).alias("x")).select("x.*")
+    spots = spots.where(F.col("m").isNotNull() & (F.col("m") <= MOST_SUFFIXES + 1)).join(asked.select("base").distinct(), "base", "left_semi").distinct()
+    taken = number(spots, ["base"], ["m"], "j").select("base", (F.col("m") - F.col("j")).cast("long").alias("key"), F.lit(1).alias("kind"), F.col("m").cast("long").alias("tie"), F.lit(None).cast(asked.schema["seq"].dataType).alias("seq"))
+    new = number(asked, ["base"], ["seq"], "k").select("base", F.col("k").cast("long").alias("key"), F.lit(0).alias("kind"), F.col("k").cast("long").alias("tie"), "seq")
+    placed = number(taken.unionByName(new), ["base"], ["key", "kind", "tie"], "m").where("kind = 0")
+    n = F.least(F.col("m") - 1, F.lit(MOST_SUFFIXES + 1))
+    return placed.select("seq", F.when(n == 0, F.col("base")).otherwise(F.concat("base", F.lit("_"), n.cast("string"))).alias("uri"))
+
+
 def classify(entries: DataFrame, rules: list[tuple[Column, str]], otherwise: str) -> DataFrame:
     """Status of directory entries: the first rule that holds."""
     return entries.withColumn("status", F.coalesce(*[F.when(c, s) for c, s in rules], F.lit(otherwise)))

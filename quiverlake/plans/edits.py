@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quiverlake.operators import edits as X
+from quiverlake.operators import memory as M
 from quiverlake.operators import replay as R
 from quiverlake.operators import rounds as O
 from quiverlake.plans.registry import query
@@ -162,3 +163,17 @@ def model_rounds(spark, sf):
     talk = F.array_join(F.transform("t", lambda x: F.concat(x.role, F.lit(": "), x.text)), "\n")
     sessions = turns.select(F.col("conv_id").alias("session"), F.array(F.struct(F.lit("user").alias("role"), talk.alias("content"))).alias("messages"))
     return X.apply_operations(files, O.extract(sessions, files, _stand_in), {})
+
+
+@query("""WITH c AS (SELECT 'ctx://user/' || user_id || '/memories/profile.md' AS uri, event_id, event_type AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+ p AS (SELECT 'ctx://user/' || c_custkey || '/memories/profile.md' AS uri, CASE WHEN c_custkey % 3 = 0 THEN '  ' ELSE c_name END AS content FROM customer),
+ m AS (SELECT c.*, p.content AS old FROM c LEFT JOIN p ON p.uri = c.uri), x AS (SELECT *, coalesce(trim(old), '') = '' AS blank FROM m),
+ g AS (SELECT uri, count(*) FILTER (t <> 'error' AND NOT (blank AND k = 1)) AS merged, string_agg(CASE WHEN t <> 'error' AND NOT (blank AND k = 1) THEN ';' || t || event_id END, '' ORDER BY event_id) AS tail, max(CASE WHEN blank AND k = 1 THEN 'is ' || t END) AS first, max(old) AS old, max(blank::INT) AS blank FROM x GROUP BY uri)
+ SELECT coalesce(g.uri, p.uri) AS uri, CASE WHEN g.uri IS NULL THEN p.content ELSE CASE WHEN blank = 1 THEN first ELSE g.old END || coalesce(tail, '') END AS content, coalesce(merged, 0) AS merged FROM g FULL JOIN p ON p.uri = g.uri""")
+def profile_merges(spark, sf):
+    """Events as what is learnt about their user, merged into the profile one after the other."""
+    e = T.load(spark, sf, "events")
+    found = e.select(F.format_string("ctx://user/%d/memories/profile.md", "user_id").alias("uri"), F.col("event_id").alias("seq"), F.concat("event_type", "event_id").alias("abstract"), F.concat(F.lit("is "), "event_type").alias("content"))
+    c = T.load(spark, sf, "customer")
+    known = c.select(F.format_string("ctx://user/%d/memories/profile.md", "c_custkey").alias("uri"), F.when(F.col("c_custkey") % 3 == 0, "  ").otherwise(F.col("c_name")).alias("content"))
+    return M.merge_profiles(known, found, lambda profile, abstract, content: None if abstract.startswith("error") else f"{profile};{abstract}")

@@ -11,6 +11,7 @@ from quiverlake.operators import files as N
 from quiverlake.operators import memory as M
 from quiverlake.operators import search as R
 from quiverlake.plans.functions import tokens_sql
+from quiverlake.operators import sync as Y
 from quiverlake.plans.registry import query
 from quiverlake.sources import tables as T
 
@@ -109,6 +110,27 @@ def formatted_results(spark, sf):
     return N.format_results(_results(spark, sf))
 
 
+_IMPORTS = """i AS (SELECT doc_id AS seq, 'ctx://' || CASE doc_id % 4 WHEN 0 THEN 'resources' WHEN 1 THEN 'user' WHEN 2 THEN 'agent' ELSE 'resources' END || '/' || CASE WHEN doc_id % 3 = 0 THEN 'org' || lang || '/' || source WHEN doc_id % 3 = 1 THEN 'My_' || lang ELSE CASE doc_id % 5 WHEN 0 THEN 'unnamed' ELSE source || '_x' END END AS base FROM documents)"""
+
+
+@query(f"""WITH RECURSIVE {_IMPORTS}, e AS (SELECT DISTINCT base || CASE WHEN seq % 7 = 0 THEN '' ELSE '_' || CAST(seq % 90 + 1 AS VARCHAR) END AS uri FROM i WHERE seq % 3 = 1),
+ f AS (SELECT base, n, row_number() OVER (PARTITION BY base ORDER BY n) AS k FROM (SELECT DISTINCT base FROM i), range(0, 101) t(n) WHERE NOT EXISTS (FROM e WHERE e.uri = base || CASE WHEN n = 0 THEN '' ELSE '_' || n END)),
+ r AS (SELECT seq, base, row_number() OVER (PARTITION BY base ORDER BY seq) AS k FROM i)
+ SELECT seq, base || CASE WHEN n IS NULL THEN '_101' WHEN n = 0 THEN '' ELSE '_' || n END AS uri FROM r LEFT JOIN f USING (base, k)""")
+def import_targets(spark, sf):
+    """Places of imported trees by scope, repository or name, with the first free suffix."""
+    d = T.load(spark, sf, "documents")
+    i = F.col("doc_id")
+    host = F.when(i % 2 == 0, "https://github.com/").otherwise("https://gitlab.com/")
+    url = F.when(i % 3 == 0, F.concat(host, F.lit("org"), "lang", F.lit("/"), "source", F.when(i % 4 == 0, ".git").otherwise("/tree/main"))).otherwise("https://example.org/a/b")
+    name = F.when(i % 3 == 1, F.concat(F.lit(" My "), "lang")).otherwise(F.when(i % 5 == 0, "  ").otherwise(F.concat("source", F.lit("/x"))))
+    scope = F.element_at(F.array(*map(F.lit, ("resources", "user", "agent", "other"))), (i % 4 + 1).cast("int"))
+    rows = d.select(i.alias("seq"), scope.alias("scope"), name.alias("name"), url.alias("url"))
+    kept = F.element_at(F.array(*map(F.lit, ("resources", "user", "agent", "resources"))), (i % 4 + 1).cast("int"))
+    uri = F.concat(F.lit("ctx://"), kept, F.lit("/My_"), "lang", F.when(i % 7 == 0, "").otherwise(F.concat(F.lit("_"), i % 90 + 1)))
+    return Y.import_targets(rows, d.where(i % 3 == 1).select(uri.alias("uri")).distinct())
+
+
 @query("""SELECT doc_id, CASE WHEN strlen(text) <= 255 THEN text ELSE p || CASE WHEN strlen(p) < 246 THEN chr(65533) ELSE '' END || '_' || substr(sha256(text), 1, 8) END AS name
  FROM (SELECT doc_id, text, substr(text, 1, list_max(list_filter(range(0, 247), lambda i: strlen(substr(text, 1, i)) <= 246))) AS p FROM documents)""")
 def shortened_names(spark, sf):

@@ -11,11 +11,12 @@ places find the pairs that the fingerprints miss.
     of these in common or more.  They are ordered, rarest first, and all but the last ``ceil(0.8 n) div 5`` are
     meeting places; hashes of a single set can't be shared and are left out.  So a pair that is to be linked
     meets at one of them; no pair is lost, and frequent passages are seldom met at.
-3.  A meeting place's sets are first compared with one of them, and links form components.  What then still
-    meets across components is a cluster: sets that meeting places join, directly or not.  A cluster is dealt
-    to rows of bounded size, each pair of rows is compared inside one task, by products of the incidence
-    matrices of sets and shingles, and leaves it as a forest of links between components.  Two rows of one
-    component have nothing to compare, so a large group of copies costs no more than its members.
+3.  A meeting place's sets are first compared with one of them, and links form components.  Places whose sets are
+    then of several components are clusters, those of the same sets once: sets that don't meet aren't compared,
+    however places join them to others.  A cluster is dealt to rows of bounded size, each pair of rows is compared
+    inside one task, by products of the incidence matrices of sets and shingles, and leaves it as a forest of
+    links between components.  Two rows of one component have nothing to compare, so a large group of copies
+    costs no more than its members.
 
 Defined results: null texts count as empty; texts without words are copies of each other; fewer words than a
 shingle give one shingle; groups are all that links reach; exactly one row of each group stays, the one of
@@ -184,6 +185,16 @@ def _compare_clusters(members: DataFrame, sets: DataFrame, row_shingles: int) ->
     return links
 
 
+def clusters(live: DataFrame) -> DataFrame:
+    """Rows ``(s, n, c, cluster)`` of places ``(h, s, n, c)``: one place of each that have the same sets.
+
+    Places are told apart by their number of sets and two hashes over them, which are combined on the map side.
+    """
+    mark = live.groupBy("h").agg(F.count("*").alias("size"), *[F.expr(f"bit_xor(xxhash64(s, {k}))").alias(f"x{k}") for k in (1, 2)])
+    first = mark.groupBy("size", "x1", "x2").agg(F.min("h").alias("h")).select("h")
+    return live.join(first, "h").select("s", "n", "c", F.col("h").alias("cluster"))
+
+
 def groups(places: DataFrame, sets: DataFrame, low: DataFrame, row_shingles: int = ROW_SHINGLES) -> DataFrame:
     """Rows ``(node, component)`` of the sets that have a link; ``sets`` holds each set of ``places`` once."""
     found = [_similar(proposals(low), sets)]
@@ -205,9 +216,8 @@ def groups(places: DataFrame, sets: DataFrame, low: DataFrame, row_shingles: int
         discard(t)
     now = materialize(placed(), "placed")
     firsts = open_places(now)
-    live = materialize(now.join(firsts, "h").select("s", "n", "c", "fs").distinct(), "live")
-    clusters = connected_components(live.select(F.col("s").alias("a"), F.col("fs").alias("b")))
-    members = live.select("s", "n", "c").distinct().join(clusters, F.col("s") == F.col("node")).select("s", "n", "c", F.col("component").alias("cluster"))
+    live = materialize(now.join(firsts.select("h"), "h").select("h", "s", "n", "c"), "live")
+    members = clusters(live)
     members = materialize(members, "members")
     found.append(_compare_clusters(members, sets, row_shingles))
     for t in (now, firsts, live, members):

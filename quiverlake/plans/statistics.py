@@ -45,9 +45,13 @@ def tagged_meters(spark, sf):
     return S.meter(points).withColumn("value", F.round("value", 4))
 
 
-@query("WITH " + _LOG + "SELECT NOT (count(*) FILTER (n = 0) / count(*) >= 0.5 AND count(*) >= 5) AS healthy, 0::BIGINT AS down, count(*) FILTER (n = 0) / count(*) >= 0.5 AND count(*) >= 5 AS retrieval_failing FROM log")
+_DOWN = "(SELECT count(*) FROM (SELECT user_id FROM events GROUP BY user_id HAVING NOT count(*) FILTER (event_type = 'error') * 4 < count(*)))"
+
+
+@query("WITH " + _LOG + f"SELECT {_DOWN} = 0 AND NOT (count(*) FILTER (n = 0) / count(*) >= 0.5 AND count(*) >= 5) AS healthy, {_DOWN} AS down, count(*) FILTER (n = 0) / count(*) >= 0.5 AND count(*) >= 5 AS retrieval_failing FROM log")
 def system_health(spark, sf):
-    components = T.load(spark, sf, "events").groupBy("event_type").agg((F.count("*") > 0).alias("healthy"))
+    """Users as components, which are down where a quarter of their events are errors."""
+    components = T.load(spark, sf, "events").groupBy("user_id").agg((F.count_if(F.col("event_type") == "error") * 4 < F.count("*")).alias("healthy"))
     return S.health(S.retrieval_stats(_log(spark, sf)), components)
 
 

@@ -76,7 +76,7 @@ def sessions(spark: SparkSession, path: str, whole_files: bool = True) -> DataFr
     return rows.select(F.col("info.id").alias("session_id"), F.posexplode("messages").alias("seq", "m")).select("session_id", "seq", "m.role", "m.content")
 
 
-#: Preset directories below the scopes: path, abstract (fixed values; ``{user}`` and ``{agent}`` are spaces).
+#: Preset directories below the scopes: path, abstract; ``{user}`` and ``{agent}`` are spaces.
 PRESET = [
     ("resources", "Shared documents"), ("user", "User scope"), ("agent", "Agent scope"), ("session", "Sessions"),
     ("user/{user}/memories", "What is known about the user"), ("user/{user}/memories/preferences", "Preferences"),

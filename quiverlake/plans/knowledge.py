@@ -63,8 +63,32 @@ def page_facts(spark, sf):
     return T.load(spark, sf, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_count("html", F.lit("<li>")).alias("items"), F.octet_length("html").alias("bytes"))
 
 
-@query()
+#: Pages as SQL sees them: scripts and styles are one token each, then comments, tags and texts.
+_TOKEN = "(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<![^>]*>|<[^>]+>|[^<]+"
+_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_DROP = "['script', 'style', 'nav', 'footer', 'header', 'aside', 'noscript']"
+_VOID = "['br', 'img', 'meta', 'link', 'input', 'hr', 'area', 'base', 'col', 'embed', 'source', 'track', 'wbr']"
+_BLOCKS = "['p', 'div', 'section', 'article', 'table']"
+_SEEN = "len(list_filter({}, lambda t: list_contains(" + _DROP + ", t))) > 0"
+_CLOSED = f"CASE WHEN list_contains({_BLOCKS}, t) OR regexp_full_match(t, 'h[1-6]') THEN chr(10) WHEN t = 'pre' THEN chr(10) || '```' || chr(10) WHEN t = 'code' THEN '`' WHEN t IN ('strong', 'b') THEN '**' WHEN t IN ('em', 'i') THEN '*' WHEN t IN ('td', 'th') THEN ' | ' ELSE '' END"
+_OPENED = f"CASE WHEN regexp_full_match(x.tag, 'h[1-6]') THEN chr(10) || chr(10) || repeat('#', CAST(substr(x.tag, 2) AS INTEGER)) || ' ' WHEN list_contains({_BLOCKS}, x.tag) OR x.tag = 'br' THEN chr(10) WHEN x.tag = 'pre' THEN chr(10) || '```' || chr(10) WHEN x.tag = 'code' THEN '`' WHEN x.tag IN ('strong', 'b') THEN '**' WHEN x.tag IN ('em', 'i') THEN '*' WHEN x.tag = 'li' THEN chr(10) || '- ' WHEN x.tag = 'tr' THEN chr(10) || '| ' ELSE '' END"
+#: The innermost open element of the name that ends, from the front; 0 where there is none.
+_AT = "coalesce(list_max(list_filter(range(1, len(s.stack) + 1), lambda i: s.stack[i] = x.tag)), 0)"
+_ENDS = f"array_to_string(list_transform(range(len(s.stack), {_AT} - 1, -1), lambda i: CASE WHEN {_SEEN.format('s.stack[1:i]')} THEN '' ELSE list_transform([s.stack[i]], lambda t: {_CLOSED})[1] END), '')"
+_FOLD = f"""struct_pack(kind := x.kind, tag := x.tag, text := x.text,
+ stack := CASE WHEN x.kind = 'open' AND NOT list_contains({_VOID}, x.tag) THEN list_append(s.stack, x.tag) WHEN x.kind = 'close' AND {_AT} > 0 THEN s.stack[1:{_AT} - 1] ELSE s.stack END,
+ out := s.out || CASE WHEN x.kind = 'open' THEN CASE WHEN {_SEEN.format('list_append(s.stack, x.tag)')} THEN '' ELSE {_OPENED} END WHEN x.kind = 'close' AND {_AT} > 0 THEN {_ENDS} WHEN x.kind = 'text' AND NOT {_SEEN.format('s.stack')} THEN CASE WHEN list_contains(s.stack, 'pre') THEN x.text ELSE trim(x.text, {_SPACE}) END ELSE '' END,
+ hidden := greatest(0, s.hidden + CASE WHEN NOT list_contains(['script', 'style', 'nav', 'footer'], x.tag) THEN 0 WHEN x.kind = 'open' THEN 1 WHEN x.kind = 'close' THEN -1 ELSE 0 END),
+ plain := CASE WHEN x.kind = 'text' AND s.hidden = 0 AND trim(x.text, {_SPACE}) <> '' THEN s.plain || CASE WHEN s.plain = '' THEN '' ELSE ' ' END || trim(x.text, {_SPACE}) ELSE s.plain END)"""
+_PLAIN_TEXT = "replace(regexp_replace(regexp_replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&quot;?', '\"', 'g'), '&amp;?', '&', 'g'), chr(0), '')"
+_PAGES = f"""WITH k AS (SELECT page_id, html, list_transform(regexp_extract_all(html, '{_TOKEN}'), lambda t: struct_pack(kind := CASE WHEN regexp_matches(t, '(?is)^(<script|<style|<!)') THEN 'none' WHEN starts_with(t, '</') THEN 'close' WHEN starts_with(t, '<') THEN 'open' ELSE 'text' END,
+ tag := CASE WHEN starts_with(t, '<') THEN lower(regexp_extract(t, '^</?([A-Za-z0-9]+)', 1)) ELSE '' END, text := {_PLAIN_TEXT}, stack := []::VARCHAR[], out := '', hidden := 0, plain := '')) AS tokens FROM pages),
+ f AS (SELECT page_id, html, list_reduce(list_prepend(struct_pack(kind := '', tag := '', text := '', stack := []::VARCHAR[], out := '', hidden := 0, plain := ''), tokens), lambda s, x: {_FOLD}) AS s FROM k) """
+
+
+@query(_PAGES + f"""SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, trim(regexp_replace(s.out, '\n{{3,}}', chr(10) || chr(10), 'g'), {_SPACE}) AS markdown, s.plain AS plain FROM f""")
 def html_markdown(spark, sf):
+    """Web pages as markdown and as plain text; elements that a page leaves open end with the one around them."""
     return D.html_to_markdown(T.load(spark, sf, "pages").select("page_id", "html"), "page_id")
 
 

@@ -483,16 +483,6 @@ def test_near_copies_equal_brute_force(request, spark, name):
         assert Counter(_pairs(near_copies.keep_one(df, row_shingles=600))) == want
 
 
-def test_sets_that_do_not_meet_are_not_compared(spark):
-    """A chain of sets that places join one after the other: one component of places, but only neighbours meet."""
-    rows = [(h, s, 10, s) for h in range(500) for s in (h, h + 1)]
-    rows += [(1000 + k, s, 10, s) for k in range(40) for s in (3, 7, 9)]  # forty places of the same sets
-    found = near_copies.clusters(spark.createDataFrame(rows, "h long, s long, n int, c long"))
-    sizes = [r["count"] for r in found.groupBy("cluster").count().collect()]
-    assert sorted(sizes) == [2] * 500 + [3]
-    assert sum(n * (n - 1) // 2 for n in sizes) == 503
-
-
 def test_common_counts():
     rng = np.random.default_rng(4)
     for few in (12, 2):

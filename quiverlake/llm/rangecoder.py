@@ -1,260 +1,231 @@
 """Token ids in a compact binary form: adaptive context mixing and a range coder over reset blocks.
 
 Ids are coded in blocks of ``BLOCK``; each block starts from the same model, so it can be read alone, and carries
-a checksum of its ids.  Three orders predict an id: the ids that last followed the last two ids and the last id
-(orders 2 and 1, each with a count of how often it held), and adaptive frequencies of the id's hexadecimal digits
-(order 0).  Which order holds - 2, 1 or neither - is one decision.  Three adaptive models foretell it, by the counts
-of both predictions and whether they agree, by the last three decisions, and by the last id; their probabilities
-are added up by weights, and after each id a weight grows with the probability that its model gave to what came.
-After "neither" the digits follow, two in a step: each by its frequencies behind the digits above it, mixed, for
-the first two, in the same way with its frequencies behind the last id.  Frequencies start from those of a vocabulary
-in order of frequency, move fast at first and slower with use.  A range coder writes 32-bit words.
-
-Many blocks are coded side by side, one array lane each, so that a step of the model is a few array operations.
-Lanes never touch each other.
-
-Defined results: no ids give no blocks; ids lie below ``2 ** bits``, 20 bits at most (larger ones raise); a
+a checksum of its ids.  A block is cut into lanes, stretches of like length that are coded side by side with one
+model, so that a step of the coder is a few array operations and the model learns from all lanes.
+
+Three orders predict an id: the ids that mostly followed the last two ids and the last id (orders 2 and 1, each with
+a count of how often it held), and frequencies of the ids that neither foretold (order 0).  Which order holds - 2, 1
+or neither - is one decision.  Three adaptive models foretell it, by the counts of both predictions and whether they
+agree, by the last two decisions, and by a class of the last id; their probabilities are added up by learned weights.
+After "neither" comes the id itself, by its frequency in the block mixed, with a learned weight for each class, with
+its frequency behind last ids of the same class.  An id that is too rare for these tables follows in a fixed form, in
+which low ids are shorter, as vocabularies are in order of frequency.
+
+Tables stand still for some steps and learn from these together: the predictions after every few steps, frequencies and
+weights at steps ever further apart, since a step then changes them ever less.  All counts are integers, and
+what is mixed is divided and multiplied number by number, so that every machine gets the same tables.
+
+Defined results: no ids give no bytes; ids lie below ``2 ** bits``, 20 bits at most (larger ones raise); a
 damaged block decodes to other ids of the same number, which its checksum shows.
 """
 
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
 
-BLOCK = 2048
+BLOCK = 1 << 20
 #: Bits of an id, if no vocabulary asks for more, and at most.
 ID_BITS, MOST_BITS = 16, 20
-_BITS = 14
-_ONE = 1 << _BITS
-#: Slots of the order-2 and order-1 tables of a lane.
-_SLOTS = 1024
-#: Least width of a symbol, in units of 2 ** -14.
+#: Ids of a lane at least, lanes of a block at most, and ids of a lane at most, which bounds its words.
+_LEAST, _LANES, _MOST = 512, 2048, 16384
+#: Units of a decision, of a frequency and of the fixed form: powers of two.
+_PICK, _SIGN, _FIXED = 14, 15, 24
+#: Least width of a decision.
 _ROOM = 10
-#: Rows of the digit tables of a lane: contexts of the digits above, and of the last id with them.
-_OWN, _AFTER = (1, 16, 256, 1024, 1024), (64, 256)
-_CHOICES = (128, 32, 256)
-#: How far a row moves towards what it sees, by how often it has been used.
-_SHIFT = np.array([1, 2, 2, 3, 3, 3, *[4] * 18, 5], np.int16)
-_OFTEN = len(_SHIFT) - 1
-#: Weights of a mix of two rows are eighths, so that rows are mixed in 16-bit integers.
-_EIGHTHS = 3
-#: Share of a weight that goes back to even.
-_FORGET = np.float32(0.02)
-#: Count after a (miss, hit) of a prediction that had held 0 to 7 times.
-_COUNT = np.array([[1, 1, 1, 1, 2, 2, 3, 3], [1, 2, 3, 4, 5, 6, 7, 7]], np.int32).ravel()
-
-
-def _targets(n: int, width: int) -> np.ndarray:
-    """Upper bounds towards which symbol s pulls; every symbol keeps some room."""
-    rows = [[min(_ONE, (k + 1) * _ROOM + (_ONE - n * _ROOM if k >= s else 0)) if k < n - 1 else _ONE for k in range(width)] for s in range(n)]
-    return np.array(rows, np.int16)
-
-
-_PULL16, _PULL3 = _targets(16, 16), _targets(3, 4)
-
-
-def _bounds(shares: np.ndarray, width: int) -> np.ndarray:
-    """Upper bounds of symbols with the given shares, with room for each."""
-    n = shares.shape[-1]
-    p = shares / shares.sum(-1, keepdims=True) * (_ONE - n * _ROOM)
-    out = np.full((*shares.shape[:-1], width), _ONE, np.int16)
-    out[..., :n] = np.rint(np.cumsum(p, -1)) + np.arange(1, n + 1) * _ROOM
-    out[..., n - 1 :] = _ONE
+_CLASSES = 16
+#: Ids from which a block learns its classes, at most, and groups of the ids that follow, by which they differ.
+_LEARNT, _GROUPS = 1 << 17, 64
+_SLOTS = 1 << 16
+#: Contexts of a decision: counts of both predictions and whether they agree, the last two decisions, the class.
+_HELD, _PAST = 64, 9
+#: Steps after which predictions learn, at most.
+_TOGETHER = 8
+#: Change of the count of a prediction after a (miss, hit) when it had held 0 to 7 times.
+_COUNT = np.array([[0, 0, -1, -2, -2, -3, -3, -4], [1, 1, 1, 1, 1, 1, 1, 0]], np.int32).ravel()
+
+
+@lru_cache(maxsize=4)
+def _fixed(bits: int) -> np.ndarray:
+    """Bounds of the fixed form: every id keeps a unit, the rest falls with the id."""
+    share = np.cumsum((1 << 30) // (np.arange(1 << bits) + 300))
+    bounds = np.zeros((1 << bits) + 1, np.int64)
+    bounds[1:] = share * ((1 << _FIXED) - (1 << bits)) // share[-1] + np.arange(1, (1 << bits) + 1)
+    return bounds.view(np.uint64)
+
+
+def _stages(steps: int) -> list[list[tuple[int, int]]]:
+    """Steps between which frequencies stand still, each cut where predictions learn."""
+    out, at = [], 0
+    while at < steps:
+        end = min(steps, at + max(1, at))
+        out.append([(k, min(end, k + _TOGETHER)) for k in range(at, end, _TOGETHER)])
+        at = end
     return out
 
 
-def _priors(digits: int) -> list[np.ndarray]:
-    """Rows that a block begins with: low ids are more frequent, as vocabularies are in order of frequency."""
-    out = []
-    for d in range(digits):
-        step = 16 ** (digits - 1 - d)
-        above = np.arange(_OWN[d])[:, None] * 16 * step  # the first ids that share a context
-        low = above + np.arange(16)[None] * step
-        shares = np.log((low + step + 300.0) / (low + 300.0))
-        out.append(_bounds(shares, 16))
-    return out
-
-
-class _Table:
-    """Rows of upper bounds, one for each lane and context, and how often each was used."""
-
-    def __init__(self, lanes: int, start: np.ndarray, pull: np.ndarray):
-        self.contexts, self.width = start.shape
-        self.bounds = np.tile(start, (lanes, 1))
-        self.whole = self.bounds.view(f"V{2 * self.width}").ravel()
-        self.used = np.zeros(len(self.bounds), np.int8)
-        self.pull = pull
-        self.shifts = np.repeat(_SHIFT[:, None], self.width, 1)
-
-    def rows(self, at: np.ndarray) -> np.ndarray:
-        return self.bounds.take(at, axis=0, mode="wrap")
-
-    def learn(self, at: np.ndarray, row: np.ndarray, s: np.ndarray) -> None:
-        used = self.used.take(at, mode="wrap")
-        step = self.pull.take(s, axis=0, mode="wrap")
-        step -= row
-        step >>= self.shifts.take(used, axis=0, mode="wrap")
-        step += row
-        self.whole[at] = step.view(self.whole.dtype).ravel()
-        used += used < _OFTEN
-        self.used[at] = used
-
-
-def _span(row: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and width of the symbols."""
-    flat, at = row.ravel(), np.arange(0, row.size, row.shape[1]) + s
-    low = flat.take(at - 1, mode="wrap") * (s > 0).astype(np.int64)
-    return low, flat.take(at, mode="wrap") - low
-
-
-def _part(first: np.ndarray, second: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and width of the outcomes that two bounds part."""
-    low = np.where(pick == 0, 0, np.where(pick == 1, first, second))
-    return low, np.where(pick == 0, first, np.where(pick == 1, second, _ONE)) - low
-
-
-def _find(row: np.ndarray, goal: np.ndarray) -> np.ndarray:
-    """Symbols whose span holds the goals."""
-    return np.bitwise_count((row <= goal.astype(np.int16)[:, None]).view("<u8")).sum(1, dtype=np.int64)
-
-
-class _Choice:
-    """The decision between the orders: three tables, whose bounds are added up by learned weights."""
-
-    def __init__(self, lanes: int):
-        even = _bounds(np.array([[0.2, 0.1, 0.7]]), 4)
-        self.tables = [_Table(lanes, np.tile(even, (c, 1)), _PULL3) for c in _CHOICES]
-        self.weights = [np.full(lanes, 1 / len(_CHOICES), np.float32) for _ in _CHOICES]
-
-    def look(self, m: int, at: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, tuple]:
-        """The bounds behind the first and the second outcome."""
-        rows = [t.rows(a) for t, a in zip(self.tables, at)]
-        cuts = []
-        for k in range(2):
-            mixed = rows[0][:, k] * self.weights[0][:m]
-            for r, w in zip(rows[1:], self.weights[1:]):
-                mixed += r[:, k] * w[:m]
-            cuts.append(mixed.astype(np.int64))
-        return cuts[0], np.maximum(cuts[1], cuts[0] + 1), (m, at, rows)
-
-    def learn(self, seen: tuple, pick: np.ndarray) -> None:
-        m, at, rows = seen
-        new = [w[:m] * _span(r, pick)[1].astype(np.float32) for w, r in zip(self.weights, rows)]
-        all_ = new[0] + new[1] + new[2]
-        for w, x in zip(self.weights, new):
-            x /= all_
-            x += _FORGET * (np.float32(1 / 3) - x)
-            w[:m] = x
-        for t, a, r in zip(self.tables, at, rows):
-            t.learn(a, r, pick)
-
-
-class _Digit:
-    """One digit: a row by the digits above it, and, for the first ones, a row by the last id too, mixed by a
-    learned weight."""
-
-    def __init__(self, lanes: int, own: _Table, after: _Table | None):
-        self.own, self.after = own, after
-        self.weight = np.full(lanes, 0.5, np.float32)  # of the first row
-
-    def rows(self, lanes: np.ndarray, at_own: np.ndarray, at_after: np.ndarray | None) -> tuple:
-        own = self.own.rows(at_own)
-        if self.after is None:
-            return lanes, at_own, own, None, None, None
-        eighths = self.weight.take(lanes)
-        eighths *= 8
-        return lanes, at_own, own, at_after, self.after.rows(at_after), np.clip(np.rint(eighths), 1, 7).astype(np.int16)
+def _lanes_of(n: int) -> tuple[int, int, int]:
+    """Lanes of a block of n ids, its steps, and the lanes that reach the last one."""
+    lanes = max(1, min(_LANES, n // _LEAST), -(-n // _MOST))
+    steps = -(-n // lanes)
+    return lanes, steps, n - lanes * (steps - 1)
+
+
+class _Model:
+    """What is known of a block after some of its steps."""
+
+    def __init__(self, bits: int, decode: bool):
+        self.decode = decode
+        self.next2 = np.zeros(_SLOTS, np.int32)  # id and count: id * 8 + count
+        self.next1 = np.zeros(1 << bits, np.int32)
+        self.sign = np.zeros(1 << bits, np.int32)  # of an id; 0: none yet
+        self.ids = np.zeros(1, np.int32)  # by sign
+        self.klass = np.zeros(1 << bits, np.int32)  # of an id
+        self.rare = np.zeros(1 << bits, np.int64)  # how often an id without a sign came
+        self.classed = 1  # signs that have a class
+        self.counts = np.zeros((_CLASSES, 1), np.int64)  # of signs by class
+        self.weights = np.zeros((_CLASSES, 1))  # of the frequencies of a class
+        self.picks = [np.tile(np.array([2, 1, 7]), (n, 1)) for n in (_HELD, _PAST, _CLASSES)]
+        self.trust = np.full((3, _HELD), 1 / 3)
+        self._settle_picks()
+        self._settle_signs()
+
+    def contexts(self, p2: np.ndarray, p1: np.ndarray) -> tuple:
+        """Both predictions with their slots, what is known of them, and the class."""
+        slot = p2 * 210077
+        slot += p1 * 40503
+        slot >>= 3
+        slot &= _SLOTS - 1
+        klass = self.klass.take(p1)
+        g2, g1 = self.next2.take(slot), self.next1.take(p1)
+        e2, e1 = g2 >> 3, g1 >> 3
+        known = (g2 & 7) << 3
+        known |= g1 & 6
+        known |= e2 == e1
+        return (slot, p1, g2, g1, e2, e1), known, klass
 
     @staticmethod
-    def mixed(seen: tuple) -> np.ndarray:
-        """All bounds."""
-        _, _, own, _, after, w = seen
-        if after is None:
-            return own
-        out = own - after
-        out >>= _EIGHTHS
-        out *= _WIDE.take(w, axis=0, mode="wrap")
-        out += after
-        out[:, -1] = _ONE
-        return out
-
-    def code(self, seen: tuple, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width of the symbols in the mix; the tables and the weight learn them."""
-        lanes, at_own, own, at_after, after, w = seen
-        low, width = _span(own, s)
-        if after is not None:
-            low2, width2 = _span(after, s)
-            up, up2 = low + width, low2 + width2
-            p, q = self.weight.take(lanes), width.astype(np.float32)
-            p *= q
-            q = (1 - self.weight.take(lanes)) * width2.astype(np.float32)
-            q += p
-            p /= q
-            p += _FORGET * (np.float32(0.5) - p)
-            self.weight[lanes] = p
-            low = low2 + (low - low2 >> _EIGHTHS) * w
-            up = up2 + (up - up2 >> _EIGHTHS) * w
-            width = np.where(s == 15, _ONE, up) - low
-            self.after.learn(at_after, after, s)
-        self.own.learn(at_own, own, s)
-        return low, width
-
-
-_WIDE = np.repeat(np.arange(9, dtype=np.int16)[:, None], 16, 1)
-
-
-class _Lanes:
-    """The model of a set of lanes."""
-
-    def __init__(self, lanes: int, bits: int):
-        self.n, self.at = lanes, np.arange(lanes)
-        self.digits = -(-bits // 4)
-        self.base = self.at * _SLOTS
-        self.next2 = np.zeros(lanes * _SLOTS, np.int32)  # id and count: id * 8 + count
-        self.next1 = np.zeros(lanes * _SLOTS, np.int32)
-        self.choice = _Choice(lanes)
-        priors = _priors(self.digits)
-        after = [_Table(lanes, np.tile(priors[d][: 16 if d else 1], (c // (16 if d else 1), 1)), _PULL16) for d, c in enumerate(_AFTER)]
-        self.places = [_Digit(lanes, _Table(lanes, priors[d], _PULL16), after[d] if d < len(after) else None) for d in range(self.digits)]
-        self.p1, self.p2, self.last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-
-    def predict(self, m: int):
-        """Slots and states of both predictions with their ids, and the bounds of the decision."""
-        h1 = self.p1[:m] * 40503
-        s2 = self.base[:m] + ((h1 + self.p2[:m] * 30011 >> 3) & (_SLOTS - 1))
-        s1 = self.base[:m] + ((h1 >> 2) & (_SLOTS - 1))
-        g2, g1 = self.next2.take(s2), self.next1.take(s1)
-        e2, e1 = g2 >> 3, g1 >> 3
-        at = self.at[:m]
-        contexts = [at * 128 + (((g2 & 7) << 4) | ((g1 & 7) << 1) | (e1 == e2)), at * 32 + self.last[:m], at * 256 + ((h1 >> 5) & 255)]
-        return (s2, s1, g2, g1, e2, e1), self.choice.look(m, contexts)
-
-    def digit(self, d: int, lanes: np.ndarray, rest: np.ndarray) -> tuple:
-        """Rows of digit ``d``, the digits above it being ``rest``."""
-        own = self.places[d].own.contexts
-        at = lanes * own + ((rest if d < 3 else rest * 2654435761 >> 7) & (own - 1))
-        if d >= len(_AFTER):
-            return self.places[d].rows(lanes, at, None)
-        h = self.p1.take(lanes) * 40503 >> 4
-        return self.places[d].rows(lanes, at, lanes * _AFTER[d] + ((h << 4 | rest if d else h) & (_AFTER[d] - 1)))
-
-    def learn(self, m: int, ids: np.ndarray, pick: np.ndarray, orders: tuple, seen: tuple) -> None:
-        s2, s1, g2, g1, e2, e1 = orders
-        now = (ids << 3).astype(np.int32)
-        for table, slot, state, guess in ((self.next2, s2, g2, e2), (self.next1, s1, g1, e1)):
-            hit = guess == ids
+    def decisions(known: np.ndarray, klass: np.ndarray, past2: np.ndarray, past1: np.ndarray) -> np.ndarray:
+        """Places of the decisions in their table."""
+        at = known * 3
+        at += past2
+        at *= 3
+        at += past1
+        at *= _CLASSES
+        at += klass
+        at <<= 2
+        return at
+
+    def predictions_learn(self, slot, p1, g2, g1, e2, e1, ids) -> None:
+        first = (ids << 3) | 1
+        for table, at, state, guess in ((self.next2, slot, g2, e2), (self.next1, p1, g1, e1)):
             count = state & 7
-            table[slot] = np.where(hit | (count > 1), state - count, now) + _COUNT.take(hit * 8 + count)
-        self.choice.learn(seen, pick)
-        self.last[:m] = (self.last[:m] * 3 + pick) % 27
-        self.p2[:m] = self.p1[:m]
-        self.p1[:m] = ids
+            hit = guess == ids
+            new = hit.astype(np.int32)
+            new <<= 3
+            new |= count
+            new = state + _COUNT.take(new)
+            np.copyto(new, first, where=(count < 2) & ~hit)
+            table[at] = new
+
+    def frequencies_learn(self, ids: np.ndarray, picks: np.ndarray, lanes: int, picked: np.ndarray, signed: np.ndarray, rare: np.ndarray, rare_class: np.ndarray) -> None:
+        """Learn from all ids so far and their decisions, and, of the last steps, from places of decisions and of signs
+        in their tables and from ids without a sign, with their classes."""
+        seen = np.bincount(picked, minlength=_HELD * _PAST * _CLASSES * 4).reshape(_HELD, _PAST, _CLASSES, 4)[..., :3]
+        sums = [seen.sum((1, 2)), seen.sum((0, 2)), seen.sum((0, 1))]
+        for m, part in enumerate(self.parts):
+            fit = part / self.mixed
+            fit *= 1024
+            own = (seen * fit.astype(np.int64)).sum((1, 2, 3))
+            self.trust[m] = (own / 1024 + 16 * self.trust[m]) / (sums[0].sum(1) + 16)
+        self.trust /= self.trust[0] + self.trust[1] + self.trust[2]
+        for table, s in zip(self.picks, sums):
+            table += s * 4
+            table -= table >> 3
+            table += 1
+        self._settle_picks()
+
+        signs = len(self.ids)
+        new = np.bincount(signed, minlength=(_CLASSES + 1) * signs)[: _CLASSES * signs].reshape(_CLASSES, signs)
+        n = new.sum(1, keepdims=True)
+        share = (np.divide(self.mine, self.fit, out=self.mine, where=self.fit > 0) * 1024).astype(np.int64)
+        share *= new
+        self.weights = (share.sum(1, keepdims=True) / 1024 + 20 * np.maximum(self.weights, 0.3)) / (n + 20)
+        early = len(ids) - 2 * lanes <= _LEARNT
+        if not early:
+            self.counts += new
+        if len(rare):
+            total = len(ids) if early else int(self.counts.sum())
+            self.rare += np.bincount(rare, minlength=len(self.rare))
+            often = np.unique(rare)
+            often = often[self.rare.take(often) << _SIGN >= total]
+            if len(often) and signs + len(often) < 1 << _SIGN - 1:
+                self.sign[often] = np.arange(len(often)) + signs
+                self.ids = np.append(self.ids, often.astype(np.int32))
+                if not early:
+                    sign, signs = self.sign.take(rare), len(self.ids)
+                    now = np.bincount(rare_class * signs + sign, minlength=_CLASSES * signs).reshape(_CLASSES, signs)
+                    now[:, 0] = self.counts[:, 0] - now[:, 1:].sum(1)
+                    now[:, 1 : self.counts.shape[1]] = self.counts[:, 1:]
+                    self.counts = now
+        if early:
+            last, now, free = ids[lanes:-lanes], ids[2 * lanes :], picks[2 * lanes :] == 2
+            self._classify(last, now)
+            signs = len(self.ids)
+            self.counts = np.bincount((self.klass.take(last) * signs + self.sign.take(now))[free], minlength=_CLASSES * signs).reshape(_CLASSES, signs)
+        self._settle_signs()
+
+    def _classify(self, last: np.ndarray, now: np.ndarray) -> None:
+        """Ids go to the class whose followers theirs are likeliest to come from; sums of integers, exact as floats."""
+        signs = len(self.ids)
+        sign, group = self.sign.take(last), (now * 40503 >> 7) & (_GROUPS - 1)
+        own = self.klass.take(self.ids)
+        own[self.classed :] = np.arange(self.classed, signs) % _CLASSES
+        self.classed = signs
+        follow = np.bincount(sign * _GROUPS + group, minlength=signs * _GROUPS).reshape(signs, _GROUPS).astype(float)
+        sums = np.bincount(own.take(sign) * _GROUPS + group, minlength=_CLASSES * _GROUPS).reshape(_CLASSES, _GROUPS)
+        part, power = np.frexp((sums + 0.5) / (sums.sum(1, keepdims=True) + _GROUPS / 2))
+        likely = np.rint(64 * (2 * part + power))  # nearly the logarithm
+        self.klass[self.ids[1:]] = np.einsum("sg,cg->sc", follow, likely)[1:].argmax(1)
+
+    def _settle_picks(self) -> None:
+        """Bounds of the decisions: the probabilities of each model, times its weight, added up."""
+        p = [t / t.sum(1, keepdims=True) for t in self.picks]
+        w = self.trust[:, :, None, None, None]
+        self.parts = [p[0][:, None, None] * w[0], p[1][None, :, None] * w[1], p[2][None, None] * w[2]]
+        self.mixed = self.parts[0] + self.parts[1] + self.parts[2]
+        width = (self.mixed * ((1 << _PICK) - 3 * _ROOM)).astype(np.uint64) + np.uint64(_ROOM)
+        cuts = np.zeros((_HELD * _PAST * _CLASSES, 4), np.uint64)
+        cuts[:, 1] = width[..., 0].ravel()
+        cuts[:, 2] = cuts[:, 1] + width[..., 1].ravel()
+        cuts[:, 3] = 1 << _PICK
+        self.cuts = cuts.ravel()
+
+    def _settle_signs(self) -> None:
+        """Bounds of the signs by class; the last row is for ids that were foretold and takes no room."""
+        n, all_ = self.counts.sum(1, keepdims=True), self.counts.sum(0)
+        signs = len(self.ids)
+        self.mine = self.counts * (self.weights / np.maximum(n, 1))
+        self.fit = self.mine + all_ * ((1 - self.weights) / max(int(all_.sum()), 1))
+        width = (self.fit * ((1 << _SIGN) - signs - 1)).astype(np.int64)
+        width += 1
+        width[:, 0] += (1 << _SIGN) - width.sum(1)
+        bounds = np.zeros((_CLASSES + 1, signs + 1), np.int64)
+        np.cumsum(width, axis=1, out=bounds[:-1, 1:])
+        bounds[-1, 1:] = 1 << _SIGN
+        self.starts, self.widths = bounds[:, :-1].ravel().view(np.uint64), np.diff(bounds, axis=1).ravel()
+        if self.decode:
+            self.at = np.repeat(np.tile(np.arange(signs, dtype=np.uint16), _CLASSES + 1), self.widths)
+        self.widths = self.widths.view(np.uint64)
 
 
 _WORD, _MASK = np.uint64(32), np.uint64(0xFFFFFFFF)
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+_P, _S, _F = np.uint64(_PICK), np.uint64(_SIGN), np.uint64(_FIXED)
+_BOTH, _ALONE = (_P, _S), (_F,)
 
 
 class _Writer:
@@ -263,157 +234,199 @@ class _Writer:
     def __init__(self, lanes: int, steps: int):
         self.low, self.span = np.zeros(lanes, np.uint64), np.full(lanes, _FULL)
         self.words, self.used = np.zeros((lanes, 64 + steps // 2), np.int64), np.zeros(lanes, np.int64)
-
-    def put(self, lanes, start: np.ndarray, width: np.ndarray, bits: int) -> None:
-        """``lanes``: a slice or numbers; start and width are in units of ``2 ** -bits``."""
-        old, span = self.low[lanes], self.span[lanes]
-        r = span >> np.uint64(bits)
-        low = old + r * start.view(np.uint64)
-        span = r * width.view(np.uint64)
-        over = np.nonzero(low < old)[0]
+        self.puts = 0  # a lane gets a word in each, at most
+
+    def put(self, lanes, bits: tuple, *parts: np.ndarray) -> None:
+        """``lanes``: a slice from 0, or numbers; ``parts``: starts and widths, in units of ``2 ** -bits``, of each
+        of the things that are put together."""
+        whole = isinstance(lanes, slice)
+        low, span = self.low[lanes], self.span[lanes]  # views of slices, copies of numbers
+        old = low.copy()
+        for k, unit in enumerate(bits):
+            span >>= unit
+            low += span * parts[2 * k]
+            span *= parts[2 * k + 1]
+        over = (low < old).nonzero()[0]
         if len(over):
-            own = over if isinstance(lanes, slice) else lanes.take(over)
+            own = over if whole else lanes.take(over)
             self.words[own, self.used.take(own) - 1] += 1  # low + span stays below 2**64 until the first word
-        k = np.nonzero(span <= _MASK)[0]
+        k = (span <= _MASK).nonzero()[0]
         if len(k):
-            own = k if isinstance(lanes, slice) else lanes.take(k)
+            own = k if whole else lanes.take(k)
             used, short = self.used.take(own), low.take(k)
-            if used.max() + 6 > self.words.shape[1]:
+            self.puts += 1
+            if self.puts % 16 == 0 and self.used.max() + 24 > self.words.shape[1]:
                 self.words = np.concatenate([self.words, np.zeros_like(self.words)], axis=1)
             self.words[own, used] = short >> _WORD
             self.used[own] = used + 1
             low[k] = short << _WORD
-            span[k] <<= _WORD
-        self.low[lanes], self.span[lanes] = low, span
+            span[k] = span.take(k) << _WORD
+        if not whole:
+            self.low[lanes], self.span[lanes] = low, span
 
-    def finish(self) -> list[bytes]:
+    def finish(self) -> bytes:
+        """Words of each lane, behind their numbers; one last word lies within the span, which is wider."""
         at = np.arange(len(self.low))
-        for _ in range(2):
-            self.words[at, self.used] = self.low >> _WORD
-            self.used += 1
-            self.low <<= _WORD
+        last = self.low + _MASK
+        over = (last < self.low).nonzero()[0]
+        self.words[over, self.used[over] - 1] += 1
+        self.words[at, self.used] = last >> _WORD
+        self.used += 1
         for k in range(int(self.used.max()) - 1, 0, -1):  # carries run to the front
             self.words[:, k - 1] += self.words[:, k] >> 32
             self.words[:, k] &= 0xFFFFFFFF
-        return [w[:n].astype("<u4").tobytes() for w, n in zip(self.words, self.used)]
+        whole = self.words[np.arange(self.words.shape[1]) < self.used[:, None]]
+        return self.used.astype("<u2").tobytes() + whole.astype("<u4").tobytes()
 
 
 class _Reader:
-    def __init__(self, blocks: list[bytes]):
-        longest = max(map(len, blocks)) // 4 + 4
-        self.words = np.zeros((len(blocks), longest), np.uint32)
-        for k, b in enumerate(blocks):
-            w = np.frombuffer(b, "<u4")
-            self.words[k, : len(w)] = w
-        self.code = (self.words[:, 0].astype(np.uint64) << _WORD) | self.words[:, 1]
-        self.at = np.full(len(blocks), 2)
-        self.span = np.full(len(blocks), _FULL)
-
-    def target(self, lanes, bits: int) -> np.ndarray:
-        goal = self.code[lanes] // (self.span[lanes] >> np.uint64(bits))
-        return np.minimum(goal, np.uint64((1 << bits) - 1)).view(np.int64)
-
-    def took(self, lanes, start: np.ndarray, width: np.ndarray, bits: int) -> None:
-        code, span = self.code[lanes], self.span[lanes]
-        r = span >> np.uint64(bits)
-        code = code - r * start.view(np.uint64)
-        span = r * width.view(np.uint64)
-        k = np.nonzero(span <= _MASK)[0]
-        if len(k):
-            own = k if isinstance(lanes, slice) else lanes.take(k)
-            at = self.at.take(own)
-            code[k] = (code.take(k) << _WORD) | self.words[own, np.minimum(at, self.words.shape[1] - 1)]
-            span[k] <<= _WORD
-            self.at[own] = at + 1
-        self.code[lanes], self.span[lanes] = code, span
-
+    def __init__(self, coded: bytes, lanes: int):
+        used = np.frombuffer(coded.ljust(2 * lanes, b"\0"), "<u2", lanes).astype(np.int64)
+        words = np.frombuffer(coded[2 * lanes :].ljust(4, b"\0"), "<u4", max(4, len(coded) - 2 * lanes) // 4)
+        ends = np.cumsum(used)
+        self.at = ends - used + np.arange(lanes)
+        self.words = np.zeros(len(words) + lanes + 2, np.uint64)  # a zero behind each lane
+        self.words[np.arange(len(words)) + np.searchsorted(ends[:-1], np.arange(len(words)), side="right")] = words
+        self.span, self.code = np.full(lanes, _FULL), np.zeros(lanes, np.uint64)
+        for _ in range(2):
+            self.code = (self.code << _WORD) | self.words.take(self.at, mode="clip")
+            self.at += 1
 
-def _in_lanes(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Blocks by falling size, and how many of them reach each step."""
-    order = np.argsort(-sizes, kind="stable")
-    return order, np.searchsorted(-sizes[order], -np.arange(int(sizes.max())), side="left")
+    def refill(self, lanes: np.ndarray) -> None:
+        """Another word for these lanes."""
+        at = self.at.take(lanes)
+        code = self.code.take(lanes)
+        code <<= _WORD
+        code |= self.words.take(at, mode="clip")
+        self.code[lanes] = code
+        at += 1
+        self.at[lanes] = at
+        self.span[lanes] = self.span.take(lanes) << _WORD
 
 
 def encode_blocks(blocks: list[np.ndarray], bits: int = ID_BITS) -> list[bytes]:
     """Code each block of ids; the result of a block depends on its own ids alone."""
-    if not blocks:
-        return []
     if not 1 <= bits <= MOST_BITS:
         raise ValueError(f"ids have 1 to {MOST_BITS} bits")
-    sizes = np.array([len(b) for b in blocks])
-    order, active = _in_lanes(sizes)
-    ids = np.zeros((len(active), len(blocks)), np.int32)
-    for lane, k in enumerate(order):
-        if len(blocks[k]) and (int(blocks[k].max()) >> bits or int(blocks[k].min()) < 0):
-            raise ValueError(f"ids must lie below {1 << bits}")
-        ids[: sizes[k], lane] = blocks[k]
-    model, out = _Lanes(len(blocks), bits), _Writer(len(blocks), len(active))
-    for t, m in enumerate(active.tolist()):
-        now = ids[t, :m].astype(np.int64)
-        orders, (first, second, seen) = model.predict(m)
-        pick = np.where(orders[4] == now, 0, np.where(orders[5] == now, 1, 2))
-        out.put(slice(0, m), *_part(first, second, pick), _BITS)
-        lanes = np.nonzero(pick == 2)[0]
-        if len(lanes):
-            whole, held = now.take(lanes), None
-            for d in range(model.digits):
-                shift = 4 * (model.digits - 1 - d)
-                span = model.places[d].code(model.digit(d, lanes, whole >> (shift + 4)), (whole >> shift) & 15)
-                if held is None and d + 1 < model.digits:
-                    held = span
-                elif held is None:
-                    out.put(lanes, *span, _BITS)
-                else:  # two digits in a step
-                    out.put(lanes, (held[0] << _BITS) + held[1] * span[0], held[1] * span[1], 2 * _BITS)
-                    held = None
-        model.learn(m, now, pick, orders, seen)
-    coded = out.finish()
-    result: list[bytes] = [b""] * len(blocks)
-    for lane, k in enumerate(order):
-        result[k] = coded[lane]
-    return result
+    return [_encode(np.asarray(b, np.int64), bits) for b in blocks]
+
+
+def _encode(block: np.ndarray, bits: int) -> bytes:
+    n = len(block)
+    if not n:
+        return b""
+    if int(block.max()) >> bits or int(block.min()) < 0:
+        raise ValueError(f"ids must lie below {1 << bits}")
+    lanes, steps, full = _lanes_of(n)
+    ids, picks = np.zeros((2 + steps, lanes), np.int32), np.full((2 + steps, lanes), 2, np.int32)  # behind two steps
+    ids[2:, :full] = block[: full * steps].reshape(full, steps).T
+    ids[2:-1, full:] = block[full * steps :].reshape(lanes - full, steps - 1).T
+    ids, picks = ids.ravel(), picks.ravel()
+    model, out, fixed = _Model(bits, False), _Writer(lanes, steps), _fixed(bits)
+    for stage in _stages(steps):
+        held: list[list[np.ndarray]] = [[], [], [], []]
+        for a, b in stage:
+            at = [slice((a + k) * lanes, min(n, b * lanes) + k * lanes) for k in range(3)]
+            now, pick = ids[at[2]], picks[at[2]]
+            orders, joint, klass = model.contexts(ids[at[0]], ids[at[1]])
+            second, first = orders[4] == now, orders[5] == now
+            pick -= first
+            np.copyto(pick, 0, where=second)
+            told = second | first
+            picked = model.decisions(joint, klass, picks[at[0]], picks[at[1]])
+            picked += pick
+            np.copyto(klass, _CLASSES, where=told)
+            sign = model.sign.take(now)
+            np.copyto(sign, 0, where=told)
+            signed = klass * len(model.ids)
+            signed += sign
+            start = model.cuts.take(picked)
+            parts = (start, model.cuts.take(picked + 1) - start, model.starts.take(signed), model.widths.take(signed))
+            new = ((sign == 0) & ~told).nonzero()[0]
+            edges = np.searchsorted(new, np.arange(b - a + 1) * lanes).tolist()
+            for t in range(b - a):
+                own = slice(t * lanes, (t + 1) * lanes)
+                out.put(slice(0, len(now[own])), _BOTH, *[p[own] for p in parts])
+                if edges[t] < edges[t + 1]:
+                    which = new[edges[t] : edges[t + 1]]
+                    x = now.take(which)
+                    start = fixed.take(x)
+                    out.put(which - t * lanes, _ALONE, start, fixed.take(x + 1) - start)
+            model.predictions_learn(*orders, now)
+            for h, v in zip(held, (picked, signed, now.take(new), klass.take(new))):
+                h.append(v)
+        if stage[-1][1] < steps:
+            upto = (stage[-1][1] + 2) * lanes
+            model.frequencies_learn(ids[:upto], picks[:upto], lanes, *map(np.concatenate, held))
+    return out.finish()
 
 
 def decode_blocks(coded: list[bytes], sizes: list[int], bits: int = ID_BITS) -> list[np.ndarray]:
     """Ids of each block."""
-    if not coded:
-        return []
-    lengths = np.array(sizes)
-    order, active = _in_lanes(lengths)
-    model, src = _Lanes(len(coded), bits), _Reader([coded[k] for k in order])
-    ids = np.zeros((len(active), len(coded)), np.int32)
-    for t, m in enumerate(active.tolist()):
-        orders, (first, second, seen) = model.predict(m)
-        goal = src.target(slice(0, m), _BITS)
-        pick = (goal >= first).astype(np.int64) + (goal >= second)
-        src.took(slice(0, m), *_part(first, second, pick), _BITS)
-        now = np.where(pick == 0, orders[4], orders[5]).astype(np.int64)
-        lanes = np.nonzero(pick == 2)[0]
-        if len(lanes):
-            rest, held = np.zeros(len(lanes), np.int64), None
-            for d in range(model.digits):
-                seen_d = model.digit(d, lanes, rest)
-                row = model.places[d].mixed(seen_d)
-                if held is None and d + 1 < model.digits:
-                    goal = src.target(lanes, 2 * _BITS)
-                    digit = _find(row, goal >> _BITS)
-                    held = model.places[d].code(seen_d, digit)
-                elif held is None:
-                    digit = _find(row, src.target(lanes, _BITS))
-                    src.took(lanes, *model.places[d].code(seen_d, digit), _BITS)
-                else:
-                    digit = _find(row, (goal - (held[0] << _BITS)) // held[1])
-                    low, width = model.places[d].code(seen_d, digit)
-                    src.took(lanes, (held[0] << _BITS) + held[1] * low, held[1] * width, 2 * _BITS)
-                    held = None
-                rest = (rest << 4) | digit
-            now[lanes] = rest
-        ids[t, :m] = now
-        model.learn(m, now, pick, orders, seen)
-    result: list[np.ndarray] = [np.zeros(0, "<u4")] * len(coded)
-    for lane, k in enumerate(order):
-        result[k] = ids[: lengths[k], lane].astype("<u4")
-    return result
+    return [_decode(c, n, bits) for c, n in zip(coded, sizes)]
+
+
+def _decode(coded: bytes, n: int, bits: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, "<u4")
+    lanes, steps, full = _lanes_of(n)
+    model, src, fixed = _Model(bits, True), _Reader(coded, lanes), _fixed(bits)
+    ids, picks = np.zeros((2 + steps, lanes), np.int32), np.full((2 + steps, lanes), 2, np.int32)
+    most_signs, most_fixed = np.uint64((1 << _SIGN) - 1), np.uint64((1 << _FIXED) - 1)
+    for stage in _stages(steps):
+        held: list[list[np.ndarray]] = [[], [], [], []]
+        for a, b in stage:
+            seen: list[tuple] = []
+            for t in range(a, b):
+                m = full if t == steps - 1 else lanes
+                orders, joint, klass = model.contexts(ids[t, :m], ids[t + 1, :m])
+                picked = model.decisions(joint, klass, picks[t, :m], picks[t + 1, :m])
+                code, span = src.code[:m], src.span[:m]
+                span >>= _P
+                goal = code // span
+                not_second, free = goal >= model.cuts.take(picked + 1), goal >= model.cuts.take(picked + 2)
+                pick = not_second.view(np.int8) + free.view(np.int8)
+                picks[t + 2, :m] = pick
+                told = ~free
+                picked += pick
+                start = model.cuts.take(picked)
+                code -= span * start
+                span *= model.cuts.take(picked + 1) - start
+                np.copyto(klass, _CLASSES, where=told)
+                span >>= _S
+                goal = np.minimum(code // span, most_signs).view(np.int64)
+                goal += klass << _SIGN
+                sign = model.at.take(goal)
+                signed = klass * len(model.ids)
+                signed += sign
+                code -= span * model.starts.take(signed)
+                span *= model.widths.take(signed)
+                src.refill((span <= _MASK).nonzero()[0])
+                now = ids[t + 2, :m]
+                now[:] = model.ids.take(sign)
+                np.copyto(now, orders[5], where=told)
+                np.copyto(now, orders[4], where=~not_second)
+                new = ((sign == 0) & free).nonzero()[0]
+                if len(new):
+                    unit = src.span.take(new) >> _F
+                    goal = np.minimum(src.code.take(new) // unit, most_fixed)
+                    x = np.searchsorted(fixed, goal, side="right") - 1
+                    start = fixed.take(x)
+                    src.code[new] -= unit * start
+                    src.span[new] = unit * (fixed.take(x + 1) - start)
+                    src.refill(new[src.span.take(new) <= _MASK])
+                    now[new] = x
+                    held[2].append(x.astype(np.int32))
+                    held[3].append(klass.take(new))
+                seen.append(orders)
+                held[0].append(picked)
+                held[1].append(signed)
+            whole = ids[a + 2 : b + 2].ravel()
+            model.predictions_learn(*map(np.concatenate, zip(*seen)), whole[: n - a * lanes])
+        if stage[-1][1] < steps:
+            upto = stage[-1][1] + 2
+            model.frequencies_learn(ids[:upto].ravel(), picks[:upto].ravel(), lanes, *[np.concatenate(h) if h else np.zeros(0, np.int32) for h in held])
+    return np.concatenate([ids[2:, :full].T.ravel(), ids[2:-1, full:].T.ravel()]).astype("<u4")
 
 
 def checksum(ids: np.ndarray) -> int:

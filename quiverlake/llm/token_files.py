@@ -23,17 +23,18 @@ from quiverlake.llm.common import map_rows, text_of
 from quiverlake.llm.ranges import IdRanges, range_parts
 
 END_ID = 2
-#: Token ids of a row (more where one document has more), and blocks that are coded side by side.
-ROW_IDS = 64 * rangecoder.BLOCK
-LANES = 1024
+#: Token ids of a row, at most; a document with more is one row.
+ROW_IDS = rangecoder.BLOCK
+#: Coded rows that are turned into Python objects together.
+READ_ROWS = 8
 
 _COLUMNS = ["part", "start_in_part", "doc_ids", "lengths", "blocks", "sums", "ids", "bits"]
 
 
-def _side_by_side(n: int) -> list[slice]:
-    """Even groups of at most ``LANES`` of n blocks."""
-    groups = max(1, -(-n // LANES))
-    return [slice(g * n // groups, (g + 1) * n // groups) for g in range(groups)]
+def _cuts(n: int) -> list[slice]:
+    """Even blocks of a row of n ids."""
+    blocks = -(-n // rangecoder.BLOCK)
+    return [slice(k * n // blocks, (k + 1) * n // blocks) for k in range(blocks)]
 
 
 def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = END_ID) -> None:
@@ -51,48 +52,30 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = END_ID) ->
     def rows(batches):
         encoder = byte_tokenizer(path)
         bits = max(rangecoder.ID_BITS, (encoder.greatest_id | end_id).bit_length())
-        ready: list[tuple] = []  # rows that wait for company: (part, start, doc ids, lengths, ids)
-        waiting, part, run = 0, None, 0
-        held: list[tuple] = []
+        part, run = None, 0
+        held: list[tuple] = []  # documents of the row that is filled
         held_ids = 0
 
-        def close():
-            nonlocal held, held_ids, run, waiting
-            if held:
-                ids = np.concatenate([np.frombuffer(i, "<u4") for _, i in held])
-                ready.append((part, run, [d for d, _ in held], [len(i) for _, i in held], ids))
-                waiting += -(-len(ids) // rangecoder.BLOCK)
-                run += len(ids)
-                held, held_ids = [], 0
-
         def code() -> dict:
-            nonlocal ready, waiting
-            cut = [[r[4][k : k + rangecoder.BLOCK] for k in range(0, len(r[4]), rangecoder.BLOCK)] for r in ready]
-            flat = [b for c in cut for b in c]
-            coded = [x for g in _side_by_side(len(flat)) for x in rangecoder.encode_blocks(flat[g], bits)]
-            done = {n: [] for n in _COLUMNS}
-            for r, c in zip(ready, cut):
-                own, coded = coded[: len(c)], coded[len(c) :]
-                for n, v in zip(_COLUMNS, (*r[:4], own, [rangecoder.checksum(b) for b in c], len(r[4]), bits)):
-                    done[n].append(v)
-            ready, waiting = [], 0
-            return done
+            ids = np.concatenate([np.frombuffer(i, "<u4") for _, i in held])
+            blocks = [ids[c] for c in _cuts(len(ids))]
+            row = (part, run, [d for d, _ in held], [len(i) for _, i in held], rangecoder.encode_blocks(blocks, bits), [rangecoder.checksum(b) for b in blocks], len(ids), bits)
+            return {n: [v] for n, v in zip(_COLUMNS, row)}
 
         for b in batches:
             for at, doc, text in zip(b["part"], b["doc_id"], b["text"]):
-                if at != part:
-                    close()
-                    part, run = at, 0
                 ids = encoder.encode(text)
                 ids.append(end_id)
+                if held and (at != part or held_ids + len(ids) > ROW_IDS):
+                    yield code()
+                    run += held_ids
+                    held, held_ids = [], 0
+                if at != part:
+                    part, run = at, 0
                 held.append((doc, ids))
                 held_ids += len(ids)
-                if held_ids >= ROW_IDS:
-                    close()
-            if waiting >= LANES:
-                yield code()
-        close()
-        yield code()
+        if held:
+            yield code()
 
     coded = map_rows(placed, rows, f"part int, start_in_part long, doc_ids array<{kind}>, lengths array<long>, blocks array<binary>, sums array<long>, ids long, bits int")
     coded.write.option("compression", "none").parquet(out)
@@ -112,26 +95,16 @@ def read_tokens(spark: SparkSession, out: str) -> DataFrame:
 
     def rows(batches):
         for b in batches:
-            blocks = [x for r in b["blocks"] for x in r]
-            sizes = [min(rangecoder.BLOCK, n - k) for n in b["ids"] for k in range(0, n, rangecoder.BLOCK)]
-            bits = max(b["bits"], default=rangecoder.ID_BITS)  # one for a container
-            ids = [x for g in _side_by_side(len(blocks)) for x in rangecoder.decode_blocks(blocks[g], sizes[g], bits)]
-            found: dict = {"doc_id": [], "start": [], "tokens": []}
-            at = 0
-            for doc_ids, lengths, sums, place in zip(b["doc_ids"], b["lengths"], b["sums"], b["start"]):
-                own, at = ids[at : at + len(sums)], at + len(sums)
-                for k, (x, s) in enumerate(zip(own, sums)):
+            for doc_ids, lengths, blocks, sums, n, bits, place in zip(*(b[c] for c in ("doc_ids", "lengths", "blocks", "sums", "ids", "bits", "start"))):
+                parts = rangecoder.decode_blocks(blocks, [c.stop - c.start for c in _cuts(n)], bits)
+                for k, (x, s) in enumerate(zip(parts, sums)):
                     if rangecoder.checksum(x) != s:
                         raise ValueError(f"block {k} of the row of document {doc_ids[0]} is damaged")
-                whole, k = np.concatenate(own), 0
-                for d, n in zip(doc_ids, lengths):
-                    found["doc_id"].append(d)
-                    found["start"].append(place + k)
-                    found["tokens"].append(whole[k : k + n].tobytes())
-                    k += n
-            yield found
-
-    return map_rows(stored.select("doc_ids", "lengths", "blocks", "sums", "ids", "bits", start.alias("start")), rows, f"doc_id {kind}, start long, tokens binary")
+                ends = np.cumsum(lengths)
+                starts, whole = (ends - lengths).tolist(), np.concatenate(parts)
+                yield {"doc_id": doc_ids, "start": [place + k for k in starts], "tokens": [whole[k:e].tobytes() for k, e in zip(starts, ends.tolist())]}
+
+    return map_rows(stored.select("doc_ids", "lengths", "blocks", "sums", "ids", "bits", start.alias("start")), rows, f"doc_id {kind}, start long, tokens binary", READ_ROWS)
 
 
 def token_digests(tokens: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -570,6 +571,56 @@ def test_range_coder_beats_plain_compression(docs):
         assert (a == b).all()
 
 
+def test_range_coder_cost(docs):
+    """Ids coded and read take a few times what their texts take to tokenize, in 0.95 bytes an id."""
+    cut = lambda x: [x[k : k + rangecoder.BLOCK] for k in range(0, len(x), rangecoder.BLOCK)]
+    tokenizer = byte_tokens.byte_tokenizer(registry.BYTE_BPE)
+    texts = [r.text or "" for r in docs.orderBy("doc_id").collect()]
+    at = time.process_time()
+    ids = np.concatenate([np.append(np.frombuffer(tokenizer.encode(x), "<u4"), 2) for x in texts])
+    plain = (time.process_time() - at) / len(ids)
+    size = sum(map(len, rangecoder.encode_blocks(cut(ids)))) / len(ids)
+    blocks = cut(np.tile(ids, 6)[: 1 << 20])
+    at = time.process_time()
+    back = rangecoder.decode_blocks(rangecoder.encode_blocks(blocks), list(map(len, blocks)))
+    took = (time.process_time() - at) / (1 << 20)
+    assert all((a == b).all() for a, b in zip(blocks, back))
+    assert size < 0.95 and took < 4 * plain, (size, took, plain)
+
+
+@pytest.mark.parametrize("bits", [16, 20])
+def test_range_coder_lanes(bits):
+    """Lanes of unlike length, frequent and rare ids, more ids than have a frequency, one id alone."""
+    rng = np.random.default_rng(4)
+    top = (1 << bits) - 1
+    sizes = [1, 2, 511, 512, 1023, 1024, 1025, 7000, 150_000]
+    blocks = [np.minimum(rng.zipf(1.2, size=n) - 1, top) for n in sizes] + [rng.integers(0, top + 1, size=70_000), np.full(3000, top), np.zeros(2000, int), np.tile(rng.integers(0, top, size=5000), 9)]
+    coded = rangecoder.encode_blocks(blocks, bits)
+    for a, b in zip(blocks, rangecoder.decode_blocks(coded, list(map(len, blocks)), bits)):
+        assert (a == b).all()
+    assert len(coded[-3]) < 100 and len(coded[-2]) < 100 and rangecoder.encode_blocks(blocks[3:4], bits) == coded[3:4]
+    bad = bytearray(coded[8])
+    for k in rng.integers(0, len(bad), size=40).tolist():  # lengths of lanes among them
+        bad[k] ^= 1 << k % 8
+    assert len(rangecoder.decode_blocks([bytes(bad)], [sizes[8]], bits)[0]) == sizes[8]
+
+
+def test_token_rows_are_cut_evenly(spark, tmp_path):
+    """A document of more ids than a block has is one row of even blocks; others share rows up to that size."""
+    text = "".join(map(str, range(200_000)))
+    df = spark.createDataFrame([(1, "a b"), (2, text), (3, None)], "doc_id long, text string")
+    t, out = Tokenizer.from_file(registry.BYTE_BPE), f"{tmp_path}/t"
+    token_files.write_tokens(df, out, registry.BYTE_BPE)
+    for r in spark.read.parquet(out).collect():
+        assert sum(r.lengths) == r.ids and len(r.blocks) == len(r.sums) == -(-r.ids // rangecoder.BLOCK)
+    got = {r.doc_id: (r.start, bytes(r.tokens)) for r in token_files.read_tokens(spark, out).collect()}
+    at = 0
+    for i, x in ((1, "a b"), (2, text), (3, "")):
+        ids = np.array(t.encode(x, add_special_tokens=False).ids + [2], "<u4").tobytes()
+        assert got[i] == (at, ids)
+        at += len(ids) // 4
+
+
 def test_damaged_block_raises(spark, docs, tmp_path):
     out, bad = f"{tmp_path}/t", f"{tmp_path}/bad"
     token_files.write_tokens(docs.limit(5), out, registry.BYTE_BPE)

@@ -14,6 +14,10 @@ from quiverlake.llm.bpe import byte_alphabet
 
 #: Word rule of byte-level vocabularies (fixed value), spelled so that no run is tried twice.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?(?:\p{L}++|\p{N}++|[^\s\p{L}\p{N}]++)|\s++$|\s+(?!\S)|\s"
+#: The same rule where no two signs of white space meet: without looking ahead, which is faster.
+_PLAIN = r"'(?:[sdmt]|ll|ve|re)| ?(?:\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+)|\s"
+_BLANK = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_BLANKS_MEET = re.compile(_BLANK + _BLANK).search
 #: Texts with a longer unbroken run go to the library that merges long runs by a heap.
 _LONG_RUN = 2000
 
@@ -37,6 +41,7 @@ class ByteTokenizer:
         self.greatest_id = max(*ranks.values(), *self.special.values(), 0)
         self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.plain = tiktoken.Encoding("plain", pat_str=_PLAIN, mergeable_ranks=ranks, special_tokens={})
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -45,7 +50,7 @@ class ByteTokenizer:
         if len(text) > _LONG_RUN and _may_run_long(text):
             return array("I", self.library.encode(text, add_special_tokens=False).ids)
         if "<|" not in text:
-            return array("I", self.fast.encode_ordinary(text))
+            return array("I", (self.fast if _BLANKS_MEET(text) else self.plain).encode_ordinary(text))
         out = array("I")
         for part in self.marks.split(text):
             if part in self.special:

@@ -9,12 +9,14 @@ a count of how often it held), and frequencies of the ids that neither foretold
 or neither - is one decision.  Three adaptive models foretell it, by the counts of both predictions and whether they
 agree, by the last two decisions, and by a class of the last id; their probabilities are added up by learned weights.
 After "neither" comes the id itself, by its frequency in the block mixed, with a learned weight for each class, with
-its frequency behind last ids of the same class.  An id that is too rare for these tables follows in a fixed form, in
-which low ids are shorter, as vocabularies are in order of frequency.
+its frequency behind last ids of the same class; classes are learned from the first ids of a block.  Ids too rare for
+these tables are marked and stand before the lanes, in their order, in a fixed form, in which low ids are shorter, as
+vocabularies are in order of frequency.
 
 Tables stand still for some steps and learn from these together: the predictions after every few steps, frequencies and
 weights at steps ever further apart, since a step then changes them ever less.  All counts are integers, and
-what is mixed is divided and multiplied number by number, so that every machine gets the same tables.
+what is mixed is divided and multiplied number by number, so that every machine gets the same tables; of lanes that
+change the same place in a step, the last one counts.
 
 Defined results: no ids give no bytes; ids lie below ``2 ** bits``, 20 bits at most (larger ones raise); a
 damaged block decodes to other ids of the same number, which its checksum shows.
@@ -43,7 +45,7 @@ _SLOTS = 1 << 16
 #: Contexts of a decision: counts of both predictions and whether they agree, the last two decisions, the class.
 _HELD, _PAST = 64, 9
 #: Steps after which predictions learn, at most.
-_TOGETHER = 8
+_TOGETHER = 16
 #: Change of the count of a prediction after a (miss, hit) when it had held 0 to 7 times.
 _COUNT = np.array([[0, 0, -1, -2, -2, -3, -3, -4], [1, 1, 1, 1, 1, 1, 1, 0]], np.int32).ravel()
 
@@ -83,7 +85,7 @@ class _Model:
         self.next1 = np.zeros(1 << bits, np.int32)
         self.sign = np.zeros(1 << bits, np.int32)  # of an id; 0: none yet
         self.ids = np.zeros(1, np.int32)  # by sign
-        self.klass = np.zeros(1 << bits, np.int32)  # of an id
+        self.klass = np.zeros(1 << bits, np.int8)  # of an id
         self.rare = np.zeros(1 << bits, np.int64)  # how often an id without a sign came
         self.classed = 1  # signs that have a class
         self.counts = np.zeros((_CLASSES, 1), np.int64)  # of signs by class
@@ -99,7 +101,7 @@ class _Model:
         slot += p1 * 40503
         slot >>= 3
         slot &= _SLOTS - 1
-        klass = self.klass.take(p1)
+        klass = self.klass.take(p1).astype(np.int32)
         g2, g1 = self.next2.take(slot), self.next1.take(p1)
         e2, e1 = g2 >> 3, g1 >> 3
         known = (g2 & 7) << 3
@@ -120,26 +122,28 @@ class _Model:
         return at
 
     def predictions_learn(self, slot, p1, g2, g1, e2, e1, ids) -> None:
-        first = (ids << 3) | 1
+        first = ids << 3
+        first |= 1
         for table, at, state, guess in ((self.next2, slot, g2, e2), (self.next1, p1, g1, e1)):
-            count = state & 7
             hit = guess == ids
-            new = hit.astype(np.int32)
-            new <<= 3
-            new |= count
-            new = state + _COUNT.take(new)
-            np.copyto(new, first, where=(count < 2) & ~hit)
+            kept = (hit | ((state & 7) > 1)).nonzero()[0]  # others give way
+            was = state.take(kept)
+            was += _COUNT.take((was & 7) | (hit.take(kept).view(np.int8) << 3))
+            new = first.copy()
+            new[kept] = was
             table[at] = new
 
     def frequencies_learn(self, ids: np.ndarray, picks: np.ndarray, lanes: int, picked: np.ndarray, signed: np.ndarray, rare: np.ndarray, rare_class: np.ndarray) -> None:
         """Learn from all ids so far and their decisions, and, of the last steps, from places of decisions and of signs
         in their tables and from ids without a sign, with their classes."""
-        seen = np.bincount(picked, minlength=_HELD * _PAST * _CLASSES * 4).reshape(_HELD, _PAST, _CLASSES, 4)[..., :3]
-        sums = [seen.sum((1, 2)), seen.sum((0, 2)), seen.sum((0, 1))]
+        seen = np.bincount(picked, minlength=_HELD * _PAST * _CLASSES * 4).reshape(_HELD * _PAST, _CLASSES * 4)
+        sums = [seen.reshape(_HELD, _PAST, _CLASSES, 4).sum(2), seen.sum(0).reshape(_CLASSES, 4)[:, :3]]
+        sums[:1] = [sums[0].sum(1)[:, :3], sums[0].sum(0)[:, :3]]
+        seen = seen.reshape(_HELD, -1, 4)[..., :3].reshape(_HELD, -1)
         for m, part in enumerate(self.parts):
             fit = part / self.mixed
             fit *= 1024
-            own = (seen * fit.astype(np.int64)).sum((1, 2, 3))
+            own = (fit.astype(np.int64).reshape(_HELD, -1) * seen).sum(1)
             self.trust[m] = (own / 1024 + 16 * self.trust[m]) / (sums[0].sum(1) + 16)
         self.trust /= self.trust[0] + self.trust[1] + self.trust[2]
         for table, s in zip(self.picks, sums):
@@ -175,14 +179,14 @@ class _Model:
             last, now, free = ids[lanes:-lanes], ids[2 * lanes :], picks[2 * lanes :] == 2
             self._classify(last, now)
             signs = len(self.ids)
-            self.counts = np.bincount((self.klass.take(last) * signs + self.sign.take(now))[free], minlength=_CLASSES * signs).reshape(_CLASSES, signs)
+            self.counts = np.bincount((self.klass.take(last) * np.int64(signs) + self.sign.take(now))[free], minlength=_CLASSES * signs).reshape(_CLASSES, signs)
         self._settle_signs()
 
     def _classify(self, last: np.ndarray, now: np.ndarray) -> None:
         """Ids go to the class whose followers theirs are likeliest to come from; sums of integers, exact as floats."""
         signs = len(self.ids)
         sign, group = self.sign.take(last), (now * 40503 >> 7) & (_GROUPS - 1)
-        own = self.klass.take(self.ids)
+        own = self.klass.take(self.ids).astype(np.int64)
         own[self.classed :] = np.arange(self.classed, signs) % _CLASSES
         self.classed = signs
         follow = np.bincount(sign * _GROUPS + group, minlength=signs * _GROUPS).reshape(signs, _GROUPS).astype(float)
@@ -203,6 +207,7 @@ class _Model:
         cuts[:, 2] = cuts[:, 1] + width[..., 1].ravel()
         cuts[:, 3] = 1 << _PICK
         self.cuts = cuts.ravel()
+        self.ends, self.seconds = self.cuts[1:], self.cuts[2:]
 
     def _settle_signs(self) -> None:
         """Bounds of the signs by class; the last row is for ids that were foretold and takes no room."""
@@ -236,11 +241,10 @@ class _Writer:
         self.words, self.used = np.zeros((lanes, 64 + steps // 2), np.int64), np.zeros(lanes, np.int64)
         self.puts = 0  # a lane gets a word in each, at most
 
-    def put(self, lanes, bits: tuple, *parts: np.ndarray) -> None:
-        """``lanes``: a slice from 0, or numbers; ``parts``: starts and widths, in units of ``2 ** -bits``, of each
-        of the things that are put together."""
-        whole = isinstance(lanes, slice)
-        low, span = self.low[lanes], self.span[lanes]  # views of slices, copies of numbers
+    def put(self, m: int, bits: tuple, *parts: np.ndarray) -> None:
+        """In the first ``m`` lanes; ``parts``: starts and widths, in units of ``2 ** -bits``, of each of the things
+        that are put together."""
+        low, span = self.low[:m], self.span[:m]
         old = low.copy()
         for k, unit in enumerate(bits):
             span >>= unit
@@ -248,21 +252,17 @@ class _Writer:
             span *= parts[2 * k + 1]
         over = (low < old).nonzero()[0]
         if len(over):
-            own = over if whole else lanes.take(over)
-            self.words[own, self.used.take(own) - 1] += 1  # low + span stays below 2**64 until the first word
+            self.words[over, self.used.take(over) - 1] += 1  # low + span stays below 2**64 until the first word
         k = (span <= _MASK).nonzero()[0]
         if len(k):
-            own = k if whole else lanes.take(k)
-            used, short = self.used.take(own), low.take(k)
-            self.puts += 1
-            if self.puts % 16 == 0 and self.used.max() + 24 > self.words.shape[1]:
-                self.words = np.concatenate([self.words, np.zeros_like(self.words)], axis=1)
-            self.words[own, used] = short >> _WORD
-            self.used[own] = used + 1
+            used, short = self.used.take(k), low.take(k)
+            self.words[k, used] = short >> _WORD
+            self.used[k] = used + 1
             low[k] = short << _WORD
             span[k] = span.take(k) << _WORD
-        if not whole:
-            self.low[lanes], self.span[lanes] = low, span
+        self.puts += 1
+        if self.puts % 16 == 0 and self.used.max() + 24 > self.words.shape[1]:
+            self.words = np.concatenate([self.words, np.zeros_like(self.words)], axis=1)
 
     def finish(self) -> bytes:
         """Words of each lane, behind their numbers; one last word lies within the span, which is wider."""
@@ -283,10 +283,10 @@ class _Reader:
     def __init__(self, coded: bytes, lanes: int):
         used = np.frombuffer(coded.ljust(2 * lanes, b"\0"), "<u2", lanes).astype(np.int64)
         words = np.frombuffer(coded[2 * lanes :].ljust(4, b"\0"), "<u4", max(4, len(coded) - 2 * lanes) // 4)
-        ends = np.cumsum(used)
-        self.at = ends - used + np.arange(lanes)
+        lane = np.repeat(np.arange(lanes), used)[: len(words)]
+        self.at = np.cumsum(used) - used + np.arange(lanes)
         self.words = np.zeros(len(words) + lanes + 2, np.uint64)  # a zero behind each lane
-        self.words[np.arange(len(words)) + np.searchsorted(ends[:-1], np.arange(len(words)), side="right")] = words
+        self.words[np.arange(len(lane)) + lane] = words[: len(lane)]
         self.span, self.code = np.full(lanes, _FULL), np.zeros(lanes, np.uint64)
         for _ in range(2):
             self.code = (self.code << _WORD) | self.words.take(self.at, mode="clip")
@@ -304,6 +304,39 @@ class _Reader:
         self.span[lanes] = self.span.take(lanes) << _WORD
 
 
+def _rare_lanes(n: int) -> tuple[int, int]:
+    lanes = max(1, min(128, n // 64), -(-n // _MOST))
+    return lanes, -(-n // lanes)
+
+
+def _encode_rare(ids: np.ndarray, bits: int) -> bytes:
+    """Ids in the fixed form."""
+    lanes, steps = _rare_lanes(len(ids))
+    fixed, out = _fixed(bits), _Writer(lanes, steps)
+    start = fixed.take(ids)
+    width = fixed[1:].take(ids) - start
+    for k in range(0, len(ids), lanes):
+        out.put(len(ids[k : k + lanes]), _ALONE, start[k : k + lanes], width[k : k + lanes])
+    return out.finish()
+
+
+def _decode_rare(coded: bytes, n: int, bits: int) -> np.ndarray:
+    lanes, _ = _rare_lanes(n)
+    fixed, src, most = _fixed(bits), _Reader(coded, lanes), np.uint64((1 << _FIXED) - 1)
+    out = np.zeros(n, np.int32)
+    for k in range(0, n, lanes):
+        m = min(lanes, n - k)
+        code, span = src.code[:m], src.span[:m]
+        span >>= _F
+        x = fixed.searchsorted(np.minimum(code // span, most), side="right") - 1
+        out[k : k + m] = x
+        start = fixed.take(x)
+        code -= span * start
+        span *= fixed[1:].take(x) - start
+        src.refill((span <= _MASK).nonzero()[0])
+    return out
+
+
 def encode_blocks(blocks: list[np.ndarray], bits: int = ID_BITS) -> list[bytes]:
     """Code each block of ids; the result of a block depends on its own ids alone."""
     if not 1 <= bits <= MOST_BITS:
@@ -322,7 +355,8 @@ def _encode(block: np.ndarray, bits: int) -> bytes:
     ids[2:, :full] = block[: full * steps].reshape(full, steps).T
     ids[2:-1, full:] = block[full * steps :].reshape(lanes - full, steps - 1).T
     ids, picks = ids.ravel(), picks.ravel()
-    model, out, fixed = _Model(bits, False), _Writer(lanes, steps), _fixed(bits)
+    model, out = _Model(bits, False), _Writer(lanes, steps)
+    rare: list[np.ndarray] = []
     for stage in _stages(steps):
         held: list[list[np.ndarray]] = [[], [], [], []]
         for a, b in stage:
@@ -335,30 +369,26 @@ def _encode(block: np.ndarray, bits: int) -> bytes:
             told = second | first
             picked = model.decisions(joint, klass, picks[at[0]], picks[at[1]])
             picked += pick
-            np.copyto(klass, _CLASSES, where=told)
+            np.maximum(klass, told.view(np.int8) * np.int8(_CLASSES), out=klass)
             sign = model.sign.take(now)
             np.copyto(sign, 0, where=told)
             signed = klass * len(model.ids)
             signed += sign
             start = model.cuts.take(picked)
-            parts = (start, model.cuts.take(picked + 1) - start, model.starts.take(signed), model.widths.take(signed))
+            parts = (start, model.ends.take(picked) - start, model.starts.take(signed), model.widths.take(signed))
             new = ((sign == 0) & ~told).nonzero()[0]
-            edges = np.searchsorted(new, np.arange(b - a + 1) * lanes).tolist()
             for t in range(b - a):
                 own = slice(t * lanes, (t + 1) * lanes)
-                out.put(slice(0, len(now[own])), _BOTH, *[p[own] for p in parts])
-                if edges[t] < edges[t + 1]:
-                    which = new[edges[t] : edges[t + 1]]
-                    x = now.take(which)
-                    start = fixed.take(x)
-                    out.put(which - t * lanes, _ALONE, start, fixed.take(x + 1) - start)
+                out.put(len(now[own]), _BOTH, *[p[own] for p in parts])
             model.predictions_learn(*orders, now)
-            for h, v in zip(held, (picked, signed, now.take(new), klass.take(new))):
+            rare.append(now.take(new))
+            for h, v in zip(held, (picked, signed, rare[-1], klass.take(new))):
                 h.append(v)
         if stage[-1][1] < steps:
             upto = (stage[-1][1] + 2) * lanes
             model.frequencies_learn(ids[:upto], picks[:upto], lanes, *map(np.concatenate, held))
-    return out.finish()
+    apart = _encode_rare(np.concatenate(rare), bits)
+    return np.array([sum(map(len, rare)), len(apart)], "<u4").tobytes() + apart + out.finish()
 
 
 def decode_blocks(coded: list[bytes], sizes: list[int], bits: int = ID_BITS) -> list[np.ndarray]:
@@ -370,9 +400,11 @@ def _decode(coded: bytes, n: int, bits: int) -> np.ndarray:
     if not n:
         return np.zeros(0, "<u4")
     lanes, steps, full = _lanes_of(n)
-    model, src, fixed = _Model(bits, True), _Reader(coded, lanes), _fixed(bits)
+    number, length = np.frombuffer(coded.ljust(8, b"\0"), "<u4", 2).tolist()
+    rare, at = _decode_rare(coded[8 : 8 + length], min(number, n), bits), 0
+    model, src = _Model(bits, True), _Reader(coded[8 + length :], lanes)
     ids, picks = np.zeros((2 + steps, lanes), np.int32), np.full((2 + steps, lanes), 2, np.int32)
-    most_signs, most_fixed = np.uint64((1 << _SIGN) - 1), np.uint64((1 << _FIXED) - 1)
+    most = np.uint64((1 << _SIGN) - 1)
     for stage in _stages(steps):
         held: list[list[np.ndarray]] = [[], [], [], []]
         for a, b in stage:
@@ -384,17 +416,17 @@ def _decode(coded: bytes, n: int, bits: int) -> np.ndarray:
                 code, span = src.code[:m], src.span[:m]
                 span >>= _P
                 goal = code // span
-                not_second, free = goal >= model.cuts.take(picked + 1), goal >= model.cuts.take(picked + 2)
+                not_second, free = goal >= model.ends.take(picked), goal >= model.seconds.take(picked)
                 pick = not_second.view(np.int8) + free.view(np.int8)
                 picks[t + 2, :m] = pick
                 told = ~free
                 picked += pick
                 start = model.cuts.take(picked)
                 code -= span * start
-                span *= model.cuts.take(picked + 1) - start
-                np.copyto(klass, _CLASSES, where=told)
+                span *= model.ends.take(picked) - start
+                np.maximum(klass, told.view(np.int8) * np.int8(_CLASSES), out=klass)
                 span >>= _S
-                goal = np.minimum(code // span, most_signs).view(np.int64)
+                goal = np.minimum(code // span, most).view(np.int64)
                 goal += klass << _SIGN
                 sign = model.at.take(goal)
                 signed = klass * len(model.ids)
@@ -404,19 +436,14 @@ def _decode(coded: bytes, n: int, bits: int) -> np.ndarray:
                 src.refill((span <= _MASK).nonzero()[0])
                 now = ids[t + 2, :m]
                 now[:] = model.ids.take(sign)
-                np.copyto(now, orders[5], where=told)
-                np.copyto(now, orders[4], where=~not_second)
+                own = told.nonzero()[0]
+                now[own] = np.where(not_second.take(own), orders[5].take(own), orders[4].take(own))
                 new = ((sign == 0) & free).nonzero()[0]
                 if len(new):
-                    unit = src.span.take(new) >> _F
-                    goal = np.minimum(src.code.take(new) // unit, most_fixed)
-                    x = np.searchsorted(fixed, goal, side="right") - 1
-                    start = fixed.take(x)
-                    src.code[new] -= unit * start
-                    src.span[new] = unit * (fixed.take(x + 1) - start)
-                    src.refill(new[src.span.take(new) <= _MASK])
-                    now[new] = x
-                    held[2].append(x.astype(np.int32))
+                    x = rare[at : at + len(new)]
+                    at += len(x)
+                    now[new[: len(x)]] = x
+                    held[2].append(now.take(new))
                     held[3].append(klass.take(new))
                 seen.append(orders)
                 held[0].append(picked)
@@ -426,7 +453,10 @@ def _decode(coded: bytes, n: int, bits: int) -> np.ndarray:
         if stage[-1][1] < steps:
             upto = stage[-1][1] + 2
             model.frequencies_learn(ids[:upto].ravel(), picks[:upto].ravel(), lanes, *[np.concatenate(h) if h else np.zeros(0, np.int32) for h in held])
-    return np.concatenate([ids[2:, :full].T.ravel(), ids[2:-1, full:].T.ravel()]).astype("<u4")
+    out = np.empty(n, "<u4")
+    out[: full * steps].reshape(full, steps)[:] = ids[2:, :full].T
+    out[full * steps :].reshape(lanes - full, steps - 1)[:] = ids[2:-1, full:].T
+    return out
 
 
 def checksum(ids: np.ndarray) -> int:

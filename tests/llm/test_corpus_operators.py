@@ -637,6 +637,16 @@ def test_byte_tokenizer_equals_library():
     assert all(list(e.encode(x)) == t.encode(x, add_special_tokens=False).ids for x in texts)
 
 
+def test_byte_tokenizer_blanks():
+    """Every sign of white space alone, doubled, at the ends and beside words, and signs that Python alone takes for one."""
+    blanks = [chr(c) for c in range(0x3001) if chr(c).isspace()] + ["\u180e", "\u200b", "\ufeff", ""]
+    e, t = byte_tokens.ByteTokenizer(registry.BYTE_BPE), Tokenizer.from_file(registry.BYTE_BPE)
+    for a in blanks:
+        for b in blanks:
+            for x in (f"{a}it's{b}12{a}{b}é-x{b}", f"a{a}'ll{b}", f"{b}q {a}7"):
+                assert list(e.encode(x)) == t.encode(x, add_special_tokens=False).ids, repr(x)
+
+
 # -- 10 ------------------------------------------------------------------------
 
 

@@ -52,35 +52,41 @@ def tree_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 FAN = 4096
 
 
-def rollup(nodes: DataFrame, summarise: Callable[[Column, Column], Column], fan: int = FAN) -> DataFrame:
+def rollup(nodes: DataFrame, summarise: Callable[[Column, Column], Column], fan: int = FAN, merge: Callable[[Column], Column] | None = None) -> DataFrame:
     """Fill in ``text`` bottom up: ``(node, parent, depth, text)``, leaves have a text.
 
     One pass for each depth; a directory is summarised once all its children are.  ``summarise`` gets the
     sorted names and the texts of the children.  No row holds more than ``fan`` children: those of a larger
-    directory are summarised by ``fan`` in their order, and the summaries again, named by their first child.
+    directory are summarised by ``fan`` in their order, and ``merge`` makes one text of the summaries in that
+    order.  Without it they are summarised again, named by their first child, which suits summaries of texts
+    but not of names.
     """
+    summary = summarise(F.col("kids.node"), F.col("kids.text"))
+    if merge:
+        summary = F.when(F.col("kids")[0]["part"].isNotNull(), merge(F.col("kids.text"))).otherwise(summary)
     deepest = nodes.agg(F.max("depth")).first()[0]
     done = nodes.where(F.col("depth") == deepest).withColumn("leaves", F.lit(1).cast("long"))
     level = done
     for depth in range((deepest or 0) - 1, -1, -1):
-        kids = _fanned(level.select("parent", "node", "text", "leaves"), summarise, fan)
+        kids = _fanned(level.select("parent", "node", "text", "leaves"), summary, fan)
         here = nodes.where(F.col("depth") == depth).join(kids.withColumnRenamed("parent", "of"), F.col("node") == F.col("of"), "left")
-        text = F.when(F.col("kids").isNotNull(), summarise(F.col("kids.node"), F.col("kids.text"))).otherwise(F.col("text"))
+        text = F.when(F.col("kids").isNotNull(), summary).otherwise(F.col("text"))
         level = materialize(here.select("node", "parent", "depth", text.alias("text"), F.coalesce("leaves", F.lit(1)).cast("long").alias("leaves")), "rollup")
         done = done.union(level)
     return done
 
 
-def _fanned(kids: DataFrame, summarise: Callable[[Column, Column], Column], fan: int) -> DataFrame:
-    """Children of each parent as one sorted array of at most ``fan``."""
-    gathered = [F.array_sort(F.collect_list(F.struct("node", "text"))).alias("kids"), F.sum("leaves").alias("leaves")]
+def _fanned(kids: DataFrame, summary: Column, fan: int) -> DataFrame:
+    """Children of each parent as one sorted array of at most ``fan``; ``part`` numbers summaries of several."""
+    kids = kids.withColumn("part", F.lit(None).cast("long"))
+    gathered = [F.array_sort(F.collect_list(F.struct("part", "node", "text"))).alias("kids"), F.sum("leaves").alias("leaves")]
     while True:
         many = kids.groupBy("parent").count().where(F.col("count") > fan).select("parent")
         if many.isEmpty():
             return kids.groupBy("parent").agg(*gathered)
-        large = number(kids.join(many, "parent", "left_semi"), ["parent"], ["node"], "rank")
+        large = number(kids.join(many, "parent", "left_semi"), ["parent"], ["part", "node"], "rank")
         parts = large.groupBy("parent", F.floor((F.col("rank") - 1) / fan).alias("part")).agg(*gathered)
-        less = parts.select("parent", F.col("kids")[0]["node"].alias("node"), summarise(F.col("kids.node"), F.col("kids.text")).alias("text"), "leaves")
+        less = parts.select("parent", F.col("kids")[0]["node"].alias("node"), summary.alias("text"), "leaves", "part")
         kids = materialize(kids.join(many, "parent", "left_anti").unionByName(less), "fanned")
 
 

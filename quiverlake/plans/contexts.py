@@ -191,7 +191,7 @@ _LEVELS = _D + """, b AS (SELECT parent_uri AS uri, regexp_replace(parent_uri, '
 @query(_LEVELS + """SELECT uri, n AS leaves, s AS summary FROM b UNION ALL SELECT uri, n, s FROM a UNION ALL SELECT 'ctx://resources', CAST(sum(n) AS BIGINT), string_agg(uri, '; ' ORDER BY uri) FROM a""")
 def rollup_tree(spark, sf):
     """Documents below sources below languages, summarised bottom up."""
-    done = sync.rollup(_tree(spark, sf), lambda names, texts: F.array_join(names, "; "))
+    done = sync.rollup(_tree(spark, sf), lambda names, texts: F.array_join(names, "; "), merge=lambda texts: F.array_join(texts, "; "))
     return done.where("depth < 3").select(F.col("node").alias("uri"), "leaves", F.col("text").alias("summary"))
 
 

@@ -1,10 +1,13 @@
 """Ranks by ranges, and what is built on them."""
 
 import random
+from functools import partial
 
+import duckdb
 from pyspark.sql import functions as F
 
 from quiverlake.operators import ranks, store, sync
+from quiverlake.plans import registry
 
 
 def test_number_ranks_within_keys(spark):
@@ -40,3 +43,13 @@ def test_rollup_of_a_flat_folder_by_parts(spark):
     one = {r.node: (r.text, r.leaves) for r in sync.rollup(nodes, joined).collect()}
     parts = {r.node: (r.text, r.leaves) for r in sync.rollup(nodes, joined, fan=7).collect()}
     assert one == parts and one["root"] == (";".join([f"t{k}" for k in range(100)] + ["none"]), 101)
+
+
+def test_rollup_of_names_by_parts(spark, sf, monkeypatch):
+    """Folders of more children than a row holds keep every name, also where the parts are too many again."""
+    monkeypatch.setattr(sync, "rollup", partial(sync.rollup, fan=2))
+    got = {(r.uri, r.leaves, r.summary) for r in registry.QUERIES["rollup_tree"](spark, sf).collect()}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    found = con.sql("SELECT uri, leaves, summary FROM (" + registry.ORACLES["rollup_tree"] + ")").fetchall()
+    assert got == set(found) and max(leaves for _, leaves, _ in found) > 4

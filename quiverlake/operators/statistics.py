@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quiverlake.session import materialize
+
 #: Upper bounds of latency buckets in milliseconds (fixed value).
 BOUNDS = (1, 5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000)
 
@@ -98,14 +100,46 @@ def tasks(rows: DataFrame, status: str = "", kind: str = "", limit: int = 50) ->
     return rows.orderBy(F.desc("updated_at"), "task_id").limit(limit)
 
 
+#: Rows of either side of a path that are paired at once.
+TILE = 2048
+
+
 def lock_conflicts(held: DataFrame, wanted: DataFrame, as_of: Column) -> DataFrame:
-    """Which requests ``(request, path, kind)`` clash with live locks ``(handle, path, kind, expires_at)``.
+    """Which requests ``(request, path, kind)`` clash with live locks ``(handle, path, kind, expires_at)``, each pair once.
+
+    Point locks clash on one path; a subtree lock covers its path and all below.  Two rows meet at one place at
+    most, so that pairs repeat only where a request or a handle has several rows; only those are made distinct.
+    The rows of a place are dealt out by tiles, for a path may have as many pairs as its requests times its locks.
+    """
+    live = _places(held.where(F.col("expires_at") > as_of), "handle", climbs=2, covers=1)
+    asked = materialize(_places(wanted, "request", climbs=1, covers=2), "places")
+    size = lambda rows, name: rows.groupBy("way", "place").agg(F.ceil(F.count("*") / TILE).alias(name))
+    grid = materialize(size(asked, "down").join(size(live, "across"), ["way", "place"]), "grid")
+    asked, live = _tiles(asked, grid, "down", "across"), _tiles(live, grid, "across", "down")
+    pairs = lambda a, b: a.join(b.hint("merge"), ["way", "place", "down", "across"]).select("request", "handle")
+    one, several = F.col("alone"), ~F.col("alone")
+    again = pairs(asked.where(several), live).union(pairs(asked.where(one), live.where(several)))
+    return pairs(asked.where(one), live.where(one)).union(again.distinct())
+
+
+def _places(rows: DataFrame, name: str, climbs: int, covers: int) -> DataFrame:
+    """Where rows meet others: at their path, in the way ``climbs`` at all above it, and as subtrees in the way ``covers``.
 
-    Point locks clash on one path; a subtree lock covers its path and all below.
+    ``alone`` tells rows whose name no other row has.
     """
-    live = held.where(F.col("expires_at") > as_of).select("handle", F.col("path").alias("h"), F.col("kind").alias("hk"))
-    up = F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda n: F.array_join(F.slice(F.split("path", "/"), F.lit(1), n), "/"))
-    over = wanted.select("request", F.explode(up).alias("h"), "path").join(live, "h").where((F.col("h") == F.col("path")) | (F.col("hk") == "subtree"))
-    ups = F.transform(F.sequence(F.lit(1), F.size(F.split("h", "/"))), lambda n: F.array_join(F.slice(F.split("h", "/"), F.lit(1), n), "/"))
-    under = live.select("handle", F.explode(ups).alias("path")).join(wanted.where("kind = 'subtree'"), "path").select("request", "handle")
-    return over.select("request", "handle").union(under).distinct()
+    rows = rows.select(name, "path", "kind").distinct()
+    names = rows.groupBy(F.col(name).alias("of")).agg((F.count("*") == 1).alias("alone"))
+    parts = F.split("path", "/")
+    above = F.transform(F.slice(F.sequence(F.lit(1), F.size(parts)), F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    spot = lambda way, place: F.struct(F.lit(way).alias("way"), place.alias("place"))
+    own = F.array_compact(F.array(spot(0, F.col("path")), F.when(F.col("kind") == "subtree", spot(covers, F.col("path")))))
+    spots = F.concat(own, F.transform(above, lambda p: spot(climbs, p)))
+    known = rows.join(names, F.col(name).eqNullSafe(F.col("of")))
+    return known.select(name, "alone", F.xxhash64(name, "path", "kind").alias("salt"), F.explode(spots).alias("spot")).select(name, "alone", "salt", "spot.*")
+
+
+def _tiles(rows: DataFrame, grid: DataFrame, own: str, other: str) -> DataFrame:
+    """Rows in their own stripe of a place's grid, once for each stripe of the other side."""
+    met = rows.join(grid, ["way", "place"])
+    stripe = F.pmod("salt", F.col(own)).alias(own)
+    return materialize(met.select(*rows.columns, stripe, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other)).drop("salt"), "tiles")

@@ -386,6 +386,38 @@ def test_locks(spark):
     assert got == {("r1", "h1"), ("r2", "h1"), ("r2", "h2"), ("r3", "h2")}
 
 
+def test_lock_pairs_by_tiles(spark, monkeypatch):
+    """Any tiles give each pair once, also where requests and handles have several rows."""
+    monkeypatch.setattr(G, "TILE", 3)
+    rng = random.Random(4)
+    path = lambda: rng.choice([None, "a/", "/".join(rng.choice("ab") for _ in range(rng.randint(1, 4)))])
+    rows = lambda c: [(rng.choice([None, *(f"{c}{k}" for k in range(60))]), path(), rng.choice(["point", "subtree", None])) for _ in range(90)]
+    asked, locks = rows("r"), rows("h")
+    below = lambda p, q: p == q or p.startswith(q + "/")
+    clash = lambda p, k, q, h: p is not None and q is not None and (p == q or h == "subtree" and below(p, q) or k == "subtree" and below(q, p))
+    want = {(r, h) for r, p, k in asked for h, q, hk in locks if clash(p, k, q, hk)}
+    at = F.lit("2024-01-01").cast("timestamp")
+    held = spark.createDataFrame(locks, "handle string, path string, kind string").withColumn("expires_at", F.lit("2024-01-02").cast("timestamp"))
+    got = [tuple(r) for r in G.lock_conflicts(held, spark.createDataFrame(asked, "request string, path string, kind string"), at).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_lock_pairs_are_not_shuffled(spark):
+    """Pairs grow with the square of a path's rows; what is shuffled grows with the rows."""
+    held = spark.range(400).select(F.concat(F.lit("h"), "id").alias("handle"), F.lit("a").alias("path"), F.lit("subtree").alias("kind"), F.lit("2024-01-02").cast("timestamp").alias("expires_at"))
+    wanted = spark.range(400).select(F.concat(F.lit("r"), "id").alias("request"), F.concat(F.lit("a/"), "id").alias("path"), F.lit("point").alias("kind"))
+    sc = spark.sparkContext
+    sc.setJobGroup("locks", "locks")
+    try:
+        assert len(G.lock_conflicts(held, wanted, F.lit("2024-01-01").cast("timestamp")).collect()) == 160000
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    tracker, store_ = sc.statusTracker(), sc._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup("locks") for s in tracker.getJobInfo(j).stageIds}
+    assert 0 < sum(store_.lastStageAttempt(s).shuffleWriteRecords() for s in stages) < 20000
+
+
 def test_upsert_ties_and_glob_classes(spark):
     base = spark.createDataFrame([], "id string, created_at string, v int")
     rows = [("a", "c", k, 1) for k in range(20)]
